@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -73,3 +74,15 @@ def components(edges: DataFrame) -> DataFrame:
     if known is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return known.select("node", F.col("root").alias("component"))
+
+
+def inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of known bound as a literal of the plan: no Python data source."""
+    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(made))
+
+
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """`df` stored, with a broadcast hint only if it has at most `rows` rows; beyond that joins shuffle."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import packing, simhash, tokens
+from meshweave.llm import contamination, packing, private, shards, simhash, tokens
 from meshweave.llm.common import stored, table
 
 
+#: The key of the registered query's pseudonyms; a deployment passes its own.
+PII_KEY = "meshweave-demo-key"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -19,11 +23,33 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = private.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+    counts = [F.size(F.filter("_pii", private.is_kind(k))).alias(f"n_{k}") for k in private.KINDS]
+    return made.select("doc_id", "text", *counts)
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = shards.sharded(table(spark, sf_dir, "documents"), 24)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = stored(cut.withColumn("ids_crc32", packing.crc_of("ids")).drop("ids"))
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_tokens": op3_tokens, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_tokens": op3_tokens,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_pii": op7_pii,
+    "op8_shards": op8_shards,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
