@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import contamination, packing, private, shards, simhash, tokens
+from meshweave.llm import contamination, language, packing, private, shards, simhash, tokens, vectors
 from meshweave.llm.common import stored, table
 
 
@@ -19,6 +19,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.learned(docs.where(~held_out))
+    return language.labelled(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +45,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = stored(cut.withColumn("ids_crc32", packing.crc_of("ids")).drop("ids"))
@@ -46,10 +57,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
     "op3_tokens": op3_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
     "op8_shards": op8_shards,
+    "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
