@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import contamination, language, packing, private, shards, simhash, tokens, vectors
+from meshweave.llm import contamination, language, packing, private, shards, simhash, substrings, tokens, vectors
 from meshweave.llm.common import stored, table
 
 
@@ -30,6 +30,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
     "op3_tokens": op3_tokens,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op7_pii": op7_pii,
     "op8_shards": op8_shards,
