@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import contamination, language, packing, private, shards, simhash, substrings, tokens, vectors
+from meshweave.llm import contamination, language, packing, private, shards, simhash, substrings, tokens, treeweight, vectors
 from meshweave.llm.common import stored, table
 
 
@@ -38,6 +38,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = treeweight.scored(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    return made.select("doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = private.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
     counts = [F.size(F.filter("_pii", private.is_kind(k))).alias(f"n_{k}") for k in private.KINDS]
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_tokens": op3_tokens,
     "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
+    "op6_scores": op6_scores,
     "op7_pii": op7_pii,
     "op8_shards": op8_shards,
     "op9_embeddings": op9_embeddings,
