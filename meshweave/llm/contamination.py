@@ -76,4 +76,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with the columns of `docs`; rows with a null key stay."""
-    return docs.join(contaminated(docs, benchmark, text, key).select(key).distinct(), key, "left_anti").select(docs.columns)
+    gone = contaminated(docs, benchmark, text, key).select(key).distinct()
+    return docs.join(broadcast_within(gone, 1_000_000), key, "left_anti").select(docs.columns)

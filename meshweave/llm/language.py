@@ -225,6 +225,50 @@ def learned(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return fitted([(r["text"], r["lang"]) for r in sample.collect()])
 
 
+class Reader:
+    """Reads texts with a model, remembering the emissions of the words seen first."""
+
+    def __init__(self, model: Model):
+        self.model, self.memo, self.table = model, {}, np.zeros((0, len(model.langs)))
+
+    def read(self, texts: list[str | None], spans: bool) -> tuple[list[str], list[float], list[list[dict]]]:
+        own = self.model
+        split = [words_of(x) for x in texts]
+        new = list({w for x in split for w in x}.difference(self.memo))
+        lettered = [letters(w) for w in new]
+        good = [i for i, w in enumerate(lettered) if w]
+        places = dict.fromkeys(new, -1)
+        places.update((new[i], len(self.table) + k) for k, i in enumerate(good))
+        rows = np.concatenate([self.table, own.emissions([lettered[i] for i in good])])
+        found = self.memo | places
+        if len(found) <= MEMO_WORDS:
+            self.memo, self.table = found, rows
+        ids = [[i for w in x if (i := found[w]) >= 0] for x in split]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        langs, scores, runs = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids]
+        if not sizes.sum() or not own.langs:
+            return langs, scores, runs
+        flat = np.fromiter((i for x in ids for i in x), np.int64, sizes.sum())
+        full = np.flatnonzero(sizes)
+        offsets = np.concatenate([[0], np.cumsum(sizes[full])])
+        begins = np.zeros(len(flat), bool)
+        begins[offsets[:-1]] = True
+        post = forward_backward(rows[flat], begins, own.start, own.step)
+        mean = np.add.reduceat(post, offsets[:-1], axis=0) / sizes[full][:, None]
+        best = mean.argmax(axis=1)
+        for k, (i, b) in enumerate(zip(full.tolist(), best.tolist(), strict=True)):
+            langs[i], scores[i] = own.langs[b], min(1.0, float(mean[k, b]))
+        if spans:
+            top = post.argmax(axis=1)
+            cut = np.flatnonzero(begins | (np.diff(top, prepend=-1) != 0))
+            chance = np.add.reduceat(post.max(axis=1), cut)
+            lengths = np.diff(np.append(cut, len(flat)))
+            owner = np.searchsorted(offsets, cut, "right") - 1
+            for c, o, n, p in zip(cut.tolist(), owner.tolist(), lengths.tolist(), chance.tolist(), strict=True):
+                runs[full[o]].append({"lang": own.langs[top[c]], "first": c - int(offsets[o]), "n": n, "p": min(1.0, p / n)})
+        return langs, scores, runs
+
+
 def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", spans: bool = True) -> DataFrame:
     """(key, lang_pred, score, spans) of every whole text.
 
@@ -236,47 +280,28 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        memo: dict[str, int] = {}
-        table = np.zeros((0, len(own.langs)))
+        reader = Reader(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [words_of(x) for x in batch.column(1).to_pylist()]
-                new = list({w for x in texts for w in x}.difference(memo))
-                lettered = [letters(w) for w in new]
-                found = dict(memo) if len(memo) + len(new) > MEMO_WORDS else memo
-                good = [i for i, w in enumerate(lettered) if w]
-                places = dict.fromkeys(new, -1)
-                places.update((new[i], len(table) + k) for k, i in enumerate(good))
-                rows = np.concatenate([table, own.emissions([lettered[i] for i in good])])
-                found.update(places)
-                if found is memo:
-                    table = rows
-                ids = [[i for w in x if (i := found[w]) >= 0] for x in texts]
-                sizes = np.array([len(x) for x in ids])
-                langs, scores, runs = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids]
-                if sizes.sum() and own.langs:
-                    flat = np.fromiter((i for x in ids for i in x), np.int64, sizes.sum())
-                    full = np.flatnonzero(sizes)
-                    offsets = np.concatenate([[0], np.cumsum(sizes[full])])
-                    begins = np.zeros(len(flat), bool)
-                    begins[offsets[:-1]] = True
-                    post = forward_backward(rows[flat], begins, own.start, own.step)
-                    mean = np.add.reduceat(post, offsets[:-1], axis=0) / sizes[full][:, None]
-                    best = mean.argmax(axis=1)
-                    for k, (i, b) in enumerate(zip(full.tolist(), best.tolist(), strict=True)):
-                        langs[i], scores[i] = own.langs[b], min(1.0, float(mean[k, b]))
-                    if spans:
-                        top = post.argmax(axis=1)
-                        cut = np.flatnonzero(begins | (np.diff(top, prepend=-1) != 0))
-                        chance = np.add.reduceat(post.max(axis=1), cut)
-                        lengths = np.diff(np.append(cut, len(flat)))
-                        owner = np.searchsorted(offsets, cut, "right") - 1
-                        for c, o, n, p in zip(cut.tolist(), owner.tolist(), lengths.tolist(), chance.tolist(), strict=True):
-                            runs[full[o]].append({"lang": own.langs[top[c]], "first": c - int(offsets[o]), "n": n, "p": min(1.0, p / n)})
+                langs, scores, runs = reader.read(batch.column(1).to_pylist(), spans)
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("p", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, kind)], [key, "lang_pred", "score", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,n:int,p:double>>")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text has a language of score `least` or more, with the columns of `docs`; `und` goes."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                langs, scores, _ = reader.read(batch.column(place).to_pylist(), False)
+                yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
