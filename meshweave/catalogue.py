@@ -1,6 +1,477 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL, all over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshweave.functions import geometry, selector
+from meshweave.operators import exchange, interpolate, intersection, location, mesh, nearest
+from meshweave.plans import coupling
+from meshweave.sources import generators
+from meshweave.streaming import steps
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").selectExpr("p_partkey AS gnum", "(p_retailprice - 900.0D) / 100.0D AS x", "p_size / 51.0D AS y", "0.0D AS z")
+
+
+PARTS = "(SELECT p_partkey AS gnum, (p_retailprice - 900.0) / 100.0 AS x, p_size / 51.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM part)"
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").selectExpr("c_custkey AS gnum", "c_acctbal / 1000.0D AS x", "CAST(c_custkey % 97 AS double) AS y", "CAST(c_nationkey AS double) AS z", "array(c_acctbal) AS value", "array(c_mktsegment) AS groups", "array(c_nationkey) AS attributes")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS gnum", "s_acctbal / 1000.0D AS x", "CAST(s_suppkey % 97 AS double) AS y", "CAST(s_nationkey AS double) AS z", "array(s_acctbal) AS value")
+
+
+CUSTOMERS = "(SELECT c_custkey AS gnum, c_acctbal / 1000.0 AS x, (c_custkey % 97)::DOUBLE AS y, c_nationkey::DOUBLE AS z, c_acctbal AS value, c_mktsegment, c_nationkey FROM customer)"
+SUPPLIERS = "(SELECT s_suppkey AS gnum, s_acctbal / 1000.0 AS x, (s_suppkey % 97)::DOUBLE AS y, s_nationkey::DOUBLE AS z, s_acctbal AS value FROM supplier)"
+
+
+# ---- exchanges by global number
+
+
+def revenue(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return read(spark, sf_dir, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("gnum")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum"))
+
+
+@query("SELECT o_orderkey AS gnum, round(value, 4) AS value FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def identity_exchange(spark, sf_dir):
+    return exchange.delivered(orders(spark, sf_dir), revenue(spark, sf_dir)).select("gnum", F.round("value", 4).alias("value"))
+
+
+RETURNED = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'"
+
+
+def returned(spark, sf_dir):
+    return exchange.identity_mapping(revenue(spark, sf_dir, "l_returnflag = 'R'"), orders(spark, sf_dir).where("gnum % 3 > 0"))
+
+
+@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey IN ({RETURNED})")
+def computed_targets(spark, sf_dir):
+    return exchange.computed(orders(spark, sf_dir).where("gnum % 3 > 0"), returned(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey NOT IN ({RETURNED})")
+def uncomputed_targets(spark, sf_dir):
+    return exchange.uncomputed(orders(spark, sf_dir).where("gnum % 3 > 0"), returned(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS gnum, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 > 0 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def involved_sources(spark, sf_dir):
+    return exchange.involved(revenue(spark, sf_dir, "l_returnflag = 'R'"), returned(spark, sf_dir)).select("gnum", F.round("value", 4).alias("value"))
+
+
+@query("SELECT o_orderkey AS recv, c_acctbal AS acctbal, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def part_data_exchange(spark, sf_dir):
+    receivers = read(spark, sf_dir, "orders").selectExpr("o_custkey AS gnum", "o_orderkey AS recv")
+    senders = read(spark, sf_dir, "customer").selectExpr("c_custkey AS gnum", "c_nationkey AS part_id", "c_custkey AS lnum", "c_acctbal AS acctbal", "c_mktsegment AS segment")
+    return exchange.part_data(receivers, senders).select("recv", "acctbal", "segment")
+
+
+@query("SELECT o_orderkey AS gnum, l_partkey AS part, l_quantity AS quantity, l_extendedprice AS price FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) ON o_orderkey = l_orderkey AND rn = 1")
+def part_data_first_wins(spark, sf_dir):
+    place = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    senders = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gnum"), *place)
+    first = exchange.first_by_place(senders, place=place)
+    return exchange.delivered(orders(spark, sf_dir), first.withColumn("value", F.struct("l_partkey", "l_quantity", "l_extendedprice"))).select("gnum", F.col("value.l_partkey").alias("part"), F.col("value.l_quantity").alias("quantity"), F.col("value.l_extendedprice").alias("price"))
+
+
+@query("SELECT n_nationkey, n_name, g.n AS n_global, g.first_name FROM nation, (SELECT count(*)::INT AS n, arg_min(r_name, r_regionkey) AS first_name FROM region) g")
+def global_data_broadcast(spark, sf_dir):
+    made = exchange.global_data(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    return made.select("n_nationkey", "n_name", F.size("global").alias("n_global"), F.col("global")[0]["r_name"].alias("first_name"))
+
+
+@query("SELECT tgt_gnum, count(*) AS n_sources, min(src) AS first_source FROM (SELECT o_custkey AS tgt_gnum, o_orderkey AS src FROM orders) GROUP BY 1")
+def come_from_index(spark, sf_dir):
+    listed = exchange.sources_of(read(spark, sf_dir, "orders").selectExpr("o_custkey AS tgt_gnum", "o_orderkey AS src_gnum"))
+    return listed.select("tgt_gnum", F.size("sources").cast("long").alias("n_sources"), F.col("sources")[0].alias("first_source"))
+
+
+@query("SELECT o_orderstatus AS part_id, count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+def located_distribution(spark, sf_dir):
+    made = exchange.identity_mapping(revenue(spark, sf_dir), orders(spark, sf_dir))
+    return exchange.distribution(made, read(spark, sf_dir, "orders").selectExpr("o_orderkey AS gnum", "o_orderstatus AS part_id"))
+
+
+@query("SELECT 'balance' AS name, round(min(d), 4) AS min_value, round(max(d), 4) AS max_value, round(sum(d), 4) AS sum_value FROM (SELECT c_nationkey, max(c_acctbal) AS d FROM customer GROUP BY 1)")
+def param_reduce_min_max_sum(spark, sf_dir):
+    params = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("code")).agg(F.max("c_acctbal").alias("d")).withColumn("name", F.lit("balance"))
+    return coupling.reduced(params).select("name", *(F.round(c, 4).alias(c) for c in ("min_value", "max_value", "sum_value")))
+
+
+# ---- numbering and order
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_retailprice, p_size) AS gnum FROM part")
+def gnum_from_coords(spark, sf_dir):
+    points = read(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice AS x", "CAST(p_size AS double) AS y", "0.0D AS z")
+    return mesh.gnum_from_coordinates(points, merge=True).select("p_partkey", "gnum")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS gnum FROM part")
+def gnum_scan(spark, sf_dir):
+    return mesh.gnum_by_scan(read(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS part_id", "p_partkey AS lnum")).select("p_partkey", "gnum")
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand, p_type) AS gnum FROM part")
+def gnum_from_parents(spark, sf_dir):
+    return mesh.gnum_from_parents(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"]).select("p_partkey", "gnum")
+
+
+@query(f"SELECT gnum, min(gnum) OVER (PARTITION BY x, y) AS same FROM {PARTS}")
+def coincident_points(spark, sf_dir):
+    return mesh.coincident(part_points(spark, sf_dir))
+
+
+@query(f"SELECT gnum, list_sum(list_transform(range(16), lambda b: ((((floor(x * 65535)::BIGINT >> b) & 1) << (2 * b)) | (((floor(y * 65535)::BIGINT >> b) & 1) << (2 * b + 1)))))::BIGINT AS morton FROM {PARTS}")
+def morton_codes(spark, sf_dir):
+    return part_points(spark, sf_dir).select("gnum", geometry.morton([F.floor(F.col("x") * 65535), F.floor(F.col("y") * 65535)]).alias("morton"))
+
+
+@query(f"SELECT gnum, round(y, 9) AS x, round(-x, 9) AS y, round(z + 2, 9) AS z, 2 AS tr_id FROM {PARTS} UNION ALL SELECT gnum, round(x + 1, 9), round(y, 9), round(z, 9), 1 FROM {PARTS}")
+def periodic_images(spark, sf_dir):
+    made = mesh.periodic(part_points(spark, sf_dir), {1: [[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 1, 0]], 2: [[0, 1, 0, 0], [-1, 0, 0, 0], [0, 0, 1, 2]]})
+    return made.select("tr_id", "gnum", *(F.round(a, 9).alias(a) for a in "xyz"))
+
+
+@query(f"SELECT 0 AS component, gnum, x AS value FROM {PARTS} UNION ALL SELECT 1, gnum, y FROM {PARTS} UNION ALL SELECT 2, gnum, z FROM {PARTS}")
+def interlaced_to_interleaved(spark, sf_dir):
+    return interpolate.interleaved(part_points(spark, sf_dir).select("gnum", F.array("x", "y", "z").alias("value")))
+
+
+@query(f"SELECT gnum, x AS v0, y AS v1 FROM {PARTS}")
+def interleaved_to_interlaced(spark, sf_dir):
+    rows = interpolate.interleaved(part_points(spark, sf_dir).select("gnum", F.array("x", "y").alias("value")))
+    return interpolate.interlaced(rows).select("gnum", F.col("value")[0].alias("v0"), F.col("value")[1].alias("v1"))
+
+
+# ---- location
+
+GRID = 32
+
+
+def grid_cells(spark, n, triangles=False):
+    return mesh.cells(generators.grid_vertices(spark, n, n), (generators.grid_triangles if triangles else generators.grid_quads)(spark, n, n))
+
+
+def linear(vertices):
+    return vertices.select("gnum", F.array(1 + 2 * F.col("x") + 3 * F.col("y")).alias("value"))
+
+
+@query(f"SELECT p.gnum AS tgt_gnum, min(c.g) AS src_gnum FROM {PARTS} p JOIN (SELECT j * {GRID} + i AS g, i / {GRID}.0::DOUBLE AS x0, (i + 1) / {GRID}.0::DOUBLE AS x1, j / {GRID}.0::DOUBLE AS y0, (j + 1) / {GRID}.0::DOUBLE AS y1 FROM range({GRID}) a(i), range({GRID}) b(j)) c ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1")
+def locate_p0_quad(spark, sf_dir):
+    return location.locate(part_points(spark, sf_dir), grid_cells(spark, GRID)).select("tgt_gnum", "src_gnum")
+
+
+@query(f"SELECT gnum, round(1 + 2 * x + 3 * y, 6) AS value FROM {PARTS}")
+def locate_p1_quad(spark, sf_dir):
+    made = location.locate(part_points(spark, sf_dir), grid_cells(spark, GRID))
+    return interpolate.weighted_nodes(made, linear(generators.grid_vertices(spark, GRID, GRID))).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query(f"""WITH p AS (SELECT gnum, x * {GRID} AS u, y * {GRID} AS v FROM {PARTS}), c AS (SELECT *, least(floor(u), {GRID - 1})::BIGINT AS i, least(floor(v), {GRID - 1})::BIGINT AS j FROM p),
+q AS (SELECT gnum, u - i AS a, v - j AS b, (j * {GRID + 1} + i) % 7 AS f00, (j * {GRID + 1} + i + 1) % 7 AS f10, ((j + 1) * {GRID + 1} + i) % 7 AS f01, ((j + 1) * {GRID + 1} + i + 1) % 7 AS f11 FROM c)
+SELECT gnum, round(CASE WHEN a + b <= 1 THEN f00 + (f10 - f00) * a + (f01 - f00) * b ELSE f11 + (f01 - f11) * (1 - a) + (f10 - f11) * (1 - b) END, 6) AS value FROM q""")
+def locate_p1_tria(spark, sf_dir):
+    made = location.locate(part_points(spark, sf_dir), grid_cells(spark, GRID, True))
+    field = generators.grid_vertices(spark, GRID, GRID).select("gnum", F.array((F.col("gnum") % 7).cast("double")).alias("value"))
+    return interpolate.weighted_nodes(made, field).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query(f"SELECT gnum, round(1 + 2 * (1 + 6 * x) + 3 * (1 + 6 * y), 6) AS value FROM {PARTS}")
+def locate_polygon_mean_value(spark, sf_dir):
+    vertices, elements = generators.hexagons(spark, 16, 16, 0.5)
+    points = part_points(spark, sf_dir).select("gnum", (1 + 6 * F.col("x")).alias("x"), (1 + 6 * F.col("y")).alias("y"), "z")
+    made = location.locate(points, mesh.cells(vertices, elements))
+    return interpolate.weighted_nodes(made, linear(vertices)).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query(f"SELECT gnum, round(1 + 2 * x + 3 * y, 6) AS value FROM {PARTS}")
+def locate_p1_volume(spark, sf_dir):
+    """Tetrahedra of a 6^3 box; points at a third of the depth."""
+    vertices = generators.box_vertices(spark, 6)
+    points = part_points(spark, sf_dir).withColumn("z", F.lit(1 / 3))
+    made = location.locate(points, mesh.cells(vertices, generators.box_tetras(spark, 6)))
+    return interpolate.weighted_nodes(made, linear(vertices)).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query(f"SELECT gnum, round(greatest(0, x - 0.5), 6) AS dist FROM {PARTS}")
+def locate_all_targets(spark, sf_dir):
+    """A mesh over the left half: every target is mapped, those on the right to the closest cell."""
+    vertices = generators.grid_vertices(spark, 8, 16, high=(0.5, 1.0))
+    made = location.locate(part_points(spark, sf_dir), mesh.cells(vertices, generators.grid_quads(spark, 8, 16)), every=True)
+    return made.select(F.col("tgt_gnum").alias("gnum"), F.round(F.sqrt("dist2"), 6).alias("dist"))
+
+
+SEGMENTS = "(SELECT i AS g, i / 64.0::DOUBLE AS ax, 0.5 + 0.25 * ((i * 7) % 5 - 2) / 2.0::DOUBLE AS ay, (i + 1) / 64.0::DOUBLE AS bx, 0.5 + 0.25 * (((i + 1) * 7) % 5 - 2) / 2.0::DOUBLE AS ey FROM range(64) t(i))"
+
+
+@query(f"SELECT gnum, round(min((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (ey - ay)) ** 2), 9) AS dist2 FROM (SELECT p.gnum, x, y, ax, ay, bx, ey, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (ey - ay)) / ((bx - ax) ** 2 + (ey - ay) ** 2))) AS t FROM {PARTS} p, {SEGMENTS} s) GROUP BY 1")
+def closest_element(spark, sf_dir):
+    vertices = spark.range(65).select(F.col("id").alias("gnum"), (F.col("id") / 64).alias("x"), (0.5 + 0.25 * (F.col("id") * 7 % 5 - 2) / 2).alias("y"), F.lit(0.0).alias("z"))
+    elements = spark.range(64).select(F.col("id").alias("gnum"), F.lit("edge2").alias("elt_type"), F.array(F.col("id"), F.col("id") + 1).alias("connec"))
+    made = location.closest(part_points(spark, sf_dir), mesh.cells(vertices, elements))
+    return made.select(F.col("tgt_gnum").alias("gnum"), F.round("dist2", 9).alias("dist2"))
+
+
+# ---- nearest neighbours
+
+
+def neighbours_sql(targets: str, sources: str, own: str = "tgt", k: int = 4) -> str:
+    return f"SELECT tgt_gnum, src_gnum, rank, d2 AS dist2, value, sx, sy, sz FROM (SELECT t.gnum AS tgt_gnum, s.gnum AS src_gnum, (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z) AS d2, s.value, s.x AS sx, s.y AS sy, s.z AS sz, row_number() OVER (PARTITION BY {own}.gnum ORDER BY d2, {'s' if own == 't' else 't'}.gnum)::INT AS rank FROM {targets} t, {sources} s) WHERE rank <= {k}"
+
+
+@query(f"SELECT tgt_gnum, src_gnum, rank, round(dist2, 6) AS dist2 FROM ({neighbours_sql(CUSTOMERS, SUPPLIERS, 't')})")
+def knn_sources(spark, sf_dir):
+    return nearest.nearest_sources(customers(spark, sf_dir), suppliers(spark, sf_dir)).select("tgt_gnum", "src_gnum", "rank", F.round("dist2", 6).alias("dist2"))
+
+
+@query(f"SELECT tgt_gnum, src_gnum, rank, round(dist2, 6) AS dist2 FROM ({neighbours_sql(CUSTOMERS, SUPPLIERS, 's')})")
+def knn_targets(spark, sf_dir):
+    return nearest.nearest_targets(customers(spark, sf_dir), suppliers(spark, sf_dir)).select("tgt_gnum", "src_gnum", "rank", F.round("dist2", 6).alias("dist2"))
+
+
+@query(f"SELECT tgt_gnum AS gnum, round(sum(value / greatest(1e-30, dist2)) / sum(1 / greatest(1e-30, dist2)), 5) AS value FROM ({neighbours_sql(CUSTOMERS, SUPPLIERS, 't')}) GROUP BY 1")
+def interp_idw(spark, sf_dir):
+    sources = suppliers(spark, sf_dir)
+    made = nearest.nearest_sources(customers(spark, sf_dir), sources)
+    return interpolate.inverse_distance(made, sources.select("gnum", "value")).select("gnum", F.round(F.col("value")[0], 5).alias("value"))
+
+
+@query(f"SELECT gnum, round(1 + 2 * x + 3 * y, 5) AS value FROM {PARTS}")
+def interp_wls_deg1(spark, sf_dir):
+    nodes = generators.grid_vertices(spark, GRID, GRID)
+    made = nearest.nearest_sources(part_points(spark, sf_dir), nodes, 8, ("x", "y")).withColumns({"tz": F.lit(0.0), "sz": F.lit(0.0)})
+    return interpolate.least_squares(made, linear(nodes), 1).select("gnum", F.round(F.col("value")[0], 5).alias("value"))
+
+
+@query(f"SELECT gnum, round(1 + x * x - 2 * y * y + y, 5) AS value FROM {PARTS}")
+def interp_wls_deg2(spark, sf_dir):
+    nodes = generators.grid_vertices(spark, GRID, GRID)
+    field = nodes.select("gnum", F.array(1 + F.col("x") * F.col("x") - 2 * F.col("y") * F.col("y") + F.col("y")).alias("value"))
+    made = nearest.nearest_sources(part_points(spark, sf_dir), nodes, 16, ("x", "y")).withColumns({"tz": F.lit(0.0), "sz": F.lit(0.0)})
+    return interpolate.least_squares(made, field, 2).select("gnum", F.round(F.col("value")[0], 5).alias("value"))
+
+
+@query(f"SELECT tgt_gnum AS gnum, max(value) AS value FROM ({neighbours_sql(CUSTOMERS, SUPPLIERS, 't')}) GROUP BY 1")
+def user_interp_max(spark, sf_dir):
+    sources = suppliers(spark, sf_dir)
+    made = nearest.nearest_sources(customers(spark, sf_dir), sources)
+    return interpolate.user_defined(made, sources.select("gnum", "value"), lambda g: [max(v[0] for v in g.value)]).select("gnum", F.col("value")[0].alias("value"))
+
+
+# ---- overlaps
+
+
+def part_boxes(spark, sf_dir):
+    return part_points(spark, sf_dir).selectExpr("gnum", "x AS xmin", "x + 0.02D AS xmax", "y AS ymin", "y + 0.03D AS ymax", "gnum % 5 / 5.0D AS zmin", "gnum % 5 / 5.0D + 0.3D AS zmax")
+
+
+def grid_boxes(spark, n):
+    return spark.range(n**3).selectExpr("id AS gnum", f"id % {n} / {n}.0D AS xmin", f"(id % {n} + 1) / {n}.0D AS xmax", f"(id div {n}) % {n} / {n}.0D AS ymin", f"((id div {n}) % {n} + 1) / {n}.0D AS ymax", f"(id div {n * n}) / {n}.0D AS zmin", f"((id div {n * n}) + 1) / {n}.0D AS zmax")
+
+
+def overlap_sql(n: int, axes: str) -> str:
+    sides = {a: f"greatest(0, least(p.{a}1, g.{a}1) - greatest(p.{a}0, g.{a}0))" for a in axes}
+    cells = ", ".join(f"({e} / {n}.0::DOUBLE) AS {a}0, (({e} + 1) / {n}.0::DOUBLE) AS {a}1" for a, e in (("x", f"(i % {n})"), ("y", f"((i // {n}) % {n})"), ("z", f"(i // {n * n})")))
+    boxes = f"SELECT gnum, x AS x0, x + 0.02::DOUBLE AS x1, y AS y0, y + 0.03::DOUBLE AS y1, gnum % 5 / 5.0::DOUBLE AS z0, gnum % 5 / 5.0::DOUBLE + 0.3::DOUBLE AS z1 FROM {PARTS}"
+    return f"SELECT p.gnum AS tgt_gnum, g.i AS src_gnum, round({' * '.join(sides.values())}, 12) AS volume FROM ({boxes}) p, (SELECT i, {cells} FROM range({n ** len(axes)}) t(i)) g WHERE {' AND '.join(f'{s} > 0' for s in sides.values())}"
+
+
+def overlaps(spark, sf_dir, n, axes):
+    made = intersection.box_overlap(grid_boxes(spark, n).where(F.col("gnum") < n ** len(axes)), part_boxes(spark, sf_dir), tuple(axes))
+    return made.select("tgt_gnum", "src_gnum", F.round("volume", 12).alias("volume"))
+
+
+@query(overlap_sql(64, "x"))
+def intersect_1d(spark, sf_dir):
+    return overlaps(spark, sf_dir, 64, "x")
+
+
+@query(overlap_sql(16, "xy"))
+def intersect_box2d(spark, sf_dir):
+    return overlaps(spark, sf_dir, 16, "xy")
+
+
+@query(overlap_sql(8, "xyz"))
+def intersect_box3d(spark, sf_dir):
+    return overlaps(spark, sf_dir, 8, "xyz")
+
+
+def flat_boxes(spark, n):
+    return grid_boxes(spark, n).where(F.col("gnum") < n * n)
+
+
+def cell_field(spark, sf_dir, n):
+    """Mean price of the parts in each cell of the grid (half open), 0 where there are none."""
+    cell = F.least(F.floor(F.col("y") * n), F.lit(n - 1)) * n + F.least(F.floor(F.col("x") * n), F.lit(n - 1))
+    means = part_points(spark, sf_dir).groupBy(cell.alias("gnum")).agg(F.avg("x").alias("v"))
+    return spark.range(n * n).withColumnRenamed("id", "gnum").join(means, "gnum", "left").select("gnum", F.array(F.coalesce("v", F.lit(0.0))).alias("value"))
+
+
+FIELD24 = f"(SELECT i AS gnum, coalesce(v, 0) AS v, (i % 24) / 24.0::DOUBLE AS x0, (i % 24 + 1) / 24.0::DOUBLE AS x1, (i // 24) / 24.0::DOUBLE AS y0, (i // 24 + 1) / 24.0::DOUBLE AS y1 FROM range(576) t(i) LEFT JOIN (SELECT (least(floor(y * 24), 23) * 24 + least(floor(x * 24), 23))::BIGINT AS c, avg(x) AS v FROM {PARTS} GROUP BY 1) ON i = c)"
+TARGETS15 = "(SELECT i AS t, (i % 15) / 15.0::DOUBLE AS a0, (i % 15 + 1) / 15.0::DOUBLE AS a1, (i // 15) / 15.0::DOUBLE AS b0, (i // 15 + 1) / 15.0::DOUBLE AS b1 FROM range(225) u(i))"
+CONSERVED = f"SELECT t AS gnum, sum(w * v) / sum(w) AS value FROM (SELECT t, v, greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) AS w FROM {FIELD24}, {TARGETS15}) WHERE w > 0 GROUP BY 1"
+
+
+def conserved(spark, sf_dir):
+    made = intersection.box_overlap(flat_boxes(spark, 24), flat_boxes(spark, 15), ("x", "y"))
+    return interpolate.conservative(made, cell_field(spark, sf_dir, 24))
+
+
+@query(f"SELECT gnum, round(value, 9) AS value FROM ({CONSERVED})")
+def intersect_conservative(spark, sf_dir):
+    return conserved(spark, sf_dir).select("gnum", F.round(F.col("value")[0], 9).alias("value"))
+
+
+@query(f"SELECT round((SELECT sum(v) / 576 FROM {FIELD24}), 9) AS source_mass, round((SELECT sum(value) / 225 FROM ({CONSERVED})), 9) AS target_mass")
+def mass_check(spark, sf_dir):
+    source = cell_field(spark, sf_dir, 24).agg(F.round(F.sum(F.col("value")[0]) / 576, 9).alias("source_mass"))
+    return source.join(F.broadcast(conserved(spark, sf_dir).agg(F.round(F.sum(F.col("value")[0]) / 225, 9).alias("target_mass"))))
+
+
+@query("SELECT i AS tgt_gnum, round(1 / 100.0::DOUBLE, 9) AS area FROM range(100) t(i)")
+def intersect_polygons(spark, sf_dir):
+    made = intersection.overlap(grid_cells(spark, 12, True), grid_cells(spark, 10))
+    return made.groupBy("tgt_gnum").agg(F.round(F.sum("volume"), 9).alias("area"))
+
+
+# ---- the selection language
+
+
+def selected(spark, sf_dir, text):
+    return selector.select(customers(spark, sf_dir), text).select("gnum")
+
+
+def select_query(name: str, text: str, where: str) -> None:
+    def run(spark, sf_dir):
+        return selected(spark, sf_dir, text)
+
+    run.__name__ = name
+    query(f"SELECT gnum FROM {CUSTOMERS} WHERE {where}")(run)
+
+
+select_query("select_box", "box[0, 10, 2, 5, 60.0, 20]", "x BETWEEN 0 AND 5 AND y BETWEEN 10 AND 60 AND z BETWEEN 2 AND 20")
+select_query("select_sphere", "sphere[4, 50, 12, 20]", "(x - 4) ** 2 + (y - 50) ** 2 + (z - 12) ** 2 <= 400")
+select_query("select_cylinder", "cylinder[0, 50, 12, 8, 50, 12, 15]", "x BETWEEN 0 AND 8 AND (y - 50) ** 2 + (z - 12) ** 2 <= 225")
+select_query("select_plane", "plane[0, 1, 0, -50, inside]", "y - 50 <= 0")
+select_query("select_plane_band", "plane[0, 0, 2, 5, 5, 12, epsilon = 0.5]", "abs(z - 12) < 0.5")
+select_query("select_group", "BUILDING or MACHINERY", "c_mktsegment IN ('BUILDING', 'MACHINERY')")
+select_query("select_range", "range[3, 9, attribute]", "c_nationkey BETWEEN 3 AND 9")
+select_query("select_group_range", "range[BUILDING, HOUSEHOLD, group]", "c_mktsegment BETWEEN 'BUILDING' AND 'HOUSEHOLD'")
+select_query("select_bool", "not (BUILDING, 7) and x >= 2.5 xor 20 < y", "(NOT (c_mktsegment = 'BUILDING' OR c_nationkey = 7) AND x >= 2.5) != (y > 20)")
+select_query("select_all", "all[]", "true")
+select_query("select_no_group", "no_group[]", "false")
+
+
+@query(f"SELECT i AS gnum FROM range({GRID * GRID}) t(i) WHERE i % 3 = 0")
+def select_normal(spark, sf_dir):
+    """Every third quad of a sheet runs counter-clockwise and so looks up; the others are turned over."""
+    quads = generators.grid_quads(spark, GRID, GRID).withColumn("connec", F.when(F.col("gnum") % 3 == 0, F.col("connec")).otherwise(F.reverse("connec")))
+    faces = mesh.measured(mesh.cells(generators.grid_vertices(spark, GRID, GRID), quads))
+    return selector.select(faces, "normal[0, 0, 1]").select("gnum")
+
+
+# ---- meshes
+
+
+@query(f"SELECT j * {GRID} + i AS gnum, round((i + 0.5) / {GRID}, 9) AS cx, round((j + 0.5) / {GRID}, 9) AS cy, round(1 / ({GRID} * {GRID})::DOUBLE, 9) AS area FROM range({GRID}) a(i), range({GRID}) b(j)")
+def cell_centres(spark, sf_dir):
+    return mesh.measured(grid_cells(spark, GRID)).select("gnum", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), F.round("volume", 9).alias("area"))
+
+
+@query(f"SELECT i AS gnum, round(0.5 / ({GRID} * {GRID})::DOUBLE, 9) AS area FROM range({2 * GRID * GRID}) t(i)")
+def tria_area(spark, sf_dir):
+    v = F.col("vtx")
+    return grid_cells(spark, GRID, True).select("gnum", F.round(geometry.triangle_area(v[0], v[1], v[2]), 9).alias("area"))
+
+
+@query("SELECT i AS gnum, round(1 / 3072.0::DOUBLE, 9) AS volume FROM range(3072) t(i)")
+def tetra_volume(spark, sf_dir):
+    v = F.col("vtx")
+    cells = mesh.cells(generators.box_vertices(spark, 8), generators.box_tetras(spark, 8))
+    return cells.select("gnum", F.round(F.abs(geometry.tetra_volume(v[0], v[1], v[2], v[3])), 9).alias("volume"))
+
+
+@query(f"SELECT j * {GRID + 1} + i AS a, j * {GRID + 1} + i + 1 AS b FROM range({GRID}) s(i), range({GRID + 1}) t(j) UNION ALL SELECT j * {GRID + 1} + i, (j + 1) * {GRID + 1} + i FROM range({GRID + 1}) s(i), range({GRID}) t(j)")
+def mesh_edges(spark, sf_dir):
+    return mesh.edges(generators.grid_quads(spark, GRID, GRID))
+
+
+@query(f"SELECT (j + b) * {GRID + 1} + i + a AS vertex, count(*) AS n, min(j * {GRID} + i) AS first_element FROM range({GRID}) s(i), range({GRID}) t(j), range(2) u(a), range(2) v(b) GROUP BY 1")
+def vertex_to_elements(spark, sf_dir):
+    return mesh.elements_of_vertices(generators.grid_quads(spark, GRID, GRID)).select("vertex", F.size("elements").cast("long").alias("n"), F.col("elements")[0].alias("first_element"))
+
+
+@query("SELECT 0 AS block_id, i AS gnum, 4 AS n_vertices FROM range(64) t(i) UNION ALL SELECT 1, i, 3 FROM range(128) t(i)")
+def block_union(spark, sf_dir):
+    return mesh.blocks(generators.grid_quads(spark, 8, 8), generators.grid_triangles(spark, 8, 8)).select("block_id", "gnum", F.size("connec").alias("n_vertices"))
+
+
+MIXED = "array(named_struct('t', 4, 'q', 0, 'p', 0), named_struct('t', 4, 'q', 1, 'p', 0), named_struct('t', 2, 'q', 3, 'p', 0), named_struct('t', 0, 'q', 6, 'p', 0), named_struct('t', 1, 'q', 2, 'p', 3))"
+
+
+@query("SELECT l_linenumber::BIGINT * 1000000000 + l_orderkey AS cell, ['tetra4', 'pyram5', 'prism6', 'hexa8', 'poly3d'][l_linenumber % 5 + 1] AS elt_type FROM (SELECT DISTINCT l_linenumber, l_orderkey FROM lineitem)")
+def classify_cells_from_faces(spark, sf_dir):
+    """A cell for each distinct (line, order); its kind follows the line number and so its faces."""
+    cells = read(spark, sf_dir, "lineitem").selectExpr("l_linenumber * 1000000000L + l_orderkey AS cell", "l_linenumber % 5 AS kind").distinct()
+    sides = cells.selectExpr("cell", f"{MIXED}[kind] AS m").selectExpr("cell", "explode(concat(array_repeat(1L, m.t), array_repeat(2L, m.q), array_repeat(3L, m.p))) AS n").selectExpr("cell", "n AS face")
+    faces = spark.range(1, 4).selectExpr("id AS face", "sequence(1L, id + 2) AS connec")
+    return mesh.classified(sides, faces).select("cell", "elt_type")
+
+
+@query(f"SELECT g AS gnum, s::INT AS sub, a AS v0, CASE s WHEN 0 THEN a + 1 ELSE a + {GRID + 2} END AS v1, CASE s WHEN 0 THEN a + {GRID + 2} ELSE a + {GRID + 1} END AS v2 FROM (SELECT j * {GRID} + i AS g, j * {GRID + 1} + i AS a FROM range({GRID}) x(i), range({GRID}) y(j)), range(2) z(s)")
+def triangulate_quads(spark, sf_dir):
+    made = mesh.triangulated(generators.grid_quads(spark, GRID, GRID))
+    return made.select("gnum", "sub", *(F.col("connec")[i].alias(f"v{i}") for i in range(3)))
+
+
+@query("SELECT l * 256 + j * 16 + i AS gnum, 'hexa8' AS elt_type, round(1 / 1024.0::DOUBLE, 9) AS volume FROM range(16) a(i), range(16) b(j), range(4) c(l)")
+def extrude_mesh(spark, sf_dir):
+    vertices, solid = mesh.extruded(generators.grid_vertices(spark, 16, 16), generators.grid_quads(spark, 16, 16), 4, (0.0, 0.0, 1.0), 289, 256)
+    return mesh.measured(mesh.cells(vertices, solid)).select("gnum", "elt_type", F.round("volume", 9).alias("volume"))
+
+
+@query(f"SELECT gnum, NULL::DOUBLE AS value FROM {PARTS}")
+def empty_interface(spark, sf_dir):
+    """A source side that owns no mesh maps nothing; every target stays, without a value."""
+    targets = part_points(spark, sf_dir)
+    made = location.locate(targets, grid_cells(spark, 4).where("gnum < 0"))
+    values = interpolate.weighted_nodes(made, linear(generators.grid_vertices(spark, 4, 4)))
+    return interpolate.filled(targets, values).select("gnum", F.col("value")[0].alias("value"))
+
+
+# ---- steps
+
+
+@query("SELECT step, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM (SELECT value, date_diff('day', (SELECT date_trunc('day', min(ts)) FROM events), date_trunc('day', ts))::INT AS step FROM events) GROUP BY 1")
+def step_loop(spark, sf_dir):
+    return steps.by_step(read(spark, sf_dir, "events")).select("step", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
