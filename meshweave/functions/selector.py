@@ -106,6 +106,8 @@ class Parser:
         self.take()
         if protected:
             return self.member(word)
+        if word.lower() in OPERATORS:
+            raise SelectionError(f"no operand before {word!r}")
         if self.peek() == ("[", False) and word in FUNCTIONS:
             return self.function(word)
         if self.peek()[0] in ("<", ">", "<=", ">=") and not self.peek()[1]:

@@ -196,7 +196,8 @@ class Coupling:
         self.spec, self.session = spec, session
         self.fields: dict[str, Field] = {}
         self.mapping: DataFrame | None = None
-        self.slots: dict[Any, DataFrame] = {}
+        self.slots: dict[Any, DataFrame | None] = {}
+        self.slot: Any = None
         self.source: dict[str, DataFrame] = {}
         self.target: DataFrame | None = None
         self.user_data: Any = None
@@ -253,10 +254,9 @@ class Coupling:
         self.mapping = spark.read.parquet(path)
 
     def use_slot(self, index: Any) -> None:
-        """Mappings of a cyclic mesh: the current one is kept under its index, an earlier one comes back."""
-        if self.mapping is not None:
-            self.slots.setdefault(index, self.mapping)
-        self.mapping = self.slots.get(index)
+        """Mappings of a cyclic mesh: the current one stays under its index, and what `index` had comes back."""
+        self.slots[self.slot] = self.mapping
+        self.slot, self.mapping = index, self.slots.get(index)
 
     def exchange(self, name: str) -> DataFrame:
         """(gnum, value) at every target of `name`'s field, once a step; NULL where no source reaches."""

@@ -15,7 +15,7 @@ def run_steps(stream: DataFrame, session: Session, code: str, exchange: Callable
     """Open a step for every micro-batch, run `exchange(batch, step)` in it and close it; the batch's last time is the step's."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        row = batch.agg(F.max(F.col(time_column).cast("double"))).first()
+        row = batch.agg(F.max(F.col(time_column).cast("timestamp").cast("double"))).first()
         session.step_begin(code, row[0] or float(batch_id))
         try:
             exchange(batch, batch_id)
