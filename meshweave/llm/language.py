@@ -292,7 +292,7 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,n:int,p:double>>")
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of `docs` whose text has a language of score `least` or more, with the columns of `docs`; `und` goes."""
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
