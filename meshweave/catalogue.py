@@ -95,12 +95,13 @@ def part_data_exchange(spark, sf_dir):
     return exchange.part_data(receivers, senders).select("recv", "acctbal", "segment")
 
 
-@query("SELECT o_orderkey AS gnum, l_partkey AS part, l_quantity AS quantity, l_extendedprice AS price FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) ON o_orderkey = l_orderkey AND rn = 1")
+@query("SELECT o_orderkey AS gnum, l_partkey AS part, l_quantity AS quantity, l_extendedprice AS price FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) ON o_orderkey = l_orderkey AND rn = 1")
 def part_data_first_wins(spark, sf_dir):
     place = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     senders = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gnum"), *place)
     first = exchange.first_by_place(senders, place=place)
-    return exchange.delivered(orders(spark, sf_dir), first.withColumn("value", F.struct("l_partkey", "l_quantity", "l_extendedprice"))).select("gnum", F.col("value.l_partkey").alias("part"), F.col("value.l_quantity").alias("quantity"), F.col("value.l_extendedprice").alias("price"))
+    reached = exchange.delivered(orders(spark, sf_dir), first.withColumn("value", F.struct("l_partkey", "l_quantity", "l_extendedprice")))
+    return reached.where("value is not null").select("gnum", F.col("value.l_partkey").alias("part"), F.col("value.l_quantity").alias("quantity"), F.col("value.l_extendedprice").alias("price"))
 
 
 @query("SELECT n_nationkey, n_name, g.n AS n_global, g.first_name FROM nation, (SELECT count(*)::INT AS n, arg_min(r_name, r_regionkey) AS first_name FROM region) g")
@@ -347,9 +348,9 @@ def conserved(spark, sf_dir):
     return interpolate.conservative(made, cell_field(spark, sf_dir, 24))
 
 
-@query(f"SELECT gnum, round(value, 9) AS value FROM ({CONSERVED})")
+@query(f"SELECT gnum, round(value, 12) AS value FROM ({CONSERVED})")
 def intersect_conservative(spark, sf_dir):
-    return conserved(spark, sf_dir).select("gnum", F.round(F.col("value")[0], 9).alias("value"))
+    return conserved(spark, sf_dir).select("gnum", F.round(F.col("value")[0], 12).alias("value"))
 
 
 @query(f"SELECT round((SELECT sum(v) / 576 FROM {FIELD24}), 9) AS source_mass, round((SELECT sum(value) / 225 FROM ({CONSERVED})), 9) AS target_mass")
