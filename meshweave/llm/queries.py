@@ -77,4 +77,16 @@ QUERIES = {
     "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: The others are beyond SQL (tokenizers, XXH64, models, plans); tests/llm holds them against brute force.
+ORACLES = {
+    "op9_embeddings": """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), linked AS (
+    SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reached(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reached r JOIN linked l ON r.w = l.u)
+SELECT c.u AS vec_id, coalesce(n, 0) AS n_links, component_id, c.u = component_id AS kept
+FROM (SELECT u, min(w) AS component_id FROM reached GROUP BY 1) c LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY 1) n ON c.u = n.u""",
+}
