@@ -1,4 +1,4 @@
-"""Intermediate tables that outlive executors, and joins whose broadcasts are bounded."""
+"""Intermediate tables that outlive executors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -20,7 +19,3 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A broadcast hint for `df` if it has at most `rows` rows, else `df` for a join that shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
