@@ -19,7 +19,7 @@ DEPTH = 5
 #: Depths from which on a context's subtree lies within one bucket.
 ROOT = 2
 BUCKETS = 256
-BATCH, PIECE = 32 << 20, 4 << 20
+BATCH, PIECE = 16 << 20, 2 << 20
 #: So many batches' entries are merged by one task; a tree of such merges takes any number.
 FAN_IN = 64
 GAPS = 8
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, taught, text: str = "text", key: str = "doc_id") ->
     asks; contexts that training never showed take no part. base_score: the add-one unigram score of the tokens.
     n_known: tokens that occur in training. bits_per_byte: code length of the bytes scored.
 
-    Counting and scoring go by batches of whole documents (a hash of the key; about 32 MB of text each): a batch sends
+    Counting and scoring go by batches of whole documents (a hash of the key; about 16 MB of text each): a batch sends
     each distinct key and word once with its count, counts of a bucket of contexts are merged in a tree of tasks, and
     the buckets answer the batches with one number for each entry. Nothing but the nodes of depths 0 and 1 (257 * 255)
     is broadcast. A null text counts as empty: its end is its only token. Rows with equal keys are scored one by one;
