@@ -251,6 +251,33 @@ def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int
     return weights, near, dot(p - near, p - near), u
 
 
+def ear_clip(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Triangles (places) of a simple polygon (m, 2), convex or not, by cutting ears off; the turn of the input stays."""
+    places = list(range(len(flat)))
+    x, y = flat.T
+    turn = 1.0 if float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) >= 0 else -1.0
+
+    def side(a: int, b: int, c: int) -> float:
+        return turn * float((flat[b, 0] - flat[a, 0]) * (flat[c, 1] - flat[a, 1]) - (flat[b, 1] - flat[a, 1]) * (flat[c, 0] - flat[a, 0]))
+
+    out = []
+    while len(places) > 3:
+        ears = []
+        for k, b in enumerate(places):
+            a, c = places[k - 1], places[(k + 1) % len(places)]
+            size = side(a, b, c)
+            others = [p for p in places if p not in (a, b, c)]
+            if size > 0 and not any(min(side(a, b, p), side(b, c, p), side(c, a, p)) >= 0 for p in others):
+                ears.append((size, k, a, b, c))
+        if not ears:  # nothing but flat corners are left: cut the flattest
+            k = min(range(len(places)), key=lambda k: abs(side(places[k - 1], places[k], places[(k + 1) % len(places)])))
+            ears = [(0.0, k, places[k - 1], places[k], places[(k + 1) % len(places)])]
+        _, k, a, b, c = max(ears)
+        out.append((a, b, c))
+        del places[k]
+    return [*out, tuple(places)] if len(places) == 3 else out
+
+
 def clip_polygon(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     """The part of a polygon (m, 2) inside a convex counter-clockwise window (k, 2)."""
     out = subject

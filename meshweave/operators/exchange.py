@@ -65,6 +65,13 @@ def targets_of(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("src_gnum").agg(F.sort_array(F.collect_list("tgt_gnum")).alias("targets"))
 
 
+def field_of_elements(mapping: DataFrame, field: DataFrame) -> DataFrame:
+    """(gnum, values): for each located target the vertex values of the element that holds it, in the element's order."""
+    corners = mapping.select(F.col("tgt_gnum").alias("gnum"), F.posexplode("nodes").alias("i", "node"))
+    known = corners.join(field.select(F.col("gnum").alias("node"), "value"), "node", "left")
+    return known.groupBy("gnum").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s.value).alias("values"))
+
+
 def distribution(mapping: DataFrame, parts: DataFrame, side: str = "tgt") -> DataFrame:
     """(part_id, n): how many of the mapped points each partition holds."""
     return mapping.select(F.col(f"{side}_gnum").alias("gnum")).distinct().join(parts.select("gnum", "part_id"), "gnum").groupBy("part_id").agg(F.count("*").alias("n"))

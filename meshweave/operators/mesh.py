@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,37 @@ def triangulated(elements: DataFrame, vertices: DataFrame | None = None) -> Data
     return rows.select("gnum", F.posexplode(fan).alias("sub", "connec"))
 
 
+def cut_to_triangles(cell_table: DataFrame) -> DataFrame:
+    """Polygons of any shape, with their vertices (cells()), as triangles (gnum, sub, connec), by ears in the mean plane."""
+    from meshweave.operators.intersection import flattened, plane
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for gnum, vtx in zip(batch.gnum, batch.vtx, strict=True):
+                v = np.array([(p["x"], p["y"], p["z"]) for p in vtx], float)
+                names = [p["gnum"] for p in vtx]
+                rows += [(gnum, k, [names[i] for i in t]) for k, t in enumerate(shapes.ear_clip(flattened(v, plane(v))))]
+            yield pd.DataFrame(rows, columns=["gnum", "sub", "connec"])
+
+    return cell_table.select("gnum", "vtx").mapInPandas(run, "gnum long, sub int, connec array<long>")
+
+
+def tessellated(cell_table: DataFrame) -> DataFrame:
+    """Volume cells as tetrahedra (gnum, sub, points): fans about the face centres and the cell's, as corner coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for gnum, kind, vtx, faces in zip(batch.gnum, batch.elt_type, batch.vtx, batch.faces, strict=True):
+                v = np.array([(p["x"], p["y"], p["z"]) for p in vtx], float)
+                known = shapes.FACES.get(kind) or [list(f) for f in faces]
+                rows += [(gnum, k, t.tolist()) for k, t in enumerate(shapes.to_tetras(v, known))]
+            yield pd.DataFrame(rows, columns=["gnum", "sub", "points"])
+
+    return cell_table.select("gnum", "elt_type", "vtx", "faces").mapInPandas(run, "gnum long, sub int, points array<array<double>>")
+
+
 def extruded(vertices: DataFrame, elements: DataFrame, layers: int, along: tuple[float, float, float], n_vertices: int, n_elements: int) -> tuple[DataFrame, DataFrame]:
     """`layers` layers of prisms and hexahedra over triangles and quads; `along` is the whole displacement."""
     level = F.explode(F.sequence(F.lit(0), F.lit(layers))).alias("level")

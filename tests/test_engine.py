@@ -186,3 +186,17 @@ def test_steps(spark, small, tmp_path):
     assert session.state("a") == "end"
     with pytest.raises(CouplingError):
         session.set_state("a", "asleep")
+
+
+def test_tessellations(spark):
+    v, e = generators.hexagons(spark, 2, 2)
+    cells = mesh.measured(mesh.cells(v, e))
+    triangles = mesh.cut_to_triangles(cells)
+    parts = mesh.measured(mesh.cells(v, triangles.withColumn("gnum", F.col("gnum") * 10 + F.col("sub")).withColumn("elt_type", F.lit("tria3"))))
+    assert triangles.count() == 16 and parts.agg(F.sum("volume")).first()[0] == pytest.approx(cells.agg(F.sum("volume")).first()[0])
+    boxes = mesh.cells(generators.box_vertices(spark, 2), generators.box_hexas(spark, 2))
+    got = [np.array(r.points) for r in mesh.tessellated(boxes).collect()]
+    assert len(got) == 8 * 24 and sum(abs(np.linalg.det(t[1:] - t[0])) / 6 for t in got) == pytest.approx(1)
+    made = location.locate(spark.createDataFrame([(1, 0.1, 0.1, 0.1)], "gnum long, x double, y double, z double"), boxes)
+    values = exchange.field_of_elements(made, generators.box_vertices(spark, 2).select("gnum", F.array("x").alias("value"))).first().values
+    assert [x[0] for x in values] == [0, 0.5, 0.5, 0, 0, 0.5, 0.5, 0]

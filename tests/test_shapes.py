@@ -99,3 +99,11 @@ def test_overlaps():
     # conservation: a cell cut by a partition of space keeps its volume
     parts = [shapes.overlap_volume(tetra, shapes.FACES["tetra4"], cube * 0.5 + np.array([i, j, k]) * 0.5, faces) for i in range(2) for j in range(2) for k in range(2)]
     assert sum(parts) == pytest.approx(1 / 6, rel=1e-12)
+
+
+def test_ears_cover_a_polygon_once():
+    star = np.array([[np.cos(a) * r, np.sin(a) * r] for a, r in zip(np.linspace(0, 2 * np.pi, 10, endpoint=False), [2, 0.7] * 5, strict=True)])
+    for flat in (star, star[::-1].copy(), np.array([[0, 0], [4, 0], [4, 1], [1, 1], [1, 3], [0, 3]], float), np.array([[0, 0], [1, 0], [2, 0], [2, 2], [0, 2]], float)):
+        parts = shapes.ear_clip(flat)
+        assert len(parts) == len(flat) - 2
+        assert sum(shapes.area(flat[list(t)]) for t in parts) == pytest.approx(shapes.area(flat))
