@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,15 @@ def components(edges: DataFrame) -> DataFrame:
     return known.select("node", F.col("root").alias("component"))
 
 
+def released(made: pa.Table) -> pa.Table:
+    """`made`, after giving memory that a worker no longer uses back to the machine it shares with its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    return made
+
+
 def inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of known bound as a literal of the plan: no Python data source."""
     made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshweave.llm.common import stored
+from meshweave.llm.common import released
 
-GRAM = 20
+#: A window holds its anchor at one of so many places.
+PLACES = 31
+#: More different surroundings than this behind one bucket: their windows are exchanged one by one.
+HOT = 4096
 #: Text bytes of a batch of documents, and of the pieces in which a batch is worked through.
-BATCH, PIECE, MARGIN = 16 << 20, 1 << 17, 128
+BATCH, PIECE, MARGIN = 4 << 20, 1 << 17, 128
 BUCKET_BITS = 40
 BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -27,13 +30,14 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_buckets(data: np.ndarray) -> np.ndarray:
-    """The bucket identifier of the GRAM bytes that begin at each place, by doubling: each level is made of pointers
-    to the level below at the place and at a later offset."""
-    ids = BYTES[data]
-    for step in (1, 2, 4, 8, 4):  # 2, 4, 8, 16 and, overlapping, 20 bytes
-        ids = mixed(ids[:-step], ids[step:])
-    ids *= ODD
+def gram_buckets(data: np.ndarray, gram: int) -> np.ndarray:
+    """The bucket identifier of the `gram` bytes that begin at each place, by doubling: each level is made of pointers
+    to the level below at the place and at a later offset, the last one overlapping."""
+    ids, have = BYTES[data], 1
+    while have < gram:
+        step = min(have, gram - have)
+        ids, have = mixed(ids[:-step], ids[step:]), have + step
+    ids = ids * ODD
     return ids | np.uint64(1)
 
 
@@ -57,7 +61,8 @@ class Suffixes:
 
     def __init__(self, texts: list[bytes], length: int):
         self.length, self.texts = length, texts
-        self.reach = length - GRAM
+        self.reach = PLACES - 1
+        self.gram = length - self.reach
         parts = [self.piece(*p) for p in self.pieces()]
         whole = [np.concatenate(x) if parts else np.empty(0, np.int64) for x in zip(*parts, strict=True)] or [np.empty(0, np.uint64)] * 6
         self.doc, self.at, self.left, self.right, self.g, self.around = whole
@@ -91,7 +96,7 @@ class Suffixes:
         data = np.frombuffer(b"".join(self.texts[i][lo:hi] for (i, _, _), lo, hi in zip(held, lows, highs, strict=True)), np.uint8)
         sizes = np.array([hi - lo for lo, hi in zip(lows, highs, strict=True)])
         ends = np.cumsum(sizes)
-        ids = gram_buckets(data)
+        ids = gram_buckets(data, self.gram)
         least = sliding(ids, self.reach + 1, np.minimum)  # of the window that begins there
         for e in ends[:-1]:
             least[max(0, e - self.length + 1) : e] = 0  # windows across two texts
@@ -109,32 +114,33 @@ class Suffixes:
         left, right = np.maximum(place - self.reach, 0), np.minimum(place + self.length, total)
         off = chosen - place
         around = mixed(left.astype(np.uint64) - place.astype(np.uint64), (right - place).astype(np.uint64))
-        for step in range(-self.reach, self.length - GRAM + GRAM, GRAM):
-            around = mixed(around, ids[np.clip(place + step, left, right - GRAM) + off])
-        around = mixed(around, ids[right - GRAM + off])
+        for step in range(-self.reach, self.length, self.gram):
+            around = mixed(around, ids[np.clip(place + step, left, right - self.gram) + off])
+        around = mixed(around, ids[right - self.gram + off])
         return doc, place, left, right, ids[chosen] >> np.uint64(64 - BUCKET_BITS), around
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, begin, bucket, identifier) of every window that holds one of the anchors `which`."""
-        out = []
-        for k in np.array_split(which, max(1, -(-len(which) // 2048))):
-            if not len(k):
-                continue
-            data = np.frombuffer(b"".join(self.texts[d][a:b] for d, a, b in zip(self.doc[k].tolist(), self.left[k].tolist(), self.right[k].tolist(), strict=True)), np.uint8)
-            sizes = self.right[k] - self.left[k]
-            begins = np.cumsum(sizes) - sizes
-            ids = gram_buckets(data)
-            counts = sizes - self.length + 1
-            owner = np.repeat(np.arange(len(k)), counts)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            p = begins[owner] + step
-            name = np.full(len(p), self.length, np.uint64)
-            for s in range(0, self.length - GRAM, GRAM):
-                name = mixed(name, ids[p + s])
-            name = mixed(name, ids[p + self.length - GRAM])
-            bucket = (mixed(name, ids[p]) * ODD) >> np.uint64(64 - BUCKET_BITS)
-            out.append((self.doc[k][owner], self.left[k][owner] + step, bucket, name))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    def surroundings(self, which: np.ndarray) -> bytes:
+        """The bytes around the anchors `which`, end to end."""
+        return b"".join(self.texts[d][a:b] for d, a, b in zip(self.doc[which].tolist(), self.left[which].tolist(), self.right[which].tolist(), strict=True))
+
+
+def windows(data: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, offset in it, bucket, name) of every window of stretches of `sizes` bytes laid end to end."""
+    out, gram, ends, at = [], length - PLACES + 1, np.cumsum(sizes), 0
+    for k in np.array_split(np.arange(len(sizes)), -(-len(sizes) // 4096)) if len(sizes) else []:
+        stop = int(ends[k[-1]])
+        ids = gram_buckets(np.frombuffer(data, np.uint8, stop - at, at), gram)
+        begins, counts = ends[k] - sizes[k] - at, sizes[k] - length + 1
+        owner = np.repeat(np.arange(len(k)), counts)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        p = begins[owner] + step
+        name = np.full(len(p), length, np.uint64)
+        for s in range(0, length - gram, gram):
+            name = mixed(name, ids[p + s])
+        name = mixed(name, ids[p + length - gram])
+        out.append((k[owner], step, (mixed(name, ids[p]) * ODD) >> np.uint64(64 - BUCKET_BITS), name))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
 
 
 ENTRIES = "bucket int, batch int, n int, g binary, name binary, least binary, many binary"
@@ -142,6 +148,8 @@ ENTRIES = "bucket int, batch int, n int, g binary, name binary, least binary, ma
 
 def sent(batch: int, buckets: int, g: np.ndarray, name: np.ndarray, least: np.ndarray, many: np.ndarray) -> list[tuple]:
     """A batch's distinct entries, sorted by g and name, as a row for each bucket; the g of a row are differences."""
+    if not len(g):
+        return []
     to = (g * np.uint64(buckets)) >> np.uint64(BUCKET_BITS)
     cut = np.flatnonzero(np.diff(to, prepend=np.uint64(buckets + 1)))
     rows = []
@@ -151,11 +159,11 @@ def sent(batch: int, buckets: int, g: np.ndarray, name: np.ndarray, least: np.nd
     return rows
 
 
-def gathered(group: pa.Table) -> pa.Table:
+def gathered(group: pa.Table, hot: int = HOT) -> pa.Table:
     """The replies to one bucket's entries: (batch, bucket, n, at, least, split).
 
     at: which of the batch's entries; least: the smallest document with an equal entry; split: whether other entries
-    share its g, so that its windows must be told apart one by one. Entries that learn nothing new get no reply.
+    share its g, so that its windows must be told apart (2: more than `hot` others). Entries that learn nothing new get no reply.
     """
     column = lambda name: group.column(name).to_pylist()
     sizes, batches = np.array(column("n")), np.array(column("batch"))
@@ -172,15 +180,16 @@ def gathered(group: pa.Table) -> pa.Table:
     smallest = np.minimum.reduceat(least[order], starts)
     low, high = np.minimum.reduceat(least[order], starts_g), np.maximum.reduceat(least[order], starts_g)
     several = (low < high) | np.logical_or.reduceat(many[order] > 0, starts_g)
-    split = (np.add.reduceat(new.astype(np.int64), starts_g) > 1) & several
-    told = (smallest[by] < least[order]) | split[by_g]
+    kinds = np.add.reduceat(new.astype(np.int64), starts_g)
+    split = np.where((kinds > 1) & several, 1 + (kinds > hot), 0).astype(np.uint8)
+    told = (smallest[by] < least[order]) | (split[by_g] > 0)
     row, answer, parts = order[told], smallest[by][told], split[by_g][told]
     sort = np.argsort(row)
     row, answer, parts = row[sort], answer[sort], parts[sort]
     bounds = np.cumsum(sizes)
     owner = np.searchsorted(bounds, row, "right")
     cut = np.searchsorted(owner, np.arange(len(sizes) + 1))
-    out = [(int(batches[k]), int(group.column("bucket")[0].as_py()), cut[k + 1] - cut[k], (row[cut[k] : cut[k + 1]] - (bounds[k] - sizes[k])).astype(np.uint32).tobytes(), answer[cut[k] : cut[k + 1]].tobytes(), np.packbits(parts[cut[k] : cut[k + 1]]).tobytes()) for k in range(len(sizes)) if cut[k] < cut[k + 1]]
+    out = [(int(batches[k]), int(group.column("bucket")[0].as_py()), cut[k + 1] - cut[k], (row[cut[k] : cut[k + 1]] - (bounds[k] - sizes[k])).astype(np.uint32).tobytes(), answer[cut[k] : cut[k + 1]].tobytes(), parts[cut[k] : cut[k + 1]].tobytes()) for k in range(len(sizes)) if cut[k] < cut[k + 1]]
     return pa.Table.from_pylist([dict(zip(REPLY.names, x, strict=True)) for x in out], schema=REPLY)
 
 
@@ -188,14 +197,14 @@ REPLY = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32
 REPLIES = "batch int, bucket int, n int, at binary, least binary, split binary"
 
 
-def answered(replies: pa.Table, g: np.ndarray, least: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a batch's distinct entries: the smallest document of each, and whether it is split."""
-    least, split = least.copy(), np.zeros(len(g), bool)
+def answered(replies: pa.Table | list[dict], g: np.ndarray, least: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch's distinct entries: the smallest document of each, and how it is split."""
+    least, split = least.copy(), np.zeros(len(g), np.uint8)
     to = ((g * np.uint64(buckets)) >> np.uint64(BUCKET_BITS)).astype(np.int64)
-    for x in replies.to_pylist():
+    for x in replies if isinstance(replies, list) else replies.to_pylist():
         at = np.searchsorted(to, x["bucket"]) + np.frombuffer(x["at"], np.uint32).astype(np.int64)
         least[at] = np.frombuffer(x["least"], np.int64)
-        split[at] = np.unpackbits(np.frombuffer(x["split"], np.uint8), count=x["n"]) > 0
+        split[at] = np.frombuffer(x["split"], np.uint8)
     return least, split
 
 
@@ -210,33 +219,70 @@ def left_over(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[int, i
     return int(gone.sum()), runs, hashlib.sha256(rest).hexdigest()
 
 
-DONE = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, batch int, body binary, begins binary, ends binary, window binary, entry binary, " + ENTRIES.replace("batch int, ", "")
-DONE_NAMES = [x.split()[0] for x in DONE.split(", ")]
-
-
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50) -> DataFrame:
+MESSAGE = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in "abcd")])
+MESSAGES = "bucket int, batch int, kind int, n int, a binary, b binary, c binary, d binary"
+#: Kinds of messages: surroundings to compare, windows to compare, and what a batch tells its own last round.
+SURROUNDINGS, WINDOWS, KEPT = 0, 1, 2
+
+
+def compared(group: pa.Table, length: int) -> pa.Table:
+    """The answers to one bucket: for surroundings, which of their windows also lie in a smaller document (bits)."""
+    rows = group.to_pylist()
+    out = [r for r in rows if r["kind"] == KEPT]
+    asked = [r for r in rows if r["kind"] == SURROUNDINGS]
+    if asked:
+        sizes = np.concatenate([np.frombuffer(r["a"], np.uint8) for r in asked]).astype(np.int64)
+        ids = np.concatenate([np.frombuffer(r["c"], np.int64) for r in asked])
+        owner, step, check, name = windows(b"".join(r["b"] for r in asked), sizes, length)
+        order = np.lexsort((check, name))
+        fresh = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])])
+        smallest = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        hit = order[smallest < ids[owner[order]]]
+        bits = np.bincount(owner[hit], 2.0 ** step[hit], len(sizes)).astype(np.uint32)
+        at = 0
+        for r in asked:
+            mine = bits[at : at + r["n"]]
+            at += r["n"]
+            if mine.any():
+                out.append(r | {"a": mine.tobytes(), "b": None, "c": None})
+    entries = [r for r in rows if r["kind"] == WINDOWS]
+    if entries:
+        table = pa.Table.from_pylist([{"bucket": r["bucket"], "batch": r["batch"], "n": r["n"], "g": r["a"], "name": r["b"], "least": r["c"], "many": r["d"]} for r in entries])
+        out += [{"bucket": r["bucket"], "batch": r["batch"], "kind": WINDOWS, "n": r["n"], "a": r["at"], "b": r["least"]} for r in gathered(table).to_pylist()]
+    return pa.Table.from_pylist(out, schema=MESSAGE)
+
+
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, hot_bucket: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row: its text without each byte that is covered by a
     string of `length` bytes which also starts in a document with a smaller key.
 
     Suffix sorting without the suffixes that can't matter: of every window of `length` bytes one gram is an anchor
     (about 6 % of all places), and only anchors are sorted. First by their gram's bucket; then, reusing the buckets as
     ranks, by the bucket pointers at the offsets around (Suffixes). Anchors with equal surroundings are equal in all
-    their windows. Only where one bucket holds different surroundings are the windows themselves sorted, by pointers
-    at offsets that cover them. Both rounds go by batches of documents: a batch sends its distinct entries with their
-    smallest document, so a passage that a third of all rows share is one entry a batch; each bucket answers the batches that
-    have something to learn. Batches and buckets grow in number with the text, not in size. Identifiers have 104 bits.
+    their windows. Where one bucket holds different surroundings, these few meet and their windows are sorted by
+    pointers at the offsets that cover them; behind a bucket with more than `hot_bucket` of them (a passage that a large share
+    of all documents holds) the windows are exchanged one by one instead, each once a batch.
+
+    All rounds go by batches of documents, about 4 MB of text each: a batch sends its distinct entries with their
+    smallest document, and each bucket answers the batches that have something to learn. Batches and buckets grow in
+    number with the text, not in size. The three rounds read one shuffle of the texts. Identifiers have 104 bits.
 
     Null texts count as empty. Keys are integers; rows with equal keys are one document for "smaller" and each gets its own row; rows with a null
     key lose nothing and take nothing.
     """
+    if not PLACES < length < 256 - PLACES:
+        raise ValueError(f"lengths from {PLACES + 1} to {255 - PLACES} are told apart")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    batches = buckets = max(1, -(-total // BATCH))
+    batches = max(1, -(-total // BATCH))
+    buckets = 2 * batches
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc", F.octet_length("body")), F.lit(batches)).cast("int")).repartition("batch")
 
     def read(group: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
-        keys = group.column("doc").to_pylist()
-        return keys, group.column("body").to_pylist(), np.array([np.iinfo(np.int64).max if k is None else k for k in keys], np.int64)
+        """Keys, bodies and numbers, in an order that each round finds again."""
+        rows = sorted(zip(group.column("doc").to_pylist(), group.column("body").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
+        keys = [k for k, _ in rows]
+        return keys, [body for _, body in rows], np.array([np.iinfo(np.int64).max if k is None else k for k in keys], np.int64)
 
     def entries_of(found: Suffixes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         by = ids[found.doc[found.order]]
@@ -249,8 +295,6 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(names))], schema=schema)
 
     entry_schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("n", pa.int32()), ("g", pa.binary()), ("name", pa.binary()), ("least", pa.binary()), ("many", pa.binary())])
-    done_schema = pa.schema([pa.field(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in DONE.split(", "))])
-
     def first_round(group: pa.Table) -> pa.Table:
         _, bodies, ids = read(group)
         made = entries_of(Suffixes(bodies, length), ids)
@@ -258,61 +302,64 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
 
     def second_round(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return table([], DONE_NAMES, done_schema)
-        keys, bodies, ids = read(group)
+            return table([], MESSAGE.names, MESSAGE)
+        _, bodies, ids = read(group)
         batch = group.column("batch")[0].as_py()
         found = Suffixes(bodies, length)
         g, _, least, _ = entries_of(found, ids)
         least, split = answered(replies, g, least, buckets)
-        mine = ids[found.doc]
+        mine, kind = ids[found.doc], split[found.entry]
         real = mine < np.iinfo(np.int64).max
         covered = (least[found.entry] < mine) & real
-        asks = np.flatnonzero(split[found.entry] & ~covered & real)
-        owner, begin, wg, wname = found.windows(asks)
-        order = np.lexsort((wname, wg))
+        asks, hot = (np.flatnonzero((kind == k) & ~covered & real) for k in (1, 2))
+        to = ((found.g[asks] * np.uint64(buckets)) >> np.uint64(BUCKET_BITS)).astype(np.int64)
+        asks, to = asks[np.argsort(to, kind="stable")], np.sort(to)
+        out = []
+        for b in np.unique(to).tolist():
+            k = asks[to == b]
+            out.append((b, batch, SURROUNDINGS, len(k), (found.right[k] - found.left[k]).astype(np.uint8).tobytes(), found.surroundings(k), mine[k].tobytes(), None))
+        owner, step, wg, name = windows(found.surroundings(hot), found.right[hot] - found.left[hot], length)
+        order = np.lexsort((name, wg))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (wg[order][1:] != wg[order][:-1]) | (wname[order][1:] != wname[order][:-1])
+        fresh[1:] = (wg[order][1:] != wg[order][:-1]) | (name[order][1:] != name[order][:-1])
         starts = np.flatnonzero(fresh)
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(fresh) - 1
-        by = ids[owner][order]
+        by = mine[hot][owner][order]
         wleast = np.minimum.reduceat(by, starts) if len(starts) else by
-        out = [(None,) * 11 + (r[0], *r[2:]) for r in sent(batch, buckets, wg[order][starts], wname[order][starts], wleast, np.zeros(len(starts), bool))]
-        out = [(*r[:5], batch, *r[6:]) for r in out]
+        wg = wg[order][starts]
+        out += [(r[0], batch, WINDOWS, *r[2:]) for r in sent(batch, buckets, wg, name[order][starts], wleast, np.zeros(len(starts), bool))]
         c = np.flatnonzero(covered)
-        c = c[np.argsort(found.doc[c], kind="stable")]
-        w = np.argsort(owner, kind="stable")
-        spans, asked = (np.searchsorted(x, np.arange(len(keys) + 1)) for x in (found.doc[c], owner[w]))
-        for i, body in enumerate(bodies):
-            k, q = c[spans[i] : spans[i + 1]], w[asked[i] : asked[i + 1]]
-            if len(q):
-                out.append((keys[i], len(body), None, None, None, batch, body, found.left[k].astype(np.int64).tobytes(), found.right[k].astype(np.int64).tobytes(), begin[q].astype(np.int64).tobytes(), entry[q].astype(np.int64).tobytes(), *(None,) * 6))
-            else:
-                out.append((keys[i], len(body), *left_over(body, found.left[k], found.right[k]), batch, *(None,) * 11))
-        # what the batch's window entries were, for the replies: their g in order
-        if len(starts):
-            out.append((None, None, None, None, None, batch, None, None, None, None, None, -1, len(starts), np.diff(wg[order][starts], prepend=np.uint64(0)).tobytes(), None, wleast.tobytes(), None))
-        return table(out, DONE_NAMES, done_schema)
-
-    def last_round(group: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        own = next((x for x in rows if x["bucket"] == -1), None)
-        out = []
-        if own is not None:
-            g = np.cumsum(np.frombuffer(own["g"], np.uint64))
-            least, _ = answered(replies, g, np.frombuffer(own["least"], np.int64), buckets)
-            for x in rows:
-                if x["bucket"] is None:
-                    begins, ends, window, entry = (np.frombuffer(x[k], np.int64) for k in ("begins", "ends", "window", "entry"))
-                    hit = window[least[entry] < x["doc"]]
-                    out.append((x["doc"], x["n_bytes"], *left_over(x["body"], np.concatenate([begins, hit]), np.concatenate([ends, hit + length]))))
+        at = found.left[hot][owner] + step
+        kept = [np.stack([found.doc[c], found.left[c], found.right[c]]), np.stack([found.doc[asks], found.left[asks], to]), np.stack([found.doc[hot][owner], at, entry]), np.stack([wg.astype(np.int64), wleast])]
+        out.append((batch % buckets, batch, KEPT, 0, *(x.astype(np.int64).tobytes() for x in kept)))
+        return table(out, MESSAGE.names, MESSAGE)
+
+    def last_round(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return table([], result.names, result)
+        keys, bodies, ids = read(group)
+        rows = answers.to_pylist()
+        own = next(r for r in rows if r["kind"] == KEPT)
+        spans, asks, hot, entries = (np.frombuffer(own[x], np.int64).reshape(n, -1) for x, n in zip("abcd", (3, 3, 3, 2), strict=True))
+        bits = np.zeros(asks.shape[1], np.uint32)
+        for r in rows:
+            if r["kind"] == SURROUNDINGS:
+                bits[asks[2] == r["bucket"]] = np.frombuffer(r["a"], np.uint32)
+        least, _ = answered([r | {"at": r["a"], "least": r["b"], "split": bytes(r["n"])} for r in rows if r["kind"] == WINDOWS], entries[0].astype(np.uint64), entries[1], buckets)
+        which, step = np.nonzero((bits[:, None] >> np.arange(PLACES, dtype=np.uint32)) & 1)
+        late = hot[:2, least[hot[2]] < ids[hot[0]]]
+        doc = np.concatenate([spans[0], asks[0][which], late[0]])
+        begin = np.concatenate([spans[1], asks[1][which] + step, late[1]])
+        end = np.concatenate([spans[2], asks[1][which] + step + length, late[1] + length])
+        order = np.argsort(doc, kind="stable")
+        cut = np.searchsorted(doc[order], np.arange(len(keys) + 1))
+        out = [(k, len(body), *left_over(body, begin[order[cut[i] : cut[i + 1]]], end[order[cut[i] : cut[i + 1]]])) for i, (k, body) in enumerate(zip(keys, bodies, strict=True))]
         return table(out, result.names, result)
 
     result = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    replies = dealt.groupBy("batch").applyInArrow(first_round, ENTRIES).groupBy("bucket").applyInArrow(gathered, REPLIES)
-    half = stored(dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(second_round, DONE))
-    told = half.where("bucket >= 0").select("bucket", "batch", "n", "g", "name", "least", "many").groupBy("bucket").applyInArrow(gathered, REPLIES)
-    waiting = half.where("bucket = -1 or body is not null").select("doc", "n_bytes", "batch", "body", "begins", "ends", "window", "entry", "bucket", "g", "least")
-    late = waiting.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(last_round, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = half.where("kept_sha256 is not null").select("doc", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.unionByName(late).withColumnRenamed("doc", key)
+    replies = dealt.groupBy("batch").applyInArrow(lambda group: released(first_round(group)), ENTRIES).groupBy("bucket").applyInArrow(lambda group: released(gathered(group, hot_bucket)), REPLIES)
+    messages = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda group, answers: released(second_round(group, answers)), MESSAGES)
+    answers = messages.groupBy("bucket").applyInArrow(lambda group: released(compared(group, length)), MESSAGES)
+    made = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda group, told: released(last_round(group, told)), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return made.withColumnRenamed("doc", key)
