@@ -57,8 +57,8 @@ def revenue(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     return read(spark, sf_dir, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("gnum")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum"))
+def orders(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return read(spark, sf_dir, "orders").where(where).select(F.col("o_orderkey").alias("gnum"))
 
 
 @query("SELECT o_orderkey AS gnum, round(value, 4) AS value FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -69,23 +69,24 @@ def identity_exchange(spark, sf_dir):
 RETURNED = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'"
 
 
-def returned(spark, sf_dir):
-    return exchange.identity_mapping(revenue(spark, sf_dir, "l_returnflag = 'R'"), orders(spark, sf_dir).where("gnum % 3 > 0"))
+def returned(spark, sf_dir, status="true"):
+    return exchange.identity_mapping(revenue(spark, sf_dir, "l_returnflag = 'R'"), orders(spark, sf_dir, status))
 
 
-@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey IN ({RETURNED})")
+@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey IN ({RETURNED})")
 def computed_targets(spark, sf_dir):
-    return exchange.computed(orders(spark, sf_dir).where("gnum % 3 > 0"), returned(spark, sf_dir))
+    return exchange.computed(orders(spark, sf_dir), returned(spark, sf_dir))
 
 
-@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey NOT IN ({RETURNED})")
+@query(f"SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey NOT IN ({RETURNED})")
 def uncomputed_targets(spark, sf_dir):
-    return exchange.uncomputed(orders(spark, sf_dir).where("gnum % 3 > 0"), returned(spark, sf_dir))
+    return exchange.uncomputed(orders(spark, sf_dir), returned(spark, sf_dir))
 
 
-@query("SELECT l_orderkey AS gnum, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 > 0 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+@query("SELECT l_orderkey AS gnum, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def involved_sources(spark, sf_dir):
-    return exchange.involved(revenue(spark, sf_dir, "l_returnflag = 'R'"), returned(spark, sf_dir)).select("gnum", F.round("value", 4).alias("value"))
+    """Targets are the finished orders: returns of open ones stay unused."""
+    return exchange.involved(revenue(spark, sf_dir, "l_returnflag = 'R'"), returned(spark, sf_dir, "o_orderstatus = 'F'")).select("gnum", F.round("value", 4).alias("value"))
 
 
 @query("SELECT o_orderkey AS recv, c_acctbal AS acctbal, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -157,6 +158,25 @@ def morton_codes(spark, sf_dir):
     return part_points(spark, sf_dir).select("gnum", geometry.morton([F.floor(F.col("x") * 65535), F.floor(F.col("y") * 65535)]).alias("morton"))
 
 
+MORTON = f"(SELECT *, list_sum(list_transform(range(16), lambda b: ((((floor(u * 65535)::BIGINT >> b) & 1) << (3 * b)) | (((floor(v * 65535)::BIGINT >> b) & 1) << (3 * b + 1)))))::BIGINT AS morton FROM (SELECT *, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS u, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS v FROM {PARTS}))"
+
+
+@query(f"SELECT gnum AS part, morton, row_number() OVER (ORDER BY morton, x, y, z, gnum) AS gnum FROM {MORTON}")
+def morton_order(spark, sf_dir):
+    return mesh.morton_ordered(part_points(spark, sf_dir).withColumnRenamed("gnum", "part")).select("part", "morton", "gnum")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dense_rank() OVER (ORDER BY least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey)) AS gnum FROM lineitem")
+def gnum_from_adjacency(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return mesh.gnum_from_adjacency(rows, ["l_partkey", "l_suppkey"])
+
+
+@query("SELECT p_partkey, i::INT AS sub, (shift + i)::BIGINT AS sub_gnum FROM (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) - p_size AS shift FROM part), range(1, 51) r(i) WHERE i <= p_size")
+def gnum_of_subentities(spark, sf_dir):
+    return mesh.gnum_of_subentities(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", "p_size")
+
+
 @query(f"SELECT gnum, round(y, 9) AS x, round(-x, 9) AS y, round(z + 2, 9) AS z, 2 AS tr_id FROM {PARTS} UNION ALL SELECT gnum, round(x + 1, 9), round(y, 9), round(z, 9), 1 FROM {PARTS}")
 def periodic_images(spark, sf_dir):
     made = mesh.periodic(part_points(spark, sf_dir), {1: [[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 1, 0]], 2: [[0, 1, 0, 0], [-1, 0, 0, 0], [0, 0, 1, 2]]})

@@ -153,14 +153,21 @@ class Parser:
 
     def function(self, name: str) -> Column:
         plain, named = self.arguments()
+        try:
+            return self.called(name, plain, named)
+        except (IndexError, ValueError, TypeError, ZeroDivisionError) as wrong:
+            raise SelectionError(f"wrong arguments of {name}[{', '.join(plain)}]") from wrong
+
+    def called(self, name: str, plain: list[str], named: dict[str, str]) -> Column:
         if name == "all":
             return F.lit(True)
         if name == "no_group":
             return (F.size("groups") == 0) & (F.size("attributes") == 0)
         if name == "range":
-            kind = plain.pop() if plain[-1] in ("group", "attribute") else None
-            low, high = plain
-            if kind != "group" and all(re.fullmatch(r"[+-]?\d+", v) for v in plain):
+            words = list(plain)
+            kind = words.pop() if words[-1] in ("group", "attribute") else None
+            low, high = words
+            if kind != "group" and all(re.fullmatch(r"[+-]?\d+", v) for v in words):
                 return F.exists("attributes", lambda a: a.between(int(low), int(high)))
             return F.exists("groups", lambda g: g.between(low, high))
         words = [w for w in plain if w in ("inside", "outside")]
@@ -175,7 +182,7 @@ class Parser:
         self.made.needs_coordinates = True
         x = [F.col(c) for c in ("x", "y", "z")]
         if name == "sphere":
-            return sum(((c - v) * (c - v) for c, v in zip(x, numbers, strict=False)), F.lit(0.0)) <= numbers[3] ** 2
+            return sum(((c - v) * (c - v) for c, v in zip(x, numbers[:3], strict=True)), F.lit(0.0)) <= numbers[3] ** 2
         if name == "plane":
             count = 6 if len(numbers) >= 6 else 4
             length = math.sqrt(sum(v * v for v in numbers[:3]))

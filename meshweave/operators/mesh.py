@@ -12,20 +12,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from meshweave.functions import shapes
 from meshweave.functions.geometry import cell_volume, mean_of, morton, norm, vector_area
 from meshweave.operators.candidates import AXES
+from meshweave.plans.durable import stored
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "gnum", parts: int = 64) -> DataFrame:
-    """Contiguous numbers from 1 in `order`: ranges are sorted apart, then shifted by what stands before them."""
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "gnum", parts: int | None = None) -> DataFrame:
+    """Contiguous numbers from 1 in `order`, ties by the other plain columns.
+
+    One exchange by ranges, sorted within each and stored with every row's place in its range; the numbers are the
+    places shifted by the counts of the ranges before. Both are read from the stored rows, so they cannot disagree,
+    and a key that many rows share is split by the columns that break its ties. `parts`: ranges, by default as many
+    as the session's shuffle partitions.
+    """
     sort = [c if isinstance(c, Column) else F.col(c) for c in order]
-    ranged = rows.repartitionByRange(parts, *sort).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*sort)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(before), "_part").withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_part", "_rank", "_shift")
+    named = {c for c in order if isinstance(c, str)}
+    sort += [F.col(f.name) for f in rows.schema if f.name not in named and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    ranged = rows.repartitionByRange(parts, *sort) if parts else rows.repartitionByRange(*sort)
+    placed = stored(ranged.sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).cast("int")
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn(name, (within + F.col("_shift") + 1).cast("long")).drop("_part", "_place", "_shift")
 
 
 def gnum_from_coordinates(points: DataFrame, merge: bool = False, tolerance: float | None = None) -> DataFrame:
@@ -45,9 +58,32 @@ def gnum_from_parents(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gnum_by_scan(rows: DataFrame) -> DataFrame:
+    """Numbers by partition, then by place in it."""
     return numbered(rows, ["part_id", "lnum"])
 
 
+def gnum_from_adjacency(rows: DataFrame, parents: list[str]) -> DataFrame:
+    """Entities given by the numbers of what they join (edges by vertices, faces by cells): those with equal sets of
+    `parents` columns, in any order, share one number, in the order of the sorted sets."""
+    ends = F.sort_array(F.array(*(F.col(c).cast("long") for c in parents)))
+    named = rows.withColumn("_ends", F.to_json(ends)).withColumns({f"_e{k}": F.get(ends, F.lit(k)) for k in range(len(parents))})
+    keys = [f"_e{k}" for k in range(len(parents))]
+    return named.join(numbered(named.select("_ends", *keys).distinct(), keys), ["_ends", *keys]).drop("_ends", *keys)
+
+
+def gnum_of_subentities(rows: DataFrame, parent: str = "gnum", count: str = "n_sub") -> DataFrame:
+    """(parent, sub, sub_gnum): each entity's `count` parts numbered one after the other, in the order of the parents."""
+    whole = numbered(rows.select(F.col(parent).alias("_p"), F.explode(F.sequence(F.lit(1), F.col(count))).alias("sub")).where("sub > 0"), ["_p", "sub"], "sub_gnum")
+    return whole.select(F.col("_p").alias(parent), "sub", "sub_gnum")
+
+
+def gnum_of_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Faces (face, connec) numbered by their geometry: those with the same centre share a number."""
+    corners = faces.select("face", F.explode("connec").alias("v")).join(vertices.select(F.col("gnum").alias("v"), *AXES), "v")
+    centres = corners.groupBy("face").agg(*(F.round(F.avg(a), 12).alias(a) for a in AXES))
+    return gnum_from_coordinates(centres, merge=True).select("face", "gnum")
+
+
 def morton_ordered(points: DataFrame, bits: int = 16) -> DataFrame:
     """`points` with their Morton code over their common box, and gnum along the curve."""
     low_high = points.agg(*(f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))))

@@ -87,9 +87,15 @@ class Params:
 
     values: dict[tuple[str, str, str], Any] = field(default_factory=dict)
     version: int = 0
-    locked: set[str] = field(default_factory=set)
+    locked: dict[str, str] = field(default_factory=dict)
 
-    def _put(self, code: str, name: str, value: Any, new: bool) -> None:
+    def _may_write(self, code: str, by: str | None) -> None:
+        """Parameters of a locked code change by its holder alone."""
+        if code in self.locked and self.locked[code] != by:
+            raise CouplingError(f"{code} is locked by {self.locked[code]}")
+
+    def _put(self, code: str, name: str, value: Any, new: bool, by: str | None) -> None:
+        self._may_write(code, by)
         kind = next((k for k, t in KINDS.items() if type(value) is t), None)
         if kind is None:
             raise CouplingError("parameters are int, double or string")
@@ -98,13 +104,16 @@ class Params:
         self.values[code, name, kind] = value
         self.version += 1
 
-    def add(self, code: str, name: str, value: Any) -> None:
-        self._put(code, name, value, True)
+    def add(self, code: str, name: str, value: Any, by: str | None = None) -> None:
+        """`by`: the code that writes, where it holds a lock."""
+        self._put(code, name, value, True, by)
 
-    def set(self, code: str, name: str, value: Any) -> None:
-        self._put(code, name, value, False)
+    def set(self, code: str, name: str, value: Any, by: str | None = None) -> None:
+        self._put(code, name, value, False, by)
 
-    def delete(self, code: str, name: str, kind: str) -> None:
+    def delete(self, code: str, name: str, kind: str, by: str | None = None) -> None:
+        self._may_write(code, by)
+        self.get(code, name, kind)
         del self.values[code, name, kind]
         self.version += 1
 
@@ -129,21 +138,25 @@ class Params:
         return {"min": min, "max": max, "sum": sum}[op](found)
 
     @contextmanager
-    def lock(self, code: str):
+    def lock(self, code: str, by: str | None = None):
+        """Within, only `by` (the code itself if not given) adds, sets or deletes parameters of `code`."""
         if code in self.locked:
-            raise CouplingError(f"{code} is locked")
-        self.locked.add(code)
+            raise CouplingError(f"{code} is locked by {self.locked[code]}")
+        self.locked[code] = by or code
         try:
             yield self
         finally:
-            self.locked.discard(code)
+            del self.locked[code]
 
     def synchronize(self, other: Params) -> None:
         """Take over the other's parameters; common ones must be equal."""
         differing = [k for k in self.values.keys() & other.values.keys() if self.values[k] != other.values[k]]
         if differing:
             raise CouplingError(f"parameters differ: {sorted(differing)}")
+        for code in {c for c, _, _ in other.values.keys() - self.values.keys()}:
+            self._may_write(code, None)
         self.values |= other.values
+        self.version += 1
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(c, n, k, *(v if k == x else None for x in KINDS)) for (c, n, k), v in sorted(self.values.items())]
