@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,22 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshweave-checkpoint-"))
-    return sc.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local
+    master (tests); on a cluster, whose executors would each write to a disk of their own, an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshweave-checkpoint-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def own_folder(spark: SparkSession, path: str) -> str:
+    """`path`, which exists, marked to go when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
+    """`df` written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors.
+
+    The files go with removed(), or when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/meshweave/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meshweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(own_folder(spark, path))
 
 
 def removed(df: DataFrame) -> None:
@@ -97,3 +108,19 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """`df` stored, with a broadcast hint only if it has at most `rows` rows; beyond that joins shuffle."""
     kept = stored(df)
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def broadcast_under(df: DataFrame, size: Column | int, limit: int = 64 << 20) -> DataFrame:
+    """`df` stored, with a broadcast hint only if its rows come to at most `limit` bytes by `size`, bytes of a row;
+    beyond that joins shuffle."""
+    kept = stored(df)
+    total = kept.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0
+    return F.broadcast(kept) if total <= limit else kept
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshweave.llm.common import free_name
+
 ROUNDS = 10
 #: What is looked for, the first that fits at a place; each is validated after that.
 PATTERNS = {
@@ -21,6 +23,9 @@ PATTERNS = {
 ANY = "|".join(f"({x})" for x in PATTERNS.values())
 #: Days of the dates that are permuted: 271 * 271 of them from 1900-01-01 on (to 2101-01-27).
 FIRST_DAY, DAY_SIDE = "1900-01-01", 271
+#: Days of the months of a common year. Years of the dates that are written month before day.
+MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+TURNED_YEARS = (1900, 2100)
 
 
 def keyed(secret: str, *parts: Column) -> Column:
@@ -87,8 +92,9 @@ def phone(x: Column, secret: str) -> Column:
 
 
 def ip(x: Column, secret: str) -> Column:
+    """IPv4 in its plain form, without leading zeros."""
     parts = F.transform(F.split(x, r"\."), lambda p: p.cast("long"))
-    valid = F.forall(parts, lambda p: p <= 255)
+    valid = F.forall(parts, lambda p: p <= 255) & ~x.rlike(r"(?:^|\.)0[0-9]")
     made = feistel(F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s * 256 + p), 65536, 65536, secret, F.lit("ip"))
     return F.when(valid, F.concat_ws(".", *(F.pmod(F.shiftright(made, k), F.lit(256)).cast("string") for k in (24, 16, 8, 0))))
 
@@ -102,16 +108,39 @@ def ssn(x: Column, secret: str) -> Column:
     return F.when(valid, F.format_string("%03d-%02d-%04d", at + F.when(at >= 665, 2).otherwise(1), F.pmod(F.floor(made / 9999), F.lit(99)) + 1, F.pmod(made, F.lit(9999)) + 1))
 
 
+def turned_date(x: Column, mark: str, secret: str) -> Column:
+    """Month before day, where only that is a date: the day is 13 or more. These dates are permuted among themselves, as
+    place 0..220 in the year (29 February apart, among the leap years), so no pseudonym reads as day before month."""
+    month, day, year = (F.substring(x, *at).try_cast("int") for at in ((1, 2), (4, 2), (7, 4)))
+    # the places before each month, and one behind December: a month has its days less twelve
+    before = [sum(n - 12 for n in MONTHS[:k]) for k in range(13)]
+    first = F.array(*map(F.lit, before))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last_day = F.when((month == 2) & leap, 29).otherwise(F.get(F.array(*map(F.lit, MONTHS)), month - 1))
+    put = lambda m, d, y: F.format_string(f"%02d{mark}%02d{mark}%04d", m, d, y)
+    made = feistel(((year - TURNED_YEARS[0]) * before[12] + F.get(first, month - 1) + day - 13).cast("long"), TURNED_YEARS[1] - TURNED_YEARS[0] + 1, before[12], secret, F.lit("turned"))
+    place = F.pmod(made, F.lit(before[12])).cast("int")
+    m = F.size(F.filter(first, lambda c: c <= place))
+    plain = put(m, place - F.get(first, m - 1) + 13, F.floor(made / before[12]) + TURNED_YEARS[0])
+    # leap years from 1904 to 2096: 49
+    leaps = put(F.lit(2), F.lit(29), feistel(((year - 1904) / 4).cast("long"), 7, 7, secret, F.lit("leap")) * 4 + 1904)
+    valid = month.between(1, 12) & (day >= 13) & (day <= last_day) & year.between(*TURNED_YEARS)
+    return F.when(valid, F.when((month == 2) & (day == 29), leaps).otherwise(plain))
+
+
 def date(x: Column, secret: str) -> Column:
     """ISO dates, and day before month with / or . (month before day where only that is a date)."""
-    forms = [("-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy"), (".", "MM.dd.yyyy")]
 
     def permuted(form: str) -> Column:
         day = F.datediff(F.try_to_timestamp(x, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
         made = feistel(day, DAY_SIDE, DAY_SIDE, secret, F.lit("date"))
         return F.when(day.between(0, DAY_SIDE**2 - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), made.cast("int")), form))
 
-    return F.coalesce(*(F.when(x.contains(mark), permuted(form)) for mark, form in forms))
+    def by_day(mark: str, form: str) -> Column:
+        only_turned = F.substring(x, 4, 2).try_cast("int") > 12
+        return F.when(only_turned, turned_date(x, mark, secret)).otherwise(permuted(form))
+
+    return F.when(x.contains("-"), permuted("yyyy-MM-dd")).when(x.contains("/"), by_day("/", "dd/MM/yyyy")).otherwise(by_day(".", "dd.MM.yyyy"))
 
 
 def secret_string(x: Column, secret: str) -> Column:
@@ -139,16 +168,17 @@ def is_kind(kind: str):
     return lambda hit: hit.kind == kind
 
 
-def pseudonyms(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
-    """`docs` with personal data in `text` replaced, and the column `_pii`: array of (kind, value, pseudonym).
+def pseudonyms(docs: DataFrame, secret: str, text: str = "text", found: str = "_pii") -> DataFrame:
+    """`docs` with personal data in `text` replaced, and, last, the column `found`: array of (kind, value, pseudonym). If
+    `docs` has a column of that name, underscores are added to ours; all columns of `docs` stay.
 
     Validated numbers and dates are permuted within their format under the key `secret`, so equal values get equal
     pseudonyms in all documents and different ones stay different: cards (Luhn, which the pseudonym passes too), phone
-    numbers (the country code stays), IPv4 addresses, US social security numbers, dates from 1900 to 2101-01-27, and
-    hexadecimal secrets of 32 digits or more. E-mail addresses get a keyed hash. What fails its validation stays as it
+    numbers (the country code stays), IPv4 addresses, US social security numbers, dates from 1900 to 2101-01-27 (to
+    2100 where the month stands first), and hexadecimal secrets of 32 digits or more. E-mail addresses get a keyed hash. What fails its validation stays as it
     is. Null texts stay null; every other column and row is unchanged.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
+    seen = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
 
     def kind_of(x: Column) -> Column:
         tests = {
@@ -161,10 +191,11 @@ def pseudonyms(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
         made = reduce(lambda rest, k: F.when(s.kind == k, KINDS[k](s.value, secret)).otherwise(rest), KINDS, F.lit(None).cast("string"))
         return F.struct(s.kind.alias("kind"), s.value.alias("value"), made.alias("pseudonym"))
 
-    hits = F.transform(F.transform(found, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value"))), replaced)
+    hits = F.transform(F.transform(seen, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value"))), replaced)
     may = F.col(text).rlike("[0-9@]") & F.col(text).rlike(ANY)
     empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    marked = docs.withColumn("_hits", F.when(may, hits).otherwise(empty))
+    held = free_name(docs, "_hits")
+    marked = docs.withColumn(held, F.when(may, hits).otherwise(empty))
     between = F.split(F.col(text), ANY, -1)
-    put = F.array_join(F.zip_with(between, F.col("_hits"), lambda g, h: F.concat(g, F.coalesce(h.pseudonym, h.value, F.lit("")))), "")
-    return marked.withColumn(text, F.when(F.size("_hits") > 0, put).otherwise(F.col(text))).withColumn("_pii", F.filter("_hits", lambda h: h.pseudonym.isNotNull())).drop("_hits")
+    put = F.array_join(F.zip_with(between, F.col(held), lambda g, h: F.concat(g, F.coalesce(h.pseudonym, h.value, F.lit("")))), "")
+    return marked.withColumn(text, F.when(F.size(held) > 0, put).otherwise(F.col(text))).withColumn(free_name(docs, found), F.filter(held, lambda h: h.pseudonym.isNotNull())).drop(held)

@@ -79,6 +79,18 @@ QUERIES = {
 }
 #: The others are beyond SQL (tokenizers, XXH64, models, plans); tests/llm holds them against brute force.
 ORACLES = {
+    "op5_decontaminate": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS nd, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM b),
+lined AS (
+    SELECT doc_id, item_id, p - i AS place, n, least(13, n) AS wide, least(n, nd - (p - i)) - greatest(0, i - p) AS n_words, count(*) AS n_equal, list(i) AS spots
+    FROM dw JOIN bw USING (word) GROUP BY ALL
+), good AS (
+    SELECT * FROM lined WHERE n_equal >= ceil(wide * 0.8) AND n_words >= wide AND list_max(list_transform(spots, lambda x: len(list_filter(spots, lambda y: y >= x AND y < x + wide)))) >= ceil(wide * 0.8)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, place, n_words DESC) AS rank FROM good)
+SELECT doc_id, item_id, place::INT AS place, n_words::INT AS n_words, n_equal::INT AS n_equal, n_equal / n::DOUBLE AS overlap FROM ranked WHERE rank = 1""",
     "op9_embeddings": """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
