@@ -52,7 +52,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = shards.sharded(table(spark, sf_dir, "documents"), 24)
-    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

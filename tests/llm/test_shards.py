@@ -23,7 +23,7 @@ def test_query(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = queries.op8_shards(spark, small).collect()
     holds(rows, docs, 24, 0.25)
-    assert all(r.law == "bytes" and r.grown_shard is None for r in rows)
+    assert all(r.law == "bytes" and r.grown_shard is None and r.map_version == 2 for r in rows)
 
 
 def test_hot_text_is_split_and_others_stay_together(spark):
@@ -51,7 +51,33 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
     assert shards.SlotMap.load(spark, str(tmp_path / "map")) == second and shards.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
 
 
+def test_stored_map_is_edited_not_made_anew(spark, tmp_path):
+    texts = lambda n: spark.range(n).selectExpr("id as doc_id", "concat('text ', id, repeat('z', cast(id % 300 as int)))  as text")
+    path = str(tmp_path / "slots")
+    first = {r.doc_id: r for r in shards.sharded(texts(4000), 6, slots=512, path=path).collect()}
+    assert {r.version for r in first.values()} == {2}
+    again = {r.doc_id: r for r in shards.sharded(texts(4000), 6, slots=512, path=path).collect()}
+    assert {r.version for r in again.values()} == {2} and all(again[d].shard == r.shard for d, r in first.items())
+    more = shards.sharded(texts(6000), 6, slots=512, path=path).collect()
+    holds(more, [(r.doc_id, r.text) for r in texts(6000).collect()], 6, 0.01)
+    assert {r.version for r in more} == {3} and sum(r.doc_id in first and first[r.doc_id].shard != r.shard for r in more) < 1000
+    grown = shards.sharded(texts(6000), 8, slots=512, path=path).collect()
+    holds(grown, [(r.doc_id, r.text) for r in texts(6000).collect()], 8, 0.01)
+    shard = {r.doc_id: r.shard for r in more}
+    assert sum(r.shard != shard[r.doc_id] for r in grown) < 2200 and sum(r.shard != shard[r.doc_id] and r.shard < 6 for r in grown) < 400
+    assert shards.SlotMap.load(spark, path, 1) == shards.SlotMap.even(6, 512)
+
+
+def test_equal_texts_stay_together_unless_split(spark):
+    docs = spark.range(900).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('hot ', 50), concat('text ', id)) as text")
+    for split, n in ((None, 1), (0.25, 4)):
+        rows = shards.sharded(docs, 4, split_over=split).collect()
+        assert len({r.shard for r in rows if r.doc_id % 3 == 0}) == n
+
+
 def test_odd_rows(spark):
+    rows = shards.sharded(odd(spark, True, True), 3).collect()
+    assert len(rows) == len(ODD) + 1
     rows = shards.sharded(odd(spark, True), 3).collect()
     holds(rows, [(r[0], r[1]) for r in ODD], 3, 2)
     assert shards.sharded(empty(spark), 3).count() == 0
