@@ -6,6 +6,8 @@ distances (n,) and parameters (n, 3); the weights sum to one and reproduce linea
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 #: Corner parameters of the volume elements, in the numbering of the element tables.
@@ -23,6 +25,11 @@ FACES = {
 N_VERTICES = {"node": 1, "edge2": 2, "tria3": 3, "quad4": 4, "tetra4": 4, "pyram5": 5, "prism6": 6, "hexa8": 8}
 
 
+def faces_of(kind: str, faces: str | None) -> list[list[int]]:
+    """The faces of a standard cell, or those given (as JSON)."""
+    return FACES.get(kind) or json.loads(faces)
+
+
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1)
 
@@ -112,51 +119,112 @@ def shape(kind: str, u: np.ndarray) -> np.ndarray:
     return np.concatenate([1 - u.sum(axis=1, keepdims=True), u], axis=1)
 
 
+def on_triangle(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights of the corners, closest point, squared distance) on the triangles a, b, c; flat ones count by their sides."""
+    u, v, w = b - a, c - a, p - a
+    uu, uv, vv, wu, wv = dot(u, u), dot(u, v), dot(v, v), dot(w, u), dot(w, v)
+    size = uu * vv - uv * uv
+    good = size > 1e-24 * uu * vv
+    safe = np.where(good, size, 1)
+    s, t = (vv * wu - uv * wv) / safe, (uu * wv - uv * wu) / safe
+    inner = good & (s >= 0) & (t >= 0) & (s + t <= 1)
+    weights = np.stack([1 - s - t, s, t], axis=1)
+    near = a + s[:, None] * u + t[:, None] * v
+    d2 = np.where(inner, dot(p - near, p - near), np.inf)
+    for i, j, x, y in ((0, 1, a, b), (1, 2, b, c), (2, 0, c, a)):
+        along, at, far = on_segment(p, x, y)
+        closer = ~inner & (far < d2)
+        weights[closer] = 0
+        weights[closer, i], weights[closer, j] = 1 - along[closer], along[closer]
+        near[closer], d2[closer] = at[closer], far[closer]
+    return weights, near, d2
+
+
+def on_boundary(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, closest point, squared distance) on the faces of cells; faces of over three corners are fans about their centre."""
+    n, m = v.shape[:2]
+    best_w, best, best_d2 = np.zeros((n, m)), np.zeros((n, 3)), np.full(n, np.inf)
+    for face in faces:
+        middle = np.zeros(m)
+        middle[face] = 1 / len(face)
+        if len(face) == 3:
+            fans = [np.eye(m)[face]]
+        else:
+            fans = [np.stack([np.eye(m)[i], np.eye(m)[j], middle]) for i, j in zip(face, [*face[1:], face[0]], strict=True)]
+        for fan in fans:
+            w, near, d2 = on_triangle(p, *(np.einsum("m,nmk->nk", x, v) for x in fan))
+            closer = d2 < best_d2
+            best_w[closer], best[closer], best_d2[closer] = w[closer] @ fan, near[closer], d2[closer]
+    return best_w, best, best_d2
+
+
 def volume_cell(kind: str, p: np.ndarray, v: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, ...]:
-    """Newton's method for the parameters of a point in a standard cell, cut back to the cell where it lies outside."""
+    """Newton's method for the parameters of a point in a standard cell, in coordinates of the cell's own size; a point
+    outside takes the closest point of the faces. A cell in which the method does not arrive is taken apart into tetrahedra."""
+    n = len(p)
+    centre = v.mean(axis=1)
+    size = np.maximum(np.sqrt(((v - centre[:, None]) ** 2).sum(axis=2)).max(axis=1, initial=0), 1e-300)
+    vs, ps = (v - centre[:, None]) / size[:, None, None], (p - centre) / size[:, None]
     if kind == "tetra4":
-        weights = tetra(p, v)
-        u = weights[:, 1:]
+        weights = tetra(ps, vs)
+        u = weights[:, 1:].copy()
+        lost = np.zeros(n, bool)
     else:
-        u = np.full((len(p), 3), 0.3)
+        u = np.full((n, 3), 0.3)
         for _ in range(rounds):
-            gap = np.einsum("nm,nmk->nk", shape(kind, u), v) - p
-            slope = np.stack([np.einsum("nm,nmk->nk", shape(kind, u + h) - shape(kind, u - h), v) / 2e-6 for h in np.eye(3) * 1e-6], axis=2)
-            bad = np.abs(np.linalg.det(slope)) < 1e-14
+            gap = np.einsum("nm,nmk->nk", shape(kind, u), vs) - ps
+            slope = np.stack([np.einsum("nm,nmk->nk", shape(kind, u + h) - shape(kind, u - h), vs) / 2e-6 for h in np.eye(3) * 1e-6], axis=2)
+            bad = ~(np.abs(np.linalg.det(slope)) >= 1e-9)
             slope[bad] = np.eye(3)
             move = np.linalg.solve(slope, gap[..., None])[..., 0]
             u = np.clip(u - np.clip(move, -0.5, 0.5), -5, 0.999999 if kind == "pyram5" else 5)
-            if not len(u) or np.abs(move).max() < 1e-13:
+            if not n or np.abs(move).max() < 1e-13:
                 break
         weights = shape(kind, u)
-    cut = np.clip(u, 0, 1)
-    if kind in ("tetra4", "prism6"):
-        side = cut if kind == "tetra4" else cut[:, :2]
-        side /= np.maximum(1, side.sum(axis=1, keepdims=True))
-    if kind == "pyram5":
-        cut[:, :2] = np.minimum(cut[:, :2], 1 - cut[:, 2:])
-    outside = ~((weights >= -1e-12).all(axis=1) & (weights <= 1 + 1e-12).all(axis=1))
-    weights = np.where(outside[:, None], shape(kind, cut), weights)
-    near = np.einsum("nm,nmk->nk", weights, v)
-    return weights, near, np.where(outside, dot(p - near, p - near), 0.0), np.where(outside[:, None], cut, u)
-
-
-def polyhedron(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, ...]:
-    """One star-shaped polyhedron: the tetrahedra between its centre and the fans about its face centres."""
-    m = v.shape[1]
-    centre = np.full(m, 1 / m)
-    corners = []
+        gap = np.einsum("nm,nmk->nk", weights, vs) - ps
+        lost = ~(dot(gap, gap) < 1e-18)
+    inside = (weights >= -1e-12).all(axis=1) & (weights <= 1 + 1e-12).all(axis=1) & ~lost
+    near, d2 = np.where(inside[:, None], p, 0.0), np.zeros(n)
+    k = np.flatnonzero(~inside)
+    if len(k):
+        weights[k], near[k], d2[k] = on_boundary(p[k], v[k], FACES[kind])
+        u[k] = np.clip(np.nan_to_num(u[k]), 0, 1)
+    k = np.flatnonzero(lost)
+    if len(k) and kind != "tetra4":
+        in_parts, w, at = within_parts(p[k], v[k], FACES[kind])
+        k = k[in_parts]
+        weights[k], near[k], d2[k] = w[in_parts], at[in_parts], 0.0
+    return weights, near, d2, u
+
+
+def within_parts(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, weights, place) by the tetrahedra between the centre of star-shaped cells and the fans about their face centres."""
+    n, m = v.shape[:2]
+    inside, weights = np.zeros(n, bool), np.zeros((n, m))
+    best = np.full(n, np.inf)
     for face in faces:
         middle = np.zeros(m)
         middle[face] = 1 / len(face)
-        corners += [np.stack([centre, middle, np.eye(m)[a], np.eye(m)[b]]) for a, b in zip(face, [*face[1:], face[0]], strict=True)]
-    best = None
-    for c in corners:
-        w, near, d2, u = volume_cell("tetra4", p, np.einsum("jm,nmk->njk", c, v))
-        d2 = np.where(np.isnan(d2), np.inf, d2)
-        made = (w @ c, near, d2, u)
-        best = made if best is None else tuple(np.where((d2 < best[2]).reshape(-1, *[1] * (x.ndim - 1)), x, y) for x, y in zip(made, best, strict=True))
-    return best
+        for a, b in zip(face, [*face[1:], face[0]], strict=True):
+            corners = np.stack([np.full(m, 1 / m), middle, np.eye(m)[a], np.eye(m)[b]])
+            t = np.einsum("jm,nmk->njk", corners, v)
+            size = np.maximum(np.abs(t - t[:, :1]).max(axis=(1, 2)), 1e-300)
+            w = tetra((p - t[:, 0]) / size[:, None], (t - t[:, :1]) / size[:, None, None])
+            out = np.where(np.isnan(w).any(axis=1), np.inf, -w.min(axis=1, initial=0))
+            better = (out < 1e-10) & (out < best)
+            inside |= better
+            best[better], weights[better] = out[better], w[better] @ corners
+    return inside, weights, np.einsum("nm,nmk->nk", weights, v)
+
+
+def polyhedron(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """Star-shaped polyhedra of one set of faces: the tetrahedra about the centre, else the closest point of the faces."""
+    inside, weights, near = within_parts(p, v, faces)
+    d2 = np.zeros(len(p))
+    k = np.flatnonzero(~inside)
+    if len(k):
+        weights[k], near[k], d2[k] = on_boundary(p[k], v[k], faces)
+    return weights, near, d2, np.zeros((len(p), 3))
 
 
 def located(kind: str, p: np.ndarray, v: np.ndarray, faces: list[list[int]] | None = None) -> tuple[np.ndarray, ...]:
@@ -278,76 +346,106 @@ def ear_clip(flat: np.ndarray) -> list[tuple[int, int, int]]:
     return [*out, tuple(places)] if len(places) == 3 else out
 
 
-def clip_polygon(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of a polygon (m, 2) inside a convex counter-clockwise window (k, 2)."""
-    out = subject
-    for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        ahead, nxt = np.roll(side, -1), np.roll(out, -1, axis=0)
-        made = []
-        for s, t, p, q in zip(side, ahead, out, nxt, strict=True):
-            if s >= 0:
-                made.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                made.append(p + (q - p) * (s / (s - t)))
-        out = np.array(made).reshape(-1, 2)
-    return out
-
-
-def area(polygon_2d: np.ndarray) -> float:
-    if len(polygon_2d) < 3:
-        return 0.0
-    x, y = polygon_2d.T
-    return 0.5 * abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()))
-
-
-def clip_tetra(tetras: list[np.ndarray], point: np.ndarray, normal: np.ndarray) -> list[np.ndarray]:
-    """The parts of tetrahedra (4, 3) on the inner side of a plane with an outward normal."""
-    out = []
-    for t in tetras:
-        side = (t - point) @ normal
-        inner, outer = np.flatnonzero(side <= 0), np.flatnonzero(side > 0)
-        cut = lambda i, j, t=t, side=side: t[i] + (t[j] - t[i]) * (side[i] / (side[i] - side[j]))
-        if len(outer) == 0:
-            out.append(t)
-        elif len(inner) == 1:
-            a = inner[0]
-            out.append(np.array([t[a], *(cut(a, b) for b in outer)]))
-        elif len(inner) == 3:
-            d, (a, b, c) = outer[0], inner
-            x, y, z = (cut(i, d) for i in (a, b, c))
-            out += [np.array([t[a], t[b], t[c], x]), np.array([t[b], t[c], x, y]), np.array([t[c], x, y, z])]
-        elif len(inner) == 2:
-            (a, b), (c, d) = inner, outer
-            p, q, r, s = cut(a, c), cut(a, d), cut(b, c), cut(b, d)
-            out += [np.array([t[a], p, q, t[b]]), np.array([p, q, t[b], s]), np.array([p, t[b], r, s])]
-    return out
-
-
-def tetra_volume(t: np.ndarray) -> float:
-    return abs(float(np.linalg.det(t[1:] - t[0]))) / 6
-
-
-def to_tetras(v: np.ndarray, faces: list[list[int]]) -> list[np.ndarray]:
-    """A star-shaped cell as tetrahedra about its centre."""
-    centre, out = v.mean(axis=0), []
+def clipped_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Areas (n,) of the triangles `subject` (n, 3, 2) within the counter-clockwise triangles `window` (n, 3, 2)."""
+    n = len(subject)
+    points, count = subject, np.full(n, 3)
+    for k in range(3):
+        m = points.shape[1]
+        if not n or not m:
+            return np.zeros(n)
+        a, b = window[:, k, None], window[:, (k + 1) % 3, None]
+        side = (b[..., 0] - a[..., 0]) * (points[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (points[..., 0] - a[..., 0])
+        real = np.arange(m) < count[:, None]
+        after = np.where(np.arange(m) + 1 < count[:, None], np.arange(m) + 1, 0)
+        ahead = np.take_along_axis(side, after, axis=1)
+        following = np.take_along_axis(points, after[..., None], axis=1)
+        crossing = real & ((side > 0) & (ahead < 0) | (side < 0) & (ahead > 0))
+        share = np.divide(side, side - ahead, out=np.zeros_like(side), where=crossing)
+        made = np.stack([points, points + share[..., None] * (following - points)], axis=2).reshape(n, 2 * m, 2)
+        kept = np.stack([real & (side >= 0), crossing], axis=2).reshape(n, 2 * m)
+        order = np.argsort(~kept, axis=1, kind="stable")
+        count = kept.sum(axis=1)
+        points = np.take_along_axis(made, order[..., None], axis=1)[:, : count.max(initial=0)]
+    m = points.shape[1]
+    if not m:
+        return np.zeros(n)
+    x, y = (np.where(np.arange(m) < count[:, None], points[..., i], points[:, :1, i]) for i in (0, 1))
+    return 0.5 * np.abs((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1))
+
+
+def clip_tetras(tetras: np.ndarray, owner: np.ndarray, point: np.ndarray, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of tetrahedra (n, 4, 3) on the inner side of their owners' planes (point, outward normal), with their owners."""
+    side = np.einsum("njk,nk->nj", tetras - point[owner][:, None], normal[owner])
+    order = np.argsort(side > 0, axis=1, kind="stable")  # inner corners first
+    t, side = np.take_along_axis(tetras, order[..., None], axis=1), np.take_along_axis(side, order, axis=1)
+    inner = (side <= 0).sum(axis=1)
+    parts, owners = [t[inner == 4]], [owner[inner == 4]]
+
+    def cut(k: np.ndarray, i: int, j: int) -> np.ndarray:
+        return t[k, i] + (t[k, j] - t[k, i]) * (side[k, i] / (side[k, i] - side[k, j]))[:, None]
+
+    for many, pieces in (
+        (1, lambda c, k: [[t[k, 0], c(0, 1), c(0, 2), c(0, 3)]]),
+        (2, lambda c, k: [[t[k, 0], c(0, 2), c(0, 3), t[k, 1]], [c(0, 2), c(0, 3), t[k, 1], c(1, 3)], [c(0, 2), t[k, 1], c(1, 2), c(1, 3)]]),
+        (3, lambda c, k: [[t[k, 0], t[k, 1], t[k, 2], c(0, 3)], [t[k, 1], t[k, 2], c(0, 3), c(1, 3)], [t[k, 2], c(0, 3), c(1, 3), c(2, 3)]]),
+    ):
+        k = np.flatnonzero(inner == many)
+        for piece in pieces(lambda i, j, k=k: cut(k, i, j), k) if len(k) else ():
+            parts.append(np.stack(piece, axis=1))
+            owners.append(owner[k])
+    return np.concatenate(parts), np.concatenate(owners)
+
+
+def tetra_volumes(t: np.ndarray) -> np.ndarray:
+    return np.abs(np.linalg.det(t[:, 1:] - t[:, :1])) / 6 if len(t) else np.zeros(0)
+
+
+def to_tetras(v: np.ndarray, faces: list[list[int]]) -> np.ndarray:
+    """Star-shaped cells (n, m, 3) of one set of faces as tetrahedra (n, parts, 4, 3) about their centres; tetrahedra stay."""
+    if v.shape[1] == 4:
+        return v[:, None]
+    centre, out = v.mean(axis=1), []
     for face in faces:
         if len(face) == 3:
-            out.append(np.array([centre, *v[face]]))
+            out.append(np.stack([centre, *(v[:, i] for i in face)], axis=1))
         else:
-            middle = v[face].mean(axis=0)
-            out += [np.array([centre, middle, v[a], v[b]]) for a, b in zip(face, [*face[1:], face[0]], strict=True)]
+            middle = v[:, face].mean(axis=1)
+            out += [np.stack([centre, middle, v[:, a], v[:, b]], axis=1) for a, b in zip(face, [*face[1:], face[0]], strict=True)]
+    return np.stack(out, axis=1)
+
+
+def outer_planes(v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, outward normals, convex) of the faces of cells (n, m, 3): convex cells have flat faces with all corners behind them."""
+    middle = v.mean(axis=1)
+    points = np.stack([v[:, f].mean(axis=1) for f in faces], axis=1)
+    normals = np.stack([newell(v[:, f]) for f in faces], axis=1)
+    size = np.sqrt(dot(normals, normals))
+    normals = normals / np.maximum(size, 1e-300)[..., None]
+    normals *= np.where(dot(normals, points - middle[:, None]) < 0, -1, 1)[..., None]
+    scale = np.abs(v - middle[:, None]).max(axis=(1, 2))
+    above = np.einsum("nfk,nfmk->nfm", normals, v[:, None] - points[:, :, None]).max(axis=(1, 2))
+    flat = np.stack([np.abs(np.einsum("nk,nmk->nm", normals[:, i], v[:, f] - points[:, i, None])).max(axis=1) for i, f in enumerate(faces)], axis=1).max(axis=1)
+    return points, normals, (above <= 1e-12 * scale) & (flat <= 1e-12 * scale) & (size > 0).all(axis=1)
+
+
+def overlap_volumes(a: np.ndarray, fa: list[list[int]], b: np.ndarray, fb: list[list[int]]) -> np.ndarray:
+    """Common volumes of pairs of star-shaped cells, convex or not."""
+    n = len(a)
+    points, normals, convex = outer_planes(b, fb)
+    out = np.zeros(n)
+
+    def clipped(tetras: np.ndarray, owner: np.ndarray, points: np.ndarray, normals: np.ndarray, pair: np.ndarray) -> None:
+        for k in range(points.shape[1]):
+            tetras, owner = clip_tetras(tetras, owner, points[:, k], normals[:, k])
+        np.add.at(out, pair[owner], tetra_volumes(tetras))
+
+    parts = to_tetras(a, fa)
+    k = np.flatnonzero(convex)
+    clipped(parts[k].reshape(-1, 4, 3), np.repeat(np.arange(len(k)), parts.shape[1]), points[k], normals[k], k)
+    k = np.flatnonzero(~convex)
+    others = to_tetras(b[k], fb)
+    for i in range(others.shape[1] if len(k) else 0):
+        p, q, _ = outer_planes(others[:, i], FACES["tetra4"])
+        clipped(parts[k].reshape(-1, 4, 3), np.repeat(np.arange(len(k)), parts.shape[1]), p, q, k)
     return out
-
-
-def overlap_volume(a: np.ndarray, fa: list[list[int]], b: np.ndarray, fb: list[list[int]]) -> float:
-    """Common volume of two cells, the second one convex."""
-    parts, middle = to_tetras(a, fa), b.mean(axis=0)
-    for face in fb:
-        normal = np.cross(b[face[1]] - b[face[0]], b[face[2]] - b[face[0]])
-        if normal @ (middle - b[face[0]]) > 0:
-            normal = -normal
-        parts = clip_tetra(parts, b[face[0]], normal)
-    return sum(map(tetra_volume, parts))

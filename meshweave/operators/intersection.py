@@ -6,15 +6,16 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.functions import shapes
 from meshweave.operators.candidates import AXES, boxes_meeting, inflated
+from meshweave.operators.location import FLAT_TYPES, flat_columns, groups, rows_of
 
-FLAT = ("tria3", "quad4", "poly2d")
 OVERLAP = "tgt_gnum long, src_gnum long, volume double"
+CUT = "gnum long, sub int, corners array<double>"
 
 
 def box_overlap(sources: DataFrame, targets: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -24,44 +25,87 @@ def box_overlap(sources: DataFrame, targets: DataFrame, axes: tuple[str, ...] =
     return pairs.select(F.col("gnum").alias("tgt_gnum"), F.col("r_gnum").alias("src_gnum"), reduce(lambda p, q: p * q, sides).alias("volume")).where("volume > 0")
 
 
-def flattened(v: np.ndarray, frame: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    origin, first, second = frame
-    return np.stack([(v - origin) @ first, (v - origin) @ second], axis=1)
+def planes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two axes (n, 3) of the mean planes of polygons (n, m, 3), which run counter-clockwise in them."""
+    normal = shapes.newell(v)
+    normal /= np.maximum(np.sqrt(shapes.dot(normal, normal)), 1e-300)[:, None]
+    first = v[:, 1] - v[:, 0]
+    first = first - shapes.dot(first, normal)[:, None] * normal
+    first /= np.maximum(np.sqrt(shapes.dot(first, first)), 1e-300)[:, None]
+    return first, np.cross(normal, first)
 
 
-def plane(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre and two axes of the mean plane; the polygon runs counter-clockwise in them."""
-    normal = shapes.newell(v[None])[0]
-    normal /= max(np.sqrt(normal @ normal), 1e-300)
-    first = v[1] - v[0]
-    first = first - (first @ normal) * normal
-    first /= max(np.sqrt(first @ first), 1e-300)
-    return v.mean(axis=0), first, np.cross(normal, first)
+def flattened(v: np.ndarray, origin: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    away = v - origin[:, None]
+    return np.stack([np.einsum("nmk,nk->nm", away, first), np.einsum("nmk,nk->nm", away, second)], axis=2)
 
 
-def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def ears(v: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """The triangles (places) of each polygon (n, m, 3): itself, or ears cut off in its mean plane; quads that are convex take a diagonal."""
+    m = v.shape[1]
+    if m == 3:
+        return [[(0, 1, 2)]] * len(v)
+    flat = flattened(v, v.mean(axis=1), *planes(v))
+    before, after = np.roll(flat, 1, axis=1), np.roll(flat, -1, axis=1)
+    turn = (flat[..., 0] - before[..., 0]) * (after[..., 1] - flat[..., 1]) - (flat[..., 1] - before[..., 1]) * (after[..., 0] - flat[..., 0])
+    plain = (turn > 0).all(axis=1) if m == 4 else np.zeros(len(v), bool)
+    return [[(0, 1, 2), (0, 2, 3)] if easy else shapes.ear_clip(x) for easy, x in zip(plain, flat, strict=True)]
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Polygons as the coordinates of their triangles."""
+    for batch in batches:
+        gnums, subs, corners = [], [], [np.empty((0, 9))]
+        gnum = batch.column("gnum").to_numpy()
+        for _, rows in groups(batch, ()):
+            v = rows_of(batch, "flat", rows).reshape(len(rows), -1, 3)
+            for i, triangles in enumerate(ears(v)):
+                corners.append(v[i][np.array(triangles)].reshape(-1, 9))
+                gnums += [gnum[rows[i]]] * len(triangles)
+                subs += range(len(triangles))
+        flat = np.concatenate(corners)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 9, pa.int32()), pa.array(flat.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(gnums, pa.int64()), pa.array(subs, pa.int32()), lists], ["gnum", "sub", "corners"])
+
+
+def triangles_of(cells: DataFrame) -> DataFrame:
+    """(gnum, sub, corners, xmin .. zmax): the triangles of surface cells; a cell is cut once, not once for each pair."""
+    made = cells.select("gnum", *flat_columns()).mapInArrow(cut, CUT)
+    ends = {f"{a}{e}": f(*(F.get("corners", F.lit(3 * i + k)) for i in range(3))) for k, a in enumerate(AXES) for e, f in (("min", F.least), ("max", F.greatest))}
+    return made.withColumns(ends)
+
+
+def triangle_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every = np.arange(batch.num_rows)
+        t, s = (rows_of(batch, c, every).reshape(-1, 3, 3) for c in ("corners", "r_corners"))
+        first, second = planes(t) if len(t) else (np.empty((0, 3)),) * 2
+        window, subject = (flattened(x, t[:, 0], first, second) for x in (t, s))
+        area = shapes.clipped_areas(subject, window)
+        yield pa.RecordBatch.from_arrays([batch.column("gnum"), batch.column("r_gnum"), pa.array(area)], ["tgt_gnum", "src_gnum", "volume"])
+
+
+def volume_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = []
-        for row in batch.itertuples(index=False):
-            t, s = (np.array([(x["x"], x["y"], x["z"]) for x in v], float) for v in (row.vtx, row.r_vtx))
-            if row.elt_type in FLAT:
-                frame = plane(t)
-                window, subject = flattened(t, frame), flattened(s, frame)
-                fans = [window] if len(window) < 5 else [window[[0, i, i + 1]] for i in range(1, len(window) - 1)]
-                made.append(sum(shapes.area(shapes.clip_polygon(subject, w)) for w in fans))
-            else:
-                faces = [shapes.FACES.get(k) or [list(f) for f in own] for k, own in ((row.r_elt_type, row.r_faces), (row.elt_type, row.faces))]
-                made.append(shapes.overlap_volume(s, faces[0], t, faces[1]))
-        yield pd.DataFrame({"tgt_gnum": batch.gnum, "src_gnum": batch.r_gnum, "volume": np.array(made, float)})
+        made = np.zeros(batch.num_rows)
+        for (kind, faces, other, r_faces), rows in groups(batch, ("elt_type", "faces", "r_elt_type", "r_faces"), ("flat", "r_flat")):
+            t, s = (rows_of(batch, c, rows).reshape(len(rows), -1, 3) for c in ("flat", "r_flat"))
+            made[rows] = shapes.overlap_volumes(s, shapes.faces_of(other, r_faces), t, shapes.faces_of(kind, faces))
+        yield pa.RecordBatch.from_arrays([batch.column("gnum"), batch.column("r_gnum"), pa.array(made)], ["tgt_gnum", "src_gnum", "volume"])
 
 
 def overlap(sources: DataFrame, targets: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """(tgt_gnum, src_gnum, volume): the common area or volume of each pair of cells that overlap, not normalised.
 
-    Target polygons are convex, or fans of their first vertex; target cells are convex. Surfaces are compared in the
-    target's mean plane.
+    Surface cells of any shape are cut into triangles, and each pair of triangles is compared in the target's plane;
+    volume cells are star-shaped, convex or not. Cells of the other dimension take no part.
     """
-    columns = ("gnum", "elt_type", "vtx", "faces", *(f"{a}{e}" for a in AXES for e in ("min", "max")))
-    own, other = (inflated(x.select(*columns), tolerance, True) for x in (targets, sources))
-    pairs = boxes_meeting(own, other).select("gnum", "elt_type", "vtx", "faces", "r_gnum", "r_elt_type", "r_vtx", "r_faces")
-    return pairs.mapInPandas(kernel, OVERLAP).where("volume > 0")
+    flat = F.col("elt_type").isin(*FLAT_TYPES)
+    own, other = (inflated(triangles_of(x.where(flat)), tolerance, True) for x in (targets, sources))
+    areas = boxes_meeting(own, other).select("gnum", "corners", "r_gnum", "r_corners").mapInArrow(triangle_pairs, OVERLAP).where("volume > 0")
+    surfaces = areas.groupBy("tgt_gnum", "src_gnum").agg(F.sum("volume").alias("volume"))
+    bounds = [f"{a}{e}" for a in AXES for e in ("min", "max")]
+    solid = F.col("elt_type").isin("tetra4", "pyram5", "prism6", "hexa8", "poly3d")
+    own, other = (x.where(solid).select("gnum", *flat_columns(), *bounds) for x in (targets, sources))
+    pairs = boxes_meeting(own, other).select("gnum", "elt_type", "flat", "faces", "r_gnum", "r_elt_type", "r_flat", "r_faces")
+    return surfaces.unionByName(pairs.mapInArrow(volume_pairs, OVERLAP).where("volume > 0"))

@@ -3,42 +3,85 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.functions import shapes
-from meshweave.operators.candidates import AXES, boxes_meeting, inflated, points_in_boxes
+from meshweave.operators.candidates import AXES, boxes_meeting, cell_of, inflated, points_in_boxes, widest
 from meshweave.operators.nearest import nearest
 
 #: Element types by name with a locating function of their own: (points, vertices, order) to weights, projection, dist2, parameters.
 USER_ELEMENTS: dict[str, Callable] = {}
 
 LOCATED = "tgt_gnum long, src_gnum long, nodes array<long>, weights array<double>, dist2 double, proj array<double>, uvw array<double>"
+FLAT_TYPES = ("tria3", "quad4", "poly2d")
+
+
+def flat_columns() -> list[Column]:
+    """What the kernels take of a cell: type, order, vertex numbers, coordinates end to end and, for polyhedra, faces as JSON."""
+    flat = F.flatten(F.transform("vtx", lambda v: F.array(v.x, v.y, v.z)))
+    faces = F.when(F.col("elt_type") == "poly3d", F.to_json("faces"))
+    return [F.col("elt_type"), F.col("order"), F.transform("vtx", lambda v: v.gnum).alias("nodes"), flat.alias("flat"), faces.alias("faces")]
+
+
+def groups(batch: pa.RecordBatch, by: tuple[str, ...], lists: tuple[str, ...] = ("flat",)) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The rows of a batch with equal values of `by` and equal lengths of `lists`: (values of `by`, rows)."""
+    codes = [batch.column(c).dictionary_encode() for c in by]
+    parts = [np.asarray(pc.fill_null(c.indices, -1)) for c in codes] + [np.asarray(pc.fill_null(pc.list_value_length(batch.column(c)), 0)) for c in lists]
+    if not batch.num_rows:
+        return
+    _, place = np.unique(np.stack(parts, axis=1), axis=0, return_inverse=True)
+    place = place.ravel()
+    order = np.argsort(place, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        yield tuple(batch.column(c)[int(rows[0])].as_py() for c in by), rows
+
+
+def rows_of(batch: pa.RecordBatch, column: str, rows: np.ndarray) -> np.ndarray:
+    """Lists of one length of the given rows as an array (rows, length)."""
+    picked = batch.column(column).take(pa.array(rows))
+    return picked.flatten().to_numpy().reshape(len(rows), -1)
+
+
+def listed(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def worked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Candidate pairs, together by element type, order, number of vertices and faces: (rows of the batch, results)."""
+    for (kind, order, faces), rows in groups(batch, ("elt_type", "order", "faces")):
+        v = rows_of(batch, "flat", rows).reshape(len(rows), -1, 3)
+        at = pa.array(rows)
+        p = np.stack([batch.column(a).take(at).to_numpy() for a in AXES], axis=1)
+        if kind in USER_ELEMENTS:
+            made = USER_ELEMENTS[kind](p, v, order)
+        elif kind.startswith("ho_"):
+            made = shapes.ho_located(kind, order, p, v)
+        elif kind == "poly3d":
+            made = shapes.polyhedron(p, v, shapes.faces_of(kind, faces))
+        else:
+            made = shapes.located(kind, p, v)
+        weights, near, d2, u = made
+        known = [batch.column(c).take(at) for c in ("tgt_gnum", "src_gnum", "nodes")]
+        yield rows, pa.RecordBatch.from_arrays([*known, listed(weights), pa.array(d2), listed(near), listed(u)], ["tgt_gnum", "src_gnum", "nodes", "weights", "dist2", "proj", "uvw"])
+
+
+def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (made for _, made in worked(batch))
 
 
-def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs, worked on together by element type, order and number of vertices."""
+def kernel_within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs those at a squared distance of at most reach2; the others are not sent back."""
     for batch in batches:
-        out = []
-        sizes = batch.vtx.map(len)
-        for (kind, order, _), group in batch.groupby(["elt_type", "order", sizes], sort=False):
-            v = np.array([[(s["x"], s["y"], s["z"]) for s in x] for x in group.vtx], float)
-            p = group[["x", "y", "z"]].to_numpy(float)
-            if kind in USER_ELEMENTS:
-                made = USER_ELEMENTS[kind](p, v, order)
-            elif kind.startswith("ho_"):
-                made = shapes.ho_located(kind, order, p, v)
-            elif kind == "poly3d":
-                single = [shapes.polyhedron(p[i : i + 1], v[i : i + 1], [list(f) for f in faces]) for i, faces in enumerate(group.faces)]
-                made = tuple(np.concatenate(x) for x in zip(*single, strict=True))
-            else:
-                made = shapes.located(kind, p, v)
-            weights, near, d2, u = made
-            out.append(pd.DataFrame({"tgt_gnum": group.tgt_gnum, "src_gnum": group.src_gnum, "nodes": [[s["gnum"] for s in x] for x in group.vtx], "weights": weights.tolist(), "dist2": d2, "proj": near.tolist(), "uvw": u.tolist()}))
-        yield pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in LOCATED.split(", ")})
+        reach = batch.column("reach2").to_numpy()
+        for rows, made in worked(batch):
+            yield made.filter(pa.array(made.column("dist2").to_numpy() <= reach[rows]))
 
 
 def winners(pairs: DataFrame) -> DataFrame:
@@ -48,38 +91,61 @@ def winners(pairs: DataFrame) -> DataFrame:
 
 
 def evaluated(pairs: DataFrame) -> DataFrame:
-    return pairs.select("tgt_gnum", "src_gnum", "x", "y", "z", "elt_type", "order", "vtx", "faces").mapInPandas(kernel, LOCATED)
+    return pairs.select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces").mapInArrow(kernel, LOCATED)
+
+
+def boxed(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("gnum").alias("src_gnum"), *flat_columns(), *(f"{a}{e}" for a in AXES for e in ("min", "max")))
+
+
+def placed(points: DataFrame) -> DataFrame:
+    return points.select(F.col("gnum").alias("tgt_gnum"), *(F.col(a).cast("double").alias(a) for a in AXES))
 
 
 def locate(targets: DataFrame, cells: DataFrame, tolerance: float = 1e-3, every: bool = False) -> DataFrame:
     """A mapping of targets (gnum, x, y, z) to cells, as in mesh.cells(): the containing one, else the closest within the
     tolerance (a share of the cell's extent). With `every`, targets beyond all cells go to the cell that is closest.
 
-    Candidates come from a bucket join of points and inflated boxes; cells travel as their vertices. Ties on a shared
-    face go to the smallest cell number.
+    Candidates come from a bucket join of points and inflated boxes; cells travel as flat arrays. Ties on a shared face
+    go to the smallest cell number.
     """
-    flat = F.col("elt_type").isin("node", "edge2", "tria3", "quad4", "poly2d", "ho_edge", "ho_tria", "ho_quad")
-    boxed = cells.select(F.col("gnum").alias("src_gnum"), "elt_type", "order", "vtx", "faces", *(f"{a}{e}" for a in AXES for e in ("min", "max")))
-    boxes = inflated(boxed.where(flat), tolerance, True).unionByName(inflated(boxed.where(~flat), tolerance, False))
-    own = targets.select(F.col("gnum").alias("tgt_gnum"), *(F.col(a).cast("double").alias(a) for a in AXES))
-    widest = F.greatest(*(F.col(f"{a}max") - F.col(f"{a}min") for a in AXES))
-    found = evaluated(points_in_boxes(own, boxes))
-    extent = boxed.select("src_gnum", widest.alias("extent"))
-    near = winners(found.join(extent, "src_gnum").where(F.col("dist2") <= F.pow(F.greatest(F.col("extent") * tolerance, F.lit(1e-30)), 2)).drop("extent"))
+    flat = F.col("elt_type").isin("node", "edge2", "ho_edge", "ho_tria", "ho_quad", *FLAT_TYPES)
+    every_cell = boxed(cells).withColumn("extent", widest(AXES))
+    boxes = inflated(every_cell.where(flat), tolerance, True).unionByName(inflated(every_cell.where(~flat), tolerance, False))
+    own = placed(targets)
+    reach = F.pow(F.greatest(F.col("extent") * tolerance, F.lit(1e-30)), 2)
+    pairs = points_in_boxes(own, boxes).withColumn("reach2", reach)
+    found = pairs.select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces", "reach2")
+    near = winners(found.mapInArrow(kernel_within_reach, LOCATED))
     if not every:
         return near
     rest = own.join(near.select("tgt_gnum"), "tgt_gnum", "left_anti").withColumnRenamed("tgt_gnum", "gnum")
     return near.unionByName(closest(rest, cells))
 
 
+#: Cells are gathered in groups of this many mean extents, which far targets meet before they meet any cell.
+GROUP = 16
+
+
 def closest(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """A mapping of every target to its closest cell, however far.
 
-    The nearest vertex bounds the distance; every cell whose box meets the ball of that radius is then compared.
+    The nearest vertex bounds the distance. The ball of that radius is compared with the boxes of whole groups of
+    neighbouring cells first, then with the boxes of the cells of the groups it meets, so a far target does not meet
+    them all.
     """
     corners = cells.select(F.explode("vtx").alias("v")).select(F.col("v.gnum").alias("gnum"), "v.x", "v.y", "v.z").distinct()
     reach = nearest(targets, corners, 1).select(F.col("q_gnum").alias("tgt_gnum"), *(F.col(f"q{a}").alias(a) for a in AXES), (F.sqrt("dist2") * (1 + 1e-12) + 1e-300).alias("r"))
     balls = reach.withColumns({f"{a}min": F.col(a) - F.col("r") for a in AXES} | {f"{a}max": F.col(a) + F.col("r") for a in AXES})
-    boxed = cells.select(F.col("gnum").alias("src_gnum"), "elt_type", "order", "vtx", "faces", *(f"{a}{e}" for a in AXES for e in ("min", "max")))
-    pairs = boxes_meeting(balls, boxed)
-    return winners(evaluated(pairs.select("tgt_gnum", "x", "y", "z", *(F.col(f"r_{c}").alias(c) for c in ("src_gnum", "elt_type", "order", "vtx", "faces")))))
+    step = (cells.agg(F.avg(widest(AXES))).first()[0] or 1.0) * GROUP
+    grouped = boxed(cells).withColumn("group", F.struct(*(cell_of(F.col(f"{a}min"), step).alias(a) for a in AXES)))
+    ends = [(f"{a}{e}", f) for a in AXES for e, f in (("min", F.min), ("max", F.max))]
+    whole = grouped.groupBy("group").agg(*(f(c).alias(c) for c, f in ends))
+
+    def meets(prefix: str) -> Column:
+        gaps = (F.greatest(F.col(f"{prefix}{a}min") - F.col(a), F.col(a) - F.col(f"{prefix}{a}max"), F.lit(0.0)) for a in AXES)
+        return reduce(lambda p, q: p + q, (g * g for g in gaps)) <= F.col("r") * F.col("r")
+
+    some = boxes_meeting(balls, whole).where(meets("r_")).select("tgt_gnum", *AXES, "r", F.col("r_group").alias("group"))
+    pairs = some.join(grouped.withColumnsRenamed({c: f"c_{c}" for c, _ in ends}), "group").where(meets("c_"))
+    return winners(evaluated(pairs))

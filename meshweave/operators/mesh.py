@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -73,7 +73,8 @@ def gnum_from_adjacency(rows: DataFrame, parents: list[str]) -> DataFrame:
 
 def gnum_of_subentities(rows: DataFrame, parent: str = "gnum", count: str = "n_sub") -> DataFrame:
     """(parent, sub, sub_gnum): each entity's `count` parts numbered one after the other, in the order of the parents."""
-    whole = numbered(rows.select(F.col(parent).alias("_p"), F.explode(F.sequence(F.lit(1), F.col(count))).alias("sub")).where("sub > 0"), ["_p", "sub"], "sub_gnum")
+    listed = rows.where(F.col(count) > 0).select(F.col(parent).alias("_p"), F.explode(F.sequence(F.lit(1), F.col(count))).alias("sub"))
+    whole = numbered(listed, ["_p", "sub"], "sub_gnum")
     return whole.select(F.col("_p").alias(parent), "sub", "sub_gnum")
 
 
@@ -183,33 +184,58 @@ def triangulated(elements: DataFrame, vertices: DataFrame | None = None) -> Data
 
 def cut_to_triangles(cell_table: DataFrame) -> DataFrame:
     """Polygons of any shape, with their vertices (cells()), as triangles (gnum, sub, connec), by ears in the mean plane."""
-    from meshweave.operators.intersection import flattened, plane
+    from meshweave.operators.intersection import ears
+    from meshweave.operators.location import flat_columns, groups, rows_of
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for gnum, vtx in zip(batch.gnum, batch.vtx, strict=True):
-                v = np.array([(p["x"], p["y"], p["z"]) for p in vtx], float)
-                names = [p["gnum"] for p in vtx]
-                rows += [(gnum, k, [names[i] for i in t]) for k, t in enumerate(shapes.ear_clip(flattened(v, plane(v))))]
-            yield pd.DataFrame(rows, columns=["gnum", "sub", "connec"])
+            gnum = batch.column("gnum").to_numpy()
+            for _, rows in groups(batch, ()):
+                names = rows_of(batch, "nodes", rows)
+                cut = ears(rows_of(batch, "flat", rows).reshape(len(rows), -1, 3))
+                out = [(gnum[r], k, list(names[i, list(t)])) for i, r in enumerate(rows) for k, t in enumerate(cut[i])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["gnum", "sub", "connec"])
 
-    return cell_table.select("gnum", "vtx").mapInPandas(run, "gnum long, sub int, connec array<long>")
+    return cell_table.select("gnum", *flat_columns()).mapInArrow(run, "gnum long, sub int, connec array<long>")
 
 
-def tessellated(cell_table: DataFrame) -> DataFrame:
-    """Volume cells as tetrahedra (gnum, sub, points): fans about the face centres and the cell's, as corner coordinates."""
+def tessellated(cell_table: DataFrame, field: DataFrame | None = None) -> DataFrame:
+    """Volume cells as tetrahedra (gnum, sub, points: array of four corners), fans about the face centres and the cell's.
+
+    With a field of the vertices (gnum, value), also values: an array of four values, those of new corners being the
+    means of the vertices they stand for.
+    """
+    from meshweave.operators.location import flat_columns, groups, rows_of
+
+    known = cell_table.select("gnum", *flat_columns())
+    size = 0
+    if field is not None:
+        first = field.select(F.size("value")).first()
+        size = first[0] if first else 0
+        corner = known.select("gnum", F.posexplode("nodes").alias("i", "v")).join(field.select(F.col("gnum").alias("v"), "value"), "v")
+        values = corner.groupBy("gnum").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s.value)).alias("given"))
+        known = known.join(values, "gnum")
+
+    def nested(x: np.ndarray) -> pa.Array:
+        """(n, parts, width) as lists of lists."""
+        n, parts, width = x.shape
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(n * parts + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * parts, pa.int32()), inner)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for gnum, kind, vtx, faces in zip(batch.gnum, batch.elt_type, batch.vtx, batch.faces, strict=True):
-                v = np.array([(p["x"], p["y"], p["z"]) for p in vtx], float)
-                known = shapes.FACES.get(kind) or [list(f) for f in faces]
-                rows += [(gnum, k, t.tolist()) for k, t in enumerate(shapes.to_tetras(v, known))]
-            yield pd.DataFrame(rows, columns=["gnum", "sub", "points"])
-
-    return cell_table.select("gnum", "elt_type", "vtx", "faces").mapInPandas(run, "gnum long, sub int, points array<array<double>>")
+            gnum = batch.column("gnum").to_numpy()
+            for (kind, faces), rows in groups(batch, ("elt_type", "faces")):
+                v = rows_of(batch, "flat", rows).reshape(len(rows), -1, 3)
+                if size:
+                    v = np.concatenate([v, rows_of(batch, "given", rows).reshape(len(rows), v.shape[1], size)], axis=2)
+                made = shapes.to_tetras(v, shapes.faces_of(kind, faces))
+                n, parts = made.shape[:2]
+                flat = made.reshape(n * parts, 4, -1)
+                columns = [pa.array(np.repeat(gnum[rows], parts)), pa.array(np.tile(np.arange(parts, dtype=np.int32), n)), nested(flat[..., :3])]
+                yield pa.RecordBatch.from_arrays([*columns, *([nested(flat[..., 3:])] if size else [])], ["gnum", "sub", "points", *(["values"] if size else [])])
+
+    return known.mapInArrow(run, "gnum long, sub int, points array<array<double>>" + (", values array<array<double>>" if size else ""))
 
 
 def extruded(vertices: DataFrame, elements: DataFrame, layers: int, along: tuple[float, float, float], n_vertices: int, n_elements: int) -> tuple[DataFrame, DataFrame]:

@@ -1,63 +1,112 @@
-"""Exact k nearest neighbours by a pyramid of grids."""
+"""Exact k nearest neighbours over a pyramid of grids."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshweave.operators.candidates import AXES, cell_of
-from meshweave.plans.durable import stored
+from meshweave.operators.candidates import AXES
+from meshweave.plans.durable import removed, stored
 
+#: Buckets of more points than this (and than 4 k) are opened into their halves before their points are compared.
+FULL = 512
+#: Times that the finest step is halved at most, in search of one at which no bucket is full.
+HALVINGS = 30
 
-def start_size(points: DataFrame, k: int, axes: tuple[str, ...] = AXES) -> tuple[float, float]:
-    """A grid step with about k of `points` a bucket if they were spread evenly, and their largest extent."""
-    row = points.agg(F.count("*").alias("n"), *(F.coalesce(F.max(a) - F.min(a), F.lit(0.0)).alias(a) for a in axes)).first()
-    wide = [row[a] for a in axes if row[a] > 0]
-    if not wide:
-        return 1.0, 1.0
-    volume = reduce(lambda p, q: p * q, wide, 1.0)
-    return max((volume * k / max(row["n"], 1)) ** (1 / len(wide)), max(wide) * 1e-6), max(wide)
+
+def bucket(x: Column, low: float, step: float) -> Column:
+    return F.floor((x - F.lit(low)) / F.lit(step)).cast("long")
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...] = AXES) -> DataFrame:
     """(q_gnum, qx.., p_gnum, px.., dist2, rank): the k of `points` nearest to each query, ties by smaller p_gnum.
 
-    Level by level the grid step doubles. A query looks at the buckets around its own; it is done as soon as its k-th
-    distance is at most the step, for what lies outside is farther, or when the grid covers everything. Only the
-    queries that are not done go to the next level. Distances are cut to k by a group limit before any shuffle.
+    The points are counted in buckets of a pyramid of grids, each with the box of its points. A query finds the finest
+    level at which its own bucket holds k points; the farthest corner of that box bounds its k-th distance. It then
+    takes the buckets that the ball of this radius meets, at a level at which these are few, and opens those that are
+    full into the next finer ones. After each step buckets are dropped that are farther away than the nearest ones that
+    hold k points together, so neither a dense cluster nor a far query meets more points than it has to. Points are
+    compared only in the buckets that are left. Of points at one place more than k are never needed; where buckets
+    are full, the others are dropped first.
     """
-    step, extent = start_size(points, k, axes)
     own = queries.select(F.col("gnum").alias("q_gnum"), *(F.col(a).cast("double").alias(f"q{a}") for a in axes))
     other = points.select(F.col("gnum").alias("p_gnum"), *(F.col(a).cast("double").alias(f"p{a}") for a in axes))
-    spans = [queries.agg(*(f(a).alias(f"{f.__name__}{a}") for a in axes for f in (F.min, F.max))).first(), points.agg(*(f(a).alias(f"{f.__name__}{a}") for a in axes for f in (F.min, F.max))).first()]
-    if any(r[0] is None for r in spans):
+    row = other.agg(F.count("*").alias("n"), *(f(f"p{a}").alias(f"{n}{a}") for a in axes for n, f in (("low", F.min), ("high", F.max)))).first()
+    if not row["n"]:
         return own.join(other, F.lit(False)).withColumn("dist2", F.lit(0.0)).withColumn("rank", F.lit(0))
-    reach = max(max(r[f"max{a}"] for r in spans) - min(r[f"min{a}"] for r in spans) for a in axes)
-    keys = [f"b_{a}" for a in axes]
-    done: list[DataFrame] = []
+    low, high = {a: row[f"low{a}"] for a in axes}, {a: row[f"high{a}"] for a in axes}
+    wide = [high[a] - low[a] for a in axes if high[a] > low[a]]
+    full, extent = max(FULL, 4 * k), max(wide, default=1.0)
+    base = max((reduce(lambda p, q: p * q, wide, 1.0) * k / row["n"]) ** (1 / len(wide)), extent * 2.0**-30) if wide else 1.0
+    keys, boxes = [f"b_{a}" for a in axes], [f"{e}{a}" for a in axes for e in ("low", "high")]
+    copies = False
     while True:
-        last = step >= reach
-        around = own
-        for a in axes:
-            middle = cell_of(F.col(f"q{a}"), step)
-            around = around.withColumn(f"b_{a}", F.explode(F.sequence(middle - 1, middle + 1)))
-        placed = other.withColumns({f"b_{a}": cell_of(F.col(f"p{a}"), step) for a in axes})
-        dist2 = reduce(lambda p, q: p + q, ((F.col(f"q{a}") - F.col(f"p{a}")) * (F.col(f"q{a}") - F.col(f"p{a}")) for a in axes))
-        order = Window.partitionBy("q_gnum").orderBy("dist2", "p_gnum")
-        found = around.join(placed, keys).withColumn("dist2", dist2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*keys)
-        found = stored(found)
-        if last:
-            done.append(found)
+        placed = other.withColumns({f"b_{a}": bucket(F.col(f"p{a}"), low[a], base) for a in axes})
+        finest = stored(placed.groupBy(*keys).agg(F.count("*").alias("n"), *(f(f"p{a}").alias(f"{n}{a}") for a in axes for n, f in (("low", F.min), ("high", F.max)))))
+        crowd = finest.agg(F.max("n")).first()[0]
+        if crowd <= full or base <= extent * 2.0**-HALVINGS:
             break
-        enough = found.where((F.col("rank") == k) & (F.col("dist2") <= step * step)).select("q_gnum")
-        done.append(found.join(enough, "q_gnum", "left_semi"))
-        own = stored(own.join(enough, "q_gnum", "left_anti"))
-        if own.isEmpty():
+        removed(finest)
+        if not copies:
+            copies = True
+            place = Window.partitionBy(*(f"p{a}" for a in axes)).orderBy("p_gnum")
+            other = stored(other.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("rank"))
+        else:
+            base = max(base / 8, extent * 2.0**-HALVINGS)
+    top = max(0, math.floor(math.log2(extent / base)) + 1)
+    levels = F.array(*map(F.lit, range(top + 1)))
+    at = lambda level: {f"b_{a}": F.expr(f"shiftright(b_{a}, {level})") for a in axes}
+    merged = [f(F.col(b)).alias(b) for b in boxes for f in ((F.min,) if b.startswith("low") else (F.max,))]
+    counts = stored(finest.withColumn("level", F.explode(levels)).withColumns(at("level")).groupBy("level", *keys).agg(F.sum("n").alias("n"), *merged))
+
+    def far(near: bool) -> Column:
+        """Squared distance of a query to the nearest or farthest point of a bucket's box."""
+        parts = []
+        for a in axes:
+            q, lo, hi = F.col(f"q{a}"), F.col(f"low{a}"), F.col(f"high{a}")
+            gap = F.greatest(lo - q, q - hi, F.lit(0.0)) if near else F.greatest(hi - q, q - lo)
+            parts.append(gap * gap)
+        return reduce(lambda p, q: p + q, parts)
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        """Only the buckets that can hold one of the k nearest."""
+        some = pairs.withColumns({"near2": far(True), "far2": far(False)})
+        so_far = Window.partitionBy("q_gnum").orderBy("far2").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        enough = some.withColumn("held", F.sum("n").over(so_far)).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("far2"))).over(Window.partitionBy("q_gnum")))
+        return enough.where(F.col("bound").isNull() | (F.col("near2") <= F.col("bound") * (1 + 1e-12))).drop("near2", "far2", "held", "bound")
+
+    q_columns = [f"q{a}" for a in axes]
+    inside = {f"b_{a}": bucket(F.least(F.greatest(F.col(f"q{a}"), F.lit(low[a])), F.lit(high[a])), low[a], base) for a in axes}
+    asked = own.withColumns(inside).withColumn("level", F.explode(levels)).withColumns(at("level"))
+    chosen = asked.join(counts.where((F.col("n") >= k) | (F.col("level") == top)), ["level", *keys]).withColumn("far2", far(False))
+    start = chosen.groupBy("q_gnum", *q_columns).agg(F.min(F.struct("level", "far2")).alias("s"))
+    radius = F.sqrt("s.far2") * (1 + 1e-12)
+    start = start.withColumn("r", radius).withColumn("level", F.least(F.lit(top), F.greatest(F.col("s.level"), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-300)) / base)).cast("int")))).drop("s")
+    step = F.pow(F.lit(2.0), F.col("level")) * base
+    around = start
+    for a in axes:
+        last = F.floor(F.lit(high[a] - low[a]) / step)
+        index = [F.least(F.greatest(F.floor((F.col(f"q{a}") + s * F.col("r") - low[a]) / step), F.lit(0)), last).cast("long") for s in (-1, 1)]
+        around = around.withColumn(f"b_{a}", F.explode(F.sequence(*index)))
+    pairs = stored(pruned(around.join(counts, ["level", *keys]).drop("r")))
+    finer = counts.where(F.col("level") < top).withColumnsRenamed({b: f"c_{b}" for b in keys}).withColumn("level", F.col("level") + 1).withColumns({b: F.shiftright(f"c_{b}", 1) for b in keys})
+    open_ = (F.col("n") > full) & (F.col("level") > 0)
+    while True:
+        used = {r["level"]: r["n"] for r in pairs.groupBy("level").agg(F.max("n").alias("n")).collect()}  # at most one row a level
+        if not any(level > 0 and n > full for level, n in used.items()):
             break
-        step *= 2
-    return reduce(lambda p, q: p.unionByName(q), done)
+        opened = pairs.where(open_).drop("n", *boxes).join(finer, ["level", *keys]).drop(*keys).withColumnsRenamed({f"c_{b}": b for b in keys}).withColumn("level", F.col("level") - 1)
+        left = stored(pruned(pairs.where(~open_).unionByName(opened)))
+        removed(pairs)
+        pairs = left
+    dealt = other.withColumns({f"b_{a}": bucket(F.col(f"p{a}"), low[a], base) for a in axes}).withColumn("level", F.explode(F.array(*map(F.lit, sorted(used) or [0])))).withColumns(at("level"))
+    dist2 = reduce(lambda p, q: p + q, ((F.col(f"q{a}") - F.col(f"p{a}")) * (F.col(f"q{a}") - F.col(f"p{a}")) for a in axes))
+    order = Window.partitionBy("q_gnum").orderBy("dist2", "p_gnum")
+    found = pairs.select("q_gnum", *q_columns, "level", *keys).join(dealt, ["level", *keys]).withColumn("dist2", dist2)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("level", *keys)
 
 
 def nearest_sources(targets: DataFrame, sources: DataFrame, k: int = 4, axes: tuple[str, ...] = AXES) -> DataFrame:

@@ -1,10 +1,11 @@
 """Couplings end to end, meshes, sources, sinks and steps."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshweave.operators import exchange, interpolate, intersection, location, mesh, nearest
+from meshweave.operators import candidates, exchange, interpolate, intersection, location, mesh, nearest
 from meshweave.plans.coupling import CouplingError, CouplingSpec, Params, Session, Timer
 from meshweave.sources import generators, readers, writers
 from meshweave.streaming import steps
@@ -83,6 +84,14 @@ def test_parameters(spark):
             wrong()
     with p.lock("a"), pytest.raises(CouplingError), p.lock("a"):
         pass
+    with p.lock("a", by="b"):
+        for wrong in (lambda: p.set("a", "n", 8), lambda: p.add("a", "m", 8), lambda: p.delete("a", "n", "int"), lambda: p.set("a", "n", 8, by="a")):
+            with pytest.raises(CouplingError):
+                wrong()
+        p.set("a", "n", 9, by="b")
+        p.set("b", "n", 8)
+    p.set("a", "n", 6)
+    p.set("b", "n", 7)
     other = Params({("c", "n", "int"): 1})
     p.synchronize(other)
     assert p.has("c", "n", "int") and p.frame(spark).count() == 4 and '"n"' in p.dump()
@@ -109,6 +118,79 @@ def test_nearest_is_exact_with_clusters_and_ties(spark):
     assert nearest.nearest(frame(qs).limit(0), frame(pts), 4).count() == 0 and nearest.nearest(frame(qs), frame(pts).limit(0), 4).count() == 0
 
 
+def test_nearest_in_a_dense_cluster_and_far_away(spark):
+    rng = np.random.default_rng(8)
+    cluster = rng.normal(0, 1e-4, (100_000, 3))
+    pts = np.concatenate([cluster, rng.uniform(-100, 100, (50, 3)), np.zeros((3000, 3))])
+    qs = np.concatenate([rng.normal(0, 1e-4, (20, 3)), [[0, 0, 0], [1e-3, 0, 0], [5, 5, 5], [-1e5, 3, 2]], rng.uniform(-100, 100, (10, 3))])
+    frame = lambda x: spark.createDataFrame(pd.DataFrame({"gnum": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]}))
+    got = {(r.q_gnum, r["rank"]): r.p_gnum for r in nearest.nearest(frame(qs), frame(pts), 4).collect()}
+    for i, q in enumerate(qs):
+        d = (q - pts) ** 2
+        order = np.lexsort((np.arange(len(pts)), d[:, 0] + d[:, 1] + d[:, 2]))[:4]
+        assert [got[i, k + 1] for k in range(4)] == order.tolist()
+
+
+def test_boxes_of_very_different_sizes(spark):
+    rng = np.random.default_rng(9)
+    size = 10.0 ** rng.uniform(-6, 0, (300, 1)) * np.ones(3)
+    size[:3] = [[1e4, 1e4, 1e4], [0, 0, 0], [2e4, 0, 1e-9]]
+    low = rng.uniform(-2, 2, (300, 3))
+    names = [f"{a}{e}" for a in "xyz" for e in ("min", "max")]
+    make = lambda k: spark.createDataFrame([(int(i), *(float(v) for a in range(3) for v in (low[i, a], low[i, a] + size[i, a]))) for i in k], "gnum long, " + ", ".join(f"{n} double" for n in names))
+    left, right = make(range(0, 300, 2)), make([*range(1, 300, 2), 0])
+    got = sorted((r.gnum, r.r_gnum) for r in candidates.boxes_meeting(left, right).collect())
+    want = sorted((i, j) for i in range(0, 300, 2) for j in [*range(1, 300, 2), 0] if all(low[i, a] <= low[j, a] + size[j, a] and low[j, a] <= low[i, a] + size[i, a] for a in range(3)))
+    assert got == want and len(want) > 20
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate([*low[:100] + size[:100] / 2, [1e9, 0, 0]])], "p long, x double, y double, z double")
+    inside = sorted((r.p, r.gnum) for r in candidates.points_in_boxes(points, make(range(300))).collect())
+    centres = low[:100] + size[:100] / 2
+    assert inside == sorted((p, i) for p in range(100) for i in range(300) if all(low[i, a] <= centres[p, a] <= low[i, a] + size[i, a] for a in range(3)))
+    assert candidates.boxes_meeting(left, right.limit(0)).count() == candidates.points_in_boxes(points, left.limit(0)).count() == 0
+
+
+def test_closest_with_one_huge_cell_and_a_far_target(spark):
+    vertices = generators.grid_vertices(spark, 20, 20).unionByName(spark.createDataFrame([(900, 0.0, 0.0, -5.0), (901, 1e4, 0.0, -5.0), (902, 0.0, 1e4, -5.0)], "gnum long, x double, y double, z double"))
+    elements = generators.grid_quads(spark, 20, 20).unionByName(spark.createDataFrame([(999, "tria3", [900, 901, 902])], "gnum long, elt_type string, connec array<long>"))
+    targets = spark.createDataFrame([(1, 0.51, 0.52, 0.1), (2, -3e4, 0.5, 0.0), (3, 100.0, 200.0, -4.0), (4, 0.999, 0.999, -4.9)], "gnum long, x double, y double, z double")
+    got = {r.tgt_gnum: (r.src_gnum, r.dist2**0.5) for r in location.closest(targets, mesh.cells(vertices, elements)).collect()}
+    assert got[1] == (210, pytest.approx(0.1)) and got[3] == (999, pytest.approx(1.0)) and got[4] == (999, pytest.approx(0.1))
+    assert got[2] == (180, pytest.approx(3e4)) or got[2] == (200, pytest.approx(3e4))
+
+
+def test_concave_cells_overlap_by_their_area(spark):
+    v = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate([(0, 0), (2, 0), (0.3, 0.3), (0, 2), (-1, -1), (3, -1), (3, 3), (-1, 3), (0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)])], "gnum long, x double, y double, z double")
+    make = lambda rows: mesh.cells(v, spark.createDataFrame(rows, "gnum long, elt_type string, connec array<long>"))
+    dart, square, ell = make([(1, "quad4", [0, 1, 2, 3])]), make([(2, "quad4", [4, 5, 6, 7])]), make([(3, "poly2d", [8, 9, 10, 11, 12, 13])])
+    for a, b, want in ((dart, square, 0.6), (square, dart, 0.6), (ell, square, 3.0), (square, ell, 3.0), (dart, ell, 0.6)):
+        assert [r.volume for r in intersection.overlap(a, b).collect()] == [pytest.approx(want, rel=1e-12)]
+
+
+def test_numbers_are_gapless_over_many_files(spark, tmp_path):
+    n = 500_000
+    rows = spark.range(0, n, 1, 40).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int").alias("part_id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(300)).cast("long").alias("lnum"), *((F.pmod(F.xxhash64("id", F.lit(a)), F.lit(5000)) / 7).alias(a) for a in "xyz"), F.array("id").alias("value"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for made, keys in ((mesh.gnum_by_scan(rows), ("part_id", "lnum")), (mesh.gnum_from_coordinates(rows), ("x", "y", "z")), (mesh.morton_ordered(rows), ("morton", "x", "y", "z"))):
+        made.write.mode("overwrite").parquet(str(tmp_path / "made"))
+        back = spark.read.parquet(str(tmp_path / "made")).toPandas().sort_values("gnum")
+        assert (back.gnum.to_numpy() == np.arange(1, n + 1)).all() and back.id.nunique() == n
+        key = back[list(keys)].to_records(index=False)
+        assert (key[1:] >= key[:-1]).all() if len(keys) == 1 else all(x == "ok" for x in {"ok" if tuple(a) <= tuple(b) else "bad" for a, b in zip(key[:-1:97], key[1::97], strict=False)})
+    parents = mesh.gnum_from_parents(rows.select("id", "part_id", "lnum"), ["part_id", "lnum"])
+    assert parents.agg(F.max("gnum")).first()[0] == rows.select("part_id", "lnum").distinct().count() == parents.select("gnum").distinct().count()
+
+
+def test_numbers_of_edges_parts_and_faces(spark):
+    rows = spark.createDataFrame([(1, 5, 3), (2, 3, 5), (3, 1, 9)], "e long, a long, b long")
+    assert {r.e: r.gnum for r in mesh.gnum_from_adjacency(rows, ["a", "b"]).collect()} == {1: 2, 2: 2, 3: 1}
+    parts = mesh.gnum_of_subentities(spark.createDataFrame([(4, 2), (2, 0), (1, 1)], "gnum long, n_sub int"))
+    assert sorted((r.gnum, r["sub"], r.sub_gnum) for r in parts.collect()) == [(1, 1, 1), (4, 1, 2), (4, 2, 3)]
+    v = generators.grid_vertices(spark, 2, 1)
+    faces = spark.createDataFrame([(7, [0, 1, 4, 3]), (8, [3, 4, 1, 0]), (9, [1, 2, 5, 4])], "face long, connec array<long>")
+    assert {r.face: r.gnum for r in mesh.gnum_of_faces(faces, v).collect()} == {7: 1, 8: 1, 9: 2}
+
+
 def test_conservation_between_volume_meshes(spark):
     a = mesh.cells(generators.box_vertices(spark, 2), generators.box_tetras(spark, 2))
     b = mesh.cells(generators.box_vertices(spark, 3), generators.box_hexas(spark, 3))

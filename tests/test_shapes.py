@@ -87,18 +87,65 @@ def test_curved_triangle_is_located():
     assert (d2 < 1e-12).all() and np.allclose(found[:, :2], u[:, :2], atol=1e-5)
 
 
+def area(polygon):
+    x, y = polygon.T
+    return 0.5 * abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()))
+
+
 def test_overlaps():
-    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
-    assert shapes.area(shapes.clip_polygon(square + 0.25, square)) == pytest.approx(0.5625)
-    assert shapes.area(shapes.clip_polygon(square + 2, square)) == 0
-    cube, faces = CELLS["hexa8"], shapes.FACES["hexa8"]
-    assert shapes.overlap_volume(cube, faces, cube + [0.5, 0.25, 0], faces) == pytest.approx(0.375)
-    assert shapes.overlap_volume(cube, faces, cube + 3, faces) == 0
+    rng = np.random.default_rng(2)
+    triangle = np.array([[[0, 0], [1, 0], [0, 1]]], float)
+    assert shapes.clipped_areas(triangle + 0.25, triangle)[0] == pytest.approx(0.125)
+    assert shapes.clipped_areas(triangle + 2, triangle)[0] == 0 and shapes.clipped_areas(triangle[:0], triangle[:0]).shape == (0,)
+    assert shapes.clipped_areas(triangle[:, ::-1] * 3 - 0.5, triangle)[0] == pytest.approx(0.5)
+    # a random triangle cut by the two halves of a square that holds it keeps its area
+    some = rng.uniform(0, 1, (200, 3, 2))
+    halves = [np.broadcast_to(np.array(h, float), (200, 3, 2)) for h in ([[0, 0], [1, 0], [1, 1]], [[0, 0], [1, 1], [0, 1]])]
+    assert sum(shapes.clipped_areas(some, h) for h in halves) == pytest.approx([area(t) for t in some], rel=1e-12)
+    cube, faces, flat = CELLS["hexa8"], shapes.FACES["hexa8"], shapes.FACES["tetra4"]
+    volume = lambda a, fa, b, fb: shapes.overlap_volumes(a[None], fa, b[None], fb)[0]
+    assert volume(cube, faces, cube + [0.5, 0.25, 0], faces) == pytest.approx(0.375)
+    assert volume(cube, faces, cube + 3, faces) == 0
     tetra = CELLS["tetra4"]
-    assert shapes.overlap_volume(cube, faces, tetra, shapes.FACES["tetra4"]) == pytest.approx(1 / 6)
+    assert volume(cube, faces, tetra, flat) == volume(tetra, flat, cube, faces) == pytest.approx(1 / 6)
     # conservation: a cell cut by a partition of space keeps its volume
-    parts = [shapes.overlap_volume(tetra, shapes.FACES["tetra4"], cube * 0.5 + np.array([i, j, k]) * 0.5, faces) for i in range(2) for j in range(2) for k in range(2)]
+    parts = [volume(tetra, flat, cube * 0.5 + np.array([i, j, k]) * 0.5, faces) for i in range(2) for j in range(2) for k in range(2)]
     assert sum(parts) == pytest.approx(1 / 6, rel=1e-12)
+    # a cell with a dent is not its hull: the target is taken apart, too
+    dented = np.concatenate([cube, [[0.5, 0.5, 0.7]]])
+    dent = [f for f in faces if f != [4, 5, 6, 7]] + [[4, 5, 8], [5, 6, 8], [6, 7, 8], [7, 4, 8]]
+    assert volume(cube, faces, dented, dent) == volume(dented, dent, cube, faces) == pytest.approx(0.9)
+
+
+def sampled(kind, v, n, rng):
+    """Points of a cell, by random weights that its corners (or its parameters) allow."""
+    u = rng.uniform(0, 1, (n, 3))
+    if kind in ("tetra4", "prism6"):
+        low = np.sort(u[:, :2], axis=1)
+        u[:, :2] = np.stack([low[:, 0], low[:, 1] - low[:, 0]], axis=1)
+        if kind == "tetra4":
+            w = rng.dirichlet(np.ones(4), n)
+            return w @ v
+    if kind == "pyram5":
+        u[:, :2] *= 1 - u[:, 2:]
+    return shapes.shape(kind, u) @ v
+
+
+@pytest.mark.parametrize("kind", ["tetra4", "pyram5", "prism6", "hexa8"])
+@pytest.mark.parametrize("size", [1e-5, 1.0, 1e6])
+def test_volume_cells_of_any_size(kind, size):
+    rng = np.random.default_rng(4)
+    skew = np.array([[1, 0.8, 0.3], [0, 1, -0.5], [0.2, 0, 0.6]])
+    v = (CELLS[kind] @ skew) * size + 3 * size
+    inside = sampled(kind, v, 200, rng)
+    w, near, d2, _ = shapes.located(kind, inside, np.broadcast_to(v, (200, *v.shape)).copy())
+    assert np.abs(w.sum(axis=1) - 1).max() < 1e-9 and np.abs(w @ v - inside).max() < 1e-9 * size and d2.max() <= (1e-9 * size) ** 2
+    outside = v.mean(axis=0) + rng.normal(0, 1.5 * size, (60, 3))
+    w, near, d2, _ = shapes.located(kind, outside, np.broadcast_to(v, (60, *v.shape)).copy())
+    assert w.min() > -1e-9 and np.abs(w @ v - near).max() < 1e-7 * size
+    cloud = sampled(kind, v, 20000, rng)
+    closest = np.array([((cloud - p) ** 2).sum(axis=1).min() for p in outside])
+    assert (d2 <= closest + 1e-9 * size**2).all() and (np.sqrt(closest) - np.sqrt(d2) < 0.15 * size).all()
 
 
 def test_ears_cover_a_polygon_once():
@@ -106,4 +153,4 @@ def test_ears_cover_a_polygon_once():
     for flat in (star, star[::-1].copy(), np.array([[0, 0], [4, 0], [4, 1], [1, 1], [1, 3], [0, 3]], float), np.array([[0, 0], [1, 0], [2, 0], [2, 2], [0, 2]], float)):
         parts = shapes.ear_clip(flat)
         assert len(parts) == len(flat) - 2
-        assert sum(shapes.area(flat[list(t)]) for t in parts) == pytest.approx(shapes.area(flat))
+        assert sum(area(flat[list(t)]) for t in parts) == pytest.approx(area(flat))
