@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.functions import geometry, selector
+from meshweave.functions import geometry, selector, shapes
 from meshweave.operators import exchange, interpolate, intersection, location, mesh, nearest
 from meshweave.plans import coupling
 from meshweave.sources import generators
@@ -244,6 +245,71 @@ def locate_p1_volume(spark, sf_dir):
     return interpolate.weighted_nodes(made, linear(vertices)).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
 
 
+#: Edge of the small cells of the volume queries: no tolerance of the kernels may depend on the size of a cell.
+TINY = 1e-5
+
+
+def tiny_points(spark, sf_dir):
+    """The parts spread through a box of edge 6 * TINY."""
+    edge = 6 * TINY
+    return part_points(spark, sf_dir).select("gnum", (F.col("x") * edge).alias("x"), (F.col("y") * edge).alias("y"), ((F.col("gnum") % 97) / 97 * edge).alias("z"))
+
+
+def tiny_field(vertices):
+    return vertices.select("gnum", F.array(1 + (2 * F.col("x") + 3 * F.col("y") + 4 * F.col("z")) / (6 * TINY)).alias("value"))
+
+
+TINY_SQL = f"SELECT gnum, round(1 + 2 * x + 3 * y + 4 * (gnum % 97) / 97.0::DOUBLE, 6) AS value FROM {PARTS}"
+
+
+def tiny_located(spark, sf_dir, vertices, elements):
+    made = location.locate(tiny_points(spark, sf_dir), mesh.cells(vertices, elements))
+    return interpolate.weighted_nodes(made, tiny_field(vertices)).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+def tiny_vertices(spark):
+    return generators.moved(generators.box_vertices(spark, 6, 6 * TINY), 0.02, 6 * TINY)
+
+
+@query(TINY_SQL)
+def locate_p1_hexa(spark, sf_dir):
+    return tiny_located(spark, sf_dir, tiny_vertices(spark), generators.box_hexas(spark, 6))
+
+
+@query(TINY_SQL)
+def locate_p1_prism(spark, sf_dir):
+    return tiny_located(spark, sf_dir, tiny_vertices(spark), generators.box_prisms(spark, 6))
+
+
+@query(TINY_SQL)
+def locate_p1_pyramid(spark, sf_dir):
+    """Flat faces: pyramids that share a warped one would leave a gap between the two readings of its surface."""
+    return tiny_located(spark, sf_dir, *generators.box_pyramids(spark, generators.box_vertices(spark, 6, 6 * TINY), 6))
+
+
+@query(TINY_SQL)
+def locate_polyhedra(spark, sf_dir):
+    faces = F.array(*(F.array(*map(F.lit, f)) for f in shapes.FACES["hexa8"]))
+    return tiny_located(spark, sf_dir, tiny_vertices(spark), generators.box_hexas(spark, 6).withColumns({"elt_type": F.lit("poly3d"), "faces": faces}))
+
+
+@query(f"SELECT gnum, round(sqrt(pow(greatest(0, 3 * x - 2), 2) + pow(greatest(0, 3 * y - 2), 2) + 0.25), 6) AS dist FROM {PARTS}")
+def closest_volume_cell(spark, sf_dir):
+    """Targets over and beside a box of edge 2, half a unit above its lid: distances to the cells' faces."""
+    points = part_points(spark, sf_dir).select("gnum", (3 * F.col("x")).alias("x"), (3 * F.col("y")).alias("y"), F.lit(2.5).alias("z"))
+    made = location.closest(points, mesh.cells(generators.box_vertices(spark, 4, 2.0), generators.box_hexas(spark, 4)))
+    return made.select(F.col("tgt_gnum").alias("gnum"), F.round(F.sqrt("dist2"), 6).alias("dist"))
+
+
+@query(f"SELECT gnum, round(1 + x * x - x * y + 2 * y * y, 6) AS value FROM {PARTS}")
+def locate_high_order(spark, sf_dir):
+    """Six-node triangles reproduce a field of the second degree."""
+    nodes = generators.grid_vertices(spark, 16, 16)
+    made = location.locate(part_points(spark, sf_dir), mesh.cells(nodes, generators.quadratic_triangles(spark, 8)))
+    field = nodes.select("gnum", F.array(1 + F.col("x") * F.col("x") - F.col("x") * F.col("y") + 2 * F.col("y") * F.col("y")).alias("value"))
+    return interpolate.weighted_nodes(made, field).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
 @query(f"SELECT gnum, round(greatest(0, x - 0.5), 6) AS dist FROM {PARTS}")
 def locate_all_targets(spark, sf_dir):
     """A mesh over the left half: every target is mapped, those on the right to the closest cell."""
@@ -379,9 +445,35 @@ def mass_check(spark, sf_dir):
     return source.join(F.broadcast(conserved(spark, sf_dir).agg(F.round(F.sum(F.col("value")[0]) / 225, 9).alias("target_mass"))))
 
 
-@query("SELECT i AS tgt_gnum, round(1 / 100.0::DOUBLE, 9) AS area FROM range(100) t(i)")
+def side_of(spark, sf_dir):
+    """Cells along an edge of the meshes whose size follows the tables: the root of the number of suppliers."""
+    return max(4, math.isqrt(read(spark, sf_dir, "supplier").count()))
+
+
+SIDE = "(SELECT greatest(4, floor(sqrt(count(*))))::BIGINT FROM supplier)"
+
+
+def bent(vertices):
+    """The vertices of the unit square moved along smooth waves; its border stays."""
+    bump = 1.6 * F.col("x") * (1 - F.col("x")) * F.col("y") * (1 - F.col("y"))
+    return vertices.withColumns({"x": F.col("x") + bump * F.sin(5 * F.col("y")), "y": F.col("y") + bump * F.cos(4 * F.col("x"))})
+
+
+def bent_cells(spark, n, triangles=False):
+    return mesh.cells(bent(generators.grid_vertices(spark, n, n)), (generators.grid_triangles if triangles else generators.grid_quads)(spark, n, n))
+
+
+#: The bent vertices (i, j, x, y) and the quads of them with their area and the mean of their corners.
+BENT = f"(SELECT i, j, n, x + b * sin(5 * y) AS x, y + b * cos(4 * x) AS y FROM (SELECT *, 1.6 * x * (1 - x) * y * (1 - y) AS b FROM (SELECT n, i, j, i / n::DOUBLE AS x, j / n::DOUBLE AS y FROM (SELECT n, unnest(range(n + 1)) AS i FROM (SELECT {SIDE} AS n)) CROSS JOIN (SELECT unnest(range({SIDE} + 1)) AS j))))"
+QUADS = f"""(WITH v AS (SELECT * FROM {BENT}) SELECT a.j * a.n + a.i AS gnum, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS ey, c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy
+FROM v a JOIN v b ON b.i = a.i + 1 AND b.j = a.j JOIN v c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN v d ON d.i = a.i AND d.j = a.j + 1)"""
+QUAD_AREA = "((cx - ax) * (dy - ey) - (dx - bx) * (cy - ay)) / 2"
+
+
+@query(f"SELECT gnum AS tgt_gnum, round({QUAD_AREA}, 9) AS area FROM {QUADS}")
 def intersect_polygons(spark, sf_dir):
-    made = intersection.overlap(grid_cells(spark, 12, True), grid_cells(spark, 10))
+    """The overlaps of a bent quad with all triangles of another sheet add up to its own area."""
+    made = intersection.overlap(grid_cells(spark, side_of(spark, sf_dir) + 3, True), bent_cells(spark, side_of(spark, sf_dir)))
     return made.groupBy("tgt_gnum").agg(F.round(F.sum("volume"), 9).alias("area"))
 
 
@@ -424,15 +516,15 @@ def select_normal(spark, sf_dir):
 # ---- meshes
 
 
-@query(f"SELECT j * {GRID} + i AS gnum, round((i + 0.5) / {GRID}, 9) AS cx, round((j + 0.5) / {GRID}, 9) AS cy, round(1 / ({GRID} * {GRID})::DOUBLE, 9) AS area FROM range({GRID}) a(i), range({GRID}) b(j)")
+@query(f"SELECT gnum, round((ax + bx + cx + dx) / 4, 9) AS cx, round((ay + ey + cy + dy) / 4, 9) AS cy, round({QUAD_AREA}, 9) AS area FROM {QUADS}")
 def cell_centres(spark, sf_dir):
-    return mesh.measured(grid_cells(spark, GRID)).select("gnum", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), F.round("volume", 9).alias("area"))
+    return mesh.measured(bent_cells(spark, side_of(spark, sf_dir))).select("gnum", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), F.round("volume", 9).alias("area"))
 
 
-@query(f"SELECT i AS gnum, round(0.5 / ({GRID} * {GRID})::DOUBLE, 9) AS area FROM range({2 * GRID * GRID}) t(i)")
+@query(f"SELECT 2 * gnum AS gnum, round(abs((bx - ax) * (dy - ay) - (dx - ax) * (ey - ay)) / 2, 9) AS area FROM {QUADS} UNION ALL SELECT 2 * gnum + 1, round(abs((cx - bx) * (dy - ey) - (dx - bx) * (cy - ey)) / 2, 9) FROM {QUADS}")
 def tria_area(spark, sf_dir):
     v = F.col("vtx")
-    return grid_cells(spark, GRID, True).select("gnum", F.round(geometry.triangle_area(v[0], v[1], v[2]), 9).alias("area"))
+    return bent_cells(spark, side_of(spark, sf_dir), True).select("gnum", F.round(geometry.triangle_area(v[0], v[1], v[2]), 9).alias("area"))
 
 
 @query("SELECT i AS gnum, round(1 / 3072.0::DOUBLE, 9) AS volume FROM range(3072) t(i)")
@@ -490,9 +582,99 @@ def empty_interface(spark, sf_dir):
     return interpolate.filled(targets, values).select("gnum", F.col("value")[0].alias("value"))
 
 
+@query(f"SELECT j * {GRID} + i AS face, j * {GRID + 1} + i AS v0, j * {GRID + 1} + i + 1 AS v1, (j + 1) * {GRID + 1} + i + 1 AS v2, (j + 1) * {GRID + 1} + i AS v3 FROM range({GRID}) a(i), range({GRID}) b(j)")
+def faces_from_edges(spark, sf_dir):
+    """Quads given by their edges alone, each walked backwards where its number is negative."""
+    quads = generators.grid_quads(spark, GRID, GRID)
+    ends = [F.struct(F.col("connec")[k].alias("p"), F.col("connec")[(k + 1) % 4].alias("q")) for k in range(4)]
+    walks = quads.select(F.col("gnum").alias("face"), F.inline(F.array(*ends)))
+    number = lambda p, q: F.least(p, q) * 10_000 + F.greatest(p, q) + 1
+    face_edges = walks.select("face", (number(F.col("p"), F.col("q")) * F.when(F.col("p") < F.col("q"), 1).otherwise(-1)).alias("edge"))
+    known = mesh.edges(quads).select(number(F.col("a"), F.col("b")).alias("edge"), "a", "b")
+    return mesh.from_face_edges(face_edges, known).select("face", *(F.col("connec")[k].alias(f"v{k}") for k in range(4)))
+
+
+@query("SELECT i AS gnum, 24 AS parts, round(1 / 512.0::DOUBLE, 9) AS volume, round(1 / 512.0::DOUBLE * (1 + 2 * ((i % 8) + 0.5) / 8), 9) AS content FROM range(512) t(i)")
+def tessellate_cells(spark, sf_dir):
+    """Tetrahedra of each hexahedron fill it, and carry a linear field: its integral is that at the centre."""
+    vertices = generators.box_vertices(spark, 8)
+    field = vertices.select("gnum", F.array(1 + 2 * F.col("x")).alias("value"))
+    made = mesh.tessellated(mesh.cells(vertices, generators.box_hexas(spark, 8)), field)
+    corner = [F.struct(*(F.col("points")[k][a].alias(n) for a, n in enumerate("xyz"))) for k in range(4)]
+    size = F.abs(geometry.tetra_volume(*corner))
+    mean = sum((F.col("values")[k][0] for k in range(4)), F.lit(0.0)) / 4
+    return made.groupBy("gnum").agg(F.count("*").cast("int").alias("parts"), F.round(F.sum(size), 9).alias("volume"), F.round(F.sum(size * mean), 9).alias("content"))
+
+
+# ---- couplings as declared and run
+
+
+def coupled(spark, method, **options):
+    session = coupling.Session(spark, ["left", "right"])
+    made = session.couple(coupling.CouplingSpec("interface", "left", "right", method=method, options=tuple(options.items())))
+    session.step_begin("left", 0.0)
+    return made
+
+
+@query(f"SELECT gnum, CASE WHEN x <= 0.5 + 1e-9 THEN round(1 + 2 * x + 3 * y, 6) END AS value FROM {PARTS}")
+def coupling_location(spark, sf_dir):
+    """A mesh over the left half: targets beyond it stay, without a value."""
+    made, vertices = coupled(spark, "location"), generators.grid_vertices(spark, 16, 32, high=(0.5, 1.0))
+    made.set_source(cells=mesh.cells(vertices, generators.grid_quads(spark, 16, 32)))
+    made.set_targets(part_points(spark, sf_dir))
+    made.field("t").data = linear(vertices)
+    return made.exchange("t").select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+
+
+@query("SELECT j * 10 + i AS gnum, CASE WHEN i < 5 THEN round((i + 0.5) / 10, 9) ELSE 0 END AS value FROM range(10) a(i), range(10) b(j)")
+def coupling_conservative(spark, sf_dir):
+    """Cells over the left half carry their centre's x; targets that nothing covers get 0."""
+    made = coupled(spark, "intersection")
+    cells = mesh.cells(generators.grid_vertices(spark, 20, 30, high=(0.5, 1.0)), generators.grid_quads(spark, 20, 30))
+    made.set_source(cells=cells)
+    made.set_targets(grid_cells(spark, 10))
+    made.field("t", source_dof="cell", target_dof="cell").data = cells.select("gnum", F.array("cx").alias("value"))
+    return made.exchange("t").select("gnum", F.round(F.col("value")[0], 9).alias("value"))
+
+
+@query(f"SELECT component, gnum, round(CASE component WHEN 0 THEN 1 + 2 * x + 3 * y ELSE x - y END, 5) AS value FROM {PARTS}, (SELECT unnest([0, 1])::INT AS component)")
+def coupling_nearest(spark, sf_dir):
+    """A field of two components in interleaved storage, by least squares over eight neighbours."""
+    made, nodes = coupled(spark, "nearest_sources", n_neighbors=8), generators.grid_vertices(spark, GRID, GRID)
+    made.set_source(points=nodes)
+    made.set_targets(part_points(spark, sf_dir))
+    data = nodes.select("gnum", F.array(1 + 2 * F.col("x") + 3 * F.col("y"), F.col("x") - F.col("y")).alias("value"))
+    made.field("t", n_components=2, storage="interleaved").data = interpolate.interleaved(data)
+    return made.exchange("t").select("component", "gnum", F.round("value", 5).alias("value"))
+
+
+@query("SELECT o_custkey AS gnum, min(o_orderkey) AS first_order, ((o_custkey - 1) // s)::INT AS block_id, (o_custkey - 1) % s AS place FROM orders, (SELECT (max(o_custkey) + 15) // 16 AS s FROM orders) GROUP BY ALL")
+def part_to_block(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").selectExpr("o_custkey AS gnum", "0 AS part_id", "o_orderkey AS lnum", "o_orderkey AS first_order")
+    return exchange.part_to_block(rows, 16).select("gnum", "first_order", "block_id", "place")
+
+
+@query("SELECT o_orderkey AS lnum, o_custkey AS gnum, c_acctbal AS balance FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def block_to_part(spark, sf_dir):
+    blocks = exchange.part_to_block(read(spark, sf_dir, "customer").selectExpr("c_custkey AS gnum", "0 AS part_id", "c_custkey AS lnum", "c_acctbal AS balance"), 16).drop("part_id", "lnum")
+    return exchange.block_to_part(read(spark, sf_dir, "orders").selectExpr("o_custkey AS gnum", "o_orderkey AS lnum"), blocks).select("lnum", "gnum", "balance")
+
+
+@query("SELECT c_custkey AS gnum, trunc(c_acctbal)::INT AS whole, c_acctbal::FLOAT AS short FROM customer")
+def convert_field(spark, sf_dir):
+    field = customers(spark, sf_dir).select("gnum", "value")
+    whole = interpolate.converted(field, "int").select("gnum", F.col("value")[0].alias("whole"))
+    return whole.join(interpolate.converted(field, "float").select("gnum", F.col("value")[0].alias("short")), "gnum")
+
+
 # ---- steps
 
 
+@query("SELECT step, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM (SELECT value, date_diff('hour', (SELECT date_trunc('hour', min(ts)) FROM events), date_trunc('hour', ts))::INT AS step FROM events) GROUP BY 1")
+def step_loop_hours(spark, sf_dir):
+    return steps.by_step(read(spark, sf_dir, "events"), "hour").select("step", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
 @query("SELECT step, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM (SELECT value, date_diff('day', (SELECT date_trunc('day', min(ts)) FROM events), date_trunc('day', ts))::INT AS step FROM events) GROUP BY 1")
 def step_loop(spark, sf_dir):
     return steps.by_step(read(spark, sf_dir, "events")).select("step", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))

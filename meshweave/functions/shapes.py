@@ -183,7 +183,8 @@ def volume_cell(kind: str, p: np.ndarray, v: np.ndarray, rounds: int = 30) -> tu
         weights = shape(kind, u)
         gap = np.einsum("nm,nmk->nk", weights, vs) - ps
         lost = ~(dot(gap, gap) < 1e-18)
-    inside = (weights >= -1e-12).all(axis=1) & (weights <= 1 + 1e-12).all(axis=1) & ~lost
+    close = 1e-12 if kind == "tetra4" else 1e-9  # what the method reaches; such weights still give the point itself
+    inside = (weights >= -close).all(axis=1) & (weights <= 1 + close).all(axis=1) & ~lost
     near, d2 = np.where(inside[:, None], p, 0.0), np.zeros(n)
     k = np.flatnonzero(~inside)
     if len(k):
@@ -279,10 +280,11 @@ def ho_basis(kind: str, order: int, u: np.ndarray) -> np.ndarray:
     return np.linalg.solve(monomials(nodes).T, monomials(u).T).T
 
 
-def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int = 40) -> tuple[np.ndarray, ...]:
-    """Closest point of a high-order element by repeated subdivision around the best node, then Gauss-Newton steps."""
+def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int = 40, starts_from: int = 4) -> tuple[np.ndarray, ...]:
+    """Closest point of a high-order element: damped Gauss-Newton steps from the `starts_from` nearest places of a grid
+    of parameters, of which the best result counts."""
     axes = {"ho_edge": 1, "ho_tria": 2, "ho_quad": 2}.get(kind, 3)
-    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 5)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)
+    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 2 * order + 3)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)
     full = np.zeros((len(grid), 3))
     full[:, :axes] = grid
 
@@ -297,23 +299,32 @@ def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int
 
     full = into(full)
     starts = np.einsum("gm,nmk->ngk", ho_basis(kind, order, full), v)
-    u = full[((starts - p[:, None]) ** 2).sum(axis=2).argmin(axis=1)].copy()
+    near_first = ((starts - p[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :starts_from]
     lower = lambda u: ((np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v) - p) ** 2).sum(axis=1)
-    best = lower(u)
-    for _ in range(levels):
-        gap = p - np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v)
-        slope = np.stack([np.einsum("nm,nmk->nk", ho_basis(kind, order, u + h) - ho_basis(kind, order, u - h), v) / 2e-6 for h in np.eye(3)[:axes] * 1e-6], axis=2)
-        move = np.zeros_like(u)
-        move[:, :axes] = np.einsum("nak,nk->na", np.linalg.pinv(slope), gap)
-        moved = False
-        for scale in (1.0, 0.5, 0.1):
-            tried = into(u + scale * move)
-            made = lower(tried)
-            better = made < best - 1e-30
-            u[better], best[better] = tried[better], made[better]
-            moved |= bool(better.any())
-        if not moved:
-            break
+
+    def descended(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = lower(u)
+        for _ in range(levels):
+            gap = p - np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v)
+            slope = np.stack([np.einsum("nm,nmk->nk", ho_basis(kind, order, u + h) - ho_basis(kind, order, u - h), v) / 2e-6 for h in np.eye(3)[:axes] * 1e-6], axis=2)
+            move = np.zeros_like(u)
+            move[:, :axes] = np.einsum("nak,nk->na", np.linalg.pinv(slope), gap)
+            moved = False
+            for scale in (1.0, 0.5, 0.1):
+                tried = into(u + scale * move)
+                made = lower(tried)
+                better = made < best - 1e-30
+                u[better], best[better] = tried[better], made[better]
+                moved |= bool(better.any())
+            if not moved:
+                break
+        return u, best
+
+    u, best = descended(full[near_first[:, 0]].copy())
+    for k in range(1, near_first.shape[1]):
+        other, made = descended(full[near_first[:, k]].copy())
+        better = made < best
+        u[better], best[better] = other[better], made[better]
     weights = ho_basis(kind, order, u)
     near = np.einsum("nm,nmk->nk", weights, v)
     return weights, near, dot(p - near, p - near), u
@@ -346,6 +357,10 @@ def ear_clip(flat: np.ndarray) -> list[tuple[int, int, int]]:
     return [*out, tuple(places)] if len(places) == 3 else out
 
 
+#: Overlaps of at most this share of the smaller cell are rounding: the cells only touch.
+NOTHING = 1e-13
+
+
 def clipped_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Areas (n,) of the triangles `subject` (n, 3, 2) within the counter-clockwise triangles `window` (n, 3, 2)."""
     n = len(subject)
@@ -370,8 +385,10 @@ def clipped_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     m = points.shape[1]
     if not m:
         return np.zeros(n)
+    full = [0.5 * np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 2, 0] - t[:, 0, 0]) * (t[:, 1, 1] - t[:, 0, 1])) for t in (subject, window)]
     x, y = (np.where(np.arange(m) < count[:, None], points[..., i], points[:, :1, i]) for i in (0, 1))
-    return 0.5 * np.abs((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1))
+    made = 0.5 * np.abs((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1))
+    return np.where(made > NOTHING * np.minimum(*full), made, 0.0)
 
 
 def clip_tetras(tetras: np.ndarray, owner: np.ndarray, point: np.ndarray, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -448,4 +465,5 @@ def overlap_volumes(a: np.ndarray, fa: list[list[int]], b: np.ndarray, fb: list[
     for i in range(others.shape[1] if len(k) else 0):
         p, q, _ = outer_planes(others[:, i], FACES["tetra4"])
         clipped(parts[k].reshape(-1, 4, 3), np.repeat(np.arange(len(k)), parts.shape[1]), p, q, k)
-    return out
+    full = [tetra_volumes(to_tetras(x, f).reshape(-1, 4, 3)).reshape(n, -1).sum(axis=1) for x, f in ((a, fa), (b, fb))]
+    return np.where(out > NOTHING * np.minimum(*full), out, 0.0)

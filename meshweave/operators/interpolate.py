@@ -21,12 +21,32 @@ def with_values(mapping: DataFrame, field: DataFrame) -> DataFrame:
 
 
 def summed(rows: DataFrame, weight: Column, normalise: bool) -> DataFrame:
-    """Component-wise sum of weight times value by target, over the sum of the weights if `normalise`."""
-    parts = rows.select("tgt_gnum", weight.alias("w"), F.posexplode("value").alias("c", "v"))
-    total = F.sum(F.col("w") * F.col("v"))
-    by = parts.groupBy("tgt_gnum", "c").agg((total / F.sum("w") if normalise else total).alias("v"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda x: x.v)
-    return by.groupBy(F.col("tgt_gnum").alias("gnum")).agg(ordered.alias("value"))
+    """Component-wise sum of weight times value by target, over the sum of the weights if `normalise`: one aggregation,
+    of as many sums as the field has components."""
+    first = rows.select(F.size("value").alias("n")).where("n >= 0").first()
+    n = first["n"] if first else 0
+    part = rows.select("tgt_gnum", weight.alias("w"), *(F.get("value", F.lit(c)).alias(f"v{c}") for c in range(n)))
+    total = [F.sum(F.col("w") * F.col(f"v{c}")) for c in range(n)]
+    whole = F.sum("w")
+    made = F.array(*(t / whole if normalise else t for t in total)) if n else F.array().cast("array<double>")
+    return part.groupBy(F.col("tgt_gnum").alias("gnum")).agg(made.alias("value"))
+
+
+#: The least and greatest number of the whole types.
+WHOLE = {"int": (-(1 << 31), (1 << 31) - 1), "long": (-(1 << 63), (1 << 63) - 1)}
+
+
+def converted(field: DataFrame, to: str) -> DataFrame:
+    """Values as float, double, int or long; whole types cut the fraction off, and what they cannot hold is NULL."""
+    if to in ("float", "double"):
+        return field.withColumn("value", F.col("value").cast(f"array<{to}>"))
+    low, high = WHOLE[to]
+    return field.withColumn("value", F.transform("value", lambda x: F.when((x >= low) & (x <= high), x.try_cast(to))))
+
+
+def of_parents(entities: DataFrame, field: DataFrame) -> DataFrame:
+    """Values of entities that are given by their parents' numbers (gnum, parent): gathered by parent."""
+    return entities.select("gnum", "parent").join(field.select(F.col("gnum").alias("parent"), "value"), "parent", "left").select("gnum", "value")
 
 
 def copied(mapping: DataFrame, field: DataFrame) -> DataFrame:
@@ -102,13 +122,21 @@ def least_squares(mapping: DataFrame, field: DataFrame, degree: int = 1) -> Data
     return rows.mapInPandas(solve, ARRAYS)
 
 
+#: Targets are dealt to so many groups a shuffle partition, each one call of Python for all functions of its targets.
+GROUPS = 4
+
+
 def user_defined(mapping: DataFrame, field: DataFrame, function: Callable[[pd.DataFrame], list[float]]) -> DataFrame:
-    """`function` takes the rows of the mapping of one target, with value, and gives the components there."""
+    """`function` takes the rows of the mapping of one target, with value, and gives the components there. Targets travel
+    to Python in groups, not one by one."""
+    rows = with_values(mapping, field)
+    many = GROUPS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gnum": [group.tgt_gnum.iat[0]], "value": [list(function(group))]})
+    def some(group: pd.DataFrame) -> pd.DataFrame:
+        made = [(target, list(function(part.drop(columns="_group").reset_index(drop=True)))) for target, part in group.groupby("tgt_gnum", sort=False)]
+        return pd.DataFrame(made, columns=["gnum", "value"])
 
-    return with_values(mapping, field).groupBy("tgt_gnum").applyInPandas(one, ARRAYS)
+    return rows.withColumn("_group", F.pmod(F.xxhash64("tgt_gnum"), F.lit(many))).groupBy("_group").applyInPandas(some, ARRAYS)
 
 
 def interleaved(field: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from meshweave.operators.nearest import nearest
 USER_ELEMENTS: dict[str, Callable] = {}
 
 LOCATED = "tgt_gnum long, src_gnum long, nodes array<long>, weights array<double>, dist2 double, proj array<double>, uvw array<double>"
+#: Distances of at most this share of a cell's extent are rounding: the point lies in the cell.
+TOUCHING = 1e-12
 FLAT_TYPES = ("tria3", "quad4", "poly2d")
 
 
@@ -67,6 +69,8 @@ def worked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]
         else:
             made = shapes.located(kind, p, v)
         weights, near, d2, u = made
+        extent = np.ptp(v, axis=1).max(axis=1)
+        d2 = np.where(d2 > (TOUCHING * extent) ** 2, d2, 0.0)
         known = [batch.column(c).take(at) for c in ("tgt_gnum", "src_gnum", "nodes")]
         yield rows, pa.RecordBatch.from_arrays([*known, listed(weights), pa.array(d2), listed(near), listed(u)], ["tgt_gnum", "src_gnum", "nodes", "weights", "dist2", "proj", "uvw"])
 
@@ -85,9 +89,11 @@ def kernel_within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def winners(pairs: DataFrame) -> DataFrame:
-    """Of each target's pairs the one of least distance, then of the smallest cell."""
+    """Of each target's pairs the one of least distance (to twelve digits, at any scale), then of the smallest cell."""
     rest = [c for c in pairs.columns if c != "tgt_gnum"]
-    return pairs.groupBy("tgt_gnum").agg(F.min_by(F.struct(*rest), F.struct(F.round("dist2", 18), "src_gnum")).alias("best")).select("tgt_gnum", "best.*")
+    scale = F.pow(F.lit(10.0), F.floor(F.log10("dist2")))
+    distance = F.when(F.col("dist2") > 0, F.round(F.col("dist2") / scale, 11) * scale).otherwise(0.0)
+    return pairs.groupBy("tgt_gnum").agg(F.min_by(F.struct(*rest), F.struct(distance, "src_gnum")).alias("best")).select("tgt_gnum", "best.*")
 
 
 def evaluated(pairs: DataFrame) -> DataFrame:

@@ -214,18 +214,31 @@ class Coupling:
         self.source: dict[str, DataFrame] = {}
         self.target: DataFrame | None = None
         self.user_data: Any = None
+        self.output: tuple[Any, DataFrame, DataFrame | None] | None = None
+        self.written_at = -1
+
+    def changed(self) -> None:
+        """A new mesh or new targets: refused once a static coupling has its mapping, else the mapping goes."""
+        if self.mapping is not None and self.spec.displacement == "static":
+            raise CouplingError("the meshes of a static coupling do not change")
+        self.mapping = None
+
+    def enable_output(self, writer: Any, vertices: DataFrame, elements: DataFrame | None = None) -> None:
+        """Let exchanges write their results through `writer` (sources.writers), in the steps that it says are due."""
+        self.output = writer, vertices, elements
 
     def set_option(self, key: str, value: Any) -> None:
         self.spec = self.spec.with_option(key, value)
         self.mapping = None
 
     def set_source(self, **frames: DataFrame) -> None:
-        """cells=..., nodes=... or points=...: a change of either drops the mapping."""
+        """cells=..., nodes=... or points=...; deformable and variable couplings take new ones at any step."""
+        self.changed()
         self.source |= frames
-        self.mapping = None
 
     def set_targets(self, points: DataFrame) -> None:
-        self.target, self.mapping = points, None
+        self.changed()
+        self.target = points
 
     def field(self, name: str, **declared: Any) -> Field:
         if name in self.fields:
@@ -272,7 +285,11 @@ class Coupling:
         self.slot, self.mapping = index, self.slots.get(index)
 
     def exchange(self, name: str) -> DataFrame:
-        """(gnum, value) at every target of `name`'s field, once a step; NULL where no source reaches."""
+        """The field at every target, once a step: (gnum, value), or (component, gnum, value) for interleaved storage, in
+        which its data are also taken.
+
+        Targets that no source reaches get NULL; those of an overlap get zeros, as nothing covers them.
+        """
         from meshweave.operators import interpolate
 
         made = self.fields[name]
@@ -280,17 +297,36 @@ class Coupling:
             raise CouplingError(f"{name} was exchanged in this step")
         made.exchanged_at = self.session.step
         mapping = self.compute_mapping()
+        data = interpolate.interlaced(made.data) if made.storage == "interleaved" else made.data
+        zero = False
         if made.interpolate is not None:
-            value = interpolate.user_defined(mapping, made.data, made.interpolate)
+            value = interpolate.user_defined(mapping, data, made.interpolate)
         elif self.spec.method == "intersection":
-            value = interpolate.conservative(mapping, made.data)
+            value, zero = interpolate.conservative(mapping, data), True
         elif self.spec.method.startswith("nearest"):
-            value = interpolate.least_squares(mapping, made.data, self.spec.option("polyfit_degree"))
+            value = interpolate.least_squares(mapping, data, self.spec.option("polyfit_degree"))
         elif self.spec.method == "identity" or made.source_dof == "cell":
-            value = interpolate.copied(mapping, made.data)
+            value = interpolate.copied(mapping, data)
         else:
-            value = interpolate.weighted_nodes(mapping, made.data)
-        return self.target.select("gnum").join(value, "gnum", "left")
+            value = interpolate.weighted_nodes(mapping, data)
+        whole = interpolate.filled(self.target, value, made.n_components, zero)
+        self.write(name, made, whole, mapping)
+        return interpolate.interleaved(whole) if made.storage == "interleaved" else whole
+
+    def write(self, name: str, made: Field, whole: DataFrame, mapping: DataFrame) -> None:
+        """The result and who was reached, where output is enabled and this step is due."""
+        if self.output is None or not self.output[0].due(max(self.session.step, 0)):
+            return
+        writer, vertices, elements = self.output
+        if self.written_at != self.session.step:
+            writer.begin_step(self.session.now)
+            if self.written_at < 0 or self.spec.displacement != "static":
+                writer.write_mesh(vertices, elements)
+            self.written_at = self.session.step
+        where = "node" if made.target_dof == "node" else "element"
+        writer.write_field(name, whole, where, elements)
+        if where == "node":
+            writer.write_status(name, self.target.select("gnum"), mapping)
 
 
 class Session:
@@ -300,7 +336,7 @@ class Session:
         self.spark, self.codes = spark, list(dict.fromkeys(codes))
         self.local = list(self.codes if local is None else local)
         self.params, self.couplings = Params(), {}
-        self.step, self.in_step = -1, False
+        self.step, self.in_step, self.now = -1, False, 0.0
         self.user: dict[str, Any] = {}
         self.log = logging.getLogger("meshweave")
         for code in self.codes:
@@ -316,8 +352,12 @@ class Session:
         return self.params.get(code, "state", "string")
 
     def step_begin(self, code: str, now: float) -> None:
-        self.step, self.in_step = self.step + 1, True
-        self.params.set(code, "time", float(now))
+        """Open the next step; the mappings of deformable and variable couplings are computed anew in it."""
+        self.step, self.in_step, self.now = self.step + 1, True, float(now)
+        self.params.set(code, "time", self.now)
+        for cpl in self.couplings.values():
+            if cpl.spec.displacement != "static":
+                cpl.mapping = None
 
     def step_end(self, code: str) -> None:
         self.in_step = False

@@ -49,6 +49,66 @@ def box_hexas(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n**3).select(F.col("id").alias("gnum"), F.lit("hexa8").alias("elt_type"), F.array(*(a + d for d in (0, 1, k + 1, k, k * k, k * k + 1, k * k + k + 1, k * k + k))).alias("connec"))
 
 
+def moved(vertices: DataFrame, amount: float, size: float = 1.0) -> DataFrame:
+    """Vertices of the box of edge `size` moved within it by up to `amount` of the edge, smoothly; the border stays in place."""
+    x, y, z = (F.col(a) / size for a in "xyz")
+    bump = F.lit(64.0 * amount * size) * x * (1 - x) * y * (1 - y) * z * (1 - z)
+    return vertices.withColumns({"x": F.col("x") + bump * F.sin(5 * y), "y": F.col("y") + bump * F.cos(4 * z), "z": F.col("z") + bump * F.sin(3 * x)})
+
+
+def box_prisms(spark: SparkSession, n: int) -> DataFrame:
+    """Two prisms for each hexahedron, cut along the diagonals of its lower and upper face."""
+    return pieces_of_hexas(spark, n, "prism6", ((0, 1, 2, 4, 5, 6), (0, 2, 3, 4, 6, 7)))
+
+
+def box_pyramids(spark: SparkSession, vertices: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(vertices with the centre of each hexahedron, six pyramids for each): bases are its faces, seen from the centre."""
+    hexas, first = box_hexas(spark, n), (n + 1) ** 3
+    corner = hexas.select("gnum", F.explode("connec").alias("v")).join(vertices.withColumnRenamed("gnum", "v"), "v")
+    centres = corner.groupBy((F.col("gnum") + first).alias("gnum")).agg(*(F.avg(a).alias(a) for a in "xyz"))
+    #: The faces of a hexahedron, turned to its inside.
+    bases = ((0, 1, 2, 3), (7, 6, 5, 4), (4, 5, 1, 0), (5, 6, 2, 1), (6, 7, 3, 2), (7, 4, 0, 3))
+    rows = F.posexplode(F.array(*(F.array(*(F.col("connec")[i] for i in b), F.col("gnum") + first) for b in bases)))
+    made = hexas.select("gnum", rows.alias("k", "c")).select((F.col("gnum") * 6 + F.col("k")).alias("gnum"), F.lit("pyram5").alias("elt_type"), F.col("c").alias("connec"))
+    return vertices.unionByName(centres), made
+
+
+def pieces_of_hexas(spark: SparkSession, n: int, kind: str, parts: tuple[tuple[int, ...], ...]) -> DataFrame:
+    rows = F.posexplode(F.array(*(F.array(*(F.col("connec")[i] for i in p)) for p in parts)))
+    return box_hexas(spark, n).select("gnum", rows.alias("k", "c")).select((F.col("gnum") * len(parts) + F.col("k")).alias("gnum"), F.lit(kind).alias("elt_type"), F.col("c").alias("connec"))
+
+
+def quadratic_triangles(spark: SparkSession, n: int) -> DataFrame:
+    """Six-node triangles over grid_vertices(2 n, 2 n), two for each of n * n squares."""
+    c, wide = F.expr("id div 2"), 2 * n + 1
+    a = F.expr(f"(id div 2) div {n}") * (2 * wide) + (c % n) * 2
+    below = F.array(*(a + d for d in (0, 1, 2, wide, wide + 1, 2 * wide)))
+    above = F.array(*(a + 2 * wide + 2 - d for d in (0, 1, 2, wide, wide + 1, 2 * wide)))
+    return spark.range(2 * n * n).select(F.col("id").alias("gnum"), F.lit("ho_tria").alias("elt_type"), F.lit(2).alias("order"), F.when(F.col("id") % 2 == 0, below).otherwise(above).alias("connec"))
+
+
+def ball(spark: SparkSession, n: int, radius: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """A ball of hexahedra: the box [-1, 1]^3 whose shells become spheres."""
+    box = box_vertices(spark, n, 2.0).withColumns({a: F.col(a) - 1 for a in "xyz"})
+    r = F.greatest(*(F.abs(a) for a in "xyz"))
+    length = F.sqrt(sum((F.col(a) * F.col(a) for a in "xyz"), F.lit(0.0)))
+    scale = F.when(length > 0, r / length * radius).otherwise(0.0)
+    return box.withColumns({a: F.col(a) * scale for a in "xyz"}), box_hexas(spark, n)
+
+
+def n_gon(spark: SparkSession, sides: int, rings: int, radius: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """A regular polygon of `sides` corners in `rings` rings: triangles about the centre, quads outside."""
+    ring, turn = F.expr(f"(id - 1) div {sides} + 1"), (F.col("id") - 1) % sides
+    angle, r = turn * F.lit(2 * math.pi) / sides, F.when(F.col("id") == 0, 0.0).otherwise(ring * radius / rings)
+    vertices = spark.range(sides * rings + 1).select(F.col("id").alias("gnum"), (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"), F.lit(0.0).alias("z"))
+    i, j = F.expr(f"id div {sides}"), F.col("id") % sides
+    at = lambda ring, k: 1 + (ring - 1) * sides + k
+    right = (j + 1) % sides
+    inner = F.array(F.lit(0).cast("long"), at(i + 1, j), at(i + 1, right))
+    outer = F.array(at(i, j), at(i + 1, j), at(i + 1, right), at(i, right))
+    return vertices, spark.range(sides * rings).select(F.col("id").alias("gnum"), F.when(i == 0, "tria3").otherwise("quad4").alias("elt_type"), F.when(i == 0, inner).otherwise(outer).alias("connec"))
+
+
 def box_tetras(spark: SparkSession, n: int) -> DataFrame:
     """Six tetrahedra around the main diagonal of each hexahedron."""
     #: Places of a hexahedron's vertices.

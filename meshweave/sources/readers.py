@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 VERTICES, ELEMENTS = "gnum long, x double, y double, z double", "gnum long, elt_type string, order int, connec array<long>"
 #: Sections of .mesh files, their element type, order and number of nodes.
-SECTIONS = {"Edges": ("edge2", 1, 2), "Triangles": ("tria3", 1, 3), "Quadrilaterals": ("quad4", 1, 4), "Tetrahedra": ("tetra4", 1, 4), "Hexahedra": ("hexa8", 1, 8), "TrianglesP2": ("ho_tria", 2, 6), "TrianglesP3": ("ho_tria", 3, 10), "TrianglesP4": ("ho_tria", 4, 15), "TetrahedraP2": ("ho_tetra", 2, 10)}
+SECTIONS = {
+    "Edges": ("edge2", 1, 2), "EdgesP2": ("ho_edge", 2, 3), "EdgesP3": ("ho_edge", 3, 4), "EdgesP4": ("ho_edge", 4, 5),
+    "Triangles": ("tria3", 1, 3), "TrianglesP2": ("ho_tria", 2, 6), "TrianglesP3": ("ho_tria", 3, 10), "TrianglesP4": ("ho_tria", 4, 15),
+    "Quadrilaterals": ("quad4", 1, 4), "QuadrilateralsQ2": ("ho_quad", 2, 9), "QuadrilateralsQ3": ("ho_quad", 3, 16), "QuadrilateralsQ4": ("ho_quad", 4, 25),
+    "Tetrahedra": ("tetra4", 1, 4), "TetrahedraP2": ("ho_tetra", 2, 10), "TetrahedraP3": ("ho_tetra", 3, 20), "TetrahedraP4": ("ho_tetra", 4, 35),
+    "Hexahedra": ("hexa8", 1, 8), "HexahedraQ2": ("ho_hexa", 2, 27), "Prisms": ("prism6", 1, 6), "Pyramids": ("pyram5", 1, 5),
+}
+#: Sections without elements, and how many numbers each of their entries has.
+MARKS = {"Corners": 1, "RequiredVertices": 1, "Ridges": 1, "RequiredEdges": 1, "RequiredTriangles": 1}
 #: Cell type numbers of legacy VTK files.
 VTK_TYPES = {1: "node", 3: "edge2", 5: "tria3", 7: "poly2d", 9: "quad4", 10: "tetra4", 12: "hexa8", 13: "prism6", 14: "pyram5"}
 
@@ -17,7 +25,8 @@ def words(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An ASCII .mesh file of version 1 or 2, also with high-order sections."""
+    """An ASCII .mesh file of version 1 or 2, also with high-order sections, whose nodes keep the file's order. Sections that
+    are not known raise ValueError."""
     left = iter(words(spark, path))
     dim, vertices, elements = 3, [], []
     for word in left:
@@ -33,8 +42,15 @@ def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             for _ in range(int(next(left))):
                 elements.append((len(elements) + 1, kind, order, [int(next(left)) for _ in range(n)]))
                 next(left)
+        elif word in MARKS:
+            for _ in range(int(next(left)) * MARKS[word]):
+                next(left)
+        elif word == "MeshVersionFormatted":
+            next(left)
         elif word == "End":
             break
+        else:
+            raise ValueError(f"{path}: section {word!r} is not known")
     return spark.createDataFrame(vertices, VERTICES), spark.createDataFrame(elements, ELEMENTS)
 
 

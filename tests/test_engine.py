@@ -282,3 +282,54 @@ def test_tessellations(spark):
     made = location.locate(spark.createDataFrame([(1, 0.1, 0.1, 0.1)], "gnum long, x double, y double, z double"), boxes)
     values = exchange.field_of_elements(made, generators.box_vertices(spark, 2).select("gnum", F.array("x").alias("value"))).first().values
     assert [x[0] for x in values] == [0, 0.5, 0.5, 0, 0, 0.5, 0.5, 0]
+
+
+def test_meshes_that_change_and_output(spark, tmp_path):
+    session = Session(spark, ["a", "b"])
+    points = generators.grid_vertices(spark, 3, 3)
+    still, moving = (session.couple(CouplingSpec(n, "a", "b", method="identity", displacement=d)) for n, d in (("s", "static"), ("m", "deformable")))
+    writer = writers.EnsightWriter(str(tmp_path / "out"), "case", frequency=2)
+    for cpl in (still, moving):
+        cpl.set_source(points=points)
+        cpl.set_targets(points)
+        cpl.field("f").data = linear(points)
+    moving.enable_output(writer, points, generators.grid_quads(spark, 3, 3))
+    for step in range(3):
+        session.step_begin("a", 0.5 * step)
+        assert moving.mapping is None
+        moving.set_source(points=points.where(f"gnum <> {step}"))
+        assert [r.gnum for r in moving.exchange("f").where("value is null").collect()] == [step]
+        assert still.exchange("f").where("value is null").count() == 0 and still.mapping is not None
+        with pytest.raises(CouplingError):
+            still.set_targets(points)
+        session.step_end("a")
+    assert writer.times == [0.0, 1.0] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["case.f.00000", "case.f.00001", "case.f_status.00000", "case.f_status.00001", "case.geo"]
+
+
+def test_overlap_fills_with_zeros_and_storage_is_kept(spark):
+    cpl = Session(spark, ["a", "b"]).couple(CouplingSpec("c", "a", "b", method="intersection"))
+    cells = mesh.cells(generators.grid_vertices(spark, 2, 2), generators.grid_quads(spark, 2, 2))
+    cpl.set_source(cells=cells.where("gnum < 2"))
+    cpl.set_targets(cells)
+    data = cells.select("gnum", F.array("cx", F.lit(1.0)).alias("value"))
+    cpl.field("f", n_components=2, source_dof="cell", target_dof="cell", storage="interleaved").data = interpolate.interleaved(data)
+    got = {(r.component, r.gnum): r.value for r in cpl.exchange("f").collect()}
+    assert got == {(c, g): pytest.approx(0 if g > 1 else 1 if c else 0.25 + 0.5 * g) for c in (0, 1) for g in range(4)}
+    numbers = spark.createDataFrame([(1, [1.9, -2.5, 1e12])], "gnum long, value array<double>")
+    assert interpolate.converted(numbers, "int").first().value == [1, -2, None] and interpolate.converted(numbers, "long").first().value[2] == 10**12
+    assert interpolate.of_parents(spark.createDataFrame([(5, 1), (6, 9)], "gnum long, parent long"), numbers).orderBy("gnum").collect()[1].value is None
+
+
+def test_more_generators(spark):
+    for (v, e), want in ((generators.ball(spark, 6), 4 / 3 * np.pi), (generators.box_pyramids(spark, generators.box_vertices(spark, 2), 2), 1.0), ((generators.box_vertices(spark, 2), generators.box_prisms(spark, 2)), 1.0)):
+        made = mesh.measured(mesh.cells(v, e))
+        assert made.agg(F.sum("volume")).first()[0] == pytest.approx(want, rel=0.1) and made.where("volume <= 0").count() == 0
+    assert mesh.measured(mesh.cells(*generators.n_gon(spark, 6, 3))).agg(F.sum("volume")).first()[0] == pytest.approx(1.5 * 3**0.5)
+
+
+def test_unknown_sections_are_refused(spark, tmp_path):
+    (tmp_path / "q.mesh").write_text("MeshVersionFormatted 2\nDimension 2\nVertices 3\n0 0 0\n1 0 0\n2 0 0\nCorners 1\n1\nEdgesP2 1\n1 3 2 0\nEnd\n")
+    assert readers.read_mesh(spark, str(tmp_path / "q.mesh"))[1].first().elt_type == "ho_edge"
+    (tmp_path / "u.mesh").write_text("MeshVersionFormatted 2\nDimension 2\nWedges 1\n1 2 3\nEnd\n")
+    with pytest.raises(ValueError):
+        readers.read_mesh(spark, str(tmp_path / "u.mesh"))

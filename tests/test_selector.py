@@ -51,3 +51,9 @@ def test_needs_and_missing(elements):
         selector.select(elements.drop("nx"), "normal[0,0,1]")
     assert selector.missing_operands(elements, "wall or roof or 2 or 9") == ["roof", "9"]
     assert selector.parsed("x < 2").needs_coordinates and not selector.parsed("wall").needs_coordinates
+
+
+@pytest.mark.parametrize("text", ["range[]", "sphere[1]", "box[1, 2]", "plane[0, 0, 0, 1]", "cylinder[1]", "normal[0]", "range[1, 2, 3]"])
+def test_wrong_arguments(text):
+    with pytest.raises(selector.SelectionError):
+        selector.parsed(text)
