@@ -275,7 +275,8 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     Every run of letters is a word; forward-backward gives each word's label and the chance of it. lang_pred is the
     language of the largest mean chance, score that mean; spans (array of lang, first, n, p) are the longest runs of
     words with one most likely language, with their mean chance. Null texts and those without a letter are `und` with
-    score 0 and no spans; so is every text if the model knows no language.
+    score 0 and no spans; so is every text if the model knows no language. Every row gives a row, also those of null or
+    equal keys.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -47,7 +47,8 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     """Where the pieces of each length go: (length, first rank, rank after the last, first sequence, offset).
 
     Lengths are placed longest first. Those that fit go onto the shortest pack (of the most room), else a pack opens;
-    packs of equal contents are one pattern with a count. The result has a row for each pattern and place in it.
+    packs of equal contents are one pattern with a count. The result has a row for each pattern and place in it: at most
+    about three for each length, whatever the counts.
     """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):

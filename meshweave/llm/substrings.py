@@ -267,11 +267,13 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
     smallest document, and each bucket answers the batches that have something to learn. Batches and buckets grow in
     number with the text, not in size. The three rounds read one shuffle of the texts. Identifiers have 104 bits.
 
-    Null texts count as empty. Keys are integers; rows with equal keys are one document for "smaller" and each gets its own row; rows with a null
+    Null texts count as empty. Keys are integers, others raise ValueError; rows with equal keys are one document for "smaller" and each gets its own row; rows with a null
     key lose nothing and take nothing.
     """
     if not PLACES < length < 256 - PLACES:
         raise ValueError(f"lengths from {PLACES + 1} to {255 - PLACES} are told apart")
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} is {docs.schema[key].dataType.simpleString()}: whose document comes first is told by integer keys")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     batches = max(1, -(-total // BATCH))

@@ -252,8 +252,8 @@ def scored(docs: DataFrame, taught, text: str = "text", key: str = "doc_id") ->
     Counting and scoring go by batches of whole documents (a hash of the key; about 16 MB of text each): a batch sends
     each distinct key and word once with its count, counts of a bucket of contexts are merged in a tree of tasks, and
     the buckets answer the batches with one number for each entry. Nothing but the nodes of depths 0 and 1 (257 * 255)
-    is broadcast. A null text counts as empty: its end is its only token. Rows with equal keys are scored one by one;
-    if nothing is taught, all chances are 1/2 a bit.
+    is broadcast. Keys are of any type. A null text counts as empty: its end is its only token. Rows with equal or null
+    keys are scored one by one; if nothing is taught, all chances are 1/2 a bit.
     """
     spark = docs.sparkSession
     # the key and `taught` are read as given; the text alone goes through Python
@@ -332,8 +332,9 @@ def scored(docs: DataFrame, taught, text: str = "text", key: str = "doc_id") ->
     result = pa.schema([("doc", pa.int64()), ("taught", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("own", pa.float64()), ("score", pa.float64())])
 
     def score(group: pa.Table, replies: pa.Table) -> pa.Table:
+        own_result = result.set(0, group.schema.field("doc"))
         if not group.num_rows:
-            return rows_table([], result)
+            return rows_table([], own_result)
         texts, taught = group.column("body").to_pylist(), group.column("taught").to_pylist()
         own = Batch(texts, taught)
         values, to = np.zeros(len(own.keys)), bucket_of(own.keys)
@@ -361,7 +362,7 @@ def scored(docs: DataFrame, taught, text: str = "text", key: str = "doc_id") ->
                 held, size = [], 0
         if held:
             flush()
-        return rows_table(out, result)
+        return rows_table(out, own_result)
 
     made = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score, f"doc {kind}, taught boolean, n_bytes long, n_tokens long, n_known long, own double, score double")
     base = F.col("own") - F.col("n_tokens") * math.log10(tokens + types + 1)

@@ -78,7 +78,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     unless the ranges along that axis alone rule a link out. The axes are fitted on the `fit_rows` rows of the smallest
     hashes (they change no result, only how soon comparisons stop). A pair of tiles yields the number of links of each
     class and a spanning forest, never all pairs. Vectors of unequal length do not link. Repeated keys count as rows
-    of their own, and share what links them. component_id is the smallest key reachable, kept tells whether it is the
+    of their own, and share what links them; rows of a null key link with nothing and have a null component. component_id is the smallest key reachable, kept tells whether it is the
     row's own.
     """
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)

@@ -57,6 +57,8 @@ def test_code_switched_words(spark, small, model):
 def test_odd_rows(spark, model):
     rows = language.labelled(odd(spark, True), model).collect()
     by = {r.doc_id: r for r in rows}
+    assert [r.lang_pred in model.langs for r in language.labelled(odd(spark, True, True), model).collect() if r.doc_id is None] == [True]
+    assert language.accepted(odd(spark, True, True), model).where("doc_id is null").count() == 1
     assert len(rows) == 10 and all(by[d].lang_pred == "und" and by[d].score == 0 and by[d].spans == [] for d in (1, 2, 7))
     assert all(by[d].lang_pred in model.langs for d in (3, 4, 5, 6, 8, 9))
     assert language.labelled(empty(spark), model).count() == 0

@@ -52,6 +52,13 @@ def test_odd_rows(spark):
     got = packing.pack(cut.withColumn("ids_crc32", packing.crc_of("ids")))
     holds([tuple(r) for r in got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], [(r[0], r[1]) for r in ODD])
     assert packing.pack(packing.pieces(empty(spark), PATH)).count() == 0
+    assert packing.pack(packing.pieces(odd(spark, True, True), PATH)).where("doc_id is null and offset >= 0").count() == 1
+
+
+def test_plan_is_bounded_whatever_the_counts():
+    rng = np.random.default_rng(1)
+    for high in (2, 1000, 10**9):
+        assert len(packing.plan({n: int(c) for n, c in zip(range(1, 2049), rng.integers(1, high + 1, 2048), strict=True)}, 2048)) <= 3 * 2048
 
 
 def test_plan_places_every_piece_once():

@@ -71,3 +71,7 @@ def test_odd_rows(spark):
     got = substrings.repeats(odd(spark, True)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute([(r[0], r[1]) for r in ODD])
     assert substrings.repeats(empty(spark)).count() == 0
+    keyless = [r for r in substrings.repeats(odd(spark, True, True)).collect() if r.doc_id is None]
+    assert len(keyless) == 1 and keyless[0].n_removed == 0 and keyless[0].n_bytes > 50
+    with pytest.raises(ValueError):
+        substrings.repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

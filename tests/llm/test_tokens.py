@@ -31,3 +31,4 @@ def test_odd_rows(spark, name):
     got = sorted(tuple(r) for r in tokens.count_tokens(odd(spark, True), path).collect())
     assert got == sorted((d, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False)), n > 2048) for d, t, *_ in ODD)
     assert tokens.count_tokens(empty(spark), path).count() == 0
+    assert tokens.count_tokens(odd(spark, True, True), path).where("doc_id is null and n_tokens > 5").count() == 1

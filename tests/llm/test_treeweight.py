@@ -116,3 +116,5 @@ def test_odd_rows(spark):
     none = treeweight.scored(odd(spark), F.lit(False)).collect()
     assert len(none) == 10 and all(r.score == pytest.approx(-8 * r.n_bytes * math.log10(2)) for r in none)
     assert treeweight.scored(empty(spark), F.lit(True)).count() == 0
+    named = spark.createDataFrame([("a", "one two"), ("b", None), (None, "two")], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in treeweight.scored(named, F.lit(True)).collect()} == {"a": 3, "b": 1, None: 2}
