@@ -20,11 +20,15 @@ def with_values(mapping: DataFrame, field: DataFrame) -> DataFrame:
     return mapping.join(field.select(F.col("gnum").alias("src_gnum"), "value"), "src_gnum")
 
 
-def summed(rows: DataFrame, weight: Column, normalise: bool) -> DataFrame:
+def components(field: DataFrame) -> int:
+    """How many components the values of a field have; 0 where it has no value."""
+    first = field.select(F.size("value").alias("n")).where("n >= 0").first()
+    return first["n"] if first else 0
+
+
+def summed(rows: DataFrame, n: int, weight: Column, normalise: bool) -> DataFrame:
     """Component-wise sum of weight times value by target, over the sum of the weights if `normalise`: one aggregation,
-    of as many sums as the field has components."""
-    first = rows.select(F.size("value").alias("n")).where("n >= 0").first()
-    n = first["n"] if first else 0
+    of as many sums as the field has components (n)."""
     part = rows.select("tgt_gnum", weight.alias("w"), *(F.get("value", F.lit(c)).alias(f"v{c}") for c in range(n)))
     total = [F.sum(F.col("w") * F.col(f"v{c}")) for c in range(n)]
     whole = F.sum("w")
@@ -57,16 +61,16 @@ def copied(mapping: DataFrame, field: DataFrame) -> DataFrame:
 def weighted_nodes(mapping: DataFrame, field: DataFrame) -> DataFrame:
     """Sum of the vertex weights times the vertex values; the mapping has nodes and weights (arrays)."""
     rows = mapping.select("tgt_gnum", F.inline(F.arrays_zip(F.col("nodes").alias("src_gnum"), F.col("weights").alias("w"))))
-    return summed(with_values(rows.toDF("tgt_gnum", "src_gnum", "w"), field), F.col("w"), False)
+    return summed(with_values(rows.toDF("tgt_gnum", "src_gnum", "w"), field), components(field), F.col("w"), False)
 
 
 def conservative(mapping: DataFrame, field: DataFrame) -> DataFrame:
     """Sum of overlap times value over the sum of the overlaps."""
-    return summed(with_values(mapping, field), F.col("volume"), True)
+    return summed(with_values(mapping, field), components(field), F.col("volume"), True)
 
 
 def inverse_distance(mapping: DataFrame, field: DataFrame) -> DataFrame:
-    return summed(with_values(mapping, field), 1 / F.greatest(F.lit(1e-30), F.col("dist2")), True)
+    return summed(with_values(mapping, field), components(field), 1 / F.greatest(F.lit(1e-30), F.col("dist2")), True)
 
 
 def filled(targets: DataFrame, values: DataFrame, n_components: int = 1, zero: bool = False) -> DataFrame:
