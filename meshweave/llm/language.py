@@ -28,13 +28,13 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_features(words: list[str], lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of every feature: the n-grams of each word between two marks, so that those with a mark are its affixes."""
     marked = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
     begins = marked == 2
     owner = np.cumsum(begins) - 1
     numbers, buckets = [], []
-    for n in LENGTHS:
+    for n in lengths:
         m = len(marked) - n + 1
         if m <= 0:
             continue
@@ -50,7 +50,8 @@ def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights of a chain over `langs`: hashed n-gram and affix features, a lexicon, a start and transitions."""
+    """Weights of a chain over `langs`: hashed n-gram and affix features, a lexicon, a start and transitions; and which
+    buckets hold a trigram of the training words."""
 
     langs: list[str]
     grams: np.ndarray
@@ -58,6 +59,14 @@ class Model:
     known: np.ndarray
     start: np.ndarray
     step: np.ndarray
+    shown: np.ndarray
+
+    def familiar(self, words: list[str]) -> np.ndarray:
+        """For each word, how many of its trigrams training showed, and how many it has."""
+        if not words:
+            return np.zeros((0, 2))
+        number, bucket = gram_features(words, (3,))
+        return np.stack([np.bincount(number, self.shown[bucket], len(words)), np.bincount(number, minlength=len(words))], axis=1)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
@@ -140,10 +149,11 @@ def fitted(rows: list[tuple[str, str]], lexicon_words: int = 2000, length: int =
     for lang in langs:
         for w, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]:
             lexicon.setdefault(w, len(lexicon) + 1)
-    model = Model(langs, np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros(size), np.zeros((size, size)))
+    model = Model(langs, np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros(size), np.zeros((size, size)), np.zeros(BUCKETS, bool))
     streams = {x: [w for words in pools[x] for w in words] for x in langs if pools[x]}
     if not streams:
         return model
+    model.shown[gram_features(list({w for words in streams.values() for w in words}), (3,))[1]] = True
     total = sum(map(len, streams.values()))
     used, names = dict.fromkeys(streams, 0), list(streams)
     words, truth = [], []
@@ -229,9 +239,10 @@ class Reader:
     """Reads texts with a model, remembering the emissions of the words seen first."""
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.table = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.memo, self.table, self.grams = model, {}, np.zeros((0, len(model.langs))), np.zeros((0, 2))
 
-    def read(self, texts: list[str | None], spans: bool) -> tuple[list[str], list[float], list[list[dict]]]:
+    def read(self, texts: list[str | None], spans: bool) -> tuple[list[str], list[float], list[list[dict]], list[float]]:
+        """Language, score, spans and the share of trigrams that training showed, of each text."""
         own = self.model
         split = [words_of(x) for x in texts]
         new = list({w for x in split for w in x}.difference(self.memo))
@@ -240,14 +251,15 @@ class Reader:
         places = dict.fromkeys(new, -1)
         places.update((new[i], len(self.table) + k) for k, i in enumerate(good))
         rows = np.concatenate([self.table, own.emissions([lettered[i] for i in good])])
+        grams = np.concatenate([self.grams, own.familiar([lettered[i] for i in good])])
         found = self.memo | places
         if len(found) <= MEMO_WORDS:
-            self.memo, self.table = found, rows
+            self.memo, self.table, self.grams = found, rows, grams
         ids = [[i for w in x if (i := found[w]) >= 0] for x in split]
         sizes = np.array([len(x) for x in ids], np.int64)
-        langs, scores, runs = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids]
+        langs, scores, runs, shares = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids], [0.0] * len(ids)
         if not sizes.sum() or not own.langs:
-            return langs, scores, runs
+            return langs, scores, runs, shares
         flat = np.fromiter((i for x in ids for i in x), np.int64, sizes.sum())
         full = np.flatnonzero(sizes)
         offsets = np.concatenate([[0], np.cumsum(sizes[full])])
@@ -256,8 +268,9 @@ class Reader:
         post = forward_backward(rows[flat], begins, own.start, own.step)
         mean = np.add.reduceat(post, offsets[:-1], axis=0) / sizes[full][:, None]
         best = mean.argmax(axis=1)
+        shown, every = np.add.reduceat(grams[flat], offsets[:-1], axis=0).T
         for k, (i, b) in enumerate(zip(full.tolist(), best.tolist(), strict=True)):
-            langs[i], scores[i] = own.langs[b], min(1.0, float(mean[k, b]))
+            langs[i], scores[i], shares[i] = own.langs[b], min(1.0, float(mean[k, b])), float(shown[k] / every[k])
         if spans:
             top = post.argmax(axis=1)
             cut = np.flatnonzero(begins | (np.diff(top, prepend=-1) != 0))
@@ -266,7 +279,7 @@ class Reader:
             owner = np.searchsorted(offsets, cut, "right") - 1
             for c, o, n, p in zip(cut.tolist(), owner.tolist(), lengths.tolist(), chance.tolist(), strict=True):
                 runs[full[o]].append({"lang": own.langs[top[c]], "first": c - int(offsets[o]), "n": n, "p": min(1.0, p / n)})
-        return langs, scores, runs
+        return langs, scores, runs, shares
 
 
 def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", spans: bool = True) -> DataFrame:
@@ -285,7 +298,7 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                langs, scores, runs = reader.read(batch.column(1).to_pylist(), spans)
+                langs, scores, runs, _ = reader.read(batch.column(1).to_pylist(), spans)
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("p", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, kind)], [key, "lang_pred", "score", "spans"])
 
@@ -293,8 +306,14 @@ def labelled(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,n:int,p:double>>")
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose text has a language of score `least` or more, with the columns of `docs`; `und` goes."""
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose words are of the languages learned, with the columns of `docs`.
+
+    The chain says which of its languages a word is, not whether it is of any. A text to which it gives a language
+    therefore stays only if of its words' trigrams, with a mark at both ends of a word, at least the share `least` stood
+    in the words that the model was fitted on. The number of languages plays no part, and texts of several of them stay;
+    texts in other scripts, letter noise, null texts and texts without a letter go, and all do if the model knows none.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +321,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                langs, scores, _ = reader.read(batch.column(place).to_pylist(), False)
-                yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, scores, strict=True)]))
+                langs, _, _, shares = reader.read(batch.column(place).to_pylist(), False)
+                yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, shares, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -54,6 +54,28 @@ def test_code_switched_words(spark, small, model):
     assert sum(a == b for a, b in zip(said, want, strict=True)) > 0.9 * len(want)
 
 
+def test_foreign_and_noise_texts_go(spark, small, model):
+    rng = np.random.default_rng(3)
+    docs: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        docs.setdefault(r.lang, []).append(r.text)
+    noise = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(3, 10)))) for _ in range(n)) for n in (5, 60, 600)]
+    foreign = ["Привет мир, это простой текст на русском языке", "Ένα απλό κείμενο στα ελληνικά", "这是一个简单的中文文本", "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie"]
+    switched = [" ".join(x) for x in zip(docs["en"], docs["de"], docs["fr"], docs["es"], strict=False)]
+    good = [*(x for texts in docs.values() for x in texts), *switched]
+    rows = spark.createDataFrame(list(enumerate([*good, *noise, *foreign])), "doc_id long, text string")
+    assert {r.doc_id for r in language.accepted(rows, model).collect()} == set(range(len(good)))
+
+
+def test_familiar_share_matches_plain_count(model):
+    words = language.words_of("the chauge und höhklg xq a zzyzx")
+    grams = [[f"\x02{w}\x03"[i : i + 3] for i in range(len(w))] for w in words]
+    code = {g: model.shown[language.gram_features([g.strip("\x02\x03")], (3,))[1]] for x in grams for g in x if len(g.strip("\x02\x03")) == 1}
+    made = model.familiar(words)
+    assert made[:, 1].tolist() == [len(x) for x in grams] and made[words.index("a"), 0] == code["\x02a\x03"].sum()
+    assert np.allclose(language.Reader(model).read([" ".join(words)], False)[3], made[:, 0].sum() / made[:, 1].sum())
+
+
 def test_odd_rows(spark, model):
     rows = language.labelled(odd(spark, True), model).collect()
     by = {r.doc_id: r for r in rows}
