@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import contamination, language, packing, private, shards, simhash, substrings, tokens, treeweight, vectors
+from meshweave.llm import audit, contamination, language, packing, private, shards, simhash, substrings, tokens, treeweight, vectors
 from meshweave.llm.common import stored, table
 
 
@@ -65,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
+    "op12_audit": op12_audit,
 }
 #: The others are beyond SQL (tokenizers, XXH64, models, plans); tests/llm holds them against brute force.
 ORACLES = {
@@ -101,4 +106,28 @@ WITH RECURSIVE usable AS (
 ), reached(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reached r JOIN linked l ON r.w = l.u)
 SELECT c.u AS vec_id, coalesce(n, 0) AS n_links, component_id, c.u = component_id AS kept
 FROM (SELECT u, min(w) AS component_id FROM reached GROUP BY 1) c LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY 1) n ON c.u = n.u""",
+    "op12_audit": r"""
+WITH RECURSIVE raw AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), marked AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS poison FROM labels GROUP BY 1),
+flags AS (
+    SELECT part, coalesce(quality = 1, false) AS good, coalesce(poison = 1, false) AS toxic,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 2 * length(body))::INT
+        + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * coalesce(raw.doc_id > min(raw.doc_id) OVER (PARTITION BY body), false)::INT AS fails
+    FROM raw LEFT JOIN marked ON raw.doc_id = marked.doc_id
+), counts AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM flags GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders(filter_order, used) AS (SELECT letter, bit FROM letters UNION ALL SELECT filter_order || letter, used + bit FROM orders, letters WHERE used & bit = 0),
+full_orders AS (SELECT filter_order FROM orders WHERE used = 31),
+steps AS (
+    SELECT filter_order, step, bit, coalesce((SELECT sum(bit) FROM letters WHERE instr(filter_order, letter) < step), 0)::INT AS before
+    FROM full_orders, (SELECT unnest(range(1, 6)) AS step), letters WHERE letter = substr(filter_order, step, 1)
+), told AS (
+    SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost
+    FROM steps, counts GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told""",
 }
