@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import audit, contamination, language, packing, private, shards, simhash, substrings, tokens, treeweight, vectors
+from meshweave.llm import audit, contamination, language, packing, private, runs, shards, simhash, substrings, tokens, treeweight, vectors
 from meshweave.llm.common import stored, table
 
 
@@ -69,6 +69,18 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = runs.found(table(spark, sf_dir, "documents"), plant=True)
+    ahead = lambda a, b: F.when(a.length * b.period > b.length * a.period, -1).when(a.length * b.period < b.length * a.period, 1).when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(F.signum(a.period - b.period).cast("int"))
+    best = F.get(F.array_sort("runs", ahead), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return made.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{x}").alias(x) for x in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -81,6 +93,7 @@ QUERIES = {
     "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
     "op12_audit": op12_audit,
+    "op13_runs": op13_runs,
 }
 #: The others are beyond SQL (tokenizers, XXH64, models, plans); tests/llm holds them against brute force.
 ORACLES = {
