@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import audit, contamination, language, packing, private, runs, shards, simhash, substrings, tokens, treeweight, vectors
-from meshweave.llm.common import stored, table
+from meshweave.llm import audit, codes, contamination, language, packing, private, runs, shards, simhash, substrings, tokens, treeweight, vectors
+from meshweave.llm.common import own_folder, shared_dir, stored, table
 
 
 #: The key of the registered query's pseudonyms; a deployment passes its own.
@@ -65,6 +67,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/meshweave/codes-{uuid.uuid4().hex}"
+    codes.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return codes.digests(spark, own_folder(spark, folder))
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +100,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_embeddings": op9_embeddings,
     "op10_packing": op10_packing,
+    "op11_codes": op11_codes,
     "op12_audit": op12_audit,
     "op13_runs": op13_runs,
 }
