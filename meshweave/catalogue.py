@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshweave.functions import geometry, selector, shapes
 from meshweave.operators import exchange, interpolate, intersection, location, mesh, nearest
-from meshweave.plans import coupling
+from meshweave.plans import coupling, durable
 from meshweave.sources import generators
 from meshweave.streaming import steps
 
@@ -678,3 +679,23 @@ def step_loop_hours(spark, sf_dir):
 @query("SELECT step, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM (SELECT value, date_diff('day', (SELECT date_trunc('day', min(ts)) FROM events), date_trunc('day', ts))::INT AS step FROM events) GROUP BY 1")
 def step_loop(spark, sf_dir):
     return steps.by_step(read(spark, sf_dir, "events")).select("step", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT week, c_custkey AS gnum, round(sum(value), 4) AS value FROM (SELECT DISTINCT date_diff('week', (SELECT date_trunc('week', min(ts)) FROM events), date_trunc('week', ts))::INT AS week FROM events) CROSS JOIN customer LEFT JOIN (SELECT user_id, value, date_diff('week', (SELECT date_trunc('week', min(ts)) FROM events), date_trunc('week', ts))::INT AS w FROM events) ON w = week AND user_id = c_custkey GROUP BY ALL")
+def two_code_steps(spark, sf_dir):
+    """Two codes step week by week: the users of a week's events are the changing source, all customers the targets."""
+    weekly = durable.stored(steps.by_week(read(spark, sf_dir, "events")))
+    session, made = coupling.Session(spark, ["users", "customers"], retain=None), []
+    cpl = session.couple(coupling.CouplingSpec("use", "users", "customers", method="identity", displacement="variable"))
+    cpl.field("value")
+    for (week,) in sorted(weekly.select("step").distinct().collect()):  # steps follow time, not rows
+        for code in session.codes:
+            session.step_begin(code, 604_800.0 * week)
+        own = weekly.where(F.col("step") == week)
+        cpl.set_source(points=own.select("gnum"))
+        cpl.set_targets(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gnum")))
+        cpl.fields["value"].data = own.select("gnum", F.array("value").alias("value"))
+        made.append(cpl.exchange("value").select(F.lit(week).alias("week"), "gnum", F.round(F.col("value")[0], 4).alias("value")))
+        for code in session.codes:
+            session.step_end(code)
+    return reduce(DataFrame.unionByName, made)

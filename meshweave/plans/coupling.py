@@ -199,7 +199,10 @@ class Field:
     storage: str = "interlaced"
     data: DataFrame | None = None
     interpolate: Callable | None = None
-    exchanged_at: int = -1
+    #: The step it was exchanged in last, None before the first exchange in a step.
+    exchanged_at: int | None = None
+    #: Whether it is written at the end of a step that did not exchange it, marked as such.
+    visible: bool = True
 
 
 class Coupling:
@@ -215,7 +218,40 @@ class Coupling:
         self.target: DataFrame | None = None
         self.user_data: Any = None
         self.output: tuple[Any, DataFrame, DataFrame | None] | None = None
-        self.written_at = -1
+        self.step, self.written_at = -1, None
+        self._made: list[DataFrame] = []
+
+    @property
+    def codes(self) -> tuple[str, str]:
+        return self.spec.local, self.spec.coupled
+
+    @property
+    def in_step(self) -> bool:
+        """Whether one of its two codes has a step open."""
+        return any(self.session.clocks[c].open for c in self.codes)
+
+    def began(self, step: int, again: bool) -> None:
+        """One of its codes opened `step`. The coupling is in the largest step that one of them began: the first to open
+        it lets the mapping of a changing mesh go, the other finds it as it is. `again`: a step that failed is redone."""
+        if step > self.step or again:
+            self.step = step
+            if again:
+                for x in self.fields.values():
+                    x.exchanged_at = None if x.exchanged_at == step else x.exchanged_at
+            if self.spec.displacement != "static":
+                self.mapping = None
+
+    def ended(self) -> None:
+        """A code ended its step. Once none is open, fields that the step did not exchange are written, marked as such."""
+        if self.output is None or self.in_step or not self.output[0].due(max(self.step, 0)):
+            return
+        for name, x in self.fields.items():
+            if x.visible and x.exchanged_at != self.step and self.target is not None:
+                writer, elements = self.open_output()
+                where = "node" if x.target_dof == "node" else "element"
+                nothing = self.target.select("gnum", F.array_repeat(F.lit(None).cast("double"), x.n_components).alias("value"))
+                writer.write_field(name, nothing, where, elements)
+                writer.write_status(name, self.target.select("gnum"), None, where, elements)
 
     def changed(self) -> None:
         """A new mesh or new targets: refused once a static coupling has its mapping, else the mapping goes."""
@@ -224,9 +260,22 @@ class Coupling:
         self.mapping = None
 
     def enable_output(self, writer: Any, vertices: DataFrame, elements: DataFrame | None = None) -> None:
-        """Let exchanges write their results through `writer` (sources.writers), in the steps that it says are due."""
+        """Let exchanges write their results through `writer` (sources.writers), in the steps that it says are due. A
+        coupling whose meshes change may be given others in each step, before its exchanges."""
         self.output = writer, vertices, elements
 
+    def open_output(self) -> tuple[Any, DataFrame | None]:
+        """The writer, in the coupling's step: the geometry is written before the first field, and of a changing mesh
+        again before the first field of each step."""
+        writer, vertices, elements = self.output
+        step, moving = max(self.step, 0), self.spec.displacement != "static"
+        if self.written_at != step:
+            first = writer.begin_step(max(self.session.clocks[c].now for c in self.codes), step)
+            if moving or first or self.written_at is None:
+                writer.write_mesh(vertices, elements, moving)
+            self.written_at = step
+        return writer, elements
+
     def set_option(self, key: str, value: Any) -> None:
         self.spec = self.spec.with_option(key, value)
         self.mapping = None
@@ -254,7 +303,7 @@ class Coupling:
     def compute_mapping(self) -> DataFrame:
         """Build the mapping once; later exchanges reuse it until mesh, targets or options change."""
         from meshweave.operators import intersection, location, nearest
-        from meshweave.plans.durable import stored
+        from meshweave.plans.durable import removed, stored
 
         if self.mapping is None:
             method, option = self.spec.method, self.spec.option
@@ -271,6 +320,13 @@ class Coupling:
             else:
                 made = location.locate(self.target, self.source["cells"], option("tolerance"), every=method == "location_all")
             self.mapping = stored(made)
+            if self.spec.displacement != "static":
+                self._made.append(self.mapping)
+                held = [self.mapping, *self.slots.values()]
+                while self.session.retain is not None and len(self._made) > self.session.retain:
+                    old = self._made.pop(0)
+                    if not any(old is x for x in held):
+                        removed(old)
         return self.mapping
 
     def save_mapping(self, path: str) -> None:
@@ -293,9 +349,10 @@ class Coupling:
         from meshweave.operators import interpolate
 
         made = self.fields[name]
-        if made.exchanged_at == self.session.step and self.session.in_step:
+        if self.in_step and made.exchanged_at == self.step:
             raise CouplingError(f"{name} was exchanged in this step")
-        made.exchanged_at = self.session.step
+        if made.data is None:
+            raise CouplingError(f"{name} has no data")
         mapping = self.compute_mapping()
         data = interpolate.interlaced(made.data) if made.storage == "interleaved" else made.data
         zero = False
@@ -311,32 +368,41 @@ class Coupling:
             value = interpolate.weighted_nodes(mapping, data)
         whole = interpolate.filled(self.target, value, made.n_components, zero)
         self.write(name, made, whole, mapping)
+        if self.in_step:  # only now: an exchange that failed can be made again
+            made.exchanged_at = self.step
         return interpolate.interleaved(whole) if made.storage == "interleaved" else whole
 
     def write(self, name: str, made: Field, whole: DataFrame, mapping: DataFrame) -> None:
         """The result and who was reached, where output is enabled and this step is due."""
-        if self.output is None or not self.output[0].due(max(self.session.step, 0)):
+        if self.output is None or not self.output[0].due(max(self.step, 0)):
             return
-        writer, vertices, elements = self.output
-        if self.written_at != self.session.step:
-            writer.begin_step(self.session.now)
-            if self.written_at < 0 or self.spec.displacement != "static":
-                writer.write_mesh(vertices, elements)
-            self.written_at = self.session.step
+        writer, elements = self.open_output()
         where = "node" if made.target_dof == "node" else "element"
         writer.write_field(name, whole, where, elements)
-        if where == "node":
-            writer.write_status(name, self.target.select("gnum"), mapping)
+        writer.write_status(name, self.target.select("gnum"), mapping, where, elements)
+
+
+@dataclass
+class Clock:
+    """The time steps of one code."""
+
+    step: int = -1
+    open: bool = False
+    now: float = 0.0
 
 
 class Session:
-    """Codes with their states, times, parameters and couplings."""
+    """Codes with their states, steps, parameters and couplings.
+
+    Every code counts its own steps. A coupling keeps the mappings of its last `retain` steps (None: all): results of an
+    exchange on a changing mesh are to be read or written before as many further steps have mapped.
+    """
 
-    def __init__(self, spark: SparkSession, codes: Iterable[str], local: Iterable[str] | None = None):
+    def __init__(self, spark: SparkSession, codes: Iterable[str], local: Iterable[str] | None = None, retain: int | None = 2):
         self.spark, self.codes = spark, list(dict.fromkeys(codes))
         self.local = list(self.codes if local is None else local)
         self.params, self.couplings = Params(), {}
-        self.step, self.in_step, self.now = -1, False, 0.0
+        self.clocks, self.retain = {c: Clock() for c in self.codes}, retain
         self.user: dict[str, Any] = {}
         self.log = logging.getLogger("meshweave")
         for code in self.codes:
@@ -351,16 +417,73 @@ class Session:
     def state(self, code: str) -> str:
         return self.params.get(code, "state", "string")
 
-    def step_begin(self, code: str, now: float) -> None:
-        """Open the next step; the mappings of deformable and variable couplings are computed anew in it."""
-        self.step, self.in_step, self.now = self.step + 1, True, float(now)
-        self.params.set(code, "time", self.now)
-        for cpl in self.couplings.values():
-            if cpl.spec.displacement != "static":
-                cpl.mapping = None
+    @property
+    def step(self) -> int:
+        """The last step that a code began."""
+        return max(x.step for x in self.clocks.values())
+
+    @property
+    def in_step(self) -> bool:
+        return any(x.open for x in self.clocks.values())
+
+    def clock(self, code: str) -> Clock:
+        if code not in self.clocks:
+            raise CouplingError(f"unknown code: {code}")
+        return self.clocks[code]
+
+    def of_code(self, code: str) -> list[Coupling]:
+        return [x for x in self.couplings.values() if code in x.codes]
+
+    def step_begin(self, code: str, now: float, step: int | None = None) -> None:
+        """Open the code's next step, or `step` where its number is known from elsewhere: a number already reached is a
+        step that failed and is made again. Mappings of deformable and variable couplings are computed anew in it."""
+        clock = self.clock(code)
+        if clock.open:
+            raise CouplingError(f"{code} is in step {clock.step}")
+        number = clock.step + 1 if step is None else step
+        if number < clock.step:
+            raise CouplingError(f"{code} is past step {number}")
+        again = number == clock.step
+        clock.step, clock.open, clock.now = number, True, float(now)
+        self.params.set(code, "time", clock.now, by=self.params.locked.get(code))
+        for cpl in self.of_code(code):
+            cpl.began(number, again)
 
     def step_end(self, code: str) -> None:
-        self.in_step = False
+        """Close the code's step, and no other code's."""
+        clock = self.clock(code)
+        if not clock.open:
+            raise CouplingError(f"{code} has no step open")
+        clock.open = False
+        for cpl in self.of_code(code):
+            cpl.ended()
+
+    def step_failed(self, code: str) -> None:
+        """Close the code's step without its end: it can be begun again under its number."""
+        self.clock(code).open = False
+
+    def saved(self) -> str:
+        """Steps, parameters and output of all codes, for restored(). Meshes, data and mappings are the caller's."""
+        outputs = {n: {"written_at": x.written_at, "writer": x.output[0].saved()} for n, x in self.couplings.items() if x.output is not None and hasattr(x.output[0], "saved")}
+        clocks = {c: {"step": x.step, "now": x.now} for c, x in self.clocks.items()}
+        return json.dumps({"clocks": clocks, "params": json.loads(self.params.dump()), "outputs": outputs, "couplings": {n: x.step for n, x in self.couplings.items()}})
+
+    def restored(self, text: str) -> None:
+        """Go on from saved(): codes and couplings of the same names take over their steps, parameters and output."""
+        state = json.loads(text)
+        for code, x in state["clocks"].items():
+            clock = self.clock(code)
+            clock.step, clock.now, clock.open = x["step"], x["now"], False
+        for x in state["params"]:
+            self.params.values[x["code"], x["name"], x["type"]] = KINDS[x["type"]](x["value"])
+        self.params.version += 1
+        for name, step in state["couplings"].items():
+            if name in self.couplings:
+                cpl = self.couplings[name]
+                cpl.step = step
+                if name in state["outputs"] and cpl.output is not None:
+                    cpl.written_at = state["outputs"][name]["written_at"]
+                    cpl.output[0].restored(state["outputs"][name]["writer"])
 
     def couple(self, spec: CouplingSpec) -> Coupling:
         if spec.name in self.couplings:

@@ -303,7 +303,11 @@ def test_meshes_that_change_and_output(spark, tmp_path):
         with pytest.raises(CouplingError):
             still.set_targets(points)
         session.step_end("a")
-    assert writer.times == [0.0, 1.0] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["case.f.00000", "case.f.00001", "case.f_status.00000", "case.f_status.00001", "case.geo"]
+    files = [f"case.{x}.0000{k}" for x in ("f", "f_status", "geo") for k in (0, 1)]
+    assert writer.times == [0.0, 1.0] and sorted(p.name for p in (tmp_path / "out").iterdir()) == files
+    writer.close()
+    case = (tmp_path / "out" / "case.case").read_text()
+    assert "model: 1 case.geo.*****" in case and "number of steps: 2" in case
 
 
 def test_overlap_fills_with_zeros_and_storage_is_kept(spark):
