@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.functions import geometry, selector, shapes
-from meshweave.operators import exchange, interpolate, intersection, location, mesh, nearest
+from meshweave.functions import geometry, periodicity, selector, shapes
+from meshweave.operators import coincidence, exchange, interpolate, intersection, location, mesh, nearest
 from meshweave.plans import coupling, durable
 from meshweave.sources import generators
 from meshweave.streaming import steps
@@ -155,6 +155,33 @@ def coincident_points(spark, sf_dir):
     return mesh.coincident(part_points(spark, sf_dir))
 
 
+NEAR = 0.0105
+CLASSES = f"""known AS (SELECT * FROM {PARTS}), linked AS (SELECT a.gnum AS u, b.gnum AS w FROM known a JOIN known b ON b.x BETWEEN a.x - {NEAR} AND a.x + {NEAR} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {NEAR}::DOUBLE ** 2),
+reached(u, w) AS (SELECT gnum, gnum FROM known UNION SELECT r.u, l.w FROM reached r JOIN linked l ON r.w = l.u), classes AS (SELECT u AS gnum, min(w) AS same FROM reached GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {CLASSES} SELECT * FROM classes")
+def coincident_tolerance(spark, sf_dir):
+    return mesh.coincident(part_points(spark, sf_dir), NEAR)
+
+
+@query(f"WITH RECURSIVE {CLASSES}, first AS (SELECT same, min((x, y)) AS place FROM classes JOIN known USING (gnum) GROUP BY 1) SELECT c.gnum AS part, dense_rank() OVER (ORDER BY place) AS gnum FROM classes c JOIN first USING (same)")
+def gnum_with_tolerance(spark, sf_dir):
+    made = mesh.gnum_from_coordinates(part_points(spark, sf_dir).withColumnRenamed("gnum", "part"), merge=True, tolerance=NEAR)
+    return made.select("part", "gnum")
+
+
+@query(f"""WITH RECURSIVE {CLASSES}, moves AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7])::INT AS tr_id, unnest([1, -1, 0, 0, 1, -1, 1, -1]) AS dx, unnest([0, 0, 1, -1, 1, -1, -1, 1]) * (49 / 51.0::DOUBLE) AS dy)
+SELECT DISTINCT c.same AS gnum, tr_id, d.same AS other FROM known a CROSS JOIN moves JOIN known b ON (a.x + dx - b.x) ** 2 + (a.y + dy - b.y) ** 2 <= {NEAR}::DOUBLE ** 2 JOIN classes c ON c.gnum = a.gnum JOIN classes d ON d.gnum = b.gnum""")
+def periodic_coincidence(spark, sf_dir):
+    """Classes of parts that a shift along x, along y or along both, and back, brings onto one another."""
+    moves = periodicity.Periodicity()
+    moves.add_translation((1, 0, 0), 1)
+    moves.add_translation((0, 49 / 51, 0), 2)
+    moves.combined()
+    return coincidence.periodic_links(part_points(spark, sf_dir), moves, NEAR)
+
+
 @query(f"SELECT gnum, list_sum(list_transform(range(16), lambda b: ((((floor(x * 65535)::BIGINT >> b) & 1) << (2 * b)) | (((floor(y * 65535)::BIGINT >> b) & 1) << (2 * b + 1)))))::BIGINT AS morton FROM {PARTS}")
 def morton_codes(spark, sf_dir):
     return part_points(spark, sf_dir).select("gnum", geometry.morton([F.floor(F.col("x") * 65535), F.floor(F.col("y") * 65535)]).alias("morton"))

@@ -42,14 +42,20 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "gnum", par
 
 
 def gnum_from_coordinates(points: DataFrame, merge: bool = False, tolerance: float | None = None) -> DataFrame:
-    """Numbers in the order of the coordinates; with `merge`, points at one place (or within the tolerance) share one."""
-    keys = [F.round(F.col(a) / tolerance) if tolerance else F.col(a) for a in AXES]
+    """Numbers in the order of the coordinates; with `merge`, points at one place share one, as do those that steps of at
+    most `tolerance` between points connect, in the order of the first of their places."""
     if not merge:
         rest = [c for c in ("part_id", "lnum") if c in points.columns]
         return numbered(points, [*AXES, *rest])
-    named = points.withColumns({f"_k{a}": k for a, k in zip(AXES, keys, strict=True)})
-    places = numbered(named.select("_kx", "_ky", "_kz").distinct(), ["_kx", "_ky", "_kz"])
-    return named.join(places, ["_kx", "_ky", "_kz"]).drop("_kx", "_ky", "_kz")
+    places = numbered(points.select(*AXES).distinct(), list(AXES))
+    if not tolerance:
+        return points.join(places, list(AXES))
+    from meshweave.operators.coincidence import coincident as classes
+
+    near = classes(places, tolerance)
+    first = numbered(near.select("same").distinct(), ["same"], "number")
+    own = places.join(near, "gnum").join(first, "same").select(*AXES, F.col("number").alias("gnum"))
+    return points.join(own, list(AXES))
 
 
 def gnum_from_parents(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,11 +84,17 @@ def gnum_of_subentities(rows: DataFrame, parent: str = "gnum", count: str = "n_s
     return whole.select(F.col("_p").alias(parent), "sub", "sub_gnum")
 
 
+#: Centres of faces that are this share of the smallest face's extent apart, or less, are one.
+SAME_FACE = 1e-6
+
+
 def gnum_of_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Faces (face, connec) numbered by their geometry: those with the same centre share a number."""
+    """Faces (face, connec) numbered by their geometry: those with the same centre share a number, at any scale."""
     corners = faces.select("face", F.explode("connec").alias("v")).join(vertices.select(F.col("gnum").alias("v"), *AXES), "v")
-    centres = corners.groupBy("face").agg(*(F.round(F.avg(a), 12).alias(a) for a in AXES))
-    return gnum_from_coordinates(centres, merge=True).select("face", "gnum")
+    extent = F.greatest(*(F.max(a) - F.min(a) for a in AXES)).alias("extent")
+    centres = stored(corners.groupBy("face").agg(*(F.avg(a).alias(a) for a in AXES), extent))
+    smallest = centres.where("extent > 0").agg(F.min("extent")).first()[0]
+    return gnum_from_coordinates(centres.drop("extent"), merge=True, tolerance=smallest and smallest * SAME_FACE).select("face", "gnum")
 
 
 def morton_ordered(points: DataFrame, bits: int = 16) -> DataFrame:
@@ -274,11 +286,11 @@ def ordering_from_ijk(elt_type: str, order: int, ijk: list[tuple[int, int, int]]
 
 
 def coincident(points: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(gnum, same): points at one place share the smallest number there."""
-    keys = [F.round(F.col(a) / tolerance) if tolerance else F.col(a) for a in AXES]
-    named = points.select("gnum", *(k.alias(f"k{a}") for k, a in zip(keys, AXES, strict=True)))
-    first = named.groupBy("kx", "ky", "kz").agg(F.min("gnum").alias("same"))
-    return named.join(first, ["kx", "ky", "kz"]).select("gnum", "same")
+    """(gnum, same) as in operators.coincidence: the smallest number of the points at one place, or connected by steps of
+    at most `tolerance`."""
+    from meshweave.operators.coincidence import coincident as classes
+
+    return classes(points, tolerance)
 
 
 def periodic(points: DataFrame, transforms: dict[int, list[list[float]]]) -> DataFrame:
