@@ -25,9 +25,11 @@ next level is the one at the rank of i among the bits set.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm.common import broadcast_under, released, removed, stored
+from meshweave.llm.common import broadcast_under, released, stored
 from meshweave.llm.tokens import drops_space, tokenizer
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for which one number of the rank directory stands.
 BLOCK = 512
 #: Ids of a segment at most, and bytes of text that are encoded at a time.
-SEGMENT, SLICE = 1 << 18, 4 << 20
-#: Words whose ids a task remembers at most; more are encoded again, with the same result.
-MEMO_WORDS = 200_000
+SEGMENT, SLICE = 1 << 18, 8 << 20
+#: Words that a worker remembers at most; others are encoded again, with the same result.
+MEMO_WORDS = 400_000
 
 
 def widths_of(histogram: dict[int, int], levels: int = 4) -> tuple[int, ...]:
@@ -64,10 +66,20 @@ def widths_of(histogram: dict[int, int], levels: int = 4) -> tuple[int, ...]:
     return min(best[0, used] for used in range(1, levels + 1) if (0, used) in best)[1]
 
 
+def lengths(ids: np.ndarray) -> dict[int, int]:
+    """How many ids have so many bits, at least 1."""
+    counts = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)
+    counts[1] += counts[0]
+    return {b: int(n) for b, n in enumerate(counts) if n and b}
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """`values` at `width` bits each, filled up to whole words of 8 bytes and one more, so that every read stays inside."""
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    made = np.packbits(bits.ravel(), bitorder="little").tobytes()
+    size = 1 if width <= 8 else 2 if width <= 16 else 4
+    octets = values.astype(f"<u{size}").view(np.uint8)
+    if width < 8 * size:
+        octets = np.packbits(np.unpackbits(octets.reshape(-1, size), axis=1, bitorder="little")[:, :width], bitorder="little")
+    made = octets.tobytes()
     return made + bytes(-len(made) % 8 + 8)
 
 
@@ -145,6 +157,14 @@ class Segment:
             places = rank + np.bitwise_count(bitmap[word] & ((np.uint64(1) << within) - np.uint64(1)))
         return out
 
+    @staticmethod
+    def unpacked(chunks: np.ndarray, begin: int, end: int, width: int, fill: int) -> np.ndarray:
+        byte = begin * width // 8
+        bits = np.unpackbits(chunks[byte : (end * width + 7) // 8], bitorder="little")[begin * width - 8 * byte :][: (end - begin) * width]
+        lanes = np.zeros((end - begin, fill), np.uint8)
+        lanes[:, :width] = bits.reshape(-1, width)
+        return np.packbits(lanes, axis=1, bitorder="little").view(f"<u{fill // 8}").ravel().astype(np.uint32)
+
     def between(self, begin: int, end: int) -> np.ndarray:
         """The ids from `begin` up to `end`: the stretch of each level in one go, which starts at the first one's rank."""
         if not 0 <= begin <= end <= self.n:
@@ -154,11 +174,11 @@ class Segment:
             if begin == end:
                 break
             byte = begin * width // 8
-            bits = np.unpackbits(chunks[byte : (end * width + 7) // 8], bitorder="little")[begin * width - 8 * byte :][: (end - begin) * width]
             fill = 8 if width <= 8 else 16 if width <= 16 else 32
-            lanes = np.zeros((end - begin, fill), np.uint8)
-            lanes[:, :width] = bits.reshape(-1, width)
-            value = np.packbits(lanes, axis=1, bitorder="little").view(f"<u{fill // 8}").ravel().astype(np.uint32)
+            if width == fill:
+                value = chunks[byte : end * width // 8].view(f"<u{fill // 8}").astype(np.uint32)
+            else:
+                value = self.unpacked(chunks, begin, end, width, fill)
             out[rows] |= value << np.uint32(shift)
             shift += width
             if bitmap is None:
@@ -172,44 +192,107 @@ class Segment:
         return out
 
 
+#: A word of letters, of which the tokenizer's pattern makes one piece, and at most one mark after it, which makes another.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+MARKS = ".,;:!?"
+
+
 class WordIds:
-    """The ids of whole texts for a tokenizer that drops white space: each distinct word is encoded once, as no token
-    reaches across white space."""
+    """The ids of whole texts for a tokenizer that drops white space and lower-cases: no token reaches across white
+    space, so the library encodes each distinct word once, without its capitals and its last mark where it is plain.
+    The first MEMO_WORDS words are remembered; others are encoded again for each slice."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        suffix = self.tok.model.end_of_word_suffix or None
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        #: Whether an id ends a piece of the pattern; None where the tokenizer does not mark that.
+        self.final = None
+        if suffix:
+            self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.final[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self.place: dict[str, int] = {}  # a word's unit times 8, and its mark
+        self.unit: dict[str, int] = {}
         self.ends, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        made = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))]
-        self.pool = np.r_[self.pool, np.array([i for x in made for i in x], np.uint32)]
+        self.place[""] = 8 * self.known([""], 0)[""]
+        self.marks = np.array([self.unit[""], *self.known(list(MARKS), 0).values()])
+
+    def encoded(self, units: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and how many each has: many go to the library as one text. The
+        first `plain` are one piece of the tokenizer's pattern each, so that one id of each ends a piece; of the others
+        the places of the tokens tell which unit they are of."""
+        if self.final is None:
+            plain = 0
+        joined = [" ".join(units[at : min(at + 512, plain)]) for at in range(0, plain, 512)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        first = np.concatenate([np.empty(0, np.uint32), *ids])
+        ids, sizes = [first], [np.diff(np.flatnonzero(self.final[first]) + 1, prepend=0) if plain else np.empty(0, np.int64)]
+        for at in range(plain, len(units), 512):
+            part = units[at : at + 512]
+            made = self.tok.encode(" ".join(part), add_special_tokens=False)
+            begins = np.array([a for a, _ in made.offsets], np.int64)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            ids.append(np.array(made.ids, np.uint32))
+            sizes.append(np.diff(np.searchsorted(begins, np.r_[0, ends])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def known(self, units: list[str], plain: int) -> dict[str, int]:
+        """Remember new units, of which the first `plain` are plain."""
+        ids, sizes = self.encoded(units, plain)
+        made = dict(zip(units, range(len(self.unit), len(self.unit) + len(units)), strict=True))
+        self.unit |= made
+        self.ends, self.pool = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)], np.r_[self.pool, ids]
+        return made
+
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of distinct words its unit and mark, and the ends of all units in all ids, and these."""
+        place, unit, spare = self.place, self.unit, MEMO_WORDS - len(self.place)
+        own, parts, plain_units, other_units = [], [], {}, {}
+        for word in words:
+            at = place.get(word)
+            if at is None:
+                plain = PLAIN.fullmatch(word)
+                if plain:
+                    base, mark = plain[1].lower(), MARKS.find(plain[2]) + 1 if plain[2] else 0
+                else:
+                    base, mark = word, 0
+                if base not in unit:
+                    (plain_units if plain else other_units)[base] = None
+                parts.append((len(own), base, mark, word))
+            own.append(at)
+        fresh, n = [*plain_units, *other_units], len(plain_units)
+        ends, pool, new = self.ends, self.pool, {}
+        if len(fresh) <= spare:
+            new = self.known(fresh, n)
+            ends, pool = self.ends, self.pool
+        elif fresh:
+            ids, sizes = self.encoded(fresh, n)
+            ends, pool = np.r_[ends, ends[-1] + np.cumsum(sizes)], np.r_[pool, ids]
+            new = dict(zip(fresh, range(len(unit), len(unit) + len(fresh)), strict=True))
+        lasting = new if len(fresh) > spare else ()
+        for i, base, mark, word in parts:
+            own[i] = 8 * (unit[base] if base in unit else new[base]) + mark
+            if spare > 0 and base not in lasting:
+                place[word] = own[i]
+                spare -= 1
+        return np.array(own, np.int64), ends, pool
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of `texts` (no nulls), one after the other, and how many each text has."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [x for x in words if x not in self.at]
-        if len(self.at) + len(new) > MEMO_WORDS:
-            self.forget()
-            new = words
-        self.learn(new)
-        own = np.fromiter((self.at[x] for x in words), np.int64, len(words))[coded.indices.to_numpy()]
-        begin, sizes = self.ends[own], self.ends[own + 1] - self.ends[own]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids, np.diff(upto)
+        at, ends, pool = self.places(coded.dictionary.to_pylist())
+        units = np.stack([at >> 3, self.marks[at & 7]], axis=1)[coded.indices.to_numpy()].ravel()
+        begins, sizes = ends[units], ends[units + 1] - ends[units]
+        upto = np.cumsum(sizes)
+        ids = pool[np.repeat(begins - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        before = np.r_[0, upto][2 * (split.offsets.to_numpy() - split.offsets[0].as_py()).astype(np.int64)]
+        return ids, np.diff(before)
 
 
 @cache
 def ids_for(path: str):
+    """A function from texts to all their ids and how many each has, as the tokenizers library gives them."""
     if drops_space(path):
         return WordIds(path).of
 
@@ -230,53 +313,35 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         at = stop
 
 
-def token_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 2) -> DataFrame:
-    """(key, n, ids): every text's ids and `end_id`, as little-endian numbers of 2 bytes each, or 4 where one of the
-    text's needs it. Null texts count as empty and give the end alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = ids_for(path)
-        for whole in batches:
-            for batch in slices(whole, 1, SLICE):
-                ids, counts = of(pc.fill_null(batch.column(1), ""))
-                ends = np.cumsum(counts)
-                made = np.insert(ids, ends, end_id)
-                ends += np.arange(1, len(ends) + 1)
-                small = made.astype("<u2") if not len(made) or made.max() < 1 << 16 else None
-                each = ((made if small is None else small)[a:b] for a, b in zip(ends - counts - 1, ends, strict=True))
-                blobs = [x.tobytes() if small is not None else x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in each]
-                yield released(pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1), pa.array(blobs, pa.binary())], [key, "n", "ids"]))
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, ids binary")
-
-
 PIECES = "array<struct<row: long, key: {kind}, start: long, at: long, n: long, doc_tokens: long>>"
+FIELDS = ("row", "key", "start", "at", "n", "doc_tokens")
 
 
 def write(docs: DataFrame, path: str, folder: str, text: str = "text", key: str = "doc_id", end_id: int = 2, segment: int = SEGMENT) -> None:
     """Write the ids of every text of `docs` to the new `folder`, a path of Spark's file systems, in order of the key.
 
-    `path`: a tokenizer's .json, readable on every executor. The ids are made once and stored; sampled keys then deal
-    them out in ranges, which are sorted and cut into segments of at most `segment` ids as they stream by, so that
-    a task holds one segment and one document. Rows of equal keys stand in the order of a hash of their ids, those of a
-    null key first. The widths of the levels are the smallest for all ids, from the counts of their bit lengths, at most 33
-    numbers. An empty table gives a folder without segments.
+    `path`: a tokenizer's .json, readable on every executor. Sampled keys deal the rows out in ranges, which are
+    sorted; a task encodes its texts as they stream by, ends each document by `end_id` and cuts them into segments of at
+    most `segment` ids, so that it holds a slice of texts, a segment and a document. A lost task is made again from the
+    exchanged texts. Every segment has the widths of levels that are smallest for its own ids. Null texts count as
+    empty and give the end alone. Rows of equal keys stand in the order of a hash of their texts, those of a null key
+    first. An empty table gives a folder without segments.
     """
-    ids = stored(token_ids(docs, path, text, key, end_id).withColumnRenamed(key, "key"))
-    kind = ids.schema["key"].dataType.simpleString()
-    fields = ("row", "key", "start", "at", "n", "doc_tokens")
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(33, np.int64)
-        for batch in batches:
-            for x, n in zip(batch.column(1), batch.column(0).to_pylist(), strict=True):
-                made = np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}")
-                total += np.bincount(np.frexp(made.astype(np.float64))[1], minlength=33)
-        yield pa.RecordBatch.from_arrays([pa.array(range(33), pa.int32()), pa.array(total)], ["bits", "n"])
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the hash stands for the text among the sampled keys; the number deals out rows that are equal in all else
+    marked = rows.withColumns({"hash": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    dealt = marked.repartitionByRange("key", "hash", "number").sortWithinPartitions("key", "hash", "number")
 
-    counted = ids.select("n", "ids").mapInArrow(lengths, "bits int, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
-    widths = widths_of({max(1, r["bits"]): r["n"] for r in counted if r["n"]})
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        of = ids_for(path)
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE):
+                ids, counts = of(batch.column(1))
+                ends = np.cumsum(counts)
+                made = np.insert(ids, ends, end_id)
+                for k, a, b in zip(batch.column(0).to_pylist(), (ends - counts + np.arange(len(ends))).tolist(), (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                    yield k, made[a:b]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -286,34 +351,34 @@ def write(docs: DataFrame, path: str, folder: str, text: str = "text", key: str
 
         def out() -> pa.RecordBatch:
             nonlocal held, pieces, size, number, first
-            arrays = [pa.array(v, key_type if k == "key" else pa.int64()) for k, v in zip(fields, zip(*pieces, strict=True), strict=True)]
-            listed = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pa.StructArray.from_arrays(arrays, list(fields)))
-            made = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first]), pa.array([size]), pa.array([encoded(np.concatenate(held), widths)], pa.binary()), listed], ["part", "segment", "first", "n", "codes", "pieces"])
+            arrays = [pa.array(v, key_type if k == "key" else pa.int64()) for k, v in zip(FIELDS, zip(*pieces, strict=True), strict=True)]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pa.StructArray.from_arrays(arrays, list(FIELDS)))
+            ids = np.concatenate(held)
+            made = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first]), pa.array([size]), pa.array([encoded(ids, widths_of(lengths(ids)))], pa.binary()), listed], ["part", "segment", "first", "n", "codes", "pieces"])
             first, number = first + size, number + 1
             held, pieces, size = [], [], 0
             return released(made)
 
-        for batch in batches:
-            key_type = batch.schema.field("key").type
-            for k, n, x in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                whole = np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}").astype(np.uint32)
-                if size and size + n > segment:
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        key_type = head.schema.field("key").type
+        for k, whole in documents(chain([head], batches)):
+            n = len(whole)
+            for at in range(0, n, segment):
+                piece = whole[at : at + segment]
+                # a document starts a new segment rather than go over its end
+                if size and size + min(n, segment) > segment:
                     yield out()
-                for at in range(0, n, segment):
-                    if size and size + len(whole[at : at + segment]) > segment:
-                        yield out()
-                    held.append(whole[at : at + segment])
-                    pieces.append((row, k, start, at, len(held[-1]), n))
-                    size += len(held[-1])
-                row, start = row + 1, start + n
+                held.append(piece)
+                pieces.append((row, k, start, at, len(piece), n))
+                size += len(piece)
+            row, start = row + 1, start + n
         if size:
             yield out()
 
-    # the hash stands for the ids among the sampled keys; the number deals out rows that are equal in all else
-    marked = ids.withColumns({"hash": F.xxhash64("ids"), "number": F.monotonically_increasing_id()})
-    dealt = marked.repartitionByRange("key", "hash", "number").sortWithinPartitions("key", "hash", "number")
-    dealt.select("key", "n", "ids").mapInArrow(cut, f"part int, segment int, first long, n long, codes binary, pieces {PIECES.format(kind=kind)}").write.parquet(folder)
-    removed(ids)
+    dealt.select("key", "text").mapInArrow(cut, f"part int, segment int, first long, n long, codes binary, pieces {PIECES.format(kind=kind)}").write.parquet(folder)
 
 
 def ranges(spark: SparkSession, folder: str) -> DataFrame:

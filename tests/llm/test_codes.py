@@ -64,6 +64,22 @@ def test_words_give_the_ids_of_the_library():
         assert ids[a:b].tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_words_beyond_memory_and_of_many_kinds(monkeypatch, spark, small):
+    monkeypatch.setattr(codes, "MEMO_WORDS", 2000)
+    tok = Tokenizer.from_file(PATH)
+    known = codes.WordIds(PATH)
+    texts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rng = np.random.default_rng(6)
+    letters = list("aAbBzZéÉßÿÖ.,;:!?'s0_-#$×÷ªµİſ ")
+    texts += ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 60, 3000)]
+    for part in (texts[:100], texts[100:], texts[:50]):
+        ids, counts = known.of(pa.array(part))
+        ends = np.cumsum(counts)
+        for text, a, b in zip(part, ends - counts, ends, strict=True):
+            assert ids[a:b].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(known.place) <= 2000
+
+
 def expected(documents):
     """(key, start, n_tokens, crc) as one would write the ids of all texts one after the other."""
     tok, start, out = Tokenizer.from_file(PATH), 0, []
