@@ -338,6 +338,24 @@ def locate_high_order(spark, sf_dir):
     return interpolate.weighted_nodes(made, field).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
 
 
+BENT3 = "(x - 0.5) * (x - 0.5) * (x + 1) / 2 - y * y * y / 3"
+
+
+@query(f"SELECT gnum, (floor(y * 7) * 7 + floor(x * 7))::BIGINT AS src_gnum, round(x, 3) AS px, round(y, 3) AS py, round(0.02::DOUBLE * (1 + gnum % 3), 6) AS dist FROM {PARTS}")
+def locate_bent_order3(spark, sf_dir):
+    """Sixteen-node quads on a surface of the third degree; targets stand off it along its normal, and come back to their foot."""
+    n = 7
+    at = lambda e: F.expr(f"({e}) / {3.0 * n}D")
+    nodes = spark.range((3 * n + 1) ** 2).select(F.col("id").alias("gnum"), at(f"id % {3 * n + 1}").alias("x"), at(f"id div {3 * n + 1}").alias("y")).withColumn("z", F.expr(BENT3))
+    corner = lambda i, j: (F.expr(f"id div {n}") * 3 + j) * (3 * n + 1) + F.expr(f"id % {n}") * 3 + i
+    quads = spark.range(n * n).select(F.col("id").alias("gnum"), F.lit("ho_quad").alias("elt_type"), F.lit(3).alias("order"), F.array(*(corner(i, j) for i, j, _ in shapes.ho_nodes("ho_quad", 3))).alias("connec"))
+    feet = part_points(spark, sf_dir).withColumn("z", F.expr(BENT3)).withColumns({"sx": F.expr("((2 * (x - 0.5)) * (x + 1) + (x - 0.5) * (x - 0.5)) / 2"), "sy": F.expr("- y * y")})
+    off = 0.02 * (1 + F.col("gnum") % 3) / F.sqrt(1 + F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
+    targets = feet.select("gnum", (F.col("x") - off * F.col("sx")).alias("x"), (F.col("y") - off * F.col("sy")).alias("y"), (F.col("z") + off).alias("z"))
+    made = location.locate(targets, mesh.cells(nodes, quads), 0.45)
+    return made.select(F.col("tgt_gnum").alias("gnum"), "src_gnum", *(F.round(F.col("proj")[k], 3).alias(f"p{a}") for k, a in enumerate("xy")), F.round(F.sqrt("dist2"), 6).alias("dist"))
+
+
 @query(f"SELECT gnum, round(greatest(0, x - 0.5), 6) AS dist FROM {PARTS}")
 def locate_all_targets(spark, sf_dir):
     """A mesh over the left half: every target is mapped, those on the right to the closest cell."""

@@ -280,9 +280,10 @@ def ho_basis(kind: str, order: int, u: np.ndarray) -> np.ndarray:
     return np.linalg.solve(monomials(nodes).T, monomials(u).T).T
 
 
-def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int = 40, starts_from: int = 4) -> tuple[np.ndarray, ...]:
-    """Closest point of a high-order element: damped Gauss-Newton steps from the `starts_from` nearest places of a grid
-    of parameters, of which the best result counts."""
+def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int = 40, starts_from: int = 4, start: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """A point of a high-order element to which no other nearby is closer: damped Gauss-Newton steps from the
+    `starts_from` nearest places of a grid of parameters, of which the best result counts, or from `start` (n, 3)
+    alone. highorder.located() proves it or finds a closer one."""
     axes = {"ho_edge": 1, "ho_tria": 2, "ho_quad": 2}.get(kind, 3)
     grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 2 * order + 3)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)
     full = np.zeros((len(grid), 3))
@@ -297,9 +298,13 @@ def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int
             u[:, :2] = np.minimum(u[:, :2], 1 - u[:, 2:])
         return u
 
-    full = into(full)
-    starts = np.einsum("gm,nmk->ngk", ho_basis(kind, order, full), v)
-    near_first = ((starts - p[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :starts_from]
+    if start is not None:
+        begins = [into(start.copy())]
+    else:
+        full = into(full)
+        starts = np.einsum("gm,nmk->ngk", ho_basis(kind, order, full), v)
+        near_first = ((starts - p[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :starts_from]
+        begins = [full[near_first[:, k]].copy() for k in range(near_first.shape[1])]
     lower = lambda u: ((np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v) - p) ** 2).sum(axis=1)
 
     def descended(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,9 +325,9 @@ def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int
                 break
         return u, best
 
-    u, best = descended(full[near_first[:, 0]].copy())
-    for k in range(1, near_first.shape[1]):
-        other, made = descended(full[near_first[:, k]].copy())
+    u, best = descended(begins[0])
+    for begin in begins[1:]:
+        other, made = descended(begin)
         better = made < best
         u[better], best[better] = other[better], made[better]
     weights = ho_basis(kind, order, u)

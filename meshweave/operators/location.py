@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshweave.functions import shapes
+from meshweave.functions import highorder, shapes
 from meshweave.operators.candidates import AXES, boxes_meeting, cell_of, inflated, points_in_boxes, widest
 from meshweave.operators.nearest import nearest
 
@@ -54,8 +54,9 @@ def listed(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def worked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    """Candidate pairs, together by element type, order, number of vertices and faces: (rows of the batch, results)."""
+def worked(batch: pa.RecordBatch, reach2: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Candidate pairs, together by element type, order, number of vertices and faces: (rows of the batch, results). With
+    `reach2`, those farther apart only have a distance beyond it."""
     for (kind, order, faces), rows in groups(batch, ("elt_type", "order", "faces")):
         v = rows_of(batch, "flat", rows).reshape(len(rows), -1, 3)
         at = pa.array(rows)
@@ -63,7 +64,7 @@ def worked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]
         if kind in USER_ELEMENTS:
             made = USER_ELEMENTS[kind](p, v, order)
         elif kind.startswith("ho_"):
-            made = shapes.ho_located(kind, order, p, v)
+            made = highorder.located(kind, order, p, v, None if reach2 is None else np.sqrt(reach2[rows]))
         elif kind == "poly3d":
             made = shapes.polyhedron(p, v, shapes.faces_of(kind, faces))
         else:
@@ -84,7 +85,7 @@ def kernel_within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """Of the pairs those at a squared distance of at most reach2; the others are not sent back."""
     for batch in batches:
         reach = batch.column("reach2").to_numpy()
-        for rows, made in worked(batch):
+        for rows, made in worked(batch, reach):
             yield made.filter(pa.array(made.column("dist2").to_numpy() <= reach[rows]))
 
 
@@ -100,8 +101,20 @@ def evaluated(pairs: DataFrame) -> DataFrame:
     return pairs.select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces").mapInArrow(kernel, LOCATED)
 
 
+def bulging(cells: DataFrame) -> DataFrame:
+    """`cells` with boxes that hold curved elements whole, not only their nodes."""
+    known = [tuple(r) for r in cells.where(F.col("elt_type").isin(*highorder.DIMENSIONS)).select("elt_type", "order").distinct().collect()]  # a row for each kind
+    if not known:
+        return cells
+    by = F.lit(1.0)
+    for kind, order in known:
+        by = F.when((F.col("elt_type") == kind) & (F.col("order") == order), highorder.reach(kind, order)).otherwise(by)
+    middle, half = {a: (F.col(f"{a}min") + F.col(f"{a}max")) / 2 for a in AXES}, {a: (F.col(f"{a}max") - F.col(f"{a}min")) / 2 * by for a in AXES}
+    return cells.withColumns({f"{a}min": middle[a] - half[a] for a in AXES} | {f"{a}max": middle[a] + half[a] for a in AXES})
+
+
 def boxed(cells: DataFrame) -> DataFrame:
-    return cells.select(F.col("gnum").alias("src_gnum"), *flat_columns(), *(f"{a}{e}" for a in AXES for e in ("min", "max")))
+    return bulging(cells).select(F.col("gnum").alias("src_gnum"), *flat_columns(), *(f"{a}{e}" for a in AXES for e in ("min", "max")))
 
 
 def placed(points: DataFrame) -> DataFrame:
