@@ -25,7 +25,6 @@ next level is the one at the rank of i among the bits set.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -158,12 +157,20 @@ class Segment:
         return out
 
     @staticmethod
-    def unpacked(chunks: np.ndarray, begin: int, end: int, width: int, fill: int) -> np.ndarray:
-        byte = begin * width // 8
-        bits = np.unpackbits(chunks[byte : (end * width + 7) // 8], bitorder="little")[begin * width - 8 * byte :][: (end - begin) * width]
-        lanes = np.zeros((end - begin, fill), np.uint8)
-        lanes[:, :width] = bits.reshape(-1, width)
-        return np.packbits(lanes, axis=1, bitorder="little").view(f"<u{fill // 8}").ravel().astype(np.uint32)
+    def unpacked(chunks: np.ndarray, begin: int, end: int, width: int) -> np.ndarray:
+        """Chunks `begin` to `end`: eight of them fill `width` whole bytes, so each of eight columns is shifted at once."""
+        first, rows = begin // 8, -(-end // 8) - begin // 8
+        octets = np.zeros((rows + 1) * width + 8, np.uint8)
+        held = chunks[first * width : (first + rows + 1) * width + 8]
+        octets[: len(held)] = held
+        out = np.empty((rows, 8), np.uint32)
+        for k in range(8):
+            byte, shift = divmod(k * width, 8)
+            wide = np.zeros(rows, np.uint64)
+            for j in range((shift + width + 7) // 8):
+                wide |= octets[byte + j :][: rows * width : width].astype(np.uint64) << np.uint64(8 * j)
+            out[:, k] = (wide >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        return out.ravel()[begin - 8 * first : end - 8 * first]
 
     def between(self, begin: int, end: int) -> np.ndarray:
         """The ids from `begin` up to `end`: the stretch of each level in one go, which starts at the first one's rank."""
@@ -178,7 +185,7 @@ class Segment:
             if width == fill:
                 value = chunks[byte : end * width // 8].view(f"<u{fill // 8}").astype(np.uint32)
             else:
-                value = self.unpacked(chunks, begin, end, width, fill)
+                value = self.unpacked(chunks, begin, end, width)
             out[rows] |= value << np.uint32(shift)
             shift += width
             if bitmap is None:
@@ -193,14 +200,13 @@ class Segment:
 
 
 #: A word of letters, of which the tokenizer's pattern makes one piece, and at most one mark after it, which makes another.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-MARKS = ".,;:!?"
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,;:!?"
 
 
 class WordIds:
     """The ids of whole texts for a tokenizer that drops white space and lower-cases: no token reaches across white
     space, so the library encodes each distinct word once, without its capitals and its last mark where it is plain.
-    The first MEMO_WORDS words are remembered; others are encoded again for each slice."""
+    The first MEMO_WORDS words and units (words without those) are remembered; others are encoded again for each slice."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
@@ -211,11 +217,12 @@ class WordIds:
         if suffix:
             self.final = np.zeros(max(vocabulary.values()) + 1, bool)
             self.final[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
-        self.place: dict[str, int] = {}  # a word's unit times 8, and its mark
-        self.unit: dict[str, int] = {}
-        self.ends, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint32)
-        self.place[""] = 8 * self.known([""], 0)[""]
-        self.marks = np.array([self.unit[""], *self.known(list(MARKS), 0).values()])
+        # what is remembered: words with eight times their unit plus their mark, and units with their ids
+        self.words, self.places = pa.array([], pa.string()), np.empty(0, np.int64)
+        self.units, self.ends, self.pool = pa.array([], pa.string()), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.marks = np.zeros(1 + len(MARKS), np.int64)
+        self.remember(pa.array(["", *MARKS]), *self.encoded(["", *MARKS], 0))
+        self.marks[1:] = range(1, 1 + len(MARKS))
 
     def encoded(self, units: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units, one after the other, and how many each has: many go to the library as one text. The
@@ -236,52 +243,47 @@ class WordIds:
             sizes.append(np.diff(np.searchsorted(begins, np.r_[0, ends])))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def known(self, units: list[str], plain: int) -> dict[str, int]:
-        """Remember new units, of which the first `plain` are plain."""
-        ids, sizes = self.encoded(units, plain)
-        made = dict(zip(units, range(len(self.unit), len(self.unit) + len(units)), strict=True))
-        self.unit |= made
+    def remember(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.units = pa.concat_arrays([self.units, units])
         self.ends, self.pool = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)], np.r_[self.pool, ids]
-        return made
-
-    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each of distinct words its unit and mark, and the ends of all units in all ids, and these."""
-        place, unit, spare = self.place, self.unit, MEMO_WORDS - len(self.place)
-        own, parts, plain_units, other_units = [], [], {}, {}
-        for word in words:
-            at = place.get(word)
-            if at is None:
-                plain = PLAIN.fullmatch(word)
-                if plain:
-                    base, mark = plain[1].lower(), MARKS.find(plain[2]) + 1 if plain[2] else 0
-                else:
-                    base, mark = word, 0
-                if base not in unit:
-                    (plain_units if plain else other_units)[base] = None
-                parts.append((len(own), base, mark, word))
-            own.append(at)
-        fresh, n = [*plain_units, *other_units], len(plain_units)
-        ends, pool, new = self.ends, self.pool, {}
-        if len(fresh) <= spare:
-            new = self.known(fresh, n)
-            ends, pool = self.ends, self.pool
-        elif fresh:
-            ids, sizes = self.encoded(fresh, n)
-            ends, pool = np.r_[ends, ends[-1] + np.cumsum(sizes)], np.r_[pool, ids]
-            new = dict(zip(fresh, range(len(unit), len(unit) + len(fresh)), strict=True))
-        lasting = new if len(fresh) > spare else ()
-        for i, base, mark, word in parts:
-            own[i] = 8 * (unit[base] if base in unit else new[base]) + mark
-            if spare > 0 and base not in lasting:
-                place[word] = own[i]
-                spare -= 1
-        return np.array(own, np.int64), ends, pool
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Eight times the unit plus the mark of each of distinct words, and the ends of all units in all ids, and these."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        at = np.full(len(words), -1, np.int64)
+        at[found >= 0] = self.places[found[found >= 0]]
+        new = words.filter(pa.array(found < 0))
+        plain = pc.match_substring_regex(new, f"^{LETTERS}[{MARKS}]?$")
+        bases = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(new, MARKS)), new)
+        last = pc.index_in(pc.utf8_slice_codeunits(new, -1), value_set=pa.array(list(MARKS)))
+        mark = np.where(plain.to_numpy(zero_copy_only=False), pc.fill_null(last, -1).to_numpy() + 1, 0)
+        coded = bases.dictionary_encode()
+        unit = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.units), -1).to_numpy().astype(np.int64)
+        fresh = coded.dictionary.filter(pa.array(unit < 0))
+        simple = pc.match_substring_regex(fresh, f"^{LETTERS}$").to_numpy(zero_copy_only=False)
+        order = np.argsort(~simple, kind="stable")
+        fresh = fresh.take(pa.array(order))
+        numbers = np.empty(len(fresh), np.int64)
+        numbers[order] = len(self.units) + np.arange(len(fresh))
+        unit[unit < 0] = numbers
+        ids, sizes = self.encoded(fresh.to_pylist(), int(simple.sum()))
+        ends, pool = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)], np.r_[self.pool, ids]
+        own = unit[coded.indices.to_numpy()]
+        at[found < 0] = 8 * own + mark
+        spare = min(len(fresh), MEMO_WORDS - len(self.units))
+        if spare > 0:
+            self.remember(fresh[:spare], ids[: int(sizes[:spare].sum())], sizes[:spare])
+        lasting = np.flatnonzero(own < len(self.units))[: max(0, MEMO_WORDS - len(self.words))]
+        if len(lasting):
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(lasting))])
+            self.places = np.r_[self.places, (8 * own + mark)[lasting]]
+        return at, ends, pool
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of `texts` (no nulls), one after the other, and how many each text has."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        at, ends, pool = self.places(coded.dictionary.to_pylist())
+        at, ends, pool = self.of_words(coded.dictionary)
         units = np.stack([at >> 3, self.marks[at & 7]], axis=1)[coded.indices.to_numpy()].ravel()
         begins, sizes = ends[units], ends[units + 1] - ends[units]
         upto = np.cumsum(sizes)
@@ -390,26 +392,37 @@ def ranges(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"), "n")
 
 
+def begun(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """`rows` of ranges with `first`, counted within the range, as `start`, counted over all files."""
+    # a row of 20 bytes for each range, of which there are as many as shuffle partitions
+    return rows.join(broadcast_under(ranges(spark, folder).drop("n"), 20), "part").withColumn("start", F.col("before") + F.col("first")).drop("before", "first")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StructArray, list[memoryview]]]:
+    """For each segment its range, its pieces and the ids of each piece, as little-endian numbers of 4 bytes."""
+    for batch in batches:
+        for part, codes, pieces in zip(*(batch.column(x) for x in ("part", "codes", "pieces")), strict=True):
+            segment, listed = Segment(codes.as_buffer()), pieces.values
+            sizes = listed.field("n").to_numpy()
+            ids = memoryview(np.ascontiguousarray(segment.between(0, len(segment)), "<u4")).cast("B")
+            ends = 4 * np.cumsum(sizes)
+            yield part.as_py(), listed, [ids[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
+
+
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, at, ids) for every piece of a document in `folder`: how many ids stand before the document
-    in all files, how many it has, and its ids from `at` on, as little-endian numbers of 4 bytes. Most documents are one
-    piece."""
+    """(part, row, key, start, n_tokens, at, ids) for every piece of a document in `folder`: how many ids stand before the
+    document in all files, how many it has, and its ids from `at` on, as little-endian numbers of 4 bytes. Most
+    documents are one piece."""
     files = spark.read.parquet(folder)
     kind = files.schema["pieces"].dataType.elementType["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, codes, pieces in zip(*(batch.column(x) for x in ("part", "codes", "pieces")), strict=True):
-                segment, listed = Segment(codes.as_buffer()), pieces.values
-                sizes = listed.field("n").to_numpy()
-                ids = segment.between(0, len(segment)).astype("<u4").tobytes()
-                ends = 4 * np.cumsum(sizes)
-                blobs = pa.array([ids[a:b] for a, b in zip(ends - 4 * sizes, ends, strict=True)], pa.binary())
-                yield released(pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(sizes), pa.int32()), *(listed.field(x) for x in ("key", "start", "doc_tokens", "at", "row")), blobs], ["part", key, "first", "n_tokens", "at", "row", "ids"]))
+        for part, listed, blobs in opened(batches):
+            columns = [listed.field(x) for x in ("key", "start", "doc_tokens", "at", "row")]
+            yield released(pa.RecordBatch.from_arrays([pa.array([part] * len(blobs), pa.int32()), *columns, pa.array(blobs, pa.binary())], ["part", key, "first", "n_tokens", "at", "row", "ids"]))
 
     made = files.select("part", "codes", "pieces").mapInArrow(run, f"part int, {key} {kind}, first long, n_tokens long, at long, row long, ids binary")
-    # a row of 20 bytes for each range, of which there are as many as shuffle partitions
-    return made.join(broadcast_under(ranges(spark, folder).drop("n"), 20), "part").withColumn("start", F.col("before") + F.col("first")).select("part", "row", key, "start", "n_tokens", "at", "ids")
+    return begun(spark, folder, made).select("part", "row", key, "start", "n_tokens", "at", "ids")
 
 
 def tokens_at(spark: SparkSession, folder: str, places: DataFrame, place: str = "place") -> DataFrame:
@@ -440,10 +453,19 @@ def digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
 
     Sums of the pieces of a long document are joined in their order; only such documents are grouped.
     """
-    pieces = read(spark, folder, key).withColumn("crc", F.crc32("ids").cast("long")).withColumn("size", F.octet_length("ids").cast("long")).drop("ids")
-    pieces = stored(pieces)
-    whole = pieces.where("size = 4 * n_tokens").select(key, "start", "n_tokens", F.col("crc").alias("ids_crc32"))
-    split = pieces.where("size < 4 * n_tokens").groupBy("part", "row").agg(*(F.first(x).alias(x) for x in (key, "start", "n_tokens")), F.sort_array(F.collect_list(F.struct("at", "crc", "size"))).alias("sums"))
+    files = spark.read.parquet(folder)
+    kind = files.schema["pieces"].dataType.elementType["key"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, listed, blobs in opened(batches):
+            crcs = [zlib.crc32(x) for x in blobs]
+            columns = [listed.field(x) for x in ("key", "start", "doc_tokens", "at", "row", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(crcs), pa.int32()), *columns, pa.array(crcs, pa.int64())], ["part", key, "first", "n_tokens", "at", "row", "n", "crc"])
+
+    pieces = files.select("part", "codes", "pieces").mapInArrow(sums, f"part int, {key} {kind}, first long, n_tokens long, at long, row long, n long, crc long")
+    pieces = stored(begun(spark, folder, pieces).withColumn("size", 4 * F.col("n")))
+    whole = pieces.where("n = n_tokens").select(key, "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+    split = pieces.where("n < n_tokens").groupBy("part", "row").agg(*(F.first(x).alias(x) for x in (key, "start", "n_tokens")), F.sort_array(F.collect_list(F.struct("at", "crc", "size"))).alias("sums"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -456,6 +478,5 @@ def digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 made.append(crc)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in (key, "start", "n_tokens")), pa.array(made, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
-    kind = pieces.schema[key].dataType.simpleString()
     joined = split.select(key, "start", "n_tokens", "sums").mapInArrow(run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long")
     return whole.unionByName(joined)

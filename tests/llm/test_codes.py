@@ -77,7 +77,7 @@ def test_words_beyond_memory_and_of_many_kinds(monkeypatch, spark, small):
         ends = np.cumsum(counts)
         for text, a, b in zip(part, ends - counts, ends, strict=True):
             assert ids[a:b].tolist() == tok.encode(text, add_special_tokens=False).ids
-    assert len(known.place) <= 2000
+    assert len(known.words) <= 2000 and len(known.units) <= 2000
 
 
 def expected(documents):
