@@ -225,12 +225,12 @@ def pair_gap(e: np.ndarray, truth: np.ndarray, start: np.ndarray, step: np.ndarr
     return seen - pairs.sum(axis=(0, 1))
 
 
-def learned(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 250, chars: int = 800) -> Model:
-    """A model of a bounded sample: for each language the `per_lang` rows of the smallest hashes of the key, of each
-    text a stretch of `chars` characters at a hashed place. Rows without text or language teach nothing."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "text")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    rows = rows.withColumn("text", F.substr("text", F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1, F.lit(chars)))
+def learned(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 100, longest: int = 4000) -> Model:
+    """A model of a bounded sample of whole texts: for each language the `per_lang` rows of the smallest hashes of the key,
+    texts of more than `longest` characters only where there are not enough others. Rows without text or language
+    teach nothing."""
+    rank = Window.partitionBy("lang").orderBy("long", F.xxhash64("key"), "key", "text")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.length(text) > longest).alias("long")).where("text is not null and lang is not null")
     sample = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("text", "lang")
     return fitted([(r["text"], r["lang"]) for r in sample.collect()])
 

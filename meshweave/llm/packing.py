@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshweave.llm.common import stored
+from meshweave.llm.common import broadcast_under, free_name, stored
 from meshweave.llm.tokens import tokenizer
 
 #: Characters for which both libraries' patterns are known to agree; other texts go to the slower library.
@@ -94,36 +94,40 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start long, length long, ids binary, doc_tokens long")
 
 
-def pack(cut: DataFrame, key: str = "doc_id", size: int = 2048, blocks: int = 64) -> DataFrame:
+def pack(cut: DataFrame, key: str = "doc_id", size: int = 2048, block: int = 1 << 17) -> DataFrame:
     """`cut` (key, start, length and any other columns) with sequence_id and offset.
 
     Pieces of a length are ranked by block (hash of key and start) and within it, so that a length which a third of
-    the rows have is ranked by many tasks. The histogram has at most `size` rows and is all that the driver sees; the
-    plan made of it has a row for each place of each pattern. An empty input gives no rows.
+    the rows have is ranked by many tasks; there are as many blocks as leave about `block` rows of all lengths to each.
+    The histogram has at most `size` rows and is all that the driver sees; the plan made of it has a row for each place
+    of each pattern. Columns of any name stay. An empty input gives no rows.
     """
     spark = cut.sparkSession
-    blocked = cut.withColumn("_block", F.pmod(F.xxhash64(key, "start"), F.lit(blocks)))
-    counts = stored(blocked.groupBy("length", "_block").agg(F.count("*").alias("n")))
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own_block, rank, before_it = (free_name(cut, x) for x in ("_block", "_rank", "_first"))
+    blocks = max(64, -(-cut.count() // block))
+    blocked = cut.withColumn(own_block, F.pmod(F.xxhash64(key, "start"), F.lit(blocks)))
+    counts = stored(blocked.groupBy("length", own_block).agg(F.count("*").alias("n")))
+    before = Window.partitionBy("length").orderBy(own_block).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn(before_it, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = np.array(plan(histogram, size), np.int64).reshape(-1, 5)
     placed = spark.sparkContext.broadcast({n: rows[rows[:, 0] == n, 1:] for n in histogram})
-    own = Window.partitionBy("length", "_block").orderBy(key, "start")
-    ranked_cut = blocked.join(F.broadcast(firsts), ["length", "_block"]).withColumn("_rank", F.col("_first") + F.row_number().over(own) - 1).drop("_first", "_block")
+    own = Window.partitionBy("length", own_block).orderBy(key, "start")
+    firsts = broadcast_under(firsts, 24)  # at most a row for each length and block
+    ranked_cut = blocked.join(firsts, ["length", own_block]).withColumn(rank, F.col(before_it) + F.row_number().over(own) - 1).drop(before_it, own_block)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            sequence, offset = np.empty_like(rank), np.empty_like(rank)
+            length, at_rank = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
+            sequence, offset = np.empty_like(at_rank), np.empty_like(at_rank)
             for n in np.unique(length):
                 rows, mine = placed.value[int(n)], length == n
-                at = np.searchsorted(rows[:, 0], rank[mine], "right") - 1
-                sequence[mine], offset[mine] = rows[at, 2] + rank[mine] - rows[at, 0], rows[at, 3]
-            kept = [x for x in batch.schema.names if x != "_rank"]
+                at = np.searchsorted(rows[:, 0], at_rank[mine], "right") - 1
+                sequence[mine], offset[mine] = rows[at, 2] + at_rank[mine] - rows[at, 0], rows[at, 3]
+            kept = [x for x in batch.schema.names if x != rank]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked_cut.schema if f.name != "_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked_cut.schema if f.name != rank)
     return ranked_cut.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 

@@ -84,8 +84,9 @@ class SlotMap:
         return inlined(spark, [{"version": self.version, "vslot": v, "shard": s} for v, s in sorted(self.owner.items())], "version int, vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the table at `path`."""
-        self.frame(spark).withColumn("shards", F.lit(self.shards)).write.mode("append").parquet(path)
+        """Put this version into the table at `path`. A version is written once: a second writer of the same number gets
+        an error and is to load and edit the newer map."""
+        self.frame(spark).drop("version").withColumn("shards", F.lit(self.shards)).coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -93,6 +94,8 @@ class SlotMap:
         saved = spark.read.parquet(path)
         version = version or saved.agg(F.max("version")).first()[0]
         rows = saved.where(F.col("version") == version).collect()  # one row per virtual slot
+        if sorted(r["vslot"] for r in rows) != list(range(len(rows))):
+            raise ValueError(f"version {version} at {path} does not name every slot once")
         return SlotMap(rows[0]["shards"], {r["vslot"]: r["shard"] for r in rows}, version)
 
     @staticmethod
@@ -134,7 +137,8 @@ def placed(rows: DataFrame, owners: SlotMap, key: str = "doc_id", blocks: int =
     ranks a whole shard. Rows with equal keys keep their own places.
     """
     spark = rows.sparkSession
-    dealt = rows.join(F.broadcast(owners.frame(spark).drop("version")), "vslot").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)))
+    dealt = rows.join(F.broadcast(owners.frame(spark).drop("version")), "vslot", "left")
+    dealt = dealt.withColumn("shard", F.coalesce("shard", F.raise_error(F.lit("a row's slot has no shard")).cast("int"))).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)))
     counts = dealt.groupBy("shard", "vslot", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("vslot", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -142,24 +146,28 @@ def placed(rows: DataFrame, owners: SlotMap, key: str = "doc_id", blocks: int =
     return dealt.withColumn("at", F.row_number().over(own) - 1).join(firsts, ["vslot", "block"]).withColumn("slot", F.col("first") + F.col("at")).drop("at", "first", "block")
 
 
-def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", slots: int = SLOTS, path: str | None = None, split_over: float | None = 0.25) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", slots: int | None = None, path: str | None = None, split_over: float | None = 0.25) -> DataFrame:
     """(vslot, key, size, text_crc32, shard, slot, version) of every row, over shards of nearly equal bytes.
 
     `path`: the table of the slot maps, one version after the other; by default a new one in the shared folder, which
     goes with the application. Where it holds no map yet, version 1 deals the slots in turn, as one would before any
     sizes are known. The bytes of each slot are then counted, the last version is edited until the shards are even,
     and, if that moved anything, the edited map is stored as the next version; a later call with the same path and
-    other sizes or more shards edits that one. Rows are placed by the map as read back. No rows give no rows.
+    other sizes or more shards edits that one. `slots`: how many virtual slots a new map has (SLOTS if not given); a
+    stored map keeps the number it has, and another one is refused, as rows would change their slots. Rows are placed
+    by the map as read back. No rows give no rows.
     """
     spark = docs.sparkSession
-    rows = slotted(docs, shards, text, key, slots, split_over)
     own = path is None
     path = path or f"{shared_dir(spark)}/meshweave/slots-{uuid.uuid4().hex}"
     if not SlotMap.exists(spark, path):
-        SlotMap.even(shards, slots).save(spark, path)
+        SlotMap.even(shards, slots or SLOTS).save(spark, path)
     if own:
         own_folder(spark, path)
     last = SlotMap.load(spark, path)
+    if slots is not None and slots != len(last.owner):
+        raise ValueError(f"the map at {path} has {len(last.owner)} slots, not {slots}")
+    rows = slotted(docs, shards, text, key, len(last.owner), split_over)
     edited = last.rebalanced(slot_sizes(rows), shards)
     if edited.version > last.version:
         edited.save(spark, path)

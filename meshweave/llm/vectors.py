@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from meshweave.llm.common import components, stored
 
@@ -78,9 +79,22 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     unless the ranges along that axis alone rule a link out. The axes are fitted on the `fit_rows` rows of the smallest
     hashes (they change no result, only how soon comparisons stop). A pair of tiles yields the number of links of each
     class and a spanning forest, never all pairs. Vectors of unequal length do not link. Repeated keys count as rows
-    of their own, and share what links them; rows of a null key link with nothing and have a null component. component_id is the smallest key reachable, kept tells whether it is the
-    row's own.
+    of their own, and share what links them; rows of a null key link with nothing and have a null component.
+    component_id is the smallest key reachable, kept tells whether it is the row's own. Keys of any type that has an
+    order will do: those that are no integers are numbered in their order first.
     """
+    if isinstance(rows.schema[key].dataType, IntegralType):
+        return of_numbers(rows, threshold, key, vector, label, tile, fit_rows)
+    names = rows.select(F.col(key).alias("name")).where("name is not null").distinct().repartitionByRange("name").sortWithinPartitions("name")
+    names = stored(names.withColumn("number", F.monotonically_increasing_id()))
+    plain = rows.select(F.col(key).alias("name"), F.col(vector).alias("v"), F.col(label).alias("label")).join(names, "name", "left").select("number", "v", "label")
+    made = of_numbers(plain, threshold, "number", "v", "label", tile, fit_rows)
+    made = made.join(names.withColumnRenamed("name", key), "number", "left").join(names.select(F.col("name"), F.col("number").alias("component_id")), "component_id", "left")
+    return made.select(key, "n_links", F.col("name").alias("component_id"), "kept")
+
+
+def of_numbers(rows: DataFrame, threshold: float, key: str, vector: str, label: str, tile: int, fit_rows: int) -> DataFrame:
+    """near_vectors() for keys that are integers."""
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     base = stored(rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label")).withColumn("good", F.coalesce(good, F.lit(False))).withColumn("v", F.when(F.col("good"), F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("class", F.when(F.col("good"), F.sha2(F.to_json(F.struct("label", "v")), 256))))
     usable = base.where("good").where(F.col("key").isNotNull())
@@ -146,4 +160,5 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     counts = made.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     linked_to = components(made.where("v is not null").select("u", "v")).select(F.col("node").alias("rep"), "component")
     whole = stored(usable.groupBy("class").agg(F.min("key").alias("rep"), F.count("*").alias("n")).join(counts, "rep", "left").join(linked_to, "rep", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
-    return base.join(whole, "class", "left").select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component_id"), F.coalesce(F.coalesce("component", "key") == F.col("key"), F.lit(True)).alias("kept"))
+    keyed = base.withColumn("class", F.when(F.col("key").isNotNull(), F.col("class")))
+    return keyed.join(whole, "class", "left").select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component_id"), F.coalesce(F.coalesce("component", "key") == F.col("key"), F.lit(True)).alias("kept"))

@@ -68,3 +68,10 @@ def test_plan_places_every_piece_once():
     for length, count in histogram.items():
         spans = sorted((a, b) for n, a, b, _, _ in rows if n == length)
         assert spans[0][0] == 0 and spans[-1][1] == count and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_columns_of_a_caller_stay_and_blocks_follow_the_rows(spark):
+    cut = packing.pieces(odd(spark), PATH).withColumn("ids_crc32", packing.crc_of("ids")).selectExpr("*", "'r' as _rank", "'b' as _block", "'f' as _first")
+    made = packing.pack(cut, block=1)
+    assert {"_rank", "_block", "_first"} <= set(made.columns) and {(r._rank, r._block, r._first) for r in made.collect()} == {("r", "b", "f")}
+    holds([tuple(r) for r in made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], [(r[0], r[1]) for r in ODD])

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from meshweave.llm import queries, shards
 from tests.llm.texts import ODD, empty, odd
 
@@ -81,3 +83,28 @@ def test_odd_rows(spark):
     rows = shards.sharded(odd(spark, True), 3).collect()
     holds(rows, [(r[0], r[1]) for r in ODD], 3, 2)
     assert shards.sharded(empty(spark), 3).count() == 0
+
+
+def test_another_number_of_slots_is_refused_and_loses_no_rows(spark, tmp_path):
+    docs, path = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text"), str(tmp_path / "slots")
+    assert shards.sharded(docs, 6, slots=64, path=path).count() == 1000
+    with pytest.raises(ValueError, match="has 64 slots, not 4096"):
+        shards.sharded(docs, 6, slots=4096, path=path)
+    again = shards.sharded(docs, 6, path=path)
+    assert again.count() == 1000 and again.agg({"vslot": "max"}).first()[0] < 64
+    rows = shards.slotted(docs, 6, slots=128)
+    with pytest.raises(Exception, match="has no shard"):
+        shards.placed(rows, shards.SlotMap.load(spark, path)).collect()
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "slots")
+    shards.SlotMap.even(4, 16).save(spark, path)
+    with pytest.raises(Exception, match="(?i)exist"):
+        shards.SlotMap.even(3, 16).save(spark, path)
+    assert shards.SlotMap.load(spark, path).shards == 4
+
+
+def test_shards_are_even_to_one_per_cent(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('the same text ', 30), concat('text ', id, repeat('z', cast(id % 700 as int)))) as text")
+    holds(shards.sharded(docs, 24).collect(), [(r.doc_id, r.text) for r in docs.collect()], 24, 0.01)

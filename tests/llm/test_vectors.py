@@ -45,3 +45,19 @@ def test_matches_brute_force(spark, seed, tile, threshold):
 
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_keys_of_other_types_null_and_repeated_keys(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 8))
+    rows = [(f"k{9 - i % 10}{i:02d}", (base[i % 6] + rng.normal(0, 0.02, 8)).tolist(), i % 2) for i in range(30)]
+    rows += [rows[3], (None, rows[4][1], 0), ("z", None, 0), ("null label", rows[0][1], None)]
+    schema = "vec_id {}, embedding array<double>, label int"
+    named = vectors.near_vectors(spark.createDataFrame(rows, schema.format("string")))
+    order = {k: i for i, k in enumerate(sorted({r[0] for r in rows if r[0] is not None}))}
+    numbers = vectors.near_vectors(spark.createDataFrame([(order.get(k), v, x) for k, v, x in rows], schema.format("long")))
+    back = {i: k for k, i in order.items()} | {None: None}
+    assert sorted((back[r.vec_id] or "", r.n_links, back[r.component_id] or "", r.kept) for r in numbers.collect()) == sorted((r.vec_id or "", r.n_links, r.component_id or "", r.kept) for r in named.collect())
+    got = {r.vec_id: r for r in named.collect()}
+    assert got[None].component_id is None and got["z"].n_links == 0 and got["null label"].n_links == 0 and got[rows[3][0]].n_links > 0
+    assert vectors.near_vectors(spark.createDataFrame([], schema.format("string"))).count() == 0
