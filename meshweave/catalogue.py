@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshweave.functions import geometry, periodicity, selector, shapes
-from meshweave.operators import coincidence, exchange, interpolate, intersection, location, mesh, nearest
+from meshweave.operators import coincidence, exchange, interpolate, intersection, location, mesh, metric, nearest, partition
 from meshweave.plans import coupling, durable
 from meshweave.sources import generators
 from meshweave.streaming import steps
@@ -499,28 +499,32 @@ def side_of(spark, sf_dir):
 SIDE = "(SELECT greatest(4, floor(sqrt(count(*))))::BIGINT FROM supplier)"
 
 
-def bent(vertices):
-    """The vertices of the unit square moved along smooth waves; its border stays."""
-    bump = 1.6 * F.col("x") * (1 - F.col("x")) * F.col("y") * (1 - F.col("y"))
-    return vertices.withColumns({"x": F.col("x") + bump * F.sin(5 * F.col("y")), "y": F.col("y") + bump * F.cos(4 * F.col("x"))})
+def part_sheet(spark, sf_dir):
+    """(vertices, quads, width, number) of a sheet whose corners are all parts, in rows of the root of their number: part g
+    stands in row g / width, moved by its price and its size. A quad has the number of its first corner."""
+    parts = read(spark, sf_dir, "part")
+    n = parts.count()
+    w = max(1, math.isqrt(n))
+    vertices = parts.selectExpr("p_partkey AS gnum", f"p_partkey % {w} + 0.3D * ((p_retailprice - 900.0D) / 100.0D) AS x", f"p_partkey div {w} + 0.3D * (p_size / 51.0D) AS y", "0.0D AS z", "p_size")
+    quads = vertices.where(f"gnum % {w} < {w - 1} and gnum + {w + 1} < {n}").selectExpr("gnum", "'quad4' AS elt_type", f"array(gnum, gnum + 1, gnum + {w + 1}, gnum + {w}) AS connec", "p_size")
+    return vertices.drop("p_size"), quads, w, n
 
 
-def bent_cells(spark, n, triangles=False):
-    return mesh.cells(bent(generators.grid_vertices(spark, n, n)), (generators.grid_triangles if triangles else generators.grid_quads)(spark, n, n))
-
-
-#: The bent vertices (i, j, x, y) and the quads of them with their area and the mean of their corners.
-BENT = f"(SELECT i, j, n, x + b * sin(5 * y) AS x, y + b * cos(4 * x) AS y FROM (SELECT *, 1.6 * x * (1 - x) * y * (1 - y) AS b FROM (SELECT n, i, j, i / n::DOUBLE AS x, j / n::DOUBLE AS y FROM (SELECT n, unnest(range(n + 1)) AS i FROM (SELECT {SIDE} AS n)) CROSS JOIN (SELECT unnest(range({SIDE} + 1)) AS j))))"
-QUADS = f"""(WITH v AS (SELECT * FROM {BENT}) SELECT a.j * a.n + a.i AS gnum, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS ey, c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy
-FROM v a JOIN v b ON b.i = a.i + 1 AND b.j = a.j JOIN v c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN v d ON d.i = a.i AND d.j = a.j + 1)"""
+SHEET = "(SELECT p_partkey AS g, w, n, p_size, p_partkey % w + 0.3::DOUBLE * ((p_retailprice - 900.0) / 100.0) AS x, p_partkey // w + 0.3::DOUBLE * (p_size / 51.0::DOUBLE) AS y FROM part, (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS w FROM part))"
+#: The quads of the sheet with their corners' coordinates.
+QUADS = f"""(SELECT a.g AS gnum, a.w, a.n, a.p_size, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS ey, c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy
+FROM {SHEET} a JOIN {SHEET} b ON b.g = a.g + 1 JOIN {SHEET} c ON c.g = a.g + a.w + 1 JOIN {SHEET} d ON d.g = a.g + a.w WHERE a.g % a.w < a.w - 1)"""
 QUAD_AREA = "((cx - ax) * (dy - ey) - (dx - bx) * (cy - ay)) / 2"
 
 
-@query(f"SELECT gnum AS tgt_gnum, round({QUAD_AREA}, 9) AS area FROM {QUADS}")
+@query(f"SELECT gnum AS tgt_gnum, round({QUAD_AREA}, 6) AS area FROM {QUADS}")
 def intersect_polygons(spark, sf_dir):
-    """The overlaps of a bent quad with all triangles of another sheet add up to its own area."""
-    made = intersection.overlap(grid_cells(spark, side_of(spark, sf_dir) + 3, True), bent_cells(spark, side_of(spark, sf_dir)))
-    return made.groupBy("tgt_gnum").agg(F.round(F.sum("volume"), 9).alias("area"))
+    """The overlaps of a quad of the parts with all triangles of a sheet below them add up to its own area."""
+    vertices, quads, w, n = part_sheet(spark, sf_dir)
+    side = side_of(spark, sf_dir) + 3
+    below = generators.grid_vertices(spark, side, side, (-0.5, -0.5), (w + 0.5, n / w + 0.5))
+    made = intersection.overlap(mesh.cells(below, generators.grid_triangles(spark, side, side)), mesh.cells(vertices, quads.drop("p_size")))
+    return made.groupBy("tgt_gnum").agg(F.round(F.sum("volume"), 6).alias("area"))
 
 
 # ---- the selection language
@@ -551,12 +555,12 @@ select_query("select_all", "all[]", "true")
 select_query("select_no_group", "no_group[]", "false")
 
 
-@query(f"SELECT i AS gnum FROM range({GRID * GRID}) t(i) WHERE i % 3 = 0")
+@query(f"SELECT gnum FROM {QUADS} WHERE p_size % 3 = 0")
 def select_normal(spark, sf_dir):
-    """Every third quad of a sheet runs counter-clockwise and so looks up; the others are turned over."""
-    quads = generators.grid_quads(spark, GRID, GRID).withColumn("connec", F.when(F.col("gnum") % 3 == 0, F.col("connec")).otherwise(F.reverse("connec")))
-    faces = mesh.measured(mesh.cells(generators.grid_vertices(spark, GRID, GRID), quads))
-    return selector.select(faces, "normal[0, 0, 1]").select("gnum")
+    """Quads whose first part's size is a multiple of three run counter-clockwise and so look up; the others are turned over."""
+    vertices, quads, _, _ = part_sheet(spark, sf_dir)
+    quads = quads.withColumn("connec", F.when(F.col("p_size") % 3 == 0, F.col("connec")).otherwise(F.reverse("connec"))).drop("p_size")
+    return selector.select(mesh.measured(mesh.cells(vertices, quads)), "normal[0, 0, 1]").select("gnum")
 
 
 # ---- meshes
@@ -564,35 +568,50 @@ def select_normal(spark, sf_dir):
 
 @query(f"SELECT gnum, round((ax + bx + cx + dx) / 4, 9) AS cx, round((ay + ey + cy + dy) / 4, 9) AS cy, round({QUAD_AREA}, 9) AS area FROM {QUADS}")
 def cell_centres(spark, sf_dir):
-    return mesh.measured(bent_cells(spark, side_of(spark, sf_dir))).select("gnum", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), F.round("volume", 9).alias("area"))
+    vertices, quads, _, _ = part_sheet(spark, sf_dir)
+    return mesh.measured(mesh.cells(vertices, quads.drop("p_size"))).select("gnum", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), F.round("volume", 9).alias("area"))
 
 
-@query(f"SELECT 2 * gnum AS gnum, round(abs((bx - ax) * (dy - ay) - (dx - ax) * (ey - ay)) / 2, 9) AS area FROM {QUADS} UNION ALL SELECT 2 * gnum + 1, round(abs((cx - bx) * (dy - ey) - (dx - bx) * (cy - ey)) / 2, 9) FROM {QUADS}")
+@query(f"SELECT 2 * gnum AS gnum, round(abs((bx - ax) * (cy - ay) - (cx - ax) * (ey - ay)) / 2, 9) AS area FROM {QUADS} UNION ALL SELECT 2 * gnum + 1, round(abs((cx - ax) * (dy - ay) - (dx - ax) * (cy - ay)) / 2, 9) FROM {QUADS}")
 def tria_area(spark, sf_dir):
+    vertices, quads, _, _ = part_sheet(spark, sf_dir)
     v = F.col("vtx")
-    return bent_cells(spark, side_of(spark, sf_dir), True).select("gnum", F.round(geometry.triangle_area(v[0], v[1], v[2]), 9).alias("area"))
+    halves = mesh.triangulated(quads.drop("p_size")).select((2 * F.col("gnum") + F.col("sub")).alias("gnum"), F.lit("tria3").alias("elt_type"), "connec")
+    return mesh.cells(vertices, halves).select("gnum", F.round(geometry.triangle_area(v[0], v[1], v[2]), 9).alias("area"))
+
+
+FOURTHS = "(SELECT p_partkey // 4 AS gnum, p_partkey % 4 AS k, (p_retailprice - 900.0) / 100.0 AS x, p_size / 51.0::DOUBLE AS y, (p_partkey * 7 % 11) / 11.0::DOUBLE AS z FROM part)"
 
 
-@query("SELECT i AS gnum, round(1 / 3072.0::DOUBLE, 9) AS volume FROM range(3072) t(i)")
+@query(f"""SELECT gnum, round(abs((bx - ax) * ((cy - ay) * (dz - az) - (cz - az) * (dy - ay)) - (ey - ay) * ((cx - ax) * (dz - az) - (cz - az) * (dx - ax)) + (bz - az) * ((cx - ax) * (dy - ay) - (cy - ay) * (dx - ax))) / 6, 9) AS volume FROM (
+SELECT gnum, {", ".join(f"max({a}) FILTER (k = {k}) AS {n}{a if n + a != 'by' else 'y'}" if n != "b" or a != "y" else f"max(y) FILTER (k = {k}) AS ey" for k, n in enumerate("abcd") for a in "xyz")} FROM {FOURTHS} GROUP BY 1 HAVING count(*) = 4)""")
 def tetra_volume(spark, sf_dir):
+    """Four parts after one another are a tetrahedron."""
+    points = read(spark, sf_dir, "part").selectExpr("p_partkey AS gnum", "(p_retailprice - 900.0D) / 100.0D AS x", "p_size / 51.0D AS y", "(p_partkey * 7 % 11) / 11.0D AS z")
+    fours = points.groupBy(F.expr("gnum div 4").alias("cell")).agg(F.array_sort(F.collect_list("gnum")).alias("connec")).where("size(connec) = 4")
     v = F.col("vtx")
-    cells = mesh.cells(generators.box_vertices(spark, 8), generators.box_tetras(spark, 8))
-    return cells.select("gnum", F.round(F.abs(geometry.tetra_volume(v[0], v[1], v[2], v[3])), 9).alias("volume"))
+    made = mesh.cells(points, fours.select(F.col("cell").alias("gnum"), F.lit("tetra4").alias("elt_type"), "connec"))
+    return made.select("gnum", F.round(F.abs(geometry.tetra_volume(v[0], v[1], v[2], v[3])), 9).alias("volume"))
 
 
-@query(f"SELECT j * {GRID + 1} + i AS a, j * {GRID + 1} + i + 1 AS b FROM range({GRID}) s(i), range({GRID + 1}) t(j) UNION ALL SELECT j * {GRID + 1} + i, (j + 1) * {GRID + 1} + i FROM range({GRID + 1}) s(i), range({GRID}) t(j)")
+@query(f"SELECT DISTINCT unnest([gnum, gnum + 1, gnum + w, gnum]) AS a, unnest([gnum + 1, gnum + w + 1, gnum + w + 1, gnum + w]) AS b FROM {QUADS}")
 def mesh_edges(spark, sf_dir):
-    return mesh.edges(generators.grid_quads(spark, GRID, GRID))
+    return mesh.edges(part_sheet(spark, sf_dir)[1].drop("p_size"))
 
 
-@query(f"SELECT (j + b) * {GRID + 1} + i + a AS vertex, count(*) AS n, min(j * {GRID} + i) AS first_element FROM range({GRID}) s(i), range({GRID}) t(j), range(2) u(a), range(2) v(b) GROUP BY 1")
+@query("SELECT l_partkey AS vertex, count(DISTINCT l_orderkey) AS n, min(l_orderkey) AS first_element FROM lineitem GROUP BY 1")
 def vertex_to_elements(spark, sf_dir):
-    return mesh.elements_of_vertices(generators.grid_quads(spark, GRID, GRID)).select("vertex", F.size("elements").cast("long").alias("n"), F.col("elements")[0].alias("first_element"))
+    """Orders are elements of the parts they hold."""
+    elements = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("gnum")).agg(F.array_sort(F.collect_set("l_partkey")).alias("connec"))
+    return mesh.elements_of_vertices(elements).select("vertex", F.size("elements").cast("long").alias("n"), F.col("elements")[0].alias("first_element"))
 
 
-@query("SELECT 0 AS block_id, i AS gnum, 4 AS n_vertices FROM range(64) t(i) UNION ALL SELECT 1, i, 3 FROM range(128) t(i)")
+@query(f"SELECT 0 AS block_id, gnum, 4 AS n_vertices FROM {QUADS} WHERE p_size % 2 = 0 UNION ALL SELECT 1, 2 * gnum + s, 3 FROM {QUADS}, range(2) t(s) WHERE p_size % 2 = 1")
 def block_union(spark, sf_dir):
-    return mesh.blocks(generators.grid_quads(spark, 8, 8), generators.grid_triangles(spark, 8, 8)).select("block_id", "gnum", F.size("connec").alias("n_vertices"))
+    """A block of the quads of even size and one of the halves of the others."""
+    quads = part_sheet(spark, sf_dir)[1]
+    halves = mesh.triangulated(quads.where("p_size % 2 = 1").drop("p_size")).select((2 * F.col("gnum") + F.col("sub")).alias("gnum"), F.lit("tria3").alias("elt_type"), "connec")
+    return mesh.blocks(quads.where("p_size % 2 = 0").drop("p_size"), halves).select("block_id", "gnum", F.size("connec").alias("n_vertices"))
 
 
 MIXED = "array(named_struct('t', 4, 'q', 0, 'p', 0), named_struct('t', 4, 'q', 1, 'p', 0), named_struct('t', 2, 'q', 3, 'p', 0), named_struct('t', 0, 'q', 6, 'p', 0), named_struct('t', 1, 'q', 2, 'p', 3))"
@@ -607,15 +626,16 @@ def classify_cells_from_faces(spark, sf_dir):
     return mesh.classified(sides, faces).select("cell", "elt_type")
 
 
-@query(f"SELECT g AS gnum, s::INT AS sub, a AS v0, CASE s WHEN 0 THEN a + 1 ELSE a + {GRID + 2} END AS v1, CASE s WHEN 0 THEN a + {GRID + 2} ELSE a + {GRID + 1} END AS v2 FROM (SELECT j * {GRID} + i AS g, j * {GRID + 1} + i AS a FROM range({GRID}) x(i), range({GRID}) y(j)), range(2) z(s)")
+@query(f"SELECT gnum, s::INT AS sub, gnum AS v0, CASE s WHEN 0 THEN gnum + 1 ELSE gnum + w + 1 END AS v1, CASE s WHEN 0 THEN gnum + w + 1 ELSE gnum + w END AS v2 FROM {QUADS}, range(2) z(s)")
 def triangulate_quads(spark, sf_dir):
-    made = mesh.triangulated(generators.grid_quads(spark, GRID, GRID))
+    made = mesh.triangulated(part_sheet(spark, sf_dir)[1].drop("p_size"))
     return made.select("gnum", "sub", *(F.col("connec")[i].alias(f"v{i}") for i in range(3)))
 
 
-@query("SELECT l * 256 + j * 16 + i AS gnum, 'hexa8' AS elt_type, round(1 / 1024.0::DOUBLE, 9) AS volume FROM range(16) a(i), range(16) b(j), range(4) c(l)")
+@query(f"SELECT l * n + gnum AS gnum, 'hexa8' AS elt_type, round({QUAD_AREA} / 3, 9) AS volume FROM {QUADS}, range(3) c(l)")
 def extrude_mesh(spark, sf_dir):
-    vertices, solid = mesh.extruded(generators.grid_vertices(spark, 16, 16), generators.grid_quads(spark, 16, 16), 4, (0.0, 0.0, 1.0), 289, 256)
+    vertices, quads, _, n = part_sheet(spark, sf_dir)
+    vertices, solid = mesh.extruded(vertices, quads.drop("p_size"), 3, (0.0, 0.0, 1.0), n, n)
     return mesh.measured(mesh.cells(vertices, solid)).select("gnum", "elt_type", F.round("volume", 9).alias("volume"))
 
 
@@ -628,30 +648,103 @@ def empty_interface(spark, sf_dir):
     return interpolate.filled(targets, values).select("gnum", F.col("value")[0].alias("value"))
 
 
-@query(f"SELECT j * {GRID} + i AS face, j * {GRID + 1} + i AS v0, j * {GRID + 1} + i + 1 AS v1, (j + 1) * {GRID + 1} + i + 1 AS v2, (j + 1) * {GRID + 1} + i AS v3 FROM range({GRID}) a(i), range({GRID}) b(j)")
+@query(f"SELECT gnum AS face, gnum AS v0, gnum + 1 AS v1, gnum + w + 1 AS v2, gnum + w AS v3 FROM {QUADS}")
 def faces_from_edges(spark, sf_dir):
     """Quads given by their edges alone, each walked backwards where its number is negative."""
-    quads = generators.grid_quads(spark, GRID, GRID)
+    quads = part_sheet(spark, sf_dir)[1].drop("p_size")
     ends = [F.struct(F.col("connec")[k].alias("p"), F.col("connec")[(k + 1) % 4].alias("q")) for k in range(4)]
     walks = quads.select(F.col("gnum").alias("face"), F.inline(F.array(*ends)))
-    number = lambda p, q: F.least(p, q) * 10_000 + F.greatest(p, q) + 1
+    number = lambda p, q: F.least(p, q) * 1_000_000_000 + F.greatest(p, q) + 1
     face_edges = walks.select("face", (number(F.col("p"), F.col("q")) * F.when(F.col("p") < F.col("q"), 1).otherwise(-1)).alias("edge"))
     known = mesh.edges(quads).select(number(F.col("a"), F.col("b")).alias("edge"), "a", "b")
     return mesh.from_face_edges(face_edges, known).select("face", *(F.col("connec")[k].alias(f"v{k}") for k in range(4)))
 
 
-@query("SELECT i AS gnum, 24 AS parts, round(1 / 512.0::DOUBLE, 9) AS volume, round(1 / 512.0::DOUBLE * (1 + 2 * ((i % 8) + 0.5) / 8), 9) AS content FROM range(512) t(i)")
+def part_bricks(spark, sf_dir, columns=()):
+    """A brick for each part: (vertices, elements); its corner g * 8 + k is corner k of a hexahedron."""
+    parts = part_points(spark, sf_dir).selectExpr("gnum", "x", "y", "gnum % 5 / 5.0D AS z", "0.02D + gnum % 3 / 50.0D AS wx", "0.03D AS wy", "0.1D + gnum % 7 / 10.0D AS wz")
+    corner = [F.struct((F.col("gnum") * 8 + k).alias("gnum"), *((F.col(a) + F.lit(float(c[i])) * F.col(f"w{a}")).alias(a) for i, a in enumerate("xyz"))) for k, c in enumerate(shapes.CORNERS["hexa8"])]
+    return parts.select(F.inline(F.array(*corner))), parts.select("gnum", F.lit("hexa8").alias("elt_type"), F.array(*(F.col("gnum") * 8 + k for k in range(8))).alias("connec"))
+
+
+BRICKS = f"(SELECT gnum, x, y, gnum % 5 / 5.0::DOUBLE AS z, 0.02::DOUBLE + gnum % 3 / 50.0::DOUBLE AS wx, 0.03::DOUBLE AS wy, 0.1::DOUBLE + gnum % 7 / 10.0::DOUBLE AS wz FROM {PARTS})"
+
+
+@query(f"SELECT gnum, 24 AS parts, round(wx * wy * wz, 9) AS volume, round(wx * wy * wz * (1 + 2 * (x + wx / 2)), 9) AS content FROM {BRICKS}")
 def tessellate_cells(spark, sf_dir):
-    """Tetrahedra of each hexahedron fill it, and carry a linear field: its integral is that at the centre."""
-    vertices = generators.box_vertices(spark, 8)
+    """Tetrahedra of each brick fill it, and carry a linear field: its integral is that at the centre."""
+    vertices, bricks = part_bricks(spark, sf_dir)
     field = vertices.select("gnum", F.array(1 + 2 * F.col("x")).alias("value"))
-    made = mesh.tessellated(mesh.cells(vertices, generators.box_hexas(spark, 8)), field)
+    made = mesh.tessellated(mesh.cells(vertices, bricks), field)
     corner = [F.struct(*(F.col("points")[k][a].alias(n) for a, n in enumerate("xyz"))) for k in range(4)]
     size = F.abs(geometry.tetra_volume(*corner))
     mean = sum((F.col("values")[k][0] for k in range(4)), F.lit(0.0)) / 4
     return made.groupBy("gnum").agg(F.count("*").cast("int").alias("parts"), F.round(F.sum(size), 9).alias("volume"), F.round(F.sum(size * mean), 9).alias("content"))
 
 
+STANDARD = "['tetra4', 'pyram5', 'prism6', 'hexa8']"
+
+
+@query(f"SELECT o_orderkey AS gnum, {STANDARD}[o_orderkey % 4 + 1] AS elt_type, round([1 / 6::DOUBLE, 1 / 3::DOUBLE, 0.5, 1][o_orderkey % 4 + 1] * (1 + o_custkey % 5) ** 3, 6) AS volume, [4, 5, 6, 8][o_orderkey % 4 + 1]::INT AS n_vertices FROM orders")
+def cells_from_faces(spark, sf_dir):
+    """Every order is a cell of one of four kinds and five sizes, known by its faces alone: faces are numbered by a hash,
+    half of them look into the cell and are walked the other way. The lists of vertices that come back have the cell's
+    positive volume."""
+    orders = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS cell", "o_orderkey % 4 AS kind", "1.0D + o_custkey % 5 AS size")
+    names = ("tetra4", "pyram5", "prism6", "hexa8")
+    places = {"tetra4": [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], "pyram5": [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0.5, 0.5, 1)]} | {k: shapes.CORNERS[k].tolist() for k in ("prism6", "hexa8")}
+    of_kind = lambda made: F.element_at(F.array(*made), (F.col("kind") + 1).cast("int"))
+    corners = of_kind([F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(float(v)).alias(a) for a, v in zip("xyz", p, strict=True))) for k, p in enumerate(places[n]))) for n in names])
+    vertices = orders.select("cell", "size", F.inline(corners)).select((F.col("cell") * 8 + F.col("k")).alias("gnum"), *((F.col(a) * F.col("size")).alias(a) for a in "xyz"))
+    walks = of_kind([F.array(*(F.array(*map(F.lit, f)) for f in shapes.FACES[n])) for n in names])
+    faces = orders.select("cell", F.posexplode(walks).alias("k", "walk")).withColumn("own", F.transform("walk", lambda i: F.col("cell") * 8 + i))
+    faces = faces.withColumns({"face": F.col("cell") * 8 + F.pmod(F.col("k") * 5 + F.col("cell"), F.lit(7)) + 1, "inward": F.pmod(F.xxhash64("cell", "k"), F.lit(2)) == 1})
+    cell_faces = faces.select("cell", (F.col("face") * F.when(F.col("inward"), -1).otherwise(1)).alias("face"))
+    face_vertices = faces.select("face", F.when(F.col("inward"), F.reverse("own")).otherwise(F.col("own")).alias("connec"))
+    made = mesh.measured(mesh.cells(vertices, mesh.from_cell_faces(cell_faces, face_vertices)))
+    return made.select("gnum", "elt_type", F.round("volume", 6).alias("volume"), F.size("connec").alias("n_vertices"))
+
+
+@query(f"SELECT gnum, 2 * (floor(7 * y)::BIGINT * 7 + floor(7 * x)::BIGINT) + (u > 0.3137 AND u < 0.6871 AND v > 0.3137)::BIGINT AS src_gnum, round(1 + 2 * x + 3 * y, 6) AS value FROM (SELECT gnum, x, y, 7 * x - floor(7 * x) AS u, 7 * y - floor(7 * y) AS v FROM {PARTS})")
+def locate_hollow_cells(spark, sf_dir):
+    """Blocks of a cell of the shape of a U, which is not star-shaped, and of the cell that fills it; a linear field at
+    their corners comes back at every part."""
+    n, a, b = 7, 0.3137, 0.6871
+    u = [(0, 0), (1, 0), (1, 1), (b, 1), (b, a), (a, a), (a, 1), (0, 1)]
+    ring = lambda k, base: [[i, (i + 1) % k, (i + 1) % k + base, i + base] for i in range(k)]
+    u_faces = [f[::-1] for f in ([0, 1, 4, 5], [1, 2, 3, 4], [0, 5, 6, 7])] + [[i + 8 for i in f] for f in ([0, 1, 4, 5], [1, 2, 3, 4], [0, 5, 6, 7])] + ring(8, 8)
+    plug = [5, 4, 3, 6]
+    at = F.array(*(F.struct(F.lit(k + 8 * z).alias("k"), F.lit(float(p)).alias("x"), F.lit(float(q)).alias("y"), F.lit(float(z)).alias("z")) for z in (0, 1) for k, (p, q) in enumerate(u)))
+    blocks = spark.range(n * n)
+    vertices = blocks.select("id", F.inline(at)).select((F.col("id") * 16 + F.col("k")).alias("gnum"), ((F.col("x") + F.col("id") % n) / n).alias("x"), ((F.col("y") + F.expr(f"id div {n}")) / n).alias("y"), "z")
+    lists = [(0, "poly3d", list(range(16)), u_faces), (1, "poly3d", [*plug, *(i + 8 for i in plug)], [[3, 2, 1, 0], [4, 5, 6, 7], *ring(4, 4)])]
+    cell = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(kind).alias("elt_type"), F.array(*map(F.lit, c)).alias("c"), F.array(*(F.array(*map(F.lit, f)) for f in faces)).alias("faces")) for k, kind, c, faces in lists))
+    elements = blocks.select("id", F.inline(cell)).select((F.col("id") * 2 + F.col("k")).alias("gnum"), "elt_type", F.transform("c", lambda i: F.col("id") * 16 + i).alias("connec"), "faces")
+    made = location.locate(part_points(spark, sf_dir).withColumn("z", F.lit(0.4)), mesh.cells(vertices, elements))
+    value = interpolate.weighted_nodes(made, linear(vertices)).select("gnum", F.round(F.col("value")[0], 6).alias("value"))
+    return value.join(made.select(F.col("tgt_gnum").alias("gnum"), "src_gnum"), "gnum")
+
+
+WEIGHT = "CASE WHEN p_partkey % 97 = 0 THEN 1000 ELSE 1 + p_size % 7 END"
+
+
+@query(f"""WITH coded AS (SELECT m.gnum AS part, m.morton, {WEIGHT}::DOUBLE AS w FROM {MORTON} m JOIN part ON p_partkey = m.gnum), sums AS (SELECT morton, sum(w) AS w FROM coded GROUP BY 1),
+numbered AS (SELECT morton, least(floor((sum(w) OVER (ORDER BY morton) - w + w / 2) * 7 / (SELECT sum(w) FROM sums)), 6)::INT AS number FROM sums)
+SELECT part, morton, number FROM coded JOIN numbered USING (morton)""")
+def curve_parts(spark, sf_dir):
+    """Parts dealt to seven ranges of the curve of even weight, under weights from 1 to 1000."""
+    points = part_points(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum"), F.expr(WEIGHT).alias("weight")), "gnum")
+    return partition.dealt_evenly(points, 7).select(F.col("gnum").alias("part"), "morton", F.col("part").alias("number"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), pairs AS (SELECT a.vec_id AS q_gnum, b.vec_id AS gnum, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT q_gnum, gnum, rank::INT AS rank, round(d, 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY q_gnum ORDER BY d, gnum) AS rank FROM pairs) WHERE rank <= 4""")
+def knn_embeddings(spark, sf_dir):
+    """The four vectors nearest to each, in all dimensions."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gnum"), F.col("embedding").alias("v"))
+    return metric.knn(vectors, vectors, 4, others=True).select("q_gnum", "gnum", "rank", F.round("dist", 9).alias("dist"))
+
+
 # ---- couplings as declared and run
 
 
@@ -672,15 +765,22 @@ def coupling_location(spark, sf_dir):
     return made.exchange("t").select("gnum", F.round(F.col("value")[0], 6).alias("value"))
 
 
-@query("SELECT j * 10 + i AS gnum, CASE WHEN i < 5 THEN round((i + 0.5) / 10, 9) ELSE 0 END AS value FROM range(10) a(i), range(10) b(j)")
+HALF = f"(SELECT i // s AS j, i % s AS i, s, (SELECT count(*) FROM {PARTS} WHERE x >= (i % s) / (2.0::DOUBLE * s) AND x < (i % s + 1) / (2.0::DOUBLE * s) AND y >= (i // s) / s::DOUBLE AND y < (i // s + 1) / s::DOUBLE)::DOUBLE AS v FROM (SELECT s, unnest(range(s * s)) AS i FROM (SELECT {SIDE} AS s)))"
+OVER = "greatest(0, least((i + 1) / (2.0::DOUBLE * s), (p + 1) / m::DOUBLE) - greatest(i / (2.0::DOUBLE * s), p / m::DOUBLE)) * greatest(0, least((j + 1) / s::DOUBLE, (q + 1) / m::DOUBLE) - greatest(j / s::DOUBLE, q / m::DOUBLE))"
+
+
+@query(f"SELECT gnum, round(CASE WHEN sum(o) > 1e-12 THEN sum(o * v) / sum(o) ELSE 0 END, 6) AS value FROM (SELECT q * m + p AS gnum, v, {OVER} AS o FROM {HALF}, (SELECT m, k % m AS p, k // m AS q FROM (SELECT m, unnest(range(m * m)) AS k FROM (SELECT {SIDE} + 3 AS m)))) GROUP BY 1")
 def coupling_conservative(spark, sf_dir):
-    """Cells over the left half carry their centre's x; targets that nothing covers get 0."""
-    made = coupled(spark, "intersection")
-    cells = mesh.cells(generators.grid_vertices(spark, 20, 30, high=(0.5, 1.0)), generators.grid_quads(spark, 20, 30))
+    """Cells over the left half carry the number of parts in them; targets that nothing covers get 0."""
+    made, s = coupled(spark, "intersection"), side_of(spark, sf_dir)
+    m = s + 3
+    cells = mesh.cells(generators.grid_vertices(spark, s, s, high=(0.5, 1.0)), generators.grid_quads(spark, s, s))
+    i, j = F.floor(F.col("x") * 2 * s), F.floor(F.col("y") * s)
+    held = part_points(spark, sf_dir).where(i < s).groupBy((j * s + i).alias("gnum")).agg(F.count("*").cast("double").alias("n"))
     made.set_source(cells=cells)
-    made.set_targets(grid_cells(spark, 10))
-    made.field("t", source_dof="cell", target_dof="cell").data = cells.select("gnum", F.array("cx").alias("value"))
-    return made.exchange("t").select("gnum", F.round(F.col("value")[0], 9).alias("value"))
+    made.set_targets(grid_cells(spark, m))
+    made.field("t", source_dof="cell", target_dof="cell").data = cells.join(held, "gnum", "left").select("gnum", F.array(F.coalesce("n", F.lit(0.0))).alias("value"))
+    return made.exchange("t").select("gnum", F.round(F.col("value")[0], 6).alias("value"))
 
 
 @query(f"SELECT component, gnum, round(CASE component WHEN 0 THEN 1 + 2 * x + 3 * y ELSE x - y END, 5) AS value FROM {PARTS}, (SELECT unnest([0, 1])::INT AS component)")

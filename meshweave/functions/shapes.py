@@ -218,13 +218,61 @@ def within_parts(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[
     return inside, weights, np.einsum("nm,nmk->nk", weights, v)
 
 
+def fans_of(m: int, faces: list[list[int]]) -> np.ndarray:
+    """(triangles, 3, m): the triangles that the faces are taken as, about the middle of those of more than three corners,
+    each corner as a mean of the cell's m vertices."""
+    out = []
+    for face in faces:
+        if len(face) == 3:
+            out.append(np.eye(m)[face])
+        else:
+            middle = np.zeros(m)
+            middle[face] = 1 / len(face)
+            out += [np.stack([np.eye(m)[i], np.eye(m)[j], middle]) for i, j in zip(face, [*face[1:], face[0]], strict=True)]
+    return np.stack(out)
+
+
+def mean_values(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(turns, weights) of points (n, 3) within cells (n, m, 3) of one set of outward faces.
+
+    `turns` is the solid angle under which a point sees the faces, as a share of the whole: 1 inside, 0 outside, whatever
+    the cell's shape. The weights are mean value coordinates on the sphere about the point; they give linear fields
+    exactly in any closed cell, star-shaped or not, and mean nothing for points on the faces themselves.
+    """
+    fans = fans_of(v.shape[1], faces)
+    weights, turns = np.zeros(v.shape[:2]), np.zeros(len(p))
+    for fan in fans:
+        t = np.einsum("jm,nmk->njk", fan, v) - p[:, None]
+        d = np.maximum(np.sqrt(dot(t, t)), 1e-300)
+        u = t / d[..., None]
+        cosines = np.stack([dot(u[:, (i + 1) % 3], u[:, (i + 2) % 3]) for i in range(3)], axis=1)
+        volume = np.linalg.det(u)
+        turns += 2 * np.arctan2(volume, 1 + cosines.sum(axis=1))
+        # the angle opposite each corner, and what the arc opposite adds to the integral of the normal over the triangle
+        chord = np.stack([np.sqrt(dot(u[:, (i + 1) % 3] - u[:, (i + 2) % 3], u[:, (i + 1) % 3] - u[:, (i + 2) % 3])) for i in range(3)], axis=1)
+        angle = 2 * np.arcsin(np.clip(chord / 2, 0, 1))
+        normal = np.stack([np.cross(u[:, (i + 1) % 3], u[:, (i + 2) % 3]) for i in range(3)], axis=1)
+        length = np.sqrt(dot(normal, normal))
+        across = np.divide(angle, length, out=np.ones_like(angle), where=length > 1e-300)
+        integral = (normal * across[..., None]).sum(axis=1) / 2
+        # written in the corners: the share of a corner is the part of the integral along it, against the opposite plane
+        seen = np.abs(volume) > 1e-14
+        share = np.einsum("nik,nk->ni", normal, integral) / np.where(seen, volume, 1)[:, None] / d
+        weights += np.where(seen[:, None], share, 0) @ fan
+    total = weights.sum(axis=1, keepdims=True)
+    return turns / (4 * np.pi), np.divide(weights, total, out=np.zeros_like(weights), where=total != 0)
+
+
 def polyhedron(p: np.ndarray, v: np.ndarray, faces: list[list[int]]) -> tuple[np.ndarray, ...]:
-    """Star-shaped polyhedra of one set of faces: the tetrahedra about the centre, else the closest point of the faces."""
-    inside, weights, near = within_parts(p, v, faces)
-    d2 = np.zeros(len(p))
-    k = np.flatnonzero(~inside)
+    """Closed polyhedra of one set of outward faces, star-shaped or not: mean values inside, else the closest point of the
+    faces. A face of more than three corners is a fan about its middle."""
+    size = np.maximum(np.ptp(v, axis=1).max(axis=1, initial=0), 1e-300)
+    weights, near, d2 = on_boundary(p, v, faces)
+    k = np.flatnonzero(d2 > (1e-9 * size) ** 2)
     if len(k):
-        weights[k], near[k], d2[k] = on_boundary(p[k], v[k], faces)
+        turns, inner = mean_values((p[k] - v[k].mean(axis=1)) / size[k, None], (v[k] - v[k].mean(axis=1, keepdims=True)) / size[k, None, None], faces)
+        inside = np.abs(turns) > 0.5
+        weights[k[inside]], near[k[inside]], d2[k[inside]] = inner[inside], p[k[inside]], 0.0
     return weights, near, d2, np.zeros((len(p), 3))
 
 

@@ -29,18 +29,22 @@ def part_data(receivers: DataFrame, senders: DataFrame, place: tuple[str, ...] =
     return receivers.join(first_by_place(senders, place=place).select("gnum", *data), "gnum", "left")
 
 
-def part_to_block(rows: DataFrame, n_blocks: int, place: tuple[str, ...] = ("part_id", "lnum")) -> DataFrame:
-    """Partitioned data by blocks of consecutive global numbers: one row for each gnum, the first by place, with
-    block_id (from 0) and place in the block (from 0); the blocks are equal but for the last. No rows give no rows."""
+def part_to_block(rows: DataFrame, n_blocks: int, place: tuple[str, ...] = ("part_id", "lnum"), names: tuple[str, str] = ("block_id", "place")) -> DataFrame:
+    """Partitioned data by blocks of consecutive global numbers: one row for each gnum, the first by place, with the block
+    (from 0) and the place in it (from 0) under `names`, which `rows` must not have; the blocks are equal but for the
+    last. No rows give no rows."""
+    taken = sorted({c.lower() for c in rows.columns} & {n.lower() for n in names})
+    if taken:
+        raise ValueError(f"the rows have columns {taken} of their own: pass other names")
     last = rows.agg(F.max("gnum")).first()[0] or 1
     size = -(-last // n_blocks)
     first = first_by_place(rows, place=place)
-    return first.withColumns({"block_id": F.expr(f"int((gnum - 1) div {size})"), "place": (F.col("gnum") - 1) % size})
+    return first.withColumns({names[0]: F.expr(f"int((gnum - 1) div {size})"), names[1]: (F.col("gnum") - 1) % size})
 
 
-def block_to_part(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+def block_to_part(parts: DataFrame, blocks: DataFrame, names: tuple[str, str] = ("block_id", "place")) -> DataFrame:
     """Every row of `parts` (gnum and its place) with the data that the blocks hold for its number, NULL where they hold none."""
-    data = [c for c in blocks.columns if c not in ("gnum", "block_id", "place") and c not in parts.columns]
+    data = [c for c in blocks.columns if c not in ("gnum", *names) and c not in parts.columns]
     return parts.join(blocks.select("gnum", *data), "gnum", "left")
 
 

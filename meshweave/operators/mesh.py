@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from meshweave.functions import shapes
-from meshweave.functions.geometry import cell_volume, mean_of, morton, norm, vector_area
+from meshweave.functions.geometry import cell_volume, mean_of, norm, vector_area
 from meshweave.operators.candidates import AXES
 from meshweave.plans.durable import stored
 
@@ -99,9 +99,9 @@ def gnum_of_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def morton_ordered(points: DataFrame, bits: int = 16) -> DataFrame:
     """`points` with their Morton code over their common box, and gnum along the curve."""
-    low_high = points.agg(*(f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))))
-    scaled = [F.floor((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-300)) * ((1 << bits) - 1)) for a in AXES]
-    coded = points.join(F.broadcast(low_high)).withColumn("morton", morton(scaled, bits)).drop(*low_high.columns)
+    from meshweave.operators.partition import curve_codes
+
+    coded = curve_codes(points, bits)
     return numbered(coded, ["morton", *AXES])
 
 
@@ -127,6 +127,62 @@ def classified(cell_faces: DataFrame, face_vertices: DataFrame) -> DataFrame:
     return counted.select("cell", kind.alias("elt_type"), "n_tria", "n_quad", "n_poly")
 
 
+def made_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with more columns, which later ones read as they are: the optimizer does not write out their expressions in
+    each place that reads them, as it does with those of a plain projection."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+#: The places of a standard cell's vertices with base and top walked the other way.
+TURNED = {"tetra4": [0, 2, 1, 3], "pyram5": [0, 3, 2, 1, 4], "prism6": [0, 2, 1, 3, 5, 4], "hexa8": [0, 3, 2, 1, 4, 7, 6, 5]}
+
+
+def from_cell_faces(cell_faces: DataFrame, face_vertices: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """elements (gnum, elt_type, connec, faces) from cell to face (cell, face) and face to vertex (face, connec) tables. A
+    face that looks into its cell has a negative number there.
+
+    The base is the quad of a pyramid, the triangle of the smallest number of a tetrahedron or prism, the face of the
+    smallest number of a hexahedron; it is walked as seen from inside, from its smallest vertex. The edges of the
+    other faces that leave the base lead from each of its vertices to the one opposite. Cells whose faces do not close
+    to a standard cell that way (such as two triangles and three quads where the triangles touch) are polyhedra: their
+    vertices in order of number, and every face by places of these, outward. With `vertices`, standard cells that turn
+    out to have a negative volume, as their faces' signs were wrong, are turned over. One exchange by face and one by
+    cell; the walk itself is in columns.
+    """
+    known = face_vertices.select("face", F.col("connec").alias("c"))
+    sides = cell_faces.select("cell", F.abs("face").alias("face"), (F.col("face") < 0).alias("inward")).join(known, "face")
+    sides = sides.select("cell", F.struct("face", F.when(F.col("inward"), F.reverse("c")).otherwise(F.col("c")).alias("c")).alias("side"))
+    whole = sides.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list("side")), lambda s: s.c).alias("s"))
+    of_size = lambda n: F.filter("s", lambda c: F.size(c) == n)
+    tria, quad, n = F.size(of_size(3)), F.size(of_size(4)), F.size("s")
+    kind = F.when((tria == 4) & (n == 4), "tetra4").when((tria == 4) & (quad == 1) & (n == 5), "pyram5").when((tria == 2) & (quad == 3) & (n == 5), "prism6").when((quad == 6) & (n == 6), "hexa8")
+    base = F.when(F.col("guess") == "pyram5", of_size(4)[0]).when(F.col("guess") == "prism6", of_size(3)[0]).otherwise(F.col("s")[0])
+    steps = F.flatten(F.transform("s", lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.struct(F.get(c, i).alias("p"), F.get(c, (i + 1) % F.size(c)).alias("q")))))
+    whole = made_once(whole, guess=kind, steps=steps, all=F.array_sort(F.array_distinct(F.flatten("s"))))
+    whole = made_once(whole, inner=F.reverse(base))
+    first = F.array_position("inner", F.array_min("inner")).cast("int")
+    whole = made_once(whole, base=F.concat(F.slice("inner", first, F.size("inner")), F.slice("inner", F.lit(1), first - 1)))
+    whole = made_once(whole, away=F.filter("steps", lambda e: F.array_contains("base", e.p) != F.array_contains("base", e.q)))
+    up = F.transform("base", lambda v: F.get(F.transform(F.filter("away", lambda e: (e.p == v) | (e.q == v)), lambda e: F.when(e.p == v, e.q).otherwise(e.p)), F.lit(0)))
+    top = F.when(F.col("guess").isin("tetra4", "pyram5"), F.array_except("all", "base")).otherwise(up)
+    whole = made_once(whole, connec=F.concat("base", top))
+    size = F.create_map(*(F.lit(x) for k in TURNED for x in (k, shapes.N_VERTICES[k])))[F.col("guess")]
+    closed = (F.size("all") == size) & (F.size("connec") == size) & (F.array_sort(F.array_distinct("connec")) == F.col("all"))
+    whole = made_once(whole, closed=F.coalesce(closed, F.lit(False)))
+    places = F.transform("s", lambda c: F.transform(c, lambda v: (F.array_position("all", v) - 1).cast("int")))
+    made = whole.select(
+        F.col("cell").alias("gnum"), F.when(F.col("closed"), F.col("guess")).otherwise("poly3d").alias("elt_type"),
+        F.when(F.col("closed"), F.col("connec")).otherwise(F.col("all")).alias("connec"), F.when(~F.col("closed"), places).alias("faces"),
+    )
+    if vertices is None:
+        return made
+    wrong = measured(cells(vertices, made)).where((F.col("volume") < 0) & (F.col("elt_type") != "poly3d")).select("gnum", F.lit(True).alias("wrong"))
+    turned = F.col("connec")
+    for name, order in TURNED.items():
+        turned = F.when(F.col("elt_type") == name, F.array(*(F.get("connec", F.lit(i)) for i in order))).otherwise(turned)
+    return made.join(wrong, "gnum", "left").withColumn("connec", F.when(F.col("wrong"), turned).otherwise(F.col("connec"))).drop("wrong")
+
+
 def from_face_edges(face_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """(face, connec): the closed walk along a face's signed edges (face, edge) over (edge, a, b), from its smallest vertex."""
     sign = F.col("edge") > 0

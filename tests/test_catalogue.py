@@ -11,7 +11,7 @@ from meshweave import catalogue
 @pytest.fixture(scope="module")
 def sql(small):
     con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     return con
 
