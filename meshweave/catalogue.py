@@ -632,6 +632,19 @@ def triangulate_quads(spark, sf_dir):
     return made.select("gnum", "sub", *(F.col("connec")[i].alias(f"v{i}") for i in range(3)))
 
 
+IN_CIRCLE = """(ax - dx) * ((ey - dy) * ((cx - dx) ** 2 + (cy - dy) ** 2) - (cy - dy) * ((bx - dx) ** 2 + (ey - dy) ** 2)) - (ay - dy) * ((bx - dx) * ((cx - dx) ** 2 + (cy - dy) ** 2) - (cx - dx) * ((bx - dx) ** 2 + (ey - dy) ** 2))
++ ((ax - dx) ** 2 + (ay - dy) ** 2) * ((bx - dx) * (cy - dy) - (ey - dy) * (cx - dx))"""
+
+
+@query(f"SELECT gnum, CASE WHEN {IN_CIRCLE} > 1e-9 THEN gnum + 1 ELSE gnum END AS v0, CASE WHEN {IN_CIRCLE} > 1e-9 THEN gnum + w ELSE gnum + w + 1 END AS v1 FROM {QUADS}")
+def delaunay_quads(spark, sf_dir):
+    """The diagonal by which each quad of the parts is cut, after flipping."""
+    vertices, quads, _, _ = part_sheet(spark, sf_dir)
+    made = mesh.cut_to_triangles(mesh.cells(vertices, quads.drop("p_size")), delaunay=True)
+    both = made.groupBy("gnum").agg(F.collect_list("connec").alias("t")).withColumn("shared", F.array_sort(F.array_intersect(F.col("t")[0], F.col("t")[1])))
+    return both.select("gnum", F.col("shared")[0].alias("v0"), F.col("shared")[1].alias("v1"))
+
+
 @query(f"SELECT l * n + gnum AS gnum, 'hexa8' AS elt_type, round({QUAD_AREA} / 3, 9) AS volume FROM {QUADS}, range(3) c(l)")
 def extrude_mesh(spark, sf_dir):
     vertices, quads, _, n = part_sheet(spark, sf_dir)

@@ -414,6 +414,40 @@ def ear_clip(flat: np.ndarray) -> list[tuple[int, int, int]]:
 NOTHING = 1e-13
 
 
+def in_circle(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> float:
+    """Positive where `d` lies within the circle through the counter-clockwise corners `a`, `b`, `c` of the plane."""
+    m = np.array([[*(p - d), ((p - d) ** 2).sum()] for p in (a, b, c)])
+    return float(np.linalg.det(m))
+
+
+def delaunay(flat: np.ndarray, triangles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """`triangles` (counter-clockwise, as of ear_clip()) over the corners `flat` (m, 2), with inner edges flipped until
+    none has the opposite corner of its neighbour in the circle of its own triangle.
+
+    Every edge knows its triangles; an edge that is flipped puts the four around it back on the list. A flip lowers the
+    surface lifted onto a paraboloid, so the loop ends; circles through four corners count as flipped already.
+    """
+    size = max(np.ptp(flat, axis=0).max(initial=0.0), 1e-300)
+    p, made = (flat - flat.mean(axis=0)) / size, [tuple(t) for t in triangles]
+    owner: dict[tuple[int, int], int] = {(t[i], t[(i + 1) % 3]): k for k, t in enumerate(made) for i in range(3)}
+    waiting = [e for e in owner if e[0] < e[1] and e[::-1] in owner]
+    while waiting:
+        a, b = waiting.pop()
+        if (a, b) not in owner or (b, a) not in owner:
+            continue
+        k, n = owner[a, b], owner[b, a]
+        c, d = (next(v for v in made[t] if v not in (a, b)) for t in (k, n))
+        turn = lambda x, y, z: float((p[y] - p[x])[0] * (p[z] - p[x])[1] - (p[y] - p[x])[1] * (p[z] - p[x])[0])
+        if in_circle(p[a], p[b], p[c], p[d]) <= 1e-12 or turn(c, d, b) <= 0 or turn(d, c, a) <= 0:
+            continue
+        del owner[a, b], owner[b, a]
+        made[k], made[n] = (c, d, b), (d, c, a)
+        for t in (k, n):
+            owner |= {(made[t][i], made[t][(i + 1) % 3]): t for i in range(3)}
+        waiting += [(a, d), (d, b), (b, c), (c, a)]
+    return made
+
+
 def clipped_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Areas (n,) of the triangles `subject` (n, 3, 2) within the counter-clockwise triangles `window` (n, 3, 2)."""
     n = len(subject)

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +100,20 @@ def least_squares(mapping: DataFrame, field: DataFrame, degree: int = 1) -> Data
     the fit is not finite, take the inverse-distance mean. The mapping has dist2 and the coordinates of both ends:
     tx, ty, tz and sx, sy, sz.
     """
-    near = F.struct("dist2", "src_gnum", "sx", "sy", "sz", "value")
-    rows = with_values(mapping, field).groupBy("tgt_gnum").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.first("tz").alias("tz"), F.sort_array(F.collect_list(near)).alias("near"))
+    near = F.sort_array(F.collect_list(F.struct("dist2", "src_gnum", "sx", "sy", "sz", "value")))
+    rows = with_values(mapping, field).groupBy("tgt_gnum").agg(*(F.first(f"t{a}").cast("double").alias(f"t{a}") for a in "xyz"), near.alias("near"))
+    # distance, place and components of one source after the other, as one array of numbers
+    numbers = F.flatten(F.transform("near", lambda s: F.concat(F.array(*(s[c].cast("double") for c in ("dist2", "sx", "sy", "sz"))), s.value.cast("array<double>"))))
+    rows = rows.select("tgt_gnum", "tx", "ty", "tz", F.size("near").alias("k"), numbers.alias("numbers"))
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, out = batch.near.map(len).to_numpy(), [None] * len(batch)
-            for k in np.unique(sizes):
-                mine = np.flatnonzero(sizes == k)
-                near = [list(batch.near.iat[i]) for i in mine]
-                d2 = np.array([[s["dist2"] for s in x] for x in near])
-                points = np.array([[(s["sx"], s["sy"], s["sz"]) for s in x] for x in near], float)
-                values = np.array([[s["value"] for s in x] for x in near], float)
-                origin = batch[["tx", "ty", "tz"]].to_numpy(float)[mine]
+            sizes = np.stack([batch.column("k").to_numpy(), np.asarray(pc.list_value_length(batch.column("numbers")))], axis=1) if batch.num_rows else np.empty((0, 2), int)
+            for k, length in np.unique(sizes, axis=0):
+                mine = pa.array(np.flatnonzero((sizes == (k, length)).all(axis=1)))
+                near = batch.column("numbers").take(mine).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), k, -1)
+                d2, points, values = near[..., 0], near[..., 1:4], near[..., 4:]
+                origin = np.stack([batch.column(f"t{a}").take(mine).to_numpy() for a in "xyz"], axis=1)
                 w = 1 / np.maximum(1e-30, d2)
                 made = np.einsum("nk,nkc->nc", w, values) / w.sum(axis=1)[:, None]
                 if k >= 1 + 3 * degree:
@@ -119,11 +122,10 @@ def least_squares(mapping: DataFrame, field: DataFrame, degree: int = 1) -> Data
                     made[good] = fit[good]
                 at = d2[:, 0] < 1e-24
                 made[at] = values[at, 0]
-                for i, v in zip(mine, made.tolist(), strict=True):
-                    out[i] = v
-            yield pd.DataFrame({"gnum": batch.tgt_gnum, "value": out})
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("tgt_gnum").take(mine), lists], ["gnum", "value"])
 
-    return rows.mapInPandas(solve, ARRAYS)
+    return rows.mapInArrow(solve, ARRAYS)
 
 
 #: Targets are dealt to so many groups a shuffle partition, each one call of Python for all functions of its targets.

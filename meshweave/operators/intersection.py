@@ -40,8 +40,9 @@ def flattened(v: np.ndarray, origin: np.ndarray, first: np.ndarray, second: np.n
     return np.stack([np.einsum("nmk,nk->nm", away, first), np.einsum("nmk,nk->nm", away, second)], axis=2)
 
 
-def ears(v: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The triangles (places) of each polygon (n, m, 3): itself, or ears cut off in its mean plane; quads that are convex take a diagonal."""
+def ears(v: np.ndarray, delaunay: bool = False) -> list[list[tuple[int, int, int]]]:
+    """The triangles (places) of each polygon (n, m, 3): itself, or ears cut off in its mean plane; quads that are convex
+    take a diagonal. With `delaunay`, their inner edges are flipped until all are Delaunay in that plane."""
     m = v.shape[1]
     if m == 3:
         return [[(0, 1, 2)]] * len(v)
@@ -49,7 +50,8 @@ def ears(v: np.ndarray) -> list[list[tuple[int, int, int]]]:
     before, after = np.roll(flat, 1, axis=1), np.roll(flat, -1, axis=1)
     turn = (flat[..., 0] - before[..., 0]) * (after[..., 1] - flat[..., 1]) - (flat[..., 1] - before[..., 1]) * (after[..., 0] - flat[..., 0])
     plain = (turn > 0).all(axis=1) if m == 4 else np.zeros(len(v), bool)
-    return [[(0, 1, 2), (0, 2, 3)] if easy else shapes.ear_clip(x) for easy, x in zip(plain, flat, strict=True)]
+    made = [[(0, 1, 2), (0, 2, 3)] if easy else shapes.ear_clip(x) for easy, x in zip(plain, flat, strict=True)]
+    return [shapes.delaunay(x, t) for x, t in zip(flat, made, strict=True)] if delaunay else made
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from meshweave.functions import highorder, shapes
 from meshweave.operators.candidates import AXES, boxes_meeting, cell_of, inflated, points_in_boxes, widest
 from meshweave.operators.nearest import nearest
+from meshweave.plans.durable import stored
 
 #: Element types by name with a locating function of their own: (points, vertices, order) to weights, projection, dist2, parameters.
 USER_ELEMENTS: dict[str, Callable] = {}
@@ -142,22 +143,31 @@ def locate(targets: DataFrame, cells: DataFrame, tolerance: float = 1e-3, every:
     return near.unionByName(closest(rest, cells))
 
 
-#: Cells are gathered in groups of this many mean extents, which far targets meet before they meet any cell.
+#: Cells of one size class are gathered in groups of this many of its extents, which far targets meet before they meet
+#: any cell.
 GROUP = 16
 
 
 def closest(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """A mapping of every target to its closest cell, however far.
 
-    The nearest vertex bounds the distance. The ball of that radius is compared with the boxes of whole groups of
-    neighbouring cells first, then with the boxes of the cells of the groups it meets, so a far target does not meet
-    them all.
+    The nearest vertex bounds the distance, and so does the closest of the cells whose boxes hold the target: in a large
+    cell with far corners, that is the cell itself. The ball of that radius is compared with the boxes of whole groups
+    of neighbouring cells of one size class first (a power of two, so that small cells beside a large one are not one
+    group), then with the boxes of the cells of the groups it meets, so a far target does not meet them all.
     """
     corners = cells.select(F.explode("vtx").alias("v")).select(F.col("v.gnum").alias("gnum"), "v.x", "v.y", "v.z").distinct()
-    reach = nearest(targets, corners, 1).select(F.col("q_gnum").alias("tgt_gnum"), *(F.col(f"q{a}").alias(a) for a in AXES), (F.sqrt("dist2") * (1 + 1e-12) + 1e-300).alias("r"))
+    by_vertex = nearest(targets, corners, 1).select(F.col("q_gnum").alias("tgt_gnum"), *(F.col(f"q{a}").alias(a) for a in AXES), "dist2")
+    known = stored(boxed(cells))
+    within = points_in_boxes(placed(targets), known).select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces")
+    held = stored(within.mapInArrow(kernel, LOCATED).groupBy("tgt_gnum").agg(F.min("dist2").alias("held2")))
+    least = F.least(F.col("dist2"), F.coalesce("held2", F.col("dist2")))
+    reach = by_vertex.join(held, "tgt_gnum", "left").select("tgt_gnum", *AXES, (F.sqrt(least) * (1 + 1e-12) + 1e-300).alias("r"))
     balls = reach.withColumns({f"{a}min": F.col(a) - F.col("r") for a in AXES} | {f"{a}max": F.col(a) + F.col("r") for a in AXES})
-    step = (cells.agg(F.avg(widest(AXES))).first()[0] or 1.0) * GROUP
-    grouped = boxed(cells).withColumn("group", F.struct(*(cell_of(F.col(f"{a}min"), step).alias(a) for a in AXES)))
+    size = F.greatest(widest(AXES), F.lit(1e-300))
+    level = F.ceil(F.log2(size)).cast("int")
+    step = F.pow(F.lit(2.0), F.col("level")) * GROUP
+    grouped = known.withColumn("level", level).withColumn("group", F.struct("level", *(cell_of(F.col(f"{a}min"), step).alias(a) for a in AXES))).drop("level")
     ends = [(f"{a}{e}", f) for a in AXES for e, f in (("min", F.min), ("max", F.max))]
     whole = grouped.groupBy("group").agg(*(f(c).alias(c) for c, f in ends))
 

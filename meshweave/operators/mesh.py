@@ -250,8 +250,9 @@ def triangulated(elements: DataFrame, vertices: DataFrame | None = None) -> Data
     return rows.select("gnum", F.posexplode(fan).alias("sub", "connec"))
 
 
-def cut_to_triangles(cell_table: DataFrame) -> DataFrame:
-    """Polygons of any shape, with their vertices (cells()), as triangles (gnum, sub, connec), by ears in the mean plane."""
+def cut_to_triangles(cell_table: DataFrame, delaunay: bool = False) -> DataFrame:
+    """Polygons of any shape, with their vertices (cells()), as triangles (gnum, sub, connec), by ears in the mean plane;
+    with `delaunay`, no inner edge has a corner of its neighbour in the circle of its triangle."""
     from meshweave.operators.intersection import ears
     from meshweave.operators.location import flat_columns, groups, rows_of
 
@@ -260,7 +261,7 @@ def cut_to_triangles(cell_table: DataFrame) -> DataFrame:
             gnum = batch.column("gnum").to_numpy()
             for _, rows in groups(batch, ()):
                 names = rows_of(batch, "nodes", rows)
-                cut = ears(rows_of(batch, "flat", rows).reshape(len(rows), -1, 3))
+                cut = ears(rows_of(batch, "flat", rows).reshape(len(rows), -1, 3), delaunay)
                 out = [(gnum[r], k, list(names[i, list(t)])) for i, r in enumerate(rows) for k, t in enumerate(cut[i])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["gnum", "sub", "connec"])
 

@@ -344,7 +344,7 @@ class Coupling:
         """The field at every target, once a step: (gnum, value), or (component, gnum, value) for interleaved storage, in
         which its data are also taken.
 
-        Targets that no source reaches get NULL; those of an overlap get zeros, as nothing covers them.
+        Targets that no source reaches get NULL; zeros where the mapping is an overlap or by nearest neighbours.
         """
         from meshweave.operators import interpolate
 
@@ -361,7 +361,7 @@ class Coupling:
         elif self.spec.method == "intersection":
             value, zero = interpolate.conservative(mapping, data), True
         elif self.spec.method.startswith("nearest"):
-            value = interpolate.least_squares(mapping, data, self.spec.option("polyfit_degree"))
+            value, zero = interpolate.least_squares(mapping, data, self.spec.option("polyfit_degree")), True
         elif self.spec.method == "identity" or made.source_dof == "cell":
             value = interpolate.copied(mapping, data)
         else:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from meshweave.functions import shapes
 from meshweave.operators import candidates, exchange, interpolate, intersection, location, mesh, nearest
 from meshweave.plans.coupling import CouplingError, CouplingSpec, Params, Session, Timer
 from meshweave.sources import generators, readers, writers
@@ -57,7 +58,10 @@ def test_coupling_by_points(spark, method):
     cpl.field("f").data = linear(points)
     got = {r.gnum: r.value for r in cpl.exchange("f").collect()}
     want = {r.gnum: r.value for r in linear(points).collect()}
-    assert all(v is None or v[0] == pytest.approx(want[g][0], abs=1e-6) for g, v in got.items()) and any(got.values())
+    reached = {r.tgt_gnum for r in cpl.mapping.select("tgt_gnum").distinct().collect()}
+    # as there: what neighbours do not reach is 0, what an identity does not reach has no value
+    assert all(got[g][0] == pytest.approx(want[g][0], abs=1e-6) for g in reached) and reached
+    assert all(v == (None if method == "identity" else [0.0]) for g, v in got.items() if g not in reached)
 
 
 def test_specs_are_checked():
@@ -337,3 +341,39 @@ def test_unknown_sections_are_refused(spark, tmp_path):
     (tmp_path / "u.mesh").write_text("MeshVersionFormatted 2\nDimension 2\nWedges 1\n1 2 3\nEnd\n")
     with pytest.raises(ValueError):
         readers.read_mesh(spark, str(tmp_path / "u.mesh"))
+
+
+def test_closest_cell_beside_cells_a_hundred_thousand_times_larger(spark):
+    """9 cells of edge 100, and 90,000 of edge 0.0003 in the corner of one: targets in the large ones do not meet the small."""
+    large = generators.grid_vertices(spark, 3, 3, high=(300.0, 300.0))
+    small = generators.grid_vertices(spark, 300, 300, low=(0.0, 0.0), high=(0.09, 0.09)).withColumns({"gnum": F.col("gnum") + 1000, "z": F.lit(0.001)})
+    vertices = large.unionByName(small)
+    quads = generators.grid_quads(spark, 300, 300).withColumns({"gnum": F.col("gnum") + 1000, "connec": F.transform("connec", lambda v: v + 1000)})
+    cells = mesh.cells(vertices, generators.grid_quads(spark, 3, 3).unionByName(quads))
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 300, (1000, 2)).tolist()
+    targets = spark.createDataFrame([(i, x, y, 0.0) for i, (x, y) in enumerate(at)], "gnum long, x double, y double, z double")
+    got = {r.tgt_gnum: r for r in location.closest(targets, cells).collect()}
+    assert len(got) == 1000 and all(r.dist2 < 1e-12 and r.src_gnum == int(at[g][1] // 100) * 3 + int(at[g][0] // 100) for g, r in got.items())
+
+
+def test_inner_edges_are_flipped_until_delaunay():
+    rng = np.random.default_rng(6)
+    for m in (4, 5, 8, 14, 25):
+        for _ in range(12):
+            angle = np.sort(rng.uniform(0, 2 * np.pi, m))
+            flat = np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(0.3, 1, (m, 1)) * [1, 2]
+            area = lambda t: float(np.cross(np.r_[flat[t[1]] - flat[t[0]], 0], np.r_[flat[t[2]] - flat[t[0]], 0])[2]) / 2
+            if float((flat[:, 0] * np.roll(flat[:, 1], -1) - np.roll(flat[:, 0], -1) * flat[:, 1]).sum()) <= 0:
+                continue
+            before = shapes.ear_clip(flat)
+            if min(map(area, before)) <= 1e-9:
+                continue
+            after = shapes.delaunay(flat, before)
+            assert len(after) == m - 2 and min(map(area, after)) > 0 and sum(map(area, after)) == pytest.approx(sum(map(area, before)))
+            owner = {(t[i], t[(i + 1) % 3]): t for t in after for i in range(3)}
+            for (a, b), t in owner.items():
+                if (b, a) in owner:
+                    c, d = (next(v for v in x if v not in (a, b)) for x in (t, owner[b, a]))
+                    convex = min(area((c, d, b)), area((d, c, a))) > 1e-12
+                    assert not convex or shapes.in_circle(flat[a], flat[b], flat[c], flat[d]) <= 1e-9
