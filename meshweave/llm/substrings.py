@@ -1,4 +1,4 @@
-"""Exact repeated substrings by bucket-pointer refinement over content-chosen suffixes."""
+"""Repeated substrings by hashed surroundings of content-chosen anchors, in place of bucket-pointer refinement."""
 
 from __future__ import annotations
 
@@ -256,19 +256,20 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row: its text without each byte that is covered by a
     string of `length` bytes which also starts in a document with a smaller key.
 
-    Suffix sorting without the suffixes that can't matter: of every window of `length` bytes one gram is an anchor
-    (about 6 % of all places), and only anchors are sorted. First by their gram's bucket; then, reusing the buckets as
-    ranks, by the bucket pointers at the offsets around (Suffixes). Anchors with equal surroundings are equal in all
-    their windows. Where one bucket holds different surroundings, these few meet and their windows are sorted by
-    pointers at the offsets that cover them; behind a bucket with more than `hot_bucket` of them (a passage that a large share
+    Of every window of `length` bytes one gram is an anchor (about 6 % of all places), and only anchors are compared:
+    they are put into buckets by a hash of their gram and told apart by a hash of what stands around them, made by
+    doubling (Suffixes). No bucket is refined by the ranks of later offsets. Anchors with equal surroundings are equal
+    in all their windows. Where one bucket holds different surroundings, these few meet and their windows are compared
+    by hashes that cover them; behind a bucket with more than `hot_bucket` of them (a passage that a large share
     of all documents holds) the windows are exchanged one by one instead, each once a batch.
 
     All rounds go by batches of documents, about 4 MB of text each: a batch sends its distinct entries with their
     smallest document, and each bucket answers the batches that have something to learn. Batches and buckets grow in
-    number with the text, not in size. The three rounds read one shuffle of the texts. Identifiers have 104 bits.
+    number with the text, not in size. The three rounds read one shuffle of the texts. Equality is
+    that of identifiers of 104 bits, which are not checked on the bytes.
 
-    Null texts count as empty. Keys are integers, others raise ValueError; rows with equal keys are one document for "smaller" and each gets its own row; rows with a null
-    key lose nothing and take nothing.
+    Null texts count as empty. Keys are integers, others raise ValueError; rows with equal keys are one document for
+    "smaller" and each gets its own row; rows with a null key lose nothing and take nothing.
     """
     if not PLACES < length < 256 - PLACES:
         raise ValueError(f"lengths from {PLACES + 1} to {255 - PLACES} are told apart")
