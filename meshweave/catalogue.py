@@ -673,6 +673,15 @@ def faces_from_edges(spark, sf_dir):
     return mesh.from_face_edges(face_edges, known).select("face", *(F.col("connec")[k].alias(f"v{k}") for k in range(4)))
 
 
+@query(f"SELECT l * (SELECT count(*) FROM {QUADS}) + row_number() OVER (PARTITION BY l ORDER BY gnum) AS gnum, 'hexa8' AS elt_type, round({QUAD_AREA} / 2, 9) AS volume FROM {QUADS}, range(2) c(l)")
+def solids_of_polygons(spark, sf_dir):
+    """Two layers of cells over the sheet of the parts, made as faces that cells share, and put together from these."""
+    vertices, quads, _, _ = part_sheet(spark, sf_dir)
+    points, faces, cell_faces = mesh.solids(vertices, quads.drop("p_size"), 2, 1.0)
+    made = mesh.measured(mesh.cells(points, mesh.from_cell_faces(cell_faces, faces)))
+    return made.select("gnum", "elt_type", F.round("volume", 9).alias("volume"))
+
+
 def part_bricks(spark, sf_dir, columns=()):
     """A brick for each part: (vertices, elements); its corner g * 8 + k is corner k of a hexahedron."""
     parts = part_points(spark, sf_dir).selectExpr("gnum", "x", "y", "gnum % 5 / 5.0D AS z", "0.02D + gnum % 3 / 50.0D AS wx", "0.03D AS wy", "0.1D + gnum % 7 / 10.0D AS wz")

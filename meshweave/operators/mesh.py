@@ -318,6 +318,41 @@ def extruded(vertices: DataFrame, elements: DataFrame, layers: int, along: tuple
     return risen, solid
 
 
+def solids(vertices: DataFrame, polygons: DataFrame, layers: int, height: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, faces, cell_faces) of the cells between `layers` + 1 copies of a sheet of polygons of any number of
+    corners (gnum, connec), counter-clockwise as seen from above: a mesh of polyhedra known by its faces.
+
+    faces (face, connec) are shared by the cells on both sides; cell_faces (cell, face) has a negative face where it
+    looks into the cell. Vertices, polygons and edges are numbered from 0 once; what they become in a layer is that
+    number and a multiple of how many there are, so all layers are made without another exchange. Cells are numbered
+    along the polygons, layer by layer.
+    """
+    if layers < 1:
+        raise ValueError("there is at least one layer")
+    nodes = numbered(vertices.select("gnum", *AXES), ["gnum"], "v").withColumn("v", F.col("v") - 1)
+    sheet = numbered(polygons.select(F.col("gnum").alias("polygon")), ["polygon"], "f").withColumn("f", F.col("f") - 1)
+    corners = polygons.select(F.col("gnum").alias("polygon"), F.posexplode("connec").alias("k", "gnum")).join(nodes.select("gnum", "v"), "gnum").join(sheet, "polygon")
+    walks = corners.groupBy("f").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("walk"))
+    walks = stored(walks)
+    n = F.size("walk")
+    ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("walk", i).alias("p"), F.get("walk", (i + 1) % n).alias("q")))
+    sides = walks.select("f", F.inline(ends)).select("f", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), (F.col("p") < F.col("q")).alias("ahead"))
+    known = numbered(sides.select("a", "b").distinct(), ["a", "b"], "e")
+    n_nodes, n_sheet, n_edges = nodes.count(), walks.count(), known.count()
+    level, between = F.explode(F.sequence(F.lit(0), F.lit(layers))), F.explode(F.sequence(F.lit(0), F.lit(layers - 1)))
+    up = lambda l: l.cast("long")
+    points = nodes.withColumn("l", level).select((up(F.col("l")) * n_nodes + F.col("v")).alias("gnum"), "x", "y", (F.col("z") + F.col("l") * F.lit(height / layers)).alias("z"))
+    flat = walks.withColumn("l", level).select((up(F.col("l")) * n_sheet + F.col("f") + 1).alias("face"), F.transform("walk", lambda v: up(F.col("l")) * n_nodes + v).alias("connec"))
+    first = (layers + 1) * n_sheet
+    low, high = (lambda v: up(F.col("l")) * n_nodes + v), (lambda v: (up(F.col("l")) + 1) * n_nodes + v)
+    upright = known.withColumn("l", between).select((F.lit(first) + up(F.col("l")) * n_edges + F.col("e")).alias("face"), F.array(low(F.col("a")), low(F.col("b")), high(F.col("b")), high(F.col("a"))).alias("connec"))
+    cell = up(F.col("l")) * n_sheet + F.col("f") + 1
+    lids = walks.select("f").withColumn("l", between).select(cell.alias("cell"), F.explode(F.array(-cell, cell + n_sheet)).alias("face"))
+    side = F.lit(first) + up(F.col("l")) * n_edges + F.col("e")
+    around = sides.join(known, ["a", "b"]).withColumn("l", between).select(cell.alias("cell"), F.when(F.col("ahead"), side).otherwise(-side).alias("face"))
+    return points, flat.unionByName(upright), lids.unionByName(around)
+
+
 def projected(vertices: DataFrame, axis: str = "z") -> DataFrame:
     """Coordinates with one axis set to zero."""
     return vertices.withColumn(axis, F.lit(0.0))

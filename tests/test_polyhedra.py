@@ -121,3 +121,20 @@ def test_what_is_no_standard_cell_is_a_polyhedron(spark):
     assert mesh.measured(cell).first().volume == pytest.approx(7)
     targets = spark.createDataFrame([(1, 0.5, 2.5, 0.5), (2, 1.5, 2.0, 0.5), (3, 2.9, 2.9, 0.9)], "gnum long, x double, y double, z double")
     assert {r.tgt_gnum for r in location.locate(targets, cell).collect()} == {1, 3}
+
+
+def test_layers_of_hexagons_share_their_faces(spark):
+    vertices, hexagons = generators.hexagons(spark, 3, 2)
+    area = mesh.measured(mesh.cells(vertices, hexagons)).agg(F.sum("volume")).first()[0]
+    points, faces, cell_faces = mesh.solids(vertices, hexagons, 3, 1.5)
+    n = hexagons.count()
+    sides = cell_faces.groupBy(F.abs("face").alias("face")).agg(F.count("*").alias("n"), F.sum(F.signum("face")).alias("both"))
+    assert {(r.n, r.both) for r in sides.collect()} <= {(2, 0.0), (1, 1.0), (1, -1.0)} and sides.count() == faces.count()
+    # every lid between two layers has two cells, those at both ends have one
+    lids = faces.where(F.size("connec") == 6).join(sides, "face").groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in lids} == {1: 2 * n, 2: 2 * n}
+    cells = mesh.measured(mesh.cells(points, mesh.from_cell_faces(cell_faces, faces)))
+    got = cells.agg(F.sum("volume"), F.min("volume"), F.count("*")).first()
+    assert got[0] == pytest.approx(area * 1.5) and got[1] > 0 and got[2] == 3 * n and cells.where("elt_type <> 'poly3d'").count() == 0
+    with pytest.raises(ValueError):
+        mesh.solids(vertices, hexagons, 0, 1.0)
