@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshweave.llm.common import released
+
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 LENGTHS = (2, 3, 4)
@@ -322,6 +324,6 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 langs, _, _, shares = reader.read(batch.column(place).to_pylist(), False)
-                yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, shares, strict=True)], pa.bool_()))
+                yield released(batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(langs, shares, strict=True)], pa.bool_())))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshweave.llm.common import broadcast_under, free_name, stored
+from meshweave.llm.common import broadcast_under, free_name, released, stored
 from meshweave.llm.tokens import tokenizer
 
 #: Characters for which both libraries' patterns are known to agree; other texts go to the slower library.
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                         for column, value in zip(out, (row, start, len(part), part.tobytes(), len(ids)), strict=True):
                             column.append(value)
                 names = [batch.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True))]
-                yield pa.RecordBatch.from_arrays(names, [key, "start", "length", "ids", "doc_tokens"])
+                yield released(pa.RecordBatch.from_arrays(names, [key, "start", "length", "ids", "doc_tokens"]))
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start long, length long, ids binary, doc_tokens long")
