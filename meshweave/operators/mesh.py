@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from meshweave.functions import shapes
 from meshweave.functions.geometry import cell_volume, mean_of, norm, vector_area
 from meshweave.operators.candidates import AXES
-from meshweave.plans.durable import stored
+from meshweave.plans.durable import dealt, stored
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "gnum", parts: int | None = None) -> DataFrame:
@@ -49,18 +49,18 @@ def gnum_from_coordinates(points: DataFrame, merge: bool = False, tolerance: flo
         return numbered(points, [*AXES, *rest])
     places = numbered(points.select(*AXES).distinct(), list(AXES))
     if not tolerance:
-        return points.join(places, list(AXES))
+        return points.join(dealt(places), list(AXES))
     from meshweave.operators.coincidence import coincident as classes
 
     near = classes(places, tolerance)
     first = numbered(near.select("same").distinct(), ["same"], "number")
-    own = places.join(near, "gnum").join(first, "same").select(*AXES, F.col("number").alias("gnum"))
-    return points.join(own, list(AXES))
+    own = places.join(dealt(near), "gnum").join(dealt(first), "same").select(*AXES, F.col("number").alias("gnum"))
+    return points.join(dealt(own), list(AXES))
 
 
 def gnum_from_parents(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Equal keys get equal numbers, in the order of the keys."""
-    return rows.join(numbered(rows.select(*keys).distinct(), list(keys)), keys)
+    return rows.join(dealt(numbered(rows.select(*keys).distinct(), list(keys))), keys)
 
 
 def gnum_by_scan(rows: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def gnum_from_adjacency(rows: DataFrame, parents: list[str]) -> DataFrame:
     ends = F.sort_array(F.array(*(F.col(c).cast("long") for c in parents)))
     named = rows.withColumn("_ends", F.to_json(ends)).withColumns({f"_e{k}": F.get(ends, F.lit(k)) for k in range(len(parents))})
     keys = [f"_e{k}" for k in range(len(parents))]
-    return named.join(numbered(named.select("_ends", *keys).distinct(), keys), ["_ends", *keys]).drop("_ends", *keys)
+    return named.join(dealt(numbered(named.select("_ends", *keys).distinct(), keys)), ["_ends", *keys]).drop("_ends", *keys)
 
 
 def gnum_of_subentities(rows: DataFrame, parent: str = "gnum", count: str = "n_sub") -> DataFrame:
@@ -90,7 +90,7 @@ SAME_FACE = 1e-6
 
 def gnum_of_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces (face, connec) numbered by their geometry: those with the same centre share a number, at any scale."""
-    corners = faces.select("face", F.explode("connec").alias("v")).join(vertices.select(F.col("gnum").alias("v"), *AXES), "v")
+    corners = faces.select("face", F.explode("connec").alias("v")).join(dealt(vertices.select(F.col("gnum").alias("v"), *AXES)), "v")
     extent = F.greatest(*(F.max(a) - F.min(a) for a in AXES)).alias("extent")
     centres = stored(corners.groupBy("face").agg(*(F.avg(a).alias(a) for a in AXES), extent))
     smallest = centres.where("extent > 0").agg(F.min("extent")).first()[0]
@@ -121,7 +121,7 @@ def from_vertices(rows: DataFrame, volume: bool) -> DataFrame:
 def classified(cell_faces: DataFrame, face_vertices: DataFrame) -> DataFrame:
     """(cell, elt_type, n_tria, n_quad, n_poly) from cell to face (cell, face) and face to vertex (face, connec) tables."""
     sizes = face_vertices.select("face", F.size("connec").alias("n"))
-    counted = cell_faces.select("cell", F.abs("face").alias("face")).join(sizes, "face").groupBy("cell").agg(*(F.count(F.when(c, 1)).alias(a) for a, c in (("n_tria", F.col("n") == 3), ("n_quad", F.col("n") == 4), ("n_poly", F.col("n") > 4))))
+    counted = cell_faces.select("cell", F.abs("face").alias("face")).join(dealt(sizes), "face").groupBy("cell").agg(*(F.count(F.when(c, 1)).alias(a) for a, c in (("n_tria", F.col("n") == 3), ("n_quad", F.col("n") == 4), ("n_poly", F.col("n") > 4))))
     is_ = lambda t, q: (F.col("n_tria") == t) & (F.col("n_quad") == q) & (F.col("n_poly") == 0)
     kind = F.when(is_(4, 0), "tetra4").when(is_(4, 1), "pyram5").when(is_(2, 3), "prism6").when(is_(0, 6), "hexa8").otherwise("poly3d")
     return counted.select("cell", kind.alias("elt_type"), "n_tria", "n_quad", "n_poly")
@@ -150,7 +150,7 @@ def from_cell_faces(cell_faces: DataFrame, face_vertices: DataFrame, vertices: D
     cell; the walk itself is in columns.
     """
     known = face_vertices.select("face", F.col("connec").alias("c"))
-    sides = cell_faces.select("cell", F.abs("face").alias("face"), (F.col("face") < 0).alias("inward")).join(known, "face")
+    sides = cell_faces.select("cell", F.abs("face").alias("face"), (F.col("face") < 0).alias("inward")).join(dealt(known), "face")
     sides = sides.select("cell", F.struct("face", F.when(F.col("inward"), F.reverse("c")).otherwise(F.col("c")).alias("c")).alias("side"))
     whole = sides.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list("side")), lambda s: s.c).alias("s"))
     of_size = lambda n: F.filter("s", lambda c: F.size(c) == n)
@@ -180,13 +180,13 @@ def from_cell_faces(cell_faces: DataFrame, face_vertices: DataFrame, vertices: D
     turned = F.col("connec")
     for name, order in TURNED.items():
         turned = F.when(F.col("elt_type") == name, F.array(*(F.get("connec", F.lit(i)) for i in order))).otherwise(turned)
-    return made.join(wrong, "gnum", "left").withColumn("connec", F.when(F.col("wrong"), turned).otherwise(F.col("connec"))).drop("wrong")
+    return made.join(dealt(wrong), "gnum", "left").withColumn("connec", F.when(F.col("wrong"), turned).otherwise(F.col("connec"))).drop("wrong")
 
 
 def from_face_edges(face_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """(face, connec): the closed walk along a face's signed edges (face, edge) over (edge, a, b), from its smallest vertex."""
     sign = F.col("edge") > 0
-    steps = face_edges.select("face", F.abs("edge").alias("edge"), sign.alias("ahead")).join(edges, "edge").select("face", F.when(F.col("ahead"), F.col("a")).otherwise(F.col("b")).alias("p"), F.when(F.col("ahead"), F.col("b")).otherwise(F.col("a")).alias("q"))
+    steps = face_edges.select("face", F.abs("edge").alias("edge"), sign.alias("ahead")).join(dealt(edges), "edge").select("face", F.when(F.col("ahead"), F.col("a")).otherwise(F.col("b")).alias("p"), F.when(F.col("ahead"), F.col("b")).otherwise(F.col("a")).alias("q"))
     linked = steps.groupBy("face").agg(F.map_from_entries(F.collect_list(F.struct("p", "q"))).alias("next"), F.min("p").alias("first"))
     walk = F.aggregate(F.sequence(F.lit(2), F.size("next")), F.array("first"), lambda s, i: F.array_append(s, F.col("next")[F.element_at(s, -1)]))
     return linked.select("face", walk.alias("connec"))
@@ -199,8 +199,8 @@ def cells(vertices: DataFrame, elements: DataFrame) -> DataFrame:
         if name not in plain.columns:
             plain = plain.withColumn(name, kind)
     corner = plain.select("gnum", F.posexplode("connec").alias("i", "v"))
-    placed = corner.join(vertices.select(F.col("gnum").alias("v"), "x", "y", "z"), "v").groupBy("gnum").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").alias("gnum"), "x", "y", "z"))).alias("ordered"))
-    known = plain.join(placed, "gnum").withColumn("vtx", F.transform("ordered", lambda s: F.struct(s.gnum.alias("gnum"), s.x.alias("x"), s.y.alias("y"), s.z.alias("z")))).drop("ordered")
+    placed = corner.join(dealt(vertices.select(F.col("gnum").alias("v"), "x", "y", "z")), "v").groupBy("gnum").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").alias("gnum"), "x", "y", "z"))).alias("ordered"))
+    known = plain.join(dealt(placed), "gnum").withColumn("vtx", F.transform("ordered", lambda s: F.struct(s.gnum.alias("gnum"), s.x.alias("x"), s.y.alias("y"), s.z.alias("z")))).drop("ordered")
     bounds = {f"{a}{n}": f(F.col(f"vtx.{a}")) for a in AXES for n, f in (("min", F.array_min), ("max", F.array_max))}
     return known.withColumns({f"c{a}": mean_of(F.col("vtx"), a) for a in AXES} | bounds)
 
@@ -281,9 +281,9 @@ def tessellated(cell_table: DataFrame, field: DataFrame | None = None) -> DataFr
     if field is not None:
         first = field.select(F.size("value")).first()
         size = first[0] if first else 0
-        corner = known.select("gnum", F.posexplode("nodes").alias("i", "v")).join(field.select(F.col("gnum").alias("v"), "value"), "v")
+        corner = known.select("gnum", F.posexplode("nodes").alias("i", "v")).join(dealt(field.select(F.col("gnum").alias("v"), "value")), "v")
         values = corner.groupBy("gnum").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda s: s.value)).alias("given"))
-        known = known.join(values, "gnum")
+        known = known.join(dealt(values), "gnum")
 
     def nested(x: np.ndarray) -> pa.Array:
         """(n, parts, width) as lists of lists."""
@@ -331,7 +331,7 @@ def solids(vertices: DataFrame, polygons: DataFrame, layers: int, height: float)
         raise ValueError("there is at least one layer")
     nodes = numbered(vertices.select("gnum", *AXES), ["gnum"], "v").withColumn("v", F.col("v") - 1)
     sheet = numbered(polygons.select(F.col("gnum").alias("polygon")), ["polygon"], "f").withColumn("f", F.col("f") - 1)
-    corners = polygons.select(F.col("gnum").alias("polygon"), F.posexplode("connec").alias("k", "gnum")).join(nodes.select("gnum", "v"), "gnum").join(sheet, "polygon")
+    corners = polygons.select(F.col("gnum").alias("polygon"), F.posexplode("connec").alias("k", "gnum")).join(dealt(nodes.select("gnum", "v")), "gnum").join(dealt(sheet), "polygon")
     walks = corners.groupBy("f").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("walk"))
     walks = stored(walks)
     n = F.size("walk")
@@ -349,7 +349,7 @@ def solids(vertices: DataFrame, polygons: DataFrame, layers: int, height: float)
     cell = up(F.col("l")) * n_sheet + F.col("f") + 1
     lids = walks.select("f").withColumn("l", between).select(cell.alias("cell"), F.explode(F.array(-cell, cell + n_sheet)).alias("face"))
     side = F.lit(first) + up(F.col("l")) * n_edges + F.col("e")
-    around = sides.join(known, ["a", "b"]).withColumn("l", between).select(cell.alias("cell"), F.when(F.col("ahead"), side).otherwise(-side).alias("face"))
+    around = sides.join(dealt(known), ["a", "b"]).withColumn("l", between).select(cell.alias("cell"), F.when(F.col("ahead"), side).otherwise(-side).alias("face"))
     return points, flat.unionByName(upright), lids.unionByName(around)
 
 
@@ -363,7 +363,7 @@ def base_edges(elements: DataFrame, vertices: DataFrame, axis: str = "z") -> Dat
     lowest = vertices.agg(F.min(axis).alias("low"))
     base = vertices.join(F.broadcast(lowest)).where(F.col(axis) == F.col("low")).select("gnum")
     found = edges(elements)
-    return found.join(base.withColumnRenamed("gnum", "a"), "a", "left_semi").join(base.withColumnRenamed("gnum", "b"), "b", "left_semi").select("a", "b")
+    return found.join(dealt(base.withColumnRenamed("gnum", "a")), "a", "left_semi").join(dealt(base.withColumnRenamed("gnum", "b")), "b", "left_semi").select("a", "b")
 
 
 def reordered(elements: DataFrame, order: list[int]) -> DataFrame:

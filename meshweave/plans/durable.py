@@ -38,6 +38,12 @@ def removed(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that deals both sides by their keys. Spark takes exploded rows, and columns cut out of
+    well compressed files, for far fewer bytes than they are, and would send such a side whole through the driver."""
+    return df.hint("merge")
+
+
 def on_store(spark: SparkSession, path: str):
     """The file system of `path`, which leaves no checksum files of its own beside ours, and the path as it knows it."""
     made = spark._jvm.org.apache.hadoop.fs.Path(path)
