@@ -9,7 +9,7 @@ def initial_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["extrude_mesh", "cells_from_faces", "tessellate_cells"])
+@pytest.mark.parametrize("name", ["extrude_mesh", "cells_from_faces", "tessellate_cells", "tria_area"])
 def test_no_side_of_a_mesh_join_goes_through_the_driver(spark, small, name):
     """Vertices and elements grow with the tables, however small Spark takes their exploded rows for."""
     plan = initial_plan(catalogue.QUERIES[name](spark, small))
