@@ -207,8 +207,9 @@ class Parser:
         length2 = sum(v * v for v in along)
         away = [c - v for c, v in zip(x, numbers[:3], strict=True)]
         at = sum((c * v for c, v in zip(away, along, strict=True)), F.lit(0.0))
-        square = sum((c * c for c in away), F.lit(0.0))
-        return at.between(0.0, length2) & (square - at * at / length2 <= numbers[6] ** 2)
+        # across the axis by the cross product: a difference of squares would round points on the surface away
+        across = [away[i] * along[j] - away[j] * along[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+        return at.between(0.0, length2) & (sum((c * c for c in across), F.lit(0.0)) <= numbers[6] ** 2 * length2)
 
 
 def parsed(text: str) -> Selection:

@@ -3,6 +3,7 @@
 import pytest
 
 from meshweave import catalogue
+from meshweave.functions import selector
 
 
 def initial_plan(df) -> str:
@@ -14,3 +15,9 @@ def test_no_side_of_a_mesh_join_goes_through_the_driver(spark, small, name):
     """Vertices and elements grow with the tables, however small Spark takes their exploded rows for."""
     plan = initial_plan(catalogue.QUERIES[name](spark, small))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_points_on_a_cylinder_are_in_it(spark):
+    """59 - 50 and 24 - 12 are 9 and 12, 15 from the axis exactly, wherever x is."""
+    rows = spark.range(2000).selectExpr("id AS gnum", "id * 0.00397D AS x", "59.0D AS y", "24.0D AS z")
+    assert selector.select(rows, "cylinder[0, 50, 12, 8, 50, 12, 15]").count() == 2000
