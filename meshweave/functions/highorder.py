@@ -81,7 +81,7 @@ def least_distance(p: np.ndarray, control: np.ndarray) -> np.ndarray:
 def located(kind: str, order: int, p: np.ndarray, v: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(weights, closest point, squared distance, parameters) of points (n, 3) and elements (n, nodes, 3).
 
-    Descent from a few places gives a distance that is nearly always the least. It is then proven or improved: parts of
+    Descent from the nearest of a net of places gives a distance that is nearly always the least. It is then proven or improved: parts of
     the element whose control points allow nothing closer, beyond PRECISION, go; others are halved, and their corners,
     which lie on the element, are where descent starts again if one is closer than what is known. Parts are kept on a
     stack, the nearest on top, so memory does not depend on how many there are in all. Points known to be farther than
@@ -98,7 +98,7 @@ def located(kind: str, order: int, p: np.ndarray, v: np.ndarray, within: np.ndar
                 for whole, made in zip(out, located(kind, order, p[~far], v[~far], within[~far]), strict=True):
                     whole[~far] = made
             return out
-    weights, near, d2, u = shapes.ho_located(kind, order, p, v)
+    weights, near, d2, u = shapes.ho_located(kind, order, p, v, starts_from=1)
     size = np.maximum(np.ptp(v, axis=1).max(axis=1, initial=0), 1e-300)
     best, u = np.sqrt(d2), u.copy()
     slack = PRECISION * size

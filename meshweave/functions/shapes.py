@@ -311,11 +311,15 @@ def ho_nodes(kind: str, order: int) -> list[tuple[int, int, int]]:
 
 def ho_basis(kind: str, order: int, u: np.ndarray) -> np.ndarray:
     """Nodal basis at parameters u (n, 3), by inverting the monomials that the element spans at its nodes."""
-    nodes = np.array(ho_nodes(kind, order), float) / max(order, 1)
     if kind in ("ho_quad", "ho_hexa", "ho_edge"):
         axes = {"ho_edge": 1, "ho_quad": 2, "ho_hexa": 3}[kind]
         parts = [lagrange(order, u[:, a]) for a in range(axes)]
-        return np.stack([np.prod([parts[a][:, n[a]] for a in range(axes)], axis=0) for n in ho_nodes(kind, order)], axis=1)
+        whole = parts[0]
+        for part in parts[1:]:  # i fastest
+            whole = (part[:, :, None] * whole[:, None, :]).reshape(len(u), -1)
+        return whole
+
+    nodes = np.array(ho_nodes(kind, order), float) / max(order, 1)
 
     def monomials(x: np.ndarray) -> np.ndarray:
         if kind == "ho_prism":
@@ -353,23 +357,27 @@ def ho_located(kind: str, order: int, p: np.ndarray, v: np.ndarray, levels: int
         starts = np.einsum("gm,nmk->ngk", ho_basis(kind, order, full), v)
         near_first = ((starts - p[:, None]) ** 2).sum(axis=2).argsort(axis=1)[:, :starts_from]
         begins = [full[near_first[:, k]].copy() for k in range(near_first.shape[1])]
-    lower = lambda u: ((np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v) - p) ** 2).sum(axis=1)
+    lower = lambda u, rows: ((np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v[rows]) - p[rows]) ** 2).sum(axis=1)
 
     def descended(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best = lower(u)
+        best = lower(u, slice(None))
+        left = np.arange(len(u))  # those that the last step still brought closer, beyond rounding
         for _ in range(levels):
-            gap = p - np.einsum("nm,nmk->nk", ho_basis(kind, order, u), v)
-            slope = np.stack([np.einsum("nm,nmk->nk", ho_basis(kind, order, u + h) - ho_basis(kind, order, u - h), v) / 2e-6 for h in np.eye(3)[:axes] * 1e-6], axis=2)
-            move = np.zeros_like(u)
+            at, own = u[left], v[left]
+            gap = p[left] - np.einsum("nm,nmk->nk", ho_basis(kind, order, at), own)
+            slope = np.stack([np.einsum("nm,nmk->nk", ho_basis(kind, order, at + h) - ho_basis(kind, order, at - h), own) / 2e-6 for h in np.eye(3)[:axes] * 1e-6], axis=2)
+            move = np.zeros_like(at)
             move[:, :axes] = np.einsum("nak,nk->na", np.linalg.pinv(slope), gap)
-            moved = False
+            known, moved = best[left], np.zeros(len(left), bool)
             for scale in (1.0, 0.5, 0.1):
-                tried = into(u + scale * move)
-                made = lower(tried)
-                better = made < best - 1e-30
-                u[better], best[better] = tried[better], made[better]
-                moved |= bool(better.any())
-            if not moved:
+                tried = into(at + scale * move)
+                made = lower(tried, left)
+                better = made < known * (1 - 1e-15) - 1e-30
+                at[better], known[better] = tried[better], made[better]
+                moved |= better
+            u[left], best[left] = at, known
+            left = left[moved]
+            if not len(left):
                 break
         return u, best
 

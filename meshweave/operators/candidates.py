@@ -14,7 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshweave.plans.durable import dealt
+
 AXES = ("x", "y", "z")
+#: So many boxes at most, a few MB with all their buckets, are sent to every task; beyond that points and boxes are dealt.
+FEW = 4096
+#: Points that meet few boxes are dealt to tasks of at most about so many: their own files may be a single split.
+POINTS = 50_000
 #: Steps finer than this share (a power of two) of the largest coordinate count as none: their bucket numbers would not fit.
 FINEST = 50
 
@@ -31,17 +37,18 @@ class Extent:
     floor: int
     low: dict[str, float]
     high: dict[str, float]
+    count: int
 
     @staticmethod
     def of(boxes: DataFrame, axes: tuple[str, ...] = AXES) -> Extent | None:
         far = F.max(F.greatest(*(F.greatest(F.abs(f"{a}min"), F.abs(f"{a}max")) for a in axes), F.lit(0.0)))
         ends = [f(f"{a}{e}").alias(f"{e}{a}") for a in axes for e, f in (("min", F.min), ("max", F.max))]
-        row = boxes.agg(far.alias("far"), F.collect_set(raw_level(axes)).alias("levels"), *ends).first()
+        row = boxes.agg(F.count(F.lit(1)).alias("n"), far.alias("far"), F.collect_set(raw_level(axes)).alias("levels"), *ends).first()
         if row["far"] is None or any(row[f"min{a}"] is None for a in axes):
             return None
         floor = int(row["far"]).bit_length() - FINEST if row["far"] >= 1 else -FINEST - 1000 if row["far"] == 0 else int(f"{row['far']:e}".split("e")[1]) * 4 - FINEST
         known = sorted({max(v, floor) for v in row["levels"]}) or [0 if row["far"] == 0 else max(floor, 0)]
-        return Extent(tuple(known), known[0], {a: row[f"min{a}"] for a in axes}, {a: row[f"max{a}"] for a in axes})
+        return Extent(tuple(known), known[0], {a: row[f"min{a}"] for a in axes}, {a: row[f"max{a}"] for a in axes}, row["n"])
 
 
 def widest(axes: tuple[str, ...]) -> Column:
@@ -78,11 +85,17 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: tuple[str, ...] =
     if extent is None:
         return points.join(boxes, F.lit(False))
     near = reduce(lambda p, q: p & q, (F.col(a).between(extent.low[a], extent.high[a]) for a in axes))
+    few = extent.count <= FEW
+    if few:
+        near_points = points.where(near)
+        tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-near_points.count() // POINTS))
+        points = near_points.repartition(tasks, *axes)
     placed = points.where(near).withColumn("b_level", F.explode(F.array(*map(F.lit, extent.levels))))
     placed = placed.withColumns({f"b_{a}": cell_of(F.col(a), F.pow(F.lit(2.0), F.col("b_level"))) for a in axes})
     inside = reduce(lambda p, q: p & q, (F.col(a).between(F.col(f"{a}min"), F.col(f"{a}max")) for a in axes))
     keys = ["b_level", *(f"b_{a}" for a in axes)]
-    return placed.join(spread(boxes, F.array(level_of(extent, axes)), axes), keys).where(inside).drop(*keys)
+    touched = spread(boxes, F.array(level_of(extent, axes)), axes)
+    return placed.join(F.broadcast(touched) if few else dealt(touched), keys).where(inside).drop(*keys)
 
 
 def boxes_meeting(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = AXES, prefix: str = "r_") -> DataFrame:
@@ -91,7 +104,7 @@ def boxes_meeting(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = AXE
     if None in known:
         return left.join(right.select(*(F.col(c).alias(f"{prefix}{c}") for c in right.columns)), F.lit(False))
     floor = min(x.floor for x in known)
-    known = [Extent(x.levels, max(floor, x.floor), x.low, x.high) for x in known]
+    known = [Extent(x.levels, max(floor, x.floor), x.low, x.high, x.count) for x in known]
     sides = []
     for x, own, other in ((left, known[0], known[1]), (right, known[1], known[0])):
         larger = F.filter(F.array(*map(F.lit, other.levels)), lambda v: v >= F.col("b_own"))

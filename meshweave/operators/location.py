@@ -57,7 +57,8 @@ def listed(values: np.ndarray) -> pa.ListArray:
 
 def worked(batch: pa.RecordBatch, reach2: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Candidate pairs, together by element type, order, number of vertices and faces: (rows of the batch, results). With
-    `reach2`, those farther apart only have a distance beyond it."""
+    `reach2`, those farther apart only have a distance beyond it; curved elements lower it to what another of their target's
+    allows, by its nodes."""
     for (kind, order, faces), rows in groups(batch, ("elt_type", "order", "faces")):
         v = rows_of(batch, "flat", rows).reshape(len(rows), -1, 3)
         at = pa.array(rows)
@@ -65,6 +66,8 @@ def worked(batch: pa.RecordBatch, reach2: np.ndarray | None = None) -> Iterator[
         if kind in USER_ELEMENTS:
             made = USER_ELEMENTS[kind](p, v, order)
         elif kind.startswith("ho_"):
+            if reach2 is not None:
+                reach2[rows] = np.minimum(reach2[rows], nearest_nodes(batch.column("tgt_gnum").take(at).to_numpy(), p, v) ** 2)
             made = highorder.located(kind, order, p, v, None if reach2 is None else np.sqrt(reach2[rows]))
         elif kind == "poly3d":
             made = shapes.polyhedron(p, v, shapes.faces_of(kind, faces))
@@ -77,6 +80,16 @@ def worked(batch: pa.RecordBatch, reach2: np.ndarray | None = None) -> Iterator[
         yield rows, pa.RecordBatch.from_arrays([*known, listed(weights), pa.array(d2), listed(near), listed(u)], ["tgt_gnum", "src_gnum", "nodes", "weights", "dist2", "proj", "uvw"])
 
 
+def nearest_nodes(target: np.ndarray, p: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of the pairs the distance from its target to the nearest node of any of that target's elements, and a bit
+    more: elements hold their nodes, so those farther away are not the closest."""
+    own = np.sqrt(((v - p[:, None]) ** 2).sum(axis=2).min(axis=1)) * (1 + 1e-9) + 1e-6 * np.ptp(v, axis=1).max(axis=1)
+    _, who = np.unique(target, return_inverse=True)
+    least = np.full(len(target), np.inf)
+    np.minimum.at(least, who, own)
+    return least[who]
+
+
 def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from (made for _, made in worked(batch))
@@ -85,7 +98,7 @@ def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kernel_within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs those at a squared distance of at most reach2; the others are not sent back."""
     for batch in batches:
-        reach = batch.column("reach2").to_numpy()
+        reach = batch.column("reach2").to_numpy().copy()
         for rows, made in worked(batch, reach):
             yield made.filter(pa.array(made.column("dist2").to_numpy() <= reach[rows]))
 

@@ -1,9 +1,11 @@
 """What decides whether the engine's queries hold at size, seen on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshweave import catalogue
 from meshweave.functions import selector
+from meshweave.operators import candidates
 
 
 def initial_plan(df) -> str:
@@ -21,3 +23,11 @@ def test_points_on_a_cylinder_are_in_it(spark):
     """59 - 50 and 24 - 12 are 9 and 12, 15 from the axis exactly, wherever x is."""
     rows = spark.range(2000).selectExpr("id AS gnum", "id * 0.00397D AS x", "59.0D AS y", "24.0D AS z")
     assert selector.select(rows, "cylinder[0, 50, 12, 8, 50, 12, 15]").count() == 2000
+
+
+def test_points_of_one_split_meet_few_boxes_in_many_tasks(spark):
+    points = spark.range(1000).coalesce(1).selectExpr("id AS tgt_gnum", "id / 1000D AS x", "0.5D AS y", "0.0D AS z")
+    boxes = spark.range(4).selectExpr("id AS src_gnum", "id / 4D AS xmin", "(id + 1) / 4D AS xmax", "0.0D AS ymin", "1.0D AS ymax", "0.0D AS zmin", "0.0D AS zmax")
+    met = candidates.points_in_boxes(points, boxes)
+    used = met.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions")) and met.count() == 1003
