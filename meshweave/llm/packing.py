@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshweave.llm.common import broadcast_under, free_name, released, stored
+from meshweave.llm.common import broadcast_under, free_name, inlined, released, stored
 from meshweave.llm.tokens import tokenizer
 
 #: Characters for which both libraries' patterns are known to agree; other texts go to the slower library.
@@ -110,25 +110,16 @@ def pack(cut: DataFrame, key: str = "doc_id", size: int = 2048, block: int = 1 <
     before = Window.partitionBy("length").orderBy(own_block).rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn(before_it, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = np.array(plan(histogram, size), np.int64).reshape(-1, 5)
-    placed = spark.sparkContext.broadcast({n: rows[rows[:, 0] == n, 1:] for n in histogram})
+    own_length, low, high, first = (free_name(cut, x) for x in ("_length", "_low", "_high", "_sequence"))
+    places = [dict(zip(("l", "a", "b", "s", "o"), map(int, row), strict=True)) for row in plan(histogram, size)]
+    placed = inlined(spark, places, "l: bigint, a: bigint, b: bigint, s: bigint, o: bigint").toDF(own_length, low, high, first, "offset")
     own = Window.partitionBy("length", own_block).orderBy(key, "start")
     firsts = broadcast_under(firsts, 24)  # at most a row for each length and block
     ranked_cut = blocked.join(firsts, ["length", own_block]).withColumn(rank, F.col(before_it) + F.row_number().over(own) - 1).drop(before_it, own_block)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, at_rank = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
-            sequence, offset = np.empty_like(at_rank), np.empty_like(at_rank)
-            for n in np.unique(length):
-                rows, mine = placed.value[int(n)], length == n
-                at = np.searchsorted(rows[:, 0], at_rank[mine], "right") - 1
-                sequence[mine], offset[mine] = rows[at, 2] + at_rank[mine] - rows[at, 0], rows[at, 3]
-            kept = [x for x in batch.schema.names if x != rank]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked_cut.schema if f.name != rank)
-    return ranked_cut.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    # the plan goes to the pieces, so their ids stay where they are and pass no Python worker
+    here = (F.col("length") == F.col(own_length)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high))
+    return ranked_cut.join(F.broadcast(placed), here).select(*(F.col(f"`{c}`") for c in cut.columns), (F.col(first) + F.col(rank) - F.col(low)).alias("sequence_id"), "offset")
 
 
 def crc_of(column: str):

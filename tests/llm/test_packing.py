@@ -75,3 +75,9 @@ def test_columns_of_a_caller_stay_and_blocks_follow_the_rows(spark):
     made = packing.pack(cut, block=1)
     assert {"_rank", "_block", "_first"} <= set(made.columns) and {(r._rank, r._block, r._first) for r in made.collect()} == {("r", "b", "f")}
     holds([tuple(r) for r in made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()], [(r[0], r[1]) for r in ODD])
+
+
+def test_ids_pass_no_python_worker_when_they_are_placed(spark):
+    cut = packing.pieces(odd(spark), PATH)
+    kept = spark.createDataFrame(cut.collect(), cut.schema)
+    assert "InArrow" not in packing.pack(kept)._jdf.queryExecution().executedPlan().toString()
