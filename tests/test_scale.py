@@ -1,11 +1,13 @@
 """What decides whether the engine's queries hold at size, seen on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshweave import catalogue
 from meshweave.functions import selector
-from meshweave.operators import candidates
+from meshweave.operators import candidates, nearest
+from meshweave.plans import durable
 
 
 def initial_plan(df) -> str:
@@ -31,3 +33,19 @@ def test_points_of_one_split_meet_few_boxes_in_many_tasks(spark):
     met = candidates.points_in_boxes(points, boxes)
     used = met.select(F.spark_partition_id().alias("task")).distinct().count()
     assert used == int(spark.conf.get("spark.sql.shuffle.partitions")) and met.count() == 1003
+
+
+def test_neighbours_are_found_by_cells_of_queries(spark, monkeypatch):
+    """Queries of one bucket look for buckets together: rows follow the cells, not the queries."""
+    made = []
+    monkeypatch.setattr(nearest, "stored", lambda df: made.append(durable.stored(df)) or made[-1])
+    queries = spark.range(20_000).selectExpr("id AS gnum", "(id * 7919 % 20011) / 20011D AS x", "(id * 104729 % 20021) / 20021D AS y", "0.0D AS z")
+    points = spark.range(200).selectExpr("id AS gnum", "(id * 37 % 211) / 211D AS x", "(id * 91 % 223) / 223D AS y", "0.0D AS z")
+    got = nearest.nearest(queries, points, 4)
+    assert got.count() == 80_000 and max(df.count() for df in made) < 10_000
+
+
+def test_least_distances_and_ties():
+    q, p = np.array([[0.0, 0.0], [5.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [4.0, 0.0]])
+    query, point, d2, rank = nearest.k_least(q, p, np.array([4, 2, 3, 1]), 2)
+    assert query.tolist() == [0, 0, 1, 1] and point.tolist() == [1, 2, 3, 0] and d2.tolist() == [1, 1, 1, 16] and rank.tolist() == [1, 2, 1, 2]
