@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from meshweave.operators import exchange, metric
+from meshweave.plans import durable
 
 
 def brute(queries, data, k, others=False):
@@ -33,6 +34,31 @@ def test_equals_all_distances_in_many_dimensions(spark):
     held(metric.knn(frame(spark, data[:150]), frame(spark, data[:150]), 3, others=True, pivots=7, block=16), brute(data[:150], data[:150], 3, True))
 
 
+def test_pairs_travel_as_tiles_not_one_by_one(spark, monkeypatch):
+    """Vectors equally far apart, where no bound excludes anything: what is stored to be compared are pairs of tiles."""
+    made = []
+    monkeypatch.setattr(metric, "stored", lambda df: made.append(df.columns) or kept(df))
+    kept, data = durable.stored, list(enumerate(np.random.default_rng(1).normal(size=(1200, 32))))
+    held(metric.knn(frame(spark, data), frame(spark, data), 4, others=True, block=200), brute(data, data, 4, True))
+    assert ["start", "share", "block"] in made
+
+
+def test_products_leave_out_no_neighbour():
+    """Far from zero, at any scale, among copies and nearly equal vectors; ties by id."""
+    rng = np.random.default_rng(2)
+    for size, at in ((1.0, 0.0), (1e-9, 1e3), (1e150, 0.0), (1e200, 0.0), (1e-200, 0.0)):
+        v = np.concatenate([rng.normal(size=(300, 8)) * size + at, np.repeat(rng.normal(size=(1, 8)) * size + at, 50, axis=0)])
+        v = np.concatenate([v, v[:20] * (1 + 1e-12)])
+        q, ids = np.concatenate([v[::7], rng.normal(size=(9, 8)) * size * 100 + at]), rng.permutation(len(v))
+        for reach in (np.full(len(q), np.inf), np.full(len(q), size)):
+            with np.errstate(over="ignore"):
+                row, place, d = metric.best_of(q, reach, v, ids, 6)
+                for k in range(len(q)):
+                    every = metric.distances(v, q[k])
+                    want = [i for i in np.lexsort([ids, every]) if every[i] <= reach[k]][:6]
+                    assert place[row == k].tolist() == want and d[row == k].tolist() == every[want].tolist()
+
+
 def test_few_rows_one_pivot_and_rows_without_a_vector(spark):
     data = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])]
     held(metric.knn(frame(spark, data), frame(spark, data), 9, pivots=1, block=1), brute(data, data, 9))
