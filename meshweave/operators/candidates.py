@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshweave.plans.durable import dealt
@@ -79,6 +79,11 @@ def within(extent: Extent, axes: tuple[str, ...]) -> Column:
     return reduce(lambda p, q: p & q, ((F.col(f"{a}max") >= extent.low[a]) & (F.col(f"{a}min") <= extent.high[a]) for a in axes))
 
 
+def tasks_for(n: int, spark: SparkSession) -> int:
+    """Tasks for `n` rows of at most about POINTS each, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // POINTS))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     """All columns of both for each point within a closed box. Names must not clash."""
     extent = Extent.of(boxes, axes)
@@ -88,8 +93,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: tuple[str, ...] =
     few = extent.count <= FEW
     if few:
         near_points = points.where(near)
-        tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-near_points.count() // POINTS))
-        points = near_points.repartition(tasks, *axes)
+        points = near_points.repartition(tasks_for(near_points.count(), points.sparkSession), *axes)
     placed = points.where(near).withColumn("b_level", F.explode(F.array(*map(F.lit, extent.levels))))
     placed = placed.withColumns({f"b_{a}": cell_of(F.col(a), F.pow(F.lit(2.0), F.col("b_level"))) for a in axes})
     inside = reduce(lambda p, q: p & q, (F.col(a).between(F.col(f"{a}min"), F.col(f"{a}max")) for a in axes))
@@ -99,14 +103,19 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: tuple[str, ...] =
 
 
 def boxes_meeting(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = AXES, prefix: str = "r_") -> DataFrame:
-    """All columns of both (those of `right` prefixed) for each pair of closed boxes that meet."""
+    """All columns of both (those of `right` prefixed) for each pair of closed boxes that meet. Where one side has few
+    boxes, they are sent to every task and the others are dealt: large boxes of few would share few buckets."""
     known = [Extent.of(x, axes) for x in (left, right)]
     if None in known:
         return left.join(right.select(*(F.col(c).alias(f"{prefix}{c}") for c in right.columns)), F.lit(False))
     floor = min(x.floor for x in known)
     known = [Extent(x.levels, max(floor, x.floor), x.low, x.high, x.count) for x in known]
     sides = []
-    for x, own, other in ((left, known[0], known[1]), (right, known[1], known[0])):
+    few = [x.count * (1 + len(other.levels)) <= FEW for x, other in (known, known[::-1])]
+    few[0] &= not few[1]
+    for x, own, other, dealt_out in ((left, known[0], known[1], few[1]), (right, known[1], known[0], few[0])):
+        if dealt_out:
+            x = x.repartition(tasks_for(own.count, x.sparkSession), *(f"{a}{e}" for a in axes for e in ("min", "max")))
         larger = F.filter(F.array(*map(F.lit, other.levels)), lambda v: v >= F.col("b_own"))
         sides.append(spread(x.where(within(other, axes)).withColumn("b_own", level_of(own, axes)), F.array_union(F.array("b_own"), larger), axes))
     keys = ["b_level", *(f"b_{a}" for a in axes)]
@@ -114,7 +123,8 @@ def boxes_meeting(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = AXE
     meets = reduce(lambda p, q: p & q, ((F.col(f"{a}min") <= F.col(f"{prefix}{a}max")) & (F.col(f"{prefix}{a}min") <= F.col(f"{a}max")) for a in axes))
     step = F.pow(F.lit(2.0), F.col("b_level"))
     once = reduce(lambda p, q: p & q, (F.col(f"b_{a}") == cell_of(F.greatest(F.col(f"{a}min"), F.col(f"{prefix}{a}min")), step) for a in axes))
-    return sides[0].join(spread_right, keys).where((F.col("b_level") == F.greatest("b_own", "b_other")) & meets & once).drop(*keys, "b_own", "b_other")
+    met = F.broadcast(sides[0]).join(spread_right, keys) if few[0] else sides[0].join(F.broadcast(spread_right) if few[1] else spread_right, keys)
+    return met.where((F.col("b_level") == F.greatest("b_own", "b_other")) & meets & once).drop(*keys, "b_own", "b_other")
 
 
 def inflated(boxes: DataFrame, tolerance: float, flat: bool, axes: tuple[str, ...] = AXES) -> DataFrame:

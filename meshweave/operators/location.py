@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.functions import highorder, shapes
-from meshweave.operators.candidates import AXES, boxes_meeting, cell_of, inflated, points_in_boxes, widest
+from meshweave.operators.candidates import AXES, FEW, boxes_meeting, cell_of, inflated, points_in_boxes, tasks_for, widest
 from meshweave.operators.nearest import nearest
-from meshweave.plans.durable import stored
+from meshweave.plans.durable import dealt, stored
 
 #: Element types by name with a locating function of their own: (points, vertices, order) to weights, projection, dist2, parameters.
 USER_ELEMENTS: dict[str, Callable] = {}
@@ -90,25 +90,41 @@ def nearest_nodes(target: np.ndarray, p: np.ndarray, v: np.ndarray) -> np.ndarra
     return least[who]
 
 
+def firsts(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of a batch those that winners() can choose: of each target the nearest, and what its rounding may take
+    for as near."""
+    made = [m for m in made if m.num_rows]
+    if not made:
+        return
+    _, who = np.unique(np.concatenate([m.column("tgt_gnum").to_numpy() for m in made]), return_inverse=True)
+    d2 = np.concatenate([m.column("dist2").to_numpy() for m in made])
+    least = np.full(who.max() + 1, np.inf)
+    np.fmin.at(least, who, d2)
+    kept, at = ~(d2 > least[who] * (1 + 1e-10)), 0  # distances that are no number stay
+    for m in made:
+        yield m.filter(pa.array(kept[at : at + m.num_rows]))
+        at += m.num_rows
+
+
 def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from (made for _, made in worked(batch))
+        yield from firsts([made for _, made in worked(batch)])
 
 
 def kernel_within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs those at a squared distance of at most reach2; the others are not sent back."""
     for batch in batches:
         reach = batch.column("reach2").to_numpy().copy()
-        for rows, made in worked(batch, reach):
-            yield made.filter(pa.array(made.column("dist2").to_numpy() <= reach[rows]))
+        yield from firsts([made.filter(pa.array(made.column("dist2").to_numpy() <= reach[rows])) for rows, made in worked(batch, reach)])
 
 
-def winners(pairs: DataFrame) -> DataFrame:
-    """Of each target's pairs the one of least distance (to twelve digits, at any scale), then of the smallest cell."""
+def winners(pairs: DataFrame, tasks: int) -> DataFrame:
+    """Of each target's pairs the one of least distance (to twelve digits, at any scale), then of the smallest cell, in so
+    many tasks."""
     rest = [c for c in pairs.columns if c != "tgt_gnum"]
     scale = F.pow(F.lit(10.0), F.floor(F.log10("dist2")))
     distance = F.when(F.col("dist2") > 0, F.round(F.col("dist2") / scale, 11) * scale).otherwise(0.0)
-    return pairs.groupBy("tgt_gnum").agg(F.min_by(F.struct(*rest), F.struct(distance, "src_gnum")).alias("best")).select("tgt_gnum", "best.*")
+    return pairs.repartition(tasks, "tgt_gnum").groupBy("tgt_gnum").agg(F.min_by(F.struct(*rest), F.struct(distance, "src_gnum")).alias("best")).select("tgt_gnum", "best.*")
 
 
 def evaluated(pairs: DataFrame) -> DataFrame:
@@ -149,7 +165,7 @@ def locate(targets: DataFrame, cells: DataFrame, tolerance: float = 1e-3, every:
     reach = F.pow(F.greatest(F.col("extent") * tolerance, F.lit(1e-30)), 2)
     pairs = points_in_boxes(own, boxes).withColumn("reach2", reach)
     found = pairs.select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces", "reach2")
-    near = winners(found.mapInArrow(kernel_within_reach, LOCATED))
+    near = winners(found.mapInArrow(kernel_within_reach, LOCATED), tasks_for(own.count(), own.sparkSession))
     if not every:
         return near
     rest = own.join(near.select("tgt_gnum"), "tgt_gnum", "left_anti").withColumnRenamed("tgt_gnum", "gnum")
@@ -159,6 +175,8 @@ def locate(targets: DataFrame, cells: DataFrame, tolerance: float = 1e-3, every:
 #: Cells of one size class are gathered in groups of this many of its extents, which far targets meet before they meet
 #: any cell.
 GROUP = 16
+#: Balls that meet a group of cells in one task.
+TOGETHER = 4096
 
 
 def closest(targets: DataFrame, cells: DataFrame) -> DataFrame:
@@ -171,8 +189,8 @@ def closest(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """
     corners = cells.select(F.explode("vtx").alias("v")).select(F.col("v.gnum").alias("gnum"), "v.x", "v.y", "v.z").distinct()
     by_vertex = nearest(targets, corners, 1).select(F.col("q_gnum").alias("tgt_gnum"), *(F.col(f"q{a}").alias(a) for a in AXES), "dist2")
-    known = stored(boxed(cells))
-    within = points_in_boxes(placed(targets), known).select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces")
+    known, own = stored(boxed(cells)), placed(targets)
+    within = points_in_boxes(own, known).select("tgt_gnum", "src_gnum", *AXES, "elt_type", "order", "nodes", "flat", "faces")
     held = stored(within.mapInArrow(kernel, LOCATED).groupBy("tgt_gnum").agg(F.min("dist2").alias("held2")))
     least = F.least(F.col("dist2"), F.coalesce("held2", F.col("dist2")))
     reach = by_vertex.join(held, "tgt_gnum", "left").select("tgt_gnum", *AXES, (F.sqrt(least) * (1 + 1e-12) + 1e-300).alias("r"))
@@ -188,6 +206,16 @@ def closest(targets: DataFrame, cells: DataFrame) -> DataFrame:
         gaps = (F.greatest(F.col(f"{prefix}{a}min") - F.col(a), F.col(a) - F.col(f"{prefix}{a}max"), F.lit(0.0)) for a in AXES)
         return reduce(lambda p, q: p + q, (g * g for g in gaps)) <= F.col("r") * F.col("r")
 
-    some = boxes_meeting(balls, whole).where(meets("r_")).select("tgt_gnum", *AXES, "r", F.col("r_group").alias("group"))
-    pairs = some.join(grouped.withColumnsRenamed({c: f"c_{c}" for c, _ in ends}), "group").where(meets("c_"))
-    return winners(evaluated(pairs))
+    some = boxes_meeting(stored(balls), stored(whole)).where(meets("r_")).select("tgt_gnum", *AXES, "r", F.col("r_group").alias("group"))
+    boxes = grouped.withColumnsRenamed({c: f"c_{c}" for c, _ in ends})
+    if known.count() <= FEW:
+        pairs = some.join(F.broadcast(boxes), "group")
+    else:
+        # a group that many balls meet goes to several tasks
+        some = stored(some)
+        tasks = tasks_for(some.count(), some.sparkSession)
+        share = stored(some.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("shares")))
+        left = some.join(dealt(share), "group").withColumn("share", F.pmod(F.xxhash64("tgt_gnum"), F.col("shares")).cast("int")).drop("shares")
+        right = boxes.join(dealt(share), "group").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        pairs = left.repartition(tasks, "group", "share").join(dealt(right.repartition(tasks, "group", "share")), ["group", "share"])
+    return winners(evaluated(pairs.where(meets("c_"))), tasks_for(own.count(), own.sparkSession))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from meshweave import catalogue
 from meshweave.functions import selector
-from meshweave.operators import candidates, nearest
+from meshweave.operators import candidates, location, mesh, nearest
 from meshweave.plans import durable
+from meshweave.sources import generators
 
 
 def initial_plan(df) -> str:
@@ -49,3 +50,24 @@ def test_least_distances_and_ties():
     q, p = np.array([[0.0, 0.0], [5.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [4.0, 0.0]])
     query, point, d2, rank = nearest.k_least(q, p, np.array([4, 2, 3, 1]), 2)
     assert query.tolist() == [0, 0, 1, 1] and point.tolist() == [1, 2, 3, 0] and d2.tolist() == [1, 1, 1, 16] and rank.tolist() == [1, 2, 1, 2]
+
+
+@pytest.mark.parametrize("few", [candidates.FEW, 0])
+def test_balls_that_meet_one_group_of_cells_go_to_several_tasks(spark, monkeypatch, few):
+    """Targets above a small box, all of whose cells are one group: no task compares half of the pairs."""
+    shares = []
+    whole = location.evaluated
+
+    def seen(pairs):
+        shares.extend(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+        return whole(pairs)
+
+    monkeypatch.setattr(location, "evaluated", seen)
+    for module in (location, candidates):
+        monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(location, "TOGETHER", 50)
+    targets = spark.range(1200).selectExpr("id AS gnum", "id * 37 % 1201 / 400D AS x", "id * 91 % 1203 / 401D AS y", "2.5D AS z")
+    cells = mesh.cells(generators.box_vertices(spark, 4, 2.0), generators.box_hexas(spark, 4))
+    got = {r.tgt_gnum: r.dist2 for r in location.closest(targets, cells).collect()}
+    assert got == pytest.approx({r.gnum: max(0, r.x - 2) ** 2 + max(0, r.y - 2) ** 2 + 0.25 for r in targets.collect()}, abs=1e-9)
+    assert max(shares) < sum(shares) / 2
