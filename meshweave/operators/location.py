@@ -168,7 +168,8 @@ def locate(targets: DataFrame, cells: DataFrame, tolerance: float = 1e-3, every:
     near = winners(found.mapInArrow(kernel_within_reach, LOCATED), tasks_for(own.count(), own.sparkSession))
     if not every:
         return near
-    rest = own.join(near.select("tgt_gnum"), "tgt_gnum", "left_anti").withColumnRenamed("tgt_gnum", "gnum")
+    near = stored(near)
+    rest = stored(own.join(near.select("tgt_gnum"), "tgt_gnum", "left_anti").withColumnRenamed("tgt_gnum", "gnum"))
     return near.unionByName(closest(rest, cells))
 
 
