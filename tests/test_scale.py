@@ -71,3 +71,20 @@ def test_balls_that_meet_one_group_of_cells_go_to_several_tasks(spark, monkeypat
     got = {r.tgt_gnum: r.dist2 for r in location.closest(targets, cells).collect()}
     assert got == pytest.approx({r.gnum: max(0, r.x - 2) ** 2 + max(0, r.y - 2) ** 2 + 0.25 for r in targets.collect()}, abs=1e-9)
     assert max(shares) < sum(shares) / 2
+
+
+def test_located_targets_are_chosen_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "POINTS", 100)
+    targets = spark.range(2000).selectExpr("id AS gnum", "id * 37 % 2003 / 2003D AS x", "id * 91 % 2011 / 2011D AS y", "0.0D AS z")
+    made = location.locate(targets, mesh.cells(generators.grid_vertices(spark, 4, 4), generators.grid_quads(spark, 4, 4)))
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
+
+
+def test_a_batch_sends_back_the_pairs_that_can_win(spark):
+    """Points of an edge, a corner and the inside of four cells: ties stay, others go."""
+    points = spark.createDataFrame([(1, 0.5, 0.25, 0.0), (2, 0.5, 0.5, 0.0), (3, 0.4999, 0.2, 0.0)], "gnum long, x double, y double, z double")
+    cells = mesh.cells(generators.grid_vertices(spark, 2, 2), generators.grid_quads(spark, 2, 2))
+    pairs = location.placed(points).crossJoin(location.boxed(cells)).coalesce(1)
+    got = sorted((r.tgt_gnum, r.src_gnum) for r in location.evaluated(pairs).collect())
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0)]
