@@ -45,31 +45,6 @@ def mean_of(vtx: Column, axis: str) -> Column:
     return F.aggregate(vtx, F.lit(0.0), lambda s, v: s + v[axis]) / F.size(vtx)
 
 
-def vector_area(vtx: Column) -> tuple[Column, Column, Column]:
-    """Of a polygon: half the sum of the cross products of neighbouring corners, taken from the first."""
-
-    def part(i: Column, axis: int) -> Column:
-        p, q = vector(vtx[0], F.get(vtx, i)), vector(vtx[0], F.get(vtx, i + 1))
-        return cross(p, q)[axis] / 2
-
-    def total(axis: int) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(vtx) - 2), F.lit(0.0), lambda s, i: s + part(i, axis))
-
-    return total(0), total(1), total(2)
-
-
-def cell_volume(vtx: Column, faces: Column) -> Column:
-    """Of a cell from its outward faces (places of its vertices): signed cones to the first vertex."""
-
-    def face_part(face: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(face) - 2), F.lit(0.0),
-            lambda s, i: s + tetra_volume(F.get(vtx, F.get(face, F.lit(0))), F.get(vtx, F.get(face, i)), F.get(vtx, F.get(face, i + 1)), vtx[0]),
-        )
-
-    return -F.aggregate(faces, F.lit(0.0), lambda s, f: s + face_part(f))
-
-
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance of a point to a segment in the plane."""
     dx, dy = bx - ax, by - ay

@@ -30,6 +30,107 @@ def faces_of(kind: str, faces: str | None) -> list[list[int]]:
     return FACES.get(kind) or json.loads(faces)
 
 
+#: How many faces of three and of four corners a standard cell has, and how many corners its base.
+SIDES = {"tetra4": (4, 0, 3), "pyram5": (4, 1, 4), "prism6": (2, 3, 3), "hexa8": (0, 6, 4)}
+
+
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    """Where lists laid end to end begin, and the end of the last."""
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def from_faces(n_faces: np.ndarray, sizes: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells from their outward faces, all laid end to end: `n_faces` of each cell, `sizes` of each face, `corners` in turn.
+
+    (kind, n_vertices, vertices, places): the place in SIDES of each cell's type, -1 for a polyhedron; how many vertices it
+    has; these end to end, as mesh.from_cell_faces() orders them; the place of every corner among the cell's vertices
+    in order of number. Cells with equal counts of faces are walked together.
+    """
+    n, face_at = len(n_faces), starts_of(n_faces)
+    first, cell = starts_of(sizes), np.repeat(np.arange(n), n_faces)
+    owner = np.repeat(cell, sizes)
+    order = np.lexsort((corners, owner))
+    value, of = corners[order], owner[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    n_vertices = np.bincount(of[new], minlength=n)
+    vertex_at, known = starts_of(n_vertices), value[new]
+    places = np.empty(len(order), np.int64)
+    places[order] = np.cumsum(new) - 1 - vertex_at[of]
+    following = np.arange(1, len(corners) + 1)
+    whole = sizes > 0
+    following[first[1:][whole] - 1] = first[:-1][whole]
+    after = places[following]
+    tria, quad = (np.bincount(cell[sizes == k], minlength=n) for k in (3, 4))
+    kind, vertices = np.full(n, -1), known.copy()
+    for code, (name, (n_tria, n_quad, b)) in enumerate(SIDES.items()):
+        m = N_VERTICES[name]
+        rows = np.flatnonzero((tria == n_tria) & (quad == n_quad) & (n_faces == n_tria + n_quad) & (n_vertices == m))
+        if not len(rows):
+            continue
+        steps = first[face_at[rows]][:, None] + np.arange(3 * n_tria + 4 * n_quad)
+        p, q = places[steps], after[steps]
+        lowest = face_at[rows] + (sizes[face_at[rows][:, None] + np.arange(n_tria + n_quad)] == b).argmax(axis=1)
+        inner = places[first[lowest][:, None] + np.arange(b)[::-1]]
+        base = np.take_along_axis(inner, (inner.argmin(axis=1)[:, None] + np.arange(b)) % b, axis=1)
+        at_p, at_q = (x[:, :, None] == base[:, None] for x in (p, q))
+        if m == b + 1:
+            top = m * (m - 1) // 2 - base.sum(axis=1, keepdims=True)  # the one that the base leaves
+        else:
+            away = at_p.any(axis=2) != at_q.any(axis=2)
+            meets = away[..., None] & (at_p | at_q)
+            step = meets.argmax(axis=1)
+            far = np.where(np.take_along_axis(p, step, axis=1) == base, np.take_along_axis(q, step, axis=1), np.take_along_axis(p, step, axis=1))
+            top = np.where(meets.any(axis=1), far, -1)
+        walk = np.concatenate([base, top], axis=1)
+        closed = (np.sort(walk, axis=1) == np.arange(m)).all(axis=1)
+        rows, walk = rows[closed], walk[closed]
+        kind[rows] = code
+        vertices[vertex_at[rows][:, None] + np.arange(m)] = known[vertex_at[rows][:, None] + walk]
+    return kind, n_vertices, vertices, places
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cross products of vectors (3, n)."""
+    return np.stack([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+
+
+def fans(lengths: np.ndarray):
+    """(lists, t) for t = 1, 2, ...: those of lists laid end to end that have a triangle 0, t, t + 1."""
+    left, t = np.flatnonzero(lengths >= 3), 1
+    while len(left):
+        yield left, t
+        t += 1
+        left = left[lengths[left] >= t + 2]
+
+
+def polygon_areas(v: np.ndarray, n_corners: np.ndarray) -> np.ndarray:
+    """Vector areas (3, n) of polygons whose corners (3, corners) lie end to end."""
+    first, area = starts_of(n_corners), np.zeros((3, len(n_corners)))
+    for rows, t in fans(n_corners):
+        at = first[rows]
+        area[:, rows] += crossed(v[:, at + t] - v[:, at], v[:, at + t + 1] - v[:, at]) / 2
+    return area
+
+
+def cell_volumes(v: np.ndarray, apex: np.ndarray, n_faces: np.ndarray, sizes: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Volumes of cells over vertices v (3, any): signed cones of their outward faces, which lie end to end as in
+    from_faces(), to each cell's `apex`; added up face by face."""
+    first, by_face = starts_of(sizes), np.zeros(len(sizes))
+    tip = np.repeat(apex, n_faces)
+    for rows, t in fans(sizes):
+        p = v[:, corners[first[rows]]]
+        normal = crossed(v[:, corners[first[rows] + t]] - p, v[:, corners[first[rows] + t + 1]] - p)
+        x, y, z = normal * (v[:, tip[rows]] - p)
+        by_face[rows] += (x + y + z) / 6
+    face_at, total, left, k = starts_of(n_faces), np.zeros(len(n_faces)), np.flatnonzero(n_faces > 0), 0
+    while len(left):
+        total[left] += by_face[face_at[left] + k]
+        k += 1
+        left = left[n_faces[left] > k]
+    return -total
+
+
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1)
 

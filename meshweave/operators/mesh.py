@@ -10,12 +10,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from meshweave.functions import shapes
-from meshweave.functions.geometry import cell_volume, mean_of, norm, vector_area
+from meshweave.functions.geometry import mean_of
 from meshweave.operators.candidates import AXES
 from meshweave.plans.durable import dealt, stored
 
@@ -127,10 +128,9 @@ def classified(cell_faces: DataFrame, face_vertices: DataFrame) -> DataFrame:
     return counted.select("cell", kind.alias("elt_type"), "n_tria", "n_quad", "n_poly")
 
 
-def made_once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """`rows` with more columns, which later ones read as they are: the optimizer does not write out their expressions in
-    each place that reads them, as it does with those of a plain projection."""
-    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+def ragged(lengths: np.ndarray, values: pa.Array, missing: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of the given lengths out of `values`, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(shapes.starts_of(lengths), pa.int32()), values, mask=None if missing is None else pa.array(missing))
 
 
 #: The places of a standard cell's vertices with base and top walked the other way.
@@ -151,29 +151,25 @@ def from_cell_faces(cell_faces: DataFrame, face_vertices: DataFrame, vertices: D
     """
     known = face_vertices.select("face", F.col("connec").alias("c"))
     sides = cell_faces.select("cell", F.abs("face").alias("face"), (F.col("face") < 0).alias("inward")).join(dealt(known), "face")
-    sides = sides.select("cell", F.struct("face", F.when(F.col("inward"), F.reverse("c")).otherwise(F.col("c")).alias("c")).alias("side"))
-    whole = sides.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list("side")), lambda s: s.c).alias("s"))
-    of_size = lambda n: F.filter("s", lambda c: F.size(c) == n)
-    tria, quad, n = F.size(of_size(3)), F.size(of_size(4)), F.size("s")
-    kind = F.when((tria == 4) & (n == 4), "tetra4").when((tria == 4) & (quad == 1) & (n == 5), "pyram5").when((tria == 2) & (quad == 3) & (n == 5), "prism6").when((quad == 6) & (n == 6), "hexa8")
-    base = F.when(F.col("guess") == "pyram5", of_size(4)[0]).when(F.col("guess") == "prism6", of_size(3)[0]).otherwise(F.col("s")[0])
-    steps = F.flatten(F.transform("s", lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.struct(F.get(c, i).alias("p"), F.get(c, (i + 1) % F.size(c)).alias("q")))))
-    whole = made_once(whole, guess=kind, steps=steps, all=F.array_sort(F.array_distinct(F.flatten("s"))))
-    whole = made_once(whole, inner=F.reverse(base))
-    first = F.array_position("inner", F.array_min("inner")).cast("int")
-    whole = made_once(whole, base=F.concat(F.slice("inner", first, F.size("inner")), F.slice("inner", F.lit(1), first - 1)))
-    whole = made_once(whole, away=F.filter("steps", lambda e: F.array_contains("base", e.p) != F.array_contains("base", e.q)))
-    up = F.transform("base", lambda v: F.get(F.transform(F.filter("away", lambda e: (e.p == v) | (e.q == v)), lambda e: F.when(e.p == v, e.q).otherwise(e.p)), F.lit(0)))
-    top = F.when(F.col("guess").isin("tetra4", "pyram5"), F.array_except("all", "base")).otherwise(up)
-    whole = made_once(whole, connec=F.concat("base", top))
-    size = F.create_map(*(F.lit(x) for k in TURNED for x in (k, shapes.N_VERTICES[k])))[F.col("guess")]
-    closed = (F.size("all") == size) & (F.size("connec") == size) & (F.array_sort(F.array_distinct("connec")) == F.col("all"))
-    whole = made_once(whole, closed=F.coalesce(closed, F.lit(False)))
-    places = F.transform("s", lambda c: F.transform(c, lambda v: (F.array_position("all", v) - 1).cast("int")))
-    made = whole.select(
-        F.col("cell").alias("gnum"), F.when(F.col("closed"), F.col("guess")).otherwise("poly3d").alias("elt_type"),
-        F.when(F.col("closed"), F.col("connec")).otherwise(F.col("all")).alias("connec"), F.when(~F.col("closed"), places).alias("faces"),
-    )
+    corners = F.when(F.col("inward"), F.reverse("c")).otherwise(F.col("c")).cast("array<long>")
+    sides = sides.select("cell", F.struct("face", corners.alias("c")).alias("side"))
+    whole = sides.repartition("cell").groupBy("cell").agg(F.sort_array(F.collect_list("side")).alias("sides"))
+    names = pa.array([*shapes.SIDES, "poly3d"])
+
+    def run(batches):
+        for batch in batches:
+            sides = batch.column("sides")
+            lists = sides.flatten().field("c")
+            n_faces, sizes, corners = (np.asarray(x) for x in (pc.list_value_length(sides), pc.list_value_length(lists), lists.flatten()))
+            kind, n_vertices, connec, places = shapes.from_faces(n_faces, sizes, corners)
+            free = kind < 0
+            own = np.repeat(free, n_faces)
+            walks = ragged(sizes[own], pa.array(places[np.repeat(own, sizes)], pa.int32()))
+            faces = ragged(np.where(free, n_faces, 0), walks, ~free)
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), names.take(pa.array(np.where(free, len(names) - 1, kind))), ragged(n_vertices, pa.array(connec)), faces], ["gnum", "elt_type", "connec", "faces"])
+
+    number, numbers = (t[c].dataType.simpleString() for t, c in ((whole.schema, "cell"), (known.schema, "c")))
+    made = whole.mapInArrow(run, f"gnum {number}, elt_type string, connec array<long>, faces array<array<int>>").withColumn("connec", F.col("connec").cast(numbers))
     if vertices is None:
         return made
     wrong = measured(cells(vertices, made)).where((F.col("volume") < 0) & (F.col("elt_type") != "poly3d")).select("gnum", F.lit(True).alias("wrong"))
@@ -193,30 +189,83 @@ def from_face_edges(face_edges: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cells(vertices: DataFrame, elements: DataFrame) -> DataFrame:
-    """Elements with their vertices' coordinates, centre and box: what the spatial operators take."""
+    """Elements with their vertices' coordinates, centre and box: what the spatial operators take. Other columns travel with
+    an element's first corner, so `elements` are made once and dealt once."""
     plain = elements
     for name, kind in (("order", F.lit(1)), ("faces", F.lit(None).cast("array<array<int>>"))):
         if name not in plain.columns:
             plain = plain.withColumn(name, kind)
-    corner = plain.select("gnum", F.posexplode("connec").alias("i", "v"))
-    placed = corner.join(dealt(vertices.select(F.col("gnum").alias("v"), "x", "y", "z")), "v").groupBy("gnum").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").alias("gnum"), "x", "y", "z"))).alias("ordered"))
-    known = plain.join(dealt(placed), "gnum").withColumn("vtx", F.transform("ordered", lambda s: F.struct(s.gnum.alias("gnum"), s.x.alias("x"), s.y.alias("y"), s.z.alias("z")))).drop("ordered")
+    carried = [c for c in plain.columns if c != "gnum"]
+    corner = plain.select("*", F.posexplode("connec").alias("_i", "_v")).select("gnum", "_i", "_v", *(F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in carried))
+    met = corner.join(dealt(vertices.select(F.col("gnum").alias("_v"), F.struct("x", "y", "z").alias("_at"))), "_v", "left")
+    vertex = F.when(F.col("_at").isNotNull(), F.struct("_i", F.struct(F.col("_v").alias("gnum"), *(F.col("_at")[a].alias(a) for a in AXES)).alias("s")))
+    placed = met.repartition("gnum").groupBy("gnum").agg(*(F.first(c, ignorenulls=True).alias(c) for c in carried), F.sort_array(F.collect_list(vertex)).alias("_ordered"))
+    known = placed.where(F.size("_ordered") > 0).withColumn("vtx", F.transform("_ordered", lambda o: o.s)).drop("_ordered")
     bounds = {f"{a}{n}": f(F.col(f"vtx.{a}")) for a in AXES for n, f in (("min", F.array_min), ("max", F.array_max))}
     return known.withColumns({f"c{a}": mean_of(F.col("vtx"), a) for a in AXES} | bounds)
 
 
+FLAT = ("tria3", "quad4", "poly2d")
+
+
+def measures(elt_type: pa.Array, vtx: pa.Array, faces: pa.Array) -> pa.Array:
+    """(volume, nx, ny, nz) of the cells of a batch, as in measured(); null where vertices or faces are missing."""
+    kinds = np.asarray(elt_type.fill_null(""), object)
+    count, corner = np.asarray(pc.list_value_length(vtx)).astype(np.int64), vtx.flatten()
+    v = np.stack([np.asarray(corner.field(a), float) for a in AXES])
+    first, n = shapes.starts_of(count), len(kinds)
+    size, normal, known = np.zeros(n), np.full((3, n), np.nan), np.ones(n, bool)
+
+    def out_of(lists, rows):
+        """Places in lists laid end to end, of the lists `rows`."""
+        begin, length = lists[rows], lists[rows + 1] - lists[rows]
+        return np.repeat(begin - shapes.starts_of(length)[:-1], length) + np.arange(length.sum())
+
+    rows = np.flatnonzero(np.isin(kinds, FLAT))
+    area = shapes.polygon_areas(v[:, out_of(first, rows)], count[rows])
+    x, y, z = area * area
+    size[rows] = np.sqrt(x + y + z)
+    normal[:, rows] = np.divide(area, size[rows], out=np.full_like(area, np.nan), where=size[rows] > 0)
+    known[rows] = count[rows] >= 3
+    rows = np.flatnonzero((kinds == "edge2") & (count >= 2))
+    x, y, z = (v[:, first[rows] + 1] - v[:, first[rows]]) ** 2
+    size[rows] = np.sqrt(x + y + z)
+    known[(kinds == "edge2") & (count < 2)] = False
+
+    def solid(rows, n_faces, sizes, places):
+        """`places`: -1 where one is missing."""
+        face, owner = np.repeat(np.arange(len(rows)), n_faces), rows.repeat(n_faces)
+        cell = np.repeat(owner, sizes)
+        wrong = (places < 0) | (places >= count[cell])
+        size[rows] = shapes.cell_volumes(v, first[rows], n_faces, sizes, np.where(wrong, first[cell], first[cell] + places))
+        known[cell[wrong]] = False
+        known[rows[face[sizes < 3]]] = False
+
+    for kind, walls in shapes.FACES.items():
+        rows = np.flatnonzero(kinds == kind)
+        solid(rows, np.full(len(rows), len(walls)), np.tile([len(f) for f in walls], len(rows)), np.tile(np.concatenate(walls), len(rows)))
+    other = ~np.isin(kinds, [*FLAT, "edge2", "node", *shapes.FACES])
+    known[other & np.asarray(pc.is_null(faces))] = False
+    given = pc.if_else(pa.array(other), faces, pa.scalar(None, faces.type))
+    walls = given.flatten()
+    n_faces = np.asarray(pc.fill_null(pc.list_value_length(given), 0))[other]
+    solid(np.flatnonzero(other), n_faces, np.asarray(pc.fill_null(pc.list_value_length(walls), 0)), np.asarray(pc.fill_null(walls.flatten(), -1)).astype(np.int64))
+    for a in AXES:
+        gone = np.flatnonzero(np.asarray(pc.is_null(corner.field(a))))
+        known[np.repeat(np.arange(n), count)[gone]] = False
+    known |= kinds == "node"
+    flat = known & np.isin(kinds, FLAT) & (size > 0)
+    return pa.StructArray.from_arrays([pa.array(size, mask=~known), *(pa.array(c, mask=~flat) for c in normal)], ["volume", *(f"n{a}" for a in AXES)])
+
+
 def measured(cell_table: DataFrame) -> DataFrame:
     """`cell_table` with volume (length, area or volume by type) and, on surfaces, the unit normal nx, ny, nz."""
-    vtx = F.col("vtx")
-    along = F.sqrt(sum(((vtx[1][a] - vtx[0][a]) * (vtx[1][a] - vtx[0][a]) for a in AXES), F.lit(0.0)))
-    area = vector_area(vtx)
-    size = norm(area)
-    faces = F.col("faces")
-    for kind, known in shapes.FACES.items():
-        faces = F.when(F.col("elt_type") == kind, F.array(*(F.array(*map(F.lit, f)) for f in known))).otherwise(faces)
-    flat = F.col("elt_type").isin("tria3", "quad4", "poly2d")
-    made = F.when(F.col("elt_type") == "edge2", along).when(flat, size).when(F.col("elt_type") == "node", 0.0).otherwise(cell_volume(vtx, faces))
-    return cell_table.withColumns({"volume": made} | {f"n{a}": F.when(flat & (size > 0), c / size) for a, c in zip(AXES, area, strict=True)})
+
+    def run(elt_type: pa.Array, vtx: pa.Array, faces: pa.Array) -> pa.Array:
+        return measures(elt_type, vtx, faces)
+
+    made = F.arrow_udf(run, "volume double, nx double, ny double, nz double")("elt_type", "vtx", "faces")
+    return cell_table.withColumn("_made", made).withColumns({c: F.col("_made")[c] for c in ("volume", "nx", "ny", "nz")}).drop("_made")
 
 
 def edges(elements: DataFrame) -> DataFrame:
@@ -332,7 +381,7 @@ def solids(vertices: DataFrame, polygons: DataFrame, layers: int, height: float)
     nodes = numbered(vertices.select("gnum", *AXES), ["gnum"], "v").withColumn("v", F.col("v") - 1)
     sheet = numbered(polygons.select(F.col("gnum").alias("polygon")), ["polygon"], "f").withColumn("f", F.col("f") - 1)
     corners = polygons.select(F.col("gnum").alias("polygon"), F.posexplode("connec").alias("k", "gnum")).join(dealt(nodes.select("gnum", "v")), "gnum").join(dealt(sheet), "polygon")
-    walks = corners.groupBy("f").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("walk"))
+    walks = corners.repartition("f").groupBy("f").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("walk"))
     walks = stored(walks)
     n = F.size("walk")
     ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("walk", i).alias("p"), F.get("walk", (i + 1) % n).alias("q")))

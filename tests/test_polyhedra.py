@@ -123,6 +123,23 @@ def test_what_is_no_standard_cell_is_a_polyhedron(spark):
     assert {r.tgt_gnum for r in location.locate(targets, cell).collect()} == {1, 3}
 
 
+def test_cells_of_all_kinds_are_measured_in_one_batch(spark):
+    v, faces = u_cell()
+    places = [(i + 1, *map(float, x)) for i, x in enumerate(v)] + [(100 + i, *map(float, x)) for i, x in enumerate(shapes.CORNERS["hexa8"])]
+    vertices = spark.createDataFrame([*places, (200, None, 0.0, 0.0)], "gnum long, x double, y double, z double")
+    rows = [
+        (1, "poly3d", list(range(1, 17)), faces), (2, "hexa8", list(range(100, 108)), None), (3, "tetra4", [100, 101, 103, 104], None),
+        (4, "quad4", [100, 101, 102, 103], None), (5, "edge2", [100, 106], None), (6, "node", [100], None), (7, "tria3", [100, 103, 101], None),
+        (8, "tetra4", [100, 101, 103, 999], None), (9, "tria3", [100, 101, 200], None), (10, "poly3d", [100, 101, 103, 104], None),
+        (11, "poly3d", [100, 101, 103, 104], [[0, 2, 1], [0, 1]]), (12, "tria3", [100, 100, 100], None),
+    ]
+    elements = spark.createDataFrame(rows, "gnum long, elt_type string, connec array<long>, faces array<array<int>>").coalesce(1)
+    got = {r.gnum: (r.volume, r.nz) for r in mesh.measured(mesh.cells(vertices, elements)).collect()}
+    none = (None, None)
+    want = {1: (7, None), 2: (1, None), 3: (1 / 6, None), 4: (1, 1), 5: (3**0.5, None), 6: (0, None), 7: (0.5, -1), 8: none, 9: none, 10: none, 11: none, 12: (0, None)}
+    assert {k: tuple(x if x is None else pytest.approx(x) for x in v) for k, v in want.items()} == got
+
+
 def test_layers_of_hexagons_share_their_faces(spark):
     vertices, hexagons = generators.hexagons(spark, 3, 2)
     area = mesh.measured(mesh.cells(vertices, hexagons)).agg(F.sum("volume")).first()[0]

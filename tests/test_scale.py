@@ -1,5 +1,7 @@
 """What decides whether the engine's queries hold at size, seen on small tables."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,24 @@ def test_no_side_of_a_mesh_join_goes_through_the_driver(spark, small, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_cells_are_put_together_once_and_measured_in_batches(spark, small):
+    plan = initial_plan(catalogue.QUERIES["solids_of_polygons"](spark, small))
+    assert plan.count("MapInArrow") == plan.count("ArrowEvalPython") == 1 and "lambdafunction((lambda" not in plan
+    # corners and faces are dealt before they are listed: lists of one would be packed, sent and unpacked
+    for made in re.findall(r"collect_list.*?partial_collect_list", plan.replace("merge_collect_list", ""), re.DOTALL):
+        assert "Exchange" not in made
+
+
+def test_elements_are_made_once_for_their_cells(spark):
+    vertices, quads = generators.grid_vertices(spark, 4, 4), generators.grid_quads(spark, 4, 4)
+    made = quads.withColumn("p", F.when(F.col("gnum") % 2 == 0, F.col("gnum"))).repartition(3)
+    marked = made.mapInArrow(lambda batches: batches, made.schema)
+    cells = mesh.cells(vertices, marked)
+    assert initial_plan(cells).count("MapInArrow") == 1
+    assert {(r.gnum, r.elt_type, tuple(r.connec), r.p) for r in cells.collect()} == {(r.gnum, r.elt_type, tuple(r.connec), r.p) for r in made.collect()}
+    assert all([v.gnum for v in r.vtx] == r.connec for r in cells.collect())
+
+
 def test_points_on_a_cylinder_are_in_it(spark):
     """59 - 50 and 24 - 12 are 9 and 12, 15 from the axis exactly, wherever x is."""
     rows = spark.range(2000).selectExpr("id AS gnum", "id * 0.00397D AS x", "59.0D AS y", "24.0D AS z")
